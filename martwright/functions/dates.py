@@ -15,7 +15,7 @@ def parse_yymmdd(c, century: str = "19") -> Column:
     is always spelled out.  Unparsable values give null.
     """
     s = F.lpad(_col(c).cast("string"), 6, "0")
-    return F.try_to_date(F.concat(F.lit(century), s), F.lit("yyyyMMdd"))
+    return F.try_to_date(F.concat(F.lit(century), s), "yyyyMMdd")
 
 
 def parse_compact_ts(c, century: str = "19") -> Column:
