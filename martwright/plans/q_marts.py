@@ -131,3 +131,152 @@ def q_recency_lifetime(spark, sf):
     (orders,) = tables(spark, sf, "orders")
     gifts = D.gifts_from_orders(orders)
     return recency_lifetime(gifts, "donor_id", "date", D.CUTOFF, cutoff=D.CUTOFF)
+
+
+# ---------------------------------------------------------------------------
+# bank mart
+# ---------------------------------------------------------------------------
+
+from ..operators.aggregate import safe_name  # noqa: E402
+from . import bank as BK  # noqa: E402
+from . import churn as CH  # noqa: E402
+
+
+def _bank_sql() -> str:
+    from .q_agg import _pivot_mean_sql, _trans_sql
+    ks = []
+    for v in BK.K_SYMBOLS:
+        c = f"k_symbol = '{v}'"
+        n = safe_name(v)
+        ks += [f"COUNT(CASE WHEN {c} THEN amount END) AS ks_count_{n}",
+               f"CAST(SUM(CASE WHEN {c} THEN amount END) AS DOUBLE) AS ks_sum_{n}",
+               f"CAST(SUM(CASE WHEN {c} THEN amount END) AS DOUBLE) / COUNT(CASE WHEN {c} THEN amount END) AS ks_mean_{n}"]
+    from ..functions.recode import ORDER_K_SYMBOL, ORDER_K_SYMBOL_DEFAULT
+    from .q_agg import _case
+    osym = _case(_case("o_orderpriority", BK.ORDER_SYMBOL_CODE), ORDER_K_SYMBOL, repr(ORDER_K_SYMBOL_DEFAULT))
+    ords = [f"CAST(SUM(CASE WHEN ks = '{v}' THEN a END) AS DOUBLE) AS order_sum_{safe_name(v)}"
+            for v in BK.ORDER_SYMBOLS]
+    op_cols = [f"op_{a}_{safe_name(v)}" for v in BK.OPERATIONS for a in ("count", "sum", "mean")]
+    ks_cols = [f"ks_{a}_{safe_name(v)}" for v in BK.K_SYMBOLS for a in ("count", "sum", "mean")]
+    ord_cols = [f"order_sum_{safe_name(v)}" for v in BK.ORDER_SYMBOLS]
+    fill = ",\n  ".join(f"COALESCE({c}, 0) AS {c}" for c in
+                        ["total_trans", "total_sum_trans", "mean_all_trans", "days_since_last_trans"]
+                        + op_cols + ks_cols + ord_cols)
+    regs = ", ".join(_sql_dummies("r_name", BK.REGIONS, "region", False))
+    return f"""
+WITH t AS ({_trans_sql()}),
+tot AS (SELECT account_id, MIN(date) AS first_trans, MAX(date) AS last_trans, COUNT(*) AS total_trans,
+          CAST(SUM(amount) AS DOUBLE) AS total_sum_trans,
+          CAST(SUM(amount) AS DOUBLE) / COUNT(amount) AS mean_all_trans,
+          CAST(date_diff('day', MAX(date), DATE '{BK.EVAL_DATE}') AS INTEGER) AS days_since_last_trans
+        FROM t WHERE account_id IS NOT NULL GROUP BY account_id),
+op AS ({_pivot_mean_sql()}),
+ks AS (SELECT account_id, {", ".join(ks)} FROM t GROUP BY account_id),
+ord AS (SELECT account_id, {", ".join(ords)}
+        FROM (SELECT o_custkey AS account_id, {osym} AS ks, CAST(o_totalprice AS DECIMAL(18,2)) AS a
+              FROM orders WHERE o_custkey IS NOT NULL) GROUP BY account_id),
+base AS (SELECT c.c_custkey AS account_id, c.c_nationkey AS district_id, c.c_acctbal AS balance, {regs}
+         FROM customer c LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) g
+           ON c.c_nationkey = g.n_nationkey)
+SELECT base.*, tot.first_trans, tot.last_trans,
+  {fill}
+FROM base LEFT JOIN tot USING (account_id) LEFT JOIN op USING (account_id)
+  LEFT JOIN ks USING (account_id) LEFT JOIN ord USING (account_id)
+"""
+
+
+def _round_op_means(df):
+    return df.select(*[F.round(c, 6).alias(c) if c.startswith("op_mean_") else F.col(c)
+                       for c in df.columns])
+
+
+@query("mart_bank", _bank_sql())
+def mart_bank(spark, sf):
+    customer, nation, region, lineitem, orders = tables(
+        spark, sf, "customer", "nation", "region", "lineitem", "orders")
+    return _round_op_means(BK.bank_mart(customer, nation, region, lineitem, orders))
+
+
+# ---------------------------------------------------------------------------
+# churn mart
+# ---------------------------------------------------------------------------
+
+def _churn_sql() -> str:
+    def piv(col, values, specs):
+        out = []
+        for v in values:
+            cond = f"{col} = {v!r}" if isinstance(v, str) else f"{col} = {v}"
+            for fn, c, alias in specs:
+                name = f"{alias}_{safe_name(v)}"
+                if fn == "sum":
+                    e = f"SUM(CASE WHEN {cond} THEN {c} END)"
+                elif fn == "count":
+                    e = f"COUNT(CASE WHEN {cond} THEN {c} END)"
+                else:
+                    e = (f"CAST(SUM(CASE WHEN {cond} THEN {c} END) AS DOUBLE) / "
+                         f"NULLIF(COUNT(CASE WHEN {cond} THEN {c} END), 0)")
+                out.append((name, e))
+        return out
+    pivots = (piv("product", CH.PRODUCTS, [("sum", "meals", "sum_meals"), ("sum", "price", "sum_price")])
+              + piv("payment_type", CH.PAYMENTS, [("sum", "price", "sum_price_pay"),
+                                                  ("sum", "discount", "sum_discount_pay")])
+              + piv("start_year", CH.YEARS, [("count", "subscription_id", "n_subscriptions")])
+              + piv("formula_type", CH.FORMULAS, [("count", "formula_type", "n_formula"),
+                                                  ("sum", "duration", "sum_duration"),
+                                                  ("mean", "duration", "avg_duration")]))
+    ev = piv("event_type", CH.EVENT_TYPES, [("count", "event_id", "n_complaints")])
+    regs = ", ".join(_sql_dummies("r_name", CH.REGIONS, "region", False))
+    totals = [
+        ("n_subscription_rows", "COUNT(subscription_id)"),
+        ("avg_days_subscription", "round(CAST(SUM(date_diff('day', start_date, end_date)) AS DOUBLE) / COUNT(date_diff('day', start_date, end_date)), 6)"),
+        ("avg_months_subscription", f"round(SUM({_mb_sql('end_date', 'start_date')}) / COUNT(end_date), 6)"),
+        ("sum_meals", "SUM(meals)"), ("min_price", "MIN(price)"), ("max_price", "MAX(price)"),
+        ("avg_price", "CAST(SUM(price) AS DOUBLE) / COUNT(price)"), ("sum_price", "SUM(price)"),
+        ("min_discount", "MIN(discount)"), ("max_discount", "MAX(discount)"),
+        ("sum_discount", "SUM(discount)"),
+    ]
+    num = [n for n, _ in totals] + [n for n, _ in pivots]
+    casted = ",\n  ".join(f"COALESCE(CAST({n} AS DOUBLE), 0) AS {n}" if n not in
+                          ("n_subscription_rows",) and not n.startswith(("n_subscriptions", "n_formula"))
+                          else f"COALESCE({n}, 0) AS {n}" for n in num)
+    return f"""
+WITH t AS (
+  SELECT o.o_orderkey AS subscription_id, o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS start_date,
+         o.o_orderstatus AS payment_type, year(o.o_orderdate) AS start_year,
+         CAST(l.l_shipdate AS DATE) AS end_date, l.l_linestatus AS formula_type, l.l_quantity AS meals,
+         CAST(l.l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l.l_discount AS DECIMAL(18,2)) AS discount,
+         p.p_type AS product, p.p_size AS duration
+  FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
+       JOIN part p ON l.l_partkey = p.p_partkey
+  WHERE o.o_orderdate < DATE '{CH.AS_OF}' + INTERVAL 1 DAY AND o.o_custkey IS NOT NULL),
+g AS (
+  SELECT customer_id, {", ".join(f"{e} AS {n}" for n, e in totals + pivots)},
+    MAX(end_date) AS last_end, MIN(start_date) AS first_start
+  FROM t GROUP BY customer_id),
+ev AS (SELECT user_id AS customer_id, {", ".join(f"{e} AS {n}" for n, e in ev)}
+       FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+base AS (SELECT c.c_custkey AS customer_id, {regs}
+         FROM customer c LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) gg
+           ON c.c_nationkey = gg.n_nationkey)
+SELECT g.customer_id,
+  {casted},
+  last_end, first_start,
+  CAST(date_diff('day', last_end, DATE '{CH.AS_OF}') AS INTEGER) AS days_without_sub,
+  CAST(date_diff('day', first_start, last_end) AS INTEGER) AS customer_lifetime,
+  CASE WHEN date_diff('day', last_end, DATE '{CH.AS_OF}') > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS label,
+  {", ".join(f"COALESCE(region_{safe_name(r)}, 0) AS region_{safe_name(r)}" for r in CH.REGIONS)},
+  {", ".join(f"COALESCE({n}, 0) AS {n}" for n, _ in ev)}
+FROM g LEFT JOIN base USING (customer_id) LEFT JOIN ev USING (customer_id)
+"""
+
+
+def _mb_sql(a: str, b: str) -> str:
+    return (f"round((year({a}) - year({b})) * 12 + month({a}) - month({b}) + CASE WHEN day({a}) = day({b}) "
+            f"OR ({a} = last_day({a}) AND {b} = last_day({b})) THEN 0 ELSE (day({a}) - day({b})) / 31.0 END, 8)")
+
+
+@query("mart_churn", _churn_sql())
+def mart_churn(spark, sf):
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    return CH.churn_mart(o, li, p, ev, c, n, r)
