@@ -2,8 +2,8 @@
 
 Fitted state (category lists, caps, means/stds) is always a tiny, bounded
 result: a sorted value list capped by ``max_values``, one order statistic,
-or one row of statistics.  Applying it is a projection, so transform never
-shuffles; a one-row stats frame is the only thing ever broadcast here.
+or one row of statistics.  Applying it is a projection with the fitted
+values as literals, so transform never shuffles and never joins.
 """
 
 from __future__ import annotations
@@ -163,28 +163,37 @@ def zscore_fit(df: DataFrame, columns: Sequence[str], ddof: int = 0) -> DataFram
                      sd(F.col(c).cast("double")).alias(f"{c}_std"))])
 
 
-def zscore_transform(df: DataFrame, stats: DataFrame, columns: Sequence[str],
+def _stats_row(stats: DataFrame) -> dict:
+    """The fitted statistics: one row, two numbers per column."""
+    return stats.first().asDict()
+
+
+def zscore_transform(df: DataFrame, stats: DataFrame | dict, columns: Sequence[str],
                      suffix: str = "_z") -> DataFrame:
     """``(x - mean) / std`` into ``<c><suffix>``; a constant column gives 0.
 
-    ``stats`` is one row, so broadcasting it is bounded by construction.
+    The fitted means and stds are literals in the projection: transform is
+    a map-only stage.
     """
-    j = df.crossJoin(F.broadcast(stats))
+    st = stats if isinstance(stats, dict) else _stats_row(stats)
     out = []
     for c in columns:
-        m, s = F.col(f"{c}_mean"), F.col(f"{c}_std")
-        z = F.when(s == 0, F.lit(0.0)).otherwise((F.col(c).cast("double") - m) / s)
+        m, s = st[f"{c}_mean"], st[f"{c}_std"]
+        if s is None or s == 0:
+            z = F.when(F.col(c).isNotNull(), F.lit(0.0))
+        else:
+            z = (F.col(c).cast("double") - F.lit(m)) / F.lit(s)
         out.append(z.alias(f"{c}{suffix}"))
-    return j.select(*[F.col(f"`{x}`") for x in df.columns], *out)
+    return df.select("*", *out)
 
 
-def zscore_inverse(df: DataFrame, stats: DataFrame, columns: Sequence[str],
+def zscore_inverse(df: DataFrame, stats: DataFrame | dict, columns: Sequence[str],
                    suffix: str = "_z", out_suffix: str = "_orig") -> DataFrame:
     """``z * std + mean`` back to original units (rows or cluster centres)."""
-    j = df.crossJoin(F.broadcast(stats))
-    out = [(F.col(f"{c}{suffix}") * F.col(f"{c}_std") + F.col(f"{c}_mean")).alias(f"{c}{out_suffix}")
-           for c in columns]
-    return j.select(*[F.col(f"`{x}`") for x in df.columns], *out)
+    st = stats if isinstance(stats, dict) else _stats_row(stats)
+    out = [(F.col(f"{c}{suffix}") * F.lit(st[f"{c}_std"] or 0.0) + F.lit(st[f"{c}_mean"]))
+           .alias(f"{c}{out_suffix}") for c in columns]
+    return df.select("*", *out)
 
 
 def l1_normalize(arr: str | Column) -> Column:

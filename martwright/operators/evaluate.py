@@ -53,11 +53,12 @@ def weighted_precision(df: DataFrame, label, prediction) -> DataFrame:
     per_pred = df.groupBy(p.alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"),
                                                F.count_if(y == p).alias("n_correct"))
     per_label = df.groupBy(y.alias("cls")).agg(F.count(F.lit(1)).alias("n_label"))
-    total = df.agg(F.count(F.lit(1)).alias("n_all"))
-    j = per_label.join(per_pred, "cls", "left").crossJoin(F.broadcast(total))
+    j = per_label.join(per_pred, "cls", "left")
     prec = F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_pred").cast("double")),
                       F.lit(0.0))
-    return j.agg(F.sum(prec * F.col("n_label") / F.col("n_all")).alias("weighted_precision"))
+    # one row per class: the class-share denominator is the sum of the class counts
+    return j.agg(F.try_divide(F.sum(prec * F.col("n_label")), F.sum("n_label").cast("double"))
+                 .alias("weighted_precision"))
 
 
 def score_counts(df: DataFrame, label, score) -> DataFrame:
@@ -71,12 +72,12 @@ def roc_table(df: DataFrame, label, score, **kw) -> DataFrame:
     """Per distinct score (descending): counts at or above it and the ROC
     point ``(fpr, tpr)`` of thresholding at that score."""
     sc = score_counts(df, label, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))
+    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     cum = prefix_sums(sc, [("score", True)], ["pos", "neg"], **kw)
-    return cum.crossJoin(F.broadcast(tot)).select(
+    return cum.select(
         "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
-        F.try_divide(F.col("cum_neg").cast("double"), F.col("N").cast("double")).alias("fpr"),
-        F.try_divide(F.col("cum_pos").cast("double"), F.col("P").cast("double")).alias("tpr"))
+        F.try_divide(F.col("cum_neg").cast("double"), F.lit(float(tot["N"] or 0))).alias("fpr"),
+        F.try_divide(F.col("cum_pos").cast("double"), F.lit(float(tot["P"] or 0))).alias("tpr"))
 
 
 def auc(df: DataFrame, label, score, **kw) -> DataFrame:
@@ -101,13 +102,13 @@ def gains_by_decile(df: DataFrame, label: str, score: str, key: list[str], bucke
     positives, share of all positives captured, response rate, lift."""
     ranked = global_rank(df.select(label, score, *key), [(score, True)] + [(k, False) for k in key],
                          "rank", **kw)
-    n = df.agg(F.count(F.lit(1)).alias("n_all"), F.sum(label).alias("p_all"))
-    t = ranked.crossJoin(F.broadcast(n)).withColumn("decile", ntile_from_rank("rank", "n_all", buckets))
-    d = t.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"),
-                                F.first("n_all").alias("n_all"), F.first("p_all").alias("p_all"))
+    st = df.agg(F.count(F.lit(1)).alias("n_all"), F.sum(label).alias("p_all")).first()
+    n_all, p_all = F.lit(st["n_all"]), F.lit(st["p_all"])
+    t = ranked.withColumn("decile", ntile_from_rank("rank", n_all, buckets))
+    d = t.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"))
+    # ``buckets`` rows: one range is enough
     c = prefix_sums(d, [("decile", False)], ["n", "positives"], pin=False, n_ranges=1)
     return c.select("decile", "n", "positives", F.col("cum_positives"),
-                    (F.col("cum_positives") / F.col("p_all")).alias("gain"),
+                    (F.col("cum_positives") / p_all).alias("gain"),
                     (F.col("positives") / F.col("n")).alias("response"),
-                    ((F.col("cum_positives") / F.col("cum_n")) / (F.col("p_all") / F.col("n_all")))
-                    .alias("lift"))
+                    ((F.col("cum_positives") / F.col("cum_n")) / (p_all / n_all)).alias("lift"))

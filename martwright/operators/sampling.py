@@ -59,9 +59,9 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str =
     are copied once more.  The class-count table has one row per class.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    m = counts.agg(F.max("_n").alias("_m"))
-    plan = counts.crossJoin(m).select(label, "_n", F.floor(F.col("_m") / F.col("_n")).alias("_full"),
-                                      (F.col("_m") % F.col("_n")).alias("_rest"))
+    m = F.lit(counts.agg(F.max("_n")).first()[0])
+    plan = counts.select(label, "_n", F.floor(m / F.col("_n")).alias("_full"),
+                         (m % F.col("_n")).alias("_rest"))
     x = df.withColumn("_h", key_hash(keys, seed))
     r = rank_within(x, label, [("_h", False)] + [(k, False) for k in keys], "_r")
     j = r.join(F.broadcast(plan), label)
