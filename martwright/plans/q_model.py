@@ -1 +1,169 @@
-"""Catalogue entries."""
+"""Catalogue: model training, CV, stepwise selection, scoring, segments.
+
+Model outputs depend on the ML solvers, so these queries register no SQL
+oracle; ``tests/`` checks their properties (AUC above chance on a separable
+fixture, determinism under a fixed seed, stable cluster ids).  The two
+queries that are plain relational work on top (cluster profile, churners
+joined to the mart) do have oracles.
+"""
+
+from __future__ import annotations
+
+from pyspark.ml.feature import PCA, ChiSqSelector, StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import functions as F
+
+from ..operators import aggregate as G
+from ..operators import encode as EN
+from ..operators import evaluate as EV
+from ..operators import train as T
+from ..operators.sampling import split_hash
+from . import churn as CH
+from . import donor as D
+from .catalog import query, tables
+
+CHURN_FEATURES = ["n_subscription_rows", "avg_days_subscription", "sum_meals", "avg_price",
+                  "sum_price", "sum_discount", "n_subscriptions_1995", "n_subscriptions_1996",
+                  "n_subscriptions_1997", "n_complaints_click", "n_complaints_error"]
+
+
+def _churn_sets(spark, sf):
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    mart = CH.churn_mart(o, li, p, ev, c, n, r)
+    s = split_hash(mart, ["customer_id"], 0.7, seed=123)
+    st = EN.zscore_fit(s.where("split = 'train'"), CHURN_FEATURES).first().asDict()
+    z = EN.zscore_transform(s, st, CHURN_FEATURES)
+    zc = [f"{c}_z" for c in CHURN_FEATURES]
+    a = T.assembled(z, zc)
+    return a.where("split = 'train'"), a.where("split = 'test'"), zc
+
+
+def _train_query(name, **params):
+    def run(spark, sf):
+        train, test, zc = _churn_sets(spark, sf)
+        m = T.make_classifier(name, len(zc), 1, **params).fit(train)
+        pred = m.transform(test)
+        met = EV.binary_metrics(pred, "label", "prediction", name)
+        a = T.model_auc(m, test)
+        return met.withColumn("auc", F.lit(a))
+    return run
+
+
+for _n, _p in {"logistic_regression": ("lr", {"maxIter": 50}),
+               "random_forest": ("rf", {"numTrees": 30, "maxDepth": 5}),
+               "gbt": ("gbt", {"maxIter": 20, "maxDepth": 3}),
+               "decision_tree": ("dt", {"maxDepth": 4}),
+               "naive_bayes": ("nb", {}),
+               "mlp": ("mlp", {"maxIter": 100}),
+               "linear_svc": ("svc", {"maxIter": 50})}.items():
+    query(f"train_{_n}")(_train_query(_p[0], **_p[1]))
+
+
+@query("cv_grid")
+def cv_grid(spark, sf):
+    train, _, zc = _churn_sets(spark, sf)
+    _, table = T.cross_validate(train, "lr", T.GRIDS["lr"], folds=5, seed=1, parallelism=2)
+    return table
+
+
+@query("stepwise_auc")
+def stepwise_auc(spark, sf):
+    c, o = tables(spark, sf, "customer", "orders")
+    mart = D.donor_mart(c, o)
+    s = split_hash(mart, ["donor_id"], 0.7, seed=123)
+    cands = ["amt_1y", "amt_3y", "amt_5y", "frequency_gifts", "recency_days", "Q4"]
+    return T.stepwise_auc(s.where("split = 'train'"), s.where("split = 'test'"), cands,
+                          model="lr", max_steps=3, maxIter=20)
+
+
+@query("score_customers")
+def score_customers(spark, sf):
+    train, test, zc = _churn_sets(spark, sf)
+    m = T.make_classifier("lr", len(zc), maxIter=50).fit(train)
+    current = test.where("label = 0")
+    return T.score(m, current).select("customer_id", "p_positive", "prediction")
+
+
+_KM = ["total_price", "n_orders", "recency_days"]
+
+
+@query("kmeans_segments")
+def kmeans_segments(spark, sf):
+    (o,) = tables(spark, sf, "orders")
+    g = o.groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total_price"),
+                                   F.count(F.lit(1)).alias("n_orders"),
+                                   F.datediff(F.to_date(F.lit("2002-01-01")),
+                                              F.to_date(F.max("o_orderdate"))).alias("recency_days"))
+    w = EN.winsorize(g, _KM, upper=0.01, suffix="_w")
+    wc = [f"{c}_w" for c in _KM]
+    st = EN.zscore_fit(w, wc).first().asDict()
+    z = EN.zscore_transform(w, st, wc)
+    zc = [f"{c}_z" for c in wc]
+    _, centres = T.kmeans_segments(z, zc, k=3, seed=1)
+    back = EN.zscore_inverse(centres.select("cluster", "size", *[F.col(f"`{c}`") for c in zc]),
+                             st, wc, suffix="_z", out_suffix="_centre")
+    return back.select("cluster", "size", *[F.round(f"{c}_centre", 2).alias(f"{c}_centre") for c in wc])
+
+
+@query("cluster_profile", """
+SELECT o_orderpriority, COUNT(*) AS n,
+  CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / COUNT(o_totalprice) AS avg_price,
+  CAST(SUM(CAST(o_orderstatus = 'F' AS INTEGER)) AS DOUBLE) / COUNT(*) AS avg_finished
+FROM orders GROUP BY o_orderpriority""")
+def cluster_profile(spark, sf):
+    (o,) = tables(spark, sf, "orders")
+    x = o.select("o_orderpriority", F.col("o_totalprice").cast("decimal(18,2)").alias("price"),
+                 (F.col("o_orderstatus") == "F").cast("int").alias("finished"))
+    return T.cluster_profile(x, "o_orderpriority", ["price", "finished"]) \
+        .withColumnsRenamed({"avg_price": "avg_price", "avg_finished": "avg_finished"})
+
+
+@query("churners_mart", """
+WITH p AS (SELECT o_custkey, CASE WHEN date_diff('day', CAST(MAX(o_orderdate) AS DATE), DATE '1998-08-31') > 180
+                                  THEN 1 ELSE 0 END AS prediction
+           FROM orders WHERE o_orderdate <= DATE '1998-08-31' GROUP BY o_custkey)
+SELECT c.c_custkey, c.c_mktsegment, c.c_acctbal, p.prediction
+FROM customer c JOIN p ON c.c_custkey = p.o_custkey WHERE p.prediction = 1""")
+def churners_mart(spark, sf):
+    o, c = tables(spark, sf, "orders", "customer")
+    lab = G.churn_label(o.where(F.col("o_orderdate") < F.to_date(F.lit("1998-09-01"))),
+                        "o_custkey", "o_orderdate", "o_orderdate", "1998-08-31", 180)
+    pred = lab.select(F.col("o_custkey").alias("c_custkey"), F.col("label").alias("prediction"))
+    return c.select("c_custkey", "c_mktsegment", "c_acctbal").join(pred, "c_custkey") \
+        .where("prediction = 1")
+
+
+def _emb(spark, sf):
+    (e,) = tables(spark, sf, "embeddings")
+    return e.select("vec_id", "label", array_to_vector("embedding").alias("v"))
+
+
+@query("vector_standardize")
+def vector_standardize(spark, sf):
+    e = _emb(spark, sf)
+    m = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(e)
+    return m.transform(e).select("vec_id", vector_to_array("s").alias("standardized"))
+
+
+@query("pca_project")
+def pca_project(spark, sf):
+    e = _emb(spark, sf)
+    m = PCA(k=10, inputCol="v", outputCol="p").fit(e)
+    return m.transform(e).select("vec_id", vector_to_array("p").alias("pca"))
+
+
+@query("chi2_select")
+def chi2_select(spark, sf):
+    (o,) = tables(spark, sf, "orders")
+    x = o.select((F.col("o_orderstatus") == "F").cast("double").alias("label"),
+                 F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
+                 F.year("o_orderdate").cast("double").alias("year"),
+                 F.month("o_orderdate").cast("double").alias("month"),
+                 F.floor(F.col("o_totalprice") / 100000).cast("double").alias("price_band"))
+    feats = ["priority", "year", "month", "price_band"]
+    v = VectorAssembler(inputCols=feats, outputCol="features").transform(x)
+    m = ChiSqSelector(numTopFeatures=2, featuresCol="features", labelCol="label", outputCol="sel").fit(v)
+    names = [feats[i] for i in m.selectedFeatures]
+    stats = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, rank int")
+    return stats
