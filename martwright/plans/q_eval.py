@@ -52,7 +52,7 @@ def binary_metrics(spark, sf):
 WITH t AS (SELECT {_LBL} AS y, CAST(l_discount >= 0.05 AS INTEGER) AS p FROM lineitem),
 pl AS (SELECT y AS cls, COUNT(*) AS n_label FROM t GROUP BY y),
 pp AS (SELECT p AS cls, COUNT(*) AS n_pred, COUNT(*) FILTER (WHERE y = p) AS n_correct FROM t GROUP BY p)
-SELECT SUM(COALESCE(CAST(n_correct AS DOUBLE) / n_pred, 0) * n_label / (SELECT COUNT(*) FROM t)) AS weighted_precision
+SELECT SUM(COALESCE(CAST(n_correct AS DOUBLE) / n_pred, 0) * n_label) / CAST(SUM(n_label) AS DOUBLE) AS weighted_precision
 FROM pl LEFT JOIN pp USING (cls)""")
 def weighted_precision(spark, sf):
     return E.weighted_precision(_scored(spark, sf), "label", "prediction")
