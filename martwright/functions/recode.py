@@ -17,6 +17,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+_INTEGRAL = {"tinyint", "byte", "smallint", "short", "int", "integer", "bigint", "long"}
+# every string an integral cast can accept: optional blanks/controls, sign,
+# digits, an optional fractional part (truncated by the cast), blanks
+_INT_LIKE = r"^[\x00-\x20]*[+-]?[0-9]*\.?[0-9]*[\x00-\x20]*$"
+
+
+def try_cast_str(c, to: str) -> Column:
+    """``try_cast`` of a string column; for integral targets a cheap pattern
+    test first sends strings that cannot parse straight to null (same
+    result, and it avoids the cast's slow failure path on text codes)."""
+    c = _col(c)
+    if to.lower() not in _INTEGRAL:
+        return c.try_cast(to)
+    return F.when(c.rlike(_INT_LIKE), c.try_cast(to)).otherwise(F.lit(None).cast(to))
+
+
 def recode(c, mapping: Mapping, default=None) -> Column:
     """Map codes to labels; unmatched codes and null take ``default``."""
     c = _col(c)
@@ -41,10 +57,10 @@ def recode_passthrough(c, mapping: Mapping, cast: str | None = None) -> Column:
         cond = c == F.lit(code)
         expr = F.when(cond, F.lit(label)) if expr is None else expr.when(cond, F.lit(label))
     if expr is None:
-        return c if cast is None else c.try_cast(cast)
+        return c if cast is None else try_cast_str(c.cast("string"), cast)
     if cast is None:
         return expr.otherwise(c)
-    return expr.otherwise(c.try_cast(cast)).try_cast(cast)
+    return expr.otherwise(try_cast_str(c.cast("string"), cast)).try_cast(cast)
 
 
 def bucket_ranges(c, breaks: Sequence[tuple], default=None,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .recode import _col
+from .recode import _col, try_cast_str
 
 
 def clean_int_code(c, replacements: Sequence[tuple[str, str]], fill: int = 0,
@@ -20,7 +20,7 @@ def clean_int_code(c, replacements: Sequence[tuple[str, str]], fill: int = 0,
     s = _col(c).cast("string")
     for old, new in replacements:
         s = F.replace(s, F.lit(old), F.lit(new))
-    return F.coalesce(s.try_cast(to), F.lit(fill).cast(to))
+    return F.coalesce(try_cast_str(s, to), F.lit(fill).cast(to))
 
 
 # The dirty zip tokens replaced by '0', in the reference's order.

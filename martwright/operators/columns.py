@@ -20,9 +20,18 @@ def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def cast_columns(df: DataFrame, names: Sequence[str], to: str) -> DataFrame:
     """Cast a list of columns in ONE projection; bad values become null."""
+    from pyspark.sql.types import StringType
+
+    from ..functions.recode import try_cast_str
     targets = set(names)
-    return df.select(*[(F.col(f"`{c}`").try_cast(to).alias(c) if c in targets else F.col(f"`{c}`"))
-                       for c in df.columns])
+    out = []
+    for f in df.schema.fields:
+        x = F.col(f"`{f.name}`")
+        if f.name in targets:
+            x = try_cast_str(x, to) if isinstance(f.dataType, StringType) else x.try_cast(to)
+            x = x.alias(f.name)
+        out.append(x)
+    return df.select(*out)
 
 
 def row_sum(cols: Sequence[str | Column], null_as_zero: bool = True) -> Column:
