@@ -14,6 +14,26 @@ def rename_map(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed(present) if present else df
 
 
+def replace_in_rows(df: DataFrame, predicate: Column | str, mapping: Mapping[str, str],
+                    columns: Sequence[str] | None = None) -> DataFrame:
+    """Whole-cell replacement ``old -> new`` in every string column (or the
+    given ones), only in rows matching ``predicate``; other rows untouched."""
+    from pyspark.sql.types import StringType
+    pred = F.expr(predicate) if isinstance(predicate, str) else predicate
+    targets = set(columns) if columns else {f.name for f in df.schema.fields
+                                            if isinstance(f.dataType, StringType)}
+    out = []
+    for name in df.columns:
+        x = F.col(f"`{name}`")
+        if name in targets:
+            e = x
+            for old, new in mapping.items():
+                e = F.when(F.coalesce(pred, F.lit(False)) & (x == F.lit(old)), F.lit(new)).otherwise(e)
+            x = e.alias(name)
+        out.append(x)
+    return df.select(*out)
+
+
 def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.drop(*names)
 

@@ -57,15 +57,16 @@ def string_index(df: DataFrame, c: str, out: str | None = None,
     """Index categories by descending frequency, ties by value (the order of
     ``StringIndexer(stringOrderType='frequencyDesc')``); null stays null.
 
-    The label table is one partial aggregate (bounded by the number of
-    categories) joined back on the category: AQE broadcasts it when small.
+    The label table is one partial aggregate (one row per category), ranked
+    with the distributed ``global_rank`` (no single-task window even for
+    high-cardinality columns) and joined back on the category; AQE
+    broadcasts it at runtime when it is small.
     """
-    from pyspark.sql import Window
+    from .ranking import global_rank
     out = out or f"{c}_index"
     freq = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    # the category table is small; one ordered window over it is fine
-    labels = freq.select(c, (F.row_number().over(
-        Window.orderBy(F.col("_n").desc(), F.col(c).asc())) - 1).cast("double").alias(out))
+    ranked = global_rank(freq, [("_n", True), (c, False)], "_rank")
+    labels = ranked.select(c, (F.col("_rank") - 1).cast("double").alias(out))
     return df.join(labels, on=c, how="left")
 
 

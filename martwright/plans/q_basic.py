@@ -166,6 +166,17 @@ def rename_map(spark, sf):
                             "o_totalprice": "total", "not_a_column": "ignored"})
 
 
+@query("replace_in_rows", """
+SELECT c_custkey,
+  CASE WHEN c_mktsegment = 'BUILDING' AND c_name = 'BUILDING' THEN 'NA' ELSE c_name END AS c_name,
+  c_nationkey, c_acctbal,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'NA' ELSE c_mktsegment END AS c_mktsegment
+FROM customer""")
+def replace_in_rows(spark, sf):
+    (c,) = tables(spark, sf, "customer")
+    return C.replace_in_rows(c, F.col("c_mktsegment") == "BUILDING", {"BUILDING": "NA"})
+
+
 @query("drop_columns", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def drop_columns(spark, sf):
     (o,) = tables(spark, sf, "orders")
