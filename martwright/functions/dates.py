@@ -40,7 +40,8 @@ def decode_birth_number(c, eval_year: int = 1999, century: int = 1900) -> dict:
     """Decode a ``YYMMDD`` birth number where women have month + 50.
 
     Returns a dict of named expressions: ``birth_year``, ``birth_month``,
-    ``birth_day``, ``sex`` ('F' when month > 50, else 'M'), ``age`` (at
+    ``birth_day``, ``sex`` ('F' when month > 50, else 'M'; null when the
+    number is null), ``age`` (at
     ``eval_year``) and ``age_group`` (decade: ``age // 10 * 10``).
     """
     s = F.lpad(_col(c).cast("string"), 6, "0")
@@ -55,7 +56,7 @@ def decode_birth_number(c, eval_year: int = 1999, century: int = 1900) -> dict:
         "birth_year": year,
         "birth_month": month,
         "birth_day": dd,
-        "sex": F.when(female, F.lit("F")).otherwise(F.lit("M")),
+        "sex": F.when(female, F.lit("F")).when(mm.isNotNull(), F.lit("M")),
         "age": age,
         "age_group": F.floor(age / F.lit(10)).cast("int") * F.lit(10),
     }

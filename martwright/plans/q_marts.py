@@ -159,9 +159,15 @@ def _bank_sql() -> str:
     op_cols = [f"op_{a}_{safe_name(v)}" for v in BK.OPERATIONS for a in ("count", "sum", "mean")]
     ks_cols = [f"ks_{a}_{safe_name(v)}" for v in BK.K_SYMBOLS for a in ("count", "sum", "mean")]
     ord_cols = [f"order_sum_{safe_name(v)}" for v in BK.ORDER_SYMBOLS]
+    from ..functions.recode import LOAN_STATUS
+    loan_cols = [f"loan_{safe_name(v)}" for v in BK.LOAN_LABELS]
     fill = ",\n  ".join(f"COALESCE({c}, 0) AS {c}" for c in
                         ["total_trans", "total_sum_trans", "mean_all_trans", "days_since_last_trans"]
-                        + op_cols + ks_cols + ord_cols)
+                        + op_cols + ks_cols + ord_cols + ["loan_days"] + loan_cols
+                        + ["card_age_days", "age", "age_group", "sex_M"])
+    loan_case = "CASE " + " ".join(f"WHEN code = '{k}' THEN '{v}'" for k, v in LOAN_STATUS.items()) + " END"
+    loan_dums = ", ".join(f"CAST(COALESCE({loan_case} = '{v}', FALSE) AS INTEGER) AS loan_{safe_name(v)}"
+                          for v in BK.LOAN_LABELS)
     regs = ", ".join(_sql_dummies("r_name", BK.REGIONS, "region", False))
     return f"""
 WITH t AS ({_trans_sql()}),
@@ -177,11 +183,32 @@ ord AS (SELECT account_id, {", ".join(ords)}
               FROM orders WHERE o_custkey IS NOT NULL) GROUP BY account_id),
 base AS (SELECT c.c_custkey AS account_id, c.c_nationkey AS district_id, c.c_acctbal AS balance, {regs}
          FROM customer c LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) g
-           ON c.c_nationkey = g.n_nationkey)
+           ON c.c_nationkey = g.n_nationkey),
+loan AS (SELECT account_id, CAST(date_diff('day', CAST(start AS DATE), DATE '{BK.EVAL_DATE}') AS INTEGER) AS loan_days,
+                {loan_dums}
+         FROM (SELECT o_custkey AS account_id,
+                 arg_max(CASE WHEN o_orderstatus = 'F' THEN (CASE WHEN o_orderpriority = '5-LOW' THEN 'B' ELSE 'A' END)
+                              WHEN o_orderstatus = 'O' THEN 'C' ELSE 'D' END, o_totalprice) AS code,
+                 arg_max(o_orderdate, o_totalprice) AS start
+               FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)),
+card AS (SELECT account_id, CAST(date_diff('day', CAST(strptime('19' || strftime(MAX(date), '%y%m%d') || ' 00:00:00',
+                '%Y%m%d %H:%M:%S') AS DATE), DATE '{BK.EVAL_DATE}') AS INTEGER) AS card_age_days
+         FROM t WHERE account_id IS NOT NULL GROUP BY account_id),
+birth AS (SELECT account_id, {BK.BIRTH_EVAL_YEAR} - (1900 + yy) AS age,
+            CAST(floor(({BK.BIRTH_EVAL_YEAR} - (1900 + yy)) / 10) * 10 AS INTEGER) AS age_group,
+            CAST(NOT (mm > 50) AS INTEGER) AS sex_M
+          FROM (SELECT account_id, CAST(substr(s, 1, 2) AS INTEGER) AS yy, CAST(substr(s, 3, 2) AS INTEGER) AS mm
+                FROM (SELECT c.c_custkey AS account_id,
+                        lpad(CAST(CAST(strftime(f.first, '%y%m%d') AS INTEGER)
+                             + CASE WHEN c.c_mktsegment IN ('FURNITURE', 'HOUSEHOLD') THEN 5000 ELSE 0 END AS VARCHAR), 6, '0') AS s
+                      FROM customer c LEFT JOIN (SELECT o_custkey, MIN(o_orderdate) AS first FROM orders
+                                                 WHERE o_custkey IS NOT NULL GROUP BY o_custkey) f
+                        ON c.c_custkey = f.o_custkey)))
 SELECT base.*, tot.first_trans, tot.last_trans,
   {fill}
 FROM base LEFT JOIN tot USING (account_id) LEFT JOIN op USING (account_id)
   LEFT JOIN ks USING (account_id) LEFT JOIN ord USING (account_id)
+  LEFT JOIN loan USING (account_id) LEFT JOIN card USING (account_id) LEFT JOIN birth USING (account_id)
 """
 
 

@@ -18,6 +18,7 @@ from ..operators import encode as EN
 from ..operators import evaluate as EV
 from ..operators import train as T
 from ..operators.sampling import split_hash
+from ..session import cut_lineage
 from . import churn as CH
 from . import donor as D
 from .catalog import query, tables
@@ -35,7 +36,9 @@ def _churn_sets(spark, sf):
     st = EN.zscore_fit(s.where("split = 'train'"), CHURN_FEATURES).first().asDict()
     z = EN.zscore_transform(s, st, CHURN_FEATURES)
     zc = [f"{c}_z" for c in CHURN_FEATURES]
-    a = T.assembled(z, zc)
+    # the mart feeds several fits and evaluations: materialise it once in the
+    # shared checkpoint folder instead of recomputing the joins per pass
+    a = cut_lineage(T.assembled(z, zc))
     return a.where("split = 'train'"), a.where("split = 'test'"), zc
 
 
@@ -167,3 +170,27 @@ def chi2_select(spark, sf):
     names = [feats[i] for i in m.selectedFeatures]
     stats = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, rank int")
     return stats
+
+
+COUNT_FEATURES = ["n_subscription_rows", "n_subscriptions_1995", "n_subscriptions_1996",
+                  "n_subscriptions_1997", "n_subscriptions_1998", "n_formula_F", "n_formula_O",
+                  "n_complaints_click", "n_complaints_error", "n_complaints_purchase",
+                  "n_complaints_signup", "n_complaints_view"]
+
+
+@query("pipeline_fit_transform")
+def pipeline_fit_transform(spark, sf):
+    """assemble -> chi-square top 6 -> standardise -> PCA(3), fitted on the
+    training split only and applied to the test split; the selected column
+    names are returned with each row."""
+    from ..operators.features import feature_pipeline, selected_names
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    mart = CH.churn_mart(o, li, p, ev, c, n, r).withColumn("label", F.col("label").cast("double"))
+    mart = mart.select("customer_id", "label", *[F.col(x).cast("double").alias(x) for x in COUNT_FEATURES])
+    s = split_hash(mart, ["customer_id"], 0.7, seed=123)
+    model = feature_pipeline(COUNT_FEATURES, "label", n_top=6, pca_k=3).fit(s.where("split = 'train'"))
+    names = ",".join(selected_names(model, COUNT_FEATURES))
+    out = model.transform(s.where("split = 'test'"))
+    return out.select("customer_id", vector_to_array("features").alias("features"),
+                      F.lit(names).alias("selected"))
