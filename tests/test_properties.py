@@ -146,3 +146,41 @@ def test_gains_ntile_matches_sql_ntile(spark):
     got = [r.t for r in df.select("r", ntile_from_rank("r", F.lit(23), 10).alias("t")).orderBy("r").collect()]
     exp = [1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 5, 5, 6, 6, 7, 7, 8, 8, 9, 9, 10, 10]
     assert got == exp
+
+
+def test_exact_quantiles_hot_group_matches_percentile(spark):
+    from martwright.operators.ranking import exact_quantiles
+    rnd = random.Random(21)
+    rows = [("hot", 3.0)] * 600 + [("hot", float(rnd.randint(0, 99))) for _ in range(300)] + \
+           [("cold", float(x)) for x in (5, 1, 9, 7)] + [("one", 2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {(r.g, r.p): r.quantile for r in exact_quantiles(df, "v", probs, group="g", n_ranges=6).collect()}
+    ref = df.groupBy("g").agg(*[F.percentile("v", p).alias(f"q{i}") for i, p in enumerate(probs)]).collect()
+    for r in ref:
+        for i, p in enumerate(probs):
+            assert got[(r.g, p)] == r[f"q{i}"], (r.g, p)
+
+
+def test_replace_in_rows_only_matching(spark):
+    from martwright.operators.columns import replace_in_rows
+    df = spark.createDataFrame([(1, "U", "U"), (2, "F", "U"), (3, None, "U")], "id int, g string, other string")
+    out = sorted(replace_in_rows(df, "g = 'U'", {"U": "NA"}).collect())
+    assert [tuple(r) for r in out] == [(1, "NA", "NA"), (2, "F", "U"), (3, None, "U")]
+
+
+def test_bank_mart_one_row_per_client(spark, sf_dir):
+    from martwright.plans import bank as BK
+    from martwright.plans.catalog import tables
+    c, n, r, li, o = tables(spark, sf_dir, "customer", "nation", "region", "lineitem", "orders")
+    m = BK.bank_mart(c, n, r, li, o)
+    assert m.count() == c.count()
+    assert m.select("account_id").distinct().count() == c.count()
+    loans = [x for x in m.columns if x.startswith("loan_") and x != "loan_days"]
+    assert loans and m.where(" + ".join(loans) + " != 1").count() == 0   # one status per account
+
+
+def test_string_index_frequency_order(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",), (None,)], "s string")
+    got = {r.s: r.s_index for r in EN.string_index(df, "s").collect()}
+    assert got == {"a": 0.0, "b": 1.0, "c": 2.0, None: None}   # ties by value
