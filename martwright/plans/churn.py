@@ -35,11 +35,17 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
+SCORING_FROM = "1998-09-01"
+SCORING_AS_OF = "2001-08-02"
+SCORING_YEARS = [1998, 1999, 2000, 2001]
+
+
 def subscription_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
-                       as_of_date: str = AS_OF) -> DataFrame:
-    """Subscriptions up to ``as_of`` with their deliveries (left, fan-out)
-    and formula (inner), the reference's ``table1``."""
-    o = as_of(orders, "o_orderdate", before=as_of_date).select(
+                       as_of_date: str = AS_OF, after: str | None = None) -> DataFrame:
+    """Subscriptions up to ``as_of`` (and from ``after`` for a scoring set)
+    with their deliveries (left, fan-out) and formula (inner), the
+    reference's ``table1``."""
+    o = as_of(orders, "o_orderdate", before=as_of_date, after=after).select(
         F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("customer_id"),
         F.to_date("o_orderdate").alias("start_date"), F.col("o_orderstatus").alias("payment_type"))
     li = lineitem.select(F.col("l_orderkey").alias("subscription_id"), "l_partkey",
@@ -53,7 +59,8 @@ def subscription_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
     return o.join(li, "subscription_id", "left").join(p, "l_partkey", "inner")
 
 
-def subscription_features(t: DataFrame, as_of_date: str = AS_OF) -> DataFrame:
+def subscription_features(t: DataFrame, as_of_date: str = AS_OF,
+                          years: list[int] | None = None) -> DataFrame:
     """Totals, product/payment/year/formula pivots and the churn label in
     one aggregate per customer."""
     t = t.where(F.col("customer_id").isNotNull()).withColumn("start_year", F.year("start_date"))
@@ -73,7 +80,7 @@ def subscription_features(t: DataFrame, as_of_date: str = AS_OF) -> DataFrame:
     prod = pivot_aggs("product", PRODUCTS, [("sum", "meals", "sum_meals"), ("sum", "price", "sum_price")])
     pay = pivot_aggs("payment_type", PAYMENTS, [("sum", "price", "sum_price_pay"),
                                                 ("sum", "discount", "sum_discount_pay")])
-    yr = pivot_aggs("start_year", YEARS, [("count", "subscription_id", "n_subscriptions")])
+    yr = pivot_aggs("start_year", years or YEARS, [("count", "subscription_id", "n_subscriptions")])
     form = pivot_aggs("formula_type", FORMULAS, [("count", "formula_type", "n_formula"),
                                                  ("sum", "duration", "sum_duration"),
                                                  ("mean", "duration", "avg_duration")])
@@ -101,10 +108,13 @@ def customer_base(customer: DataFrame, nation: DataFrame, region: DataFrame) ->
 
 def churn_mart(orders: DataFrame, lineitem: DataFrame, part: DataFrame, events: DataFrame,
                customer: DataFrame, nation: DataFrame, region: DataFrame,
-               as_of_date: str = AS_OF) -> DataFrame:
-    """One row per customer with subscriptions up to ``as_of``; numeric
-    nulls filled with 0; money columns as double."""
-    subs = subscription_features(subscription_lines(orders, lineitem, part, as_of_date), as_of_date)
+               as_of_date: str = AS_OF, after: str | None = None,
+               years: list[int] | None = None) -> DataFrame:
+    """One row per customer with subscriptions up to ``as_of`` (training),
+    or between ``after`` and ``as_of`` (scoring; the label is computed
+    there too); numeric nulls filled with 0; money columns as double."""
+    subs = subscription_features(subscription_lines(orders, lineitem, part, as_of_date, after),
+                                 as_of_date, years)
     m = subs.join(customer_base(customer, nation, region), "customer_id", "left") \
         .join(complaint_features(events), "customer_id", "left")
     from ..operators.columns import decimals_to_double

@@ -33,12 +33,15 @@ def _sql_dummies(col: str, values, prefix: str, drop_first: bool) -> list[str]:
 
 
 _WIN = {**years_before(D.CUTOFF, D.WINDOW_YEARS), "amt_all": D.SINCE}
-_YEARS = list(range(1995, 2000))
 
 
-def _donor_sql() -> str:
+def _donor_sql(cutoff: str = D.CUTOFF, campaign_end: str = D.CAMPAIGN_END, since: str = D.SINCE) -> str:
+    import datetime as _dt
+    _WIN = {**years_before(cutoff, D.WINDOW_YEARS), "amt_all": since}
+    _YEARS = list(range(_dt.date.fromisoformat(since).year,
+                        (_dt.date.fromisoformat(cutoff) - _dt.timedelta(days=1)).year + 1))
     win = ",\n      ".join(
-        f"SUM(CASE WHEN d > DATE '{lo}' AND d < DATE '{D.CUTOFF}' THEN a END) AS {n}"
+        f"SUM(CASE WHEN d > DATE '{lo}' AND d < DATE '{cutoff}' THEN a END) AS {n}"
         for n, lo in _WIN.items())
     yrs = ",\n      ".join(f"SUM(CASE WHEN year(d) = {y} THEN a END) AS y{y}" for y in _YEARS)
     mons = ",\n      ".join(f"SUM(CASE WHEN month(d) = {m} THEN a END) AS m{m}" for m in range(1, 13))
@@ -55,7 +58,7 @@ def _donor_sql() -> str:
     return f"""
 WITH g AS (
   SELECT o_custkey AS donor_id, o_orderdate AS d, CAST(o_totalprice AS DECIMAL(18,2)) AS a
-  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate < DATE '{D.CUTOFF}'),
+  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate < DATE '{cutoff}'),
 f0 AS (
   SELECT donor_id,
       {win},
@@ -67,12 +70,12 @@ f AS (
   SELECT donor_id, {", ".join(_WIN)},
     {freq} AS frequency_gifts,
     {quarters},
-    CAST(date_diff('day', last_date, DATE '{D.CUTOFF}') AS INTEGER) AS recency_days
+    CAST(date_diff('day', last_date, DATE '{cutoff}') AS INTEGER) AS recency_days
   FROM f0 WHERE amt_all IS NOT NULL),
 camp AS (
   SELECT o_custkey AS donor_id, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS campaign_amount
-  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= DATE '{D.CUTOFF}'
-    AND o_orderdate < DATE '{D.CAMPAIGN_END}'
+  FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= DATE '{cutoff}'
+    AND o_orderdate < DATE '{campaign_end}'
   GROUP BY o_custkey),
 z AS (
   SELECT c_custkey AS donor_id, c_mktsegment AS gender,
@@ -104,6 +107,16 @@ def mart_donor(spark, sf):
     return D.donor_mart(customer, orders)
 
 
+# the same builder one year later: the reference's second campaign (test mart)
+_TEST_CUTOFF, _TEST_END = "2001-01-01", "2002-01-01"
+
+
+@query("mart_donor_next_campaign", _donor_sql(_TEST_CUTOFF, _TEST_END))
+def mart_donor_next_campaign(spark, sf):
+    customer, orders = tables(spark, sf, "customer", "orders")
+    return D.donor_mart(customer, orders, cutoff=_TEST_CUTOFF, campaign_end=_TEST_END)
+
+
 @query("trailing_window_sums", f"""
 SELECT o_custkey AS donor_id,
   {", ".join(f"CAST(SUM(CASE WHEN o_orderdate > DATE '{lo}' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS {n}" for n, lo in _WIN.items())}
@@ -228,7 +241,9 @@ def mart_bank(spark, sf):
 # churn mart
 # ---------------------------------------------------------------------------
 
-def _churn_sql() -> str:
+def _churn_sql(as_of: str = CH.AS_OF, after: str | None = None, years=None) -> str:
+    years = years or CH.YEARS
+    after_cond = f" AND o.o_orderdate >= DATE '{after}'" if after else ""
     def piv(col, values, specs):
         out = []
         for v in values:
@@ -247,7 +262,7 @@ def _churn_sql() -> str:
     pivots = (piv("product", CH.PRODUCTS, [("sum", "meals", "sum_meals"), ("sum", "price", "sum_price")])
               + piv("payment_type", CH.PAYMENTS, [("sum", "price", "sum_price_pay"),
                                                   ("sum", "discount", "sum_discount_pay")])
-              + piv("start_year", CH.YEARS, [("count", "subscription_id", "n_subscriptions")])
+              + piv("start_year", years, [("count", "subscription_id", "n_subscriptions")])
               + piv("formula_type", CH.FORMULAS, [("count", "formula_type", "n_formula"),
                                                   ("sum", "duration", "sum_duration"),
                                                   ("mean", "duration", "avg_duration")]))
@@ -275,7 +290,7 @@ WITH t AS (
          p.p_type AS product, p.p_size AS duration
   FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
        JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE o.o_orderdate < DATE '{CH.AS_OF}' + INTERVAL 1 DAY AND o.o_custkey IS NOT NULL),
+  WHERE o.o_orderdate < DATE '{as_of}' + INTERVAL 1 DAY AND o.o_custkey IS NOT NULL{after_cond}),
 g AS (
   SELECT customer_id, {", ".join(f"{e} AS {n}" for n, e in totals + pivots)},
     MAX(end_date) AS last_end, MIN(start_date) AS first_start
@@ -288,9 +303,9 @@ base AS (SELECT c.c_custkey AS customer_id, {regs}
 SELECT g.customer_id,
   {casted},
   last_end, first_start,
-  CAST(date_diff('day', last_end, DATE '{CH.AS_OF}') AS INTEGER) AS days_without_sub,
+  CAST(date_diff('day', last_end, DATE '{as_of}') AS INTEGER) AS days_without_sub,
   CAST(date_diff('day', first_start, last_end) AS INTEGER) AS customer_lifetime,
-  CASE WHEN date_diff('day', last_end, DATE '{CH.AS_OF}') > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS label,
+  CASE WHEN date_diff('day', last_end, DATE '{as_of}') > {CH.CHURN_DAYS} THEN 1 ELSE 0 END AS label,
   {", ".join(f"COALESCE(region_{safe_name(r)}, 0) AS region_{safe_name(r)}" for r in CH.REGIONS)},
   {", ".join(f"COALESCE({n}, 0) AS {n}" for n, _ in ev)}
 FROM g LEFT JOIN base USING (customer_id) LEFT JOIN ev USING (customer_id)
@@ -307,3 +322,13 @@ def mart_churn(spark, sf):
     o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
                                    "nation", "region")
     return CH.churn_mart(o, li, p, ev, c, n, r)
+
+
+@query("mart_churn_scoring", _churn_sql(CH.SCORING_AS_OF, CH.SCORING_FROM, CH.SCORING_YEARS))
+def mart_churn_scoring(spark, sf):
+    """The scoring mart: subscriptions from the day after the training
+    cut, labelled at the end of the data (one builder, two calls)."""
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    return CH.churn_mart(o, li, p, ev, c, n, r, as_of_date=CH.SCORING_AS_OF,
+                         after=CH.SCORING_FROM, years=CH.SCORING_YEARS)

@@ -82,10 +82,23 @@ def stepwise_auc(spark, sf):
 
 @query("score_customers")
 def score_customers(spark, sf):
-    train, test, zc = _churn_sets(spark, sf)
+    """Fit on the training mart, score the customers of the scoring mart
+    that are still active (label 0) with the training-set scaler, highest
+    churn probability first (CH:893-918 intent)."""
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    train_mart = CH.churn_mart(o, li, p, ev, c, n, r)
+    # calendar-year pivots differ between the two periods: score on the rest
+    feats = [f for f in CHURN_FEATURES if not f.startswith("n_subscriptions_")]
+    st = EN.zscore_fit(train_mart, feats).first().asDict()
+    zc = [f"{c}_z" for c in feats]
+    train = cut_lineage(T.assembled(EN.zscore_transform(train_mart, st, feats), zc))
     m = T.make_classifier("lr", len(zc), maxIter=50).fit(train)
-    current = test.where("label = 0")
-    return T.score(m, current).select("customer_id", "p_positive", "prediction")
+    scoring = CH.churn_mart(o, li, p, ev, c, n, r, as_of_date=CH.SCORING_AS_OF,
+                            after=CH.SCORING_FROM, years=CH.SCORING_YEARS)
+    current = scoring.where("label = 0").drop("label")
+    cur = T.assembled(EN.zscore_transform(current, st, feats).withColumn("label", F.lit(0)), zc)
+    return T.score(m, cur).select("customer_id", "p_positive", "prediction")
 
 
 _KM = ["total_price", "n_orders", "recency_days"]
