@@ -34,7 +34,8 @@ def make_classifier(name: str, n_features: int | None = None, seed: int = 1, **p
     if name == "gbt":
         return GBTClassifier(seed=seed, **common, **params)
     if name == "lr":
-        return LogisticRegression(**common, **params)
+        # binomial always yields two-class outputs, even for a one-class fold
+        return LogisticRegression(family=params.pop("family", "binomial"), **common, **params)
     if name == "dt":
         return DecisionTreeClassifier(seed=seed, **common, **params)
     if name == "nb":
@@ -58,10 +59,16 @@ GRIDS = {
 }
 
 
+# binary label declared as a two-valued nominal attribute, so estimators and
+# evaluators see two classes even in a fold that holds only one of them
+BINARY_LABEL_META = {"ml_attr": {"type": "nominal", "num_vals": 2, "name": "label"}}
+
+
 def assembled(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
-    """``features`` vector + double ``label``, plus the original columns."""
+    """``features`` vector + double binary ``label``, plus the original columns."""
     va = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="keep")
-    return va.transform(df.withColumn("label", F.col(label).cast("double")))
+    y = F.col(label).cast("double").alias("label", metadata=BINARY_LABEL_META)
+    return va.transform(df.withColumn("label", y))
 
 
 def score(model, df: DataFrame, positive: int = 1, descending: bool = True) -> DataFrame:
