@@ -39,15 +39,11 @@ def count_matches(df: DataFrame, c: str, value) -> DataFrame:
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class and share of all rows (window over the tiny class table)."""
+    """Rows per class and share of all rows.  The total is a scalar from a
+    global aggregate (partial counts only), not a window over the classes."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(_whole())
-    return g.select(label, "n", (F.col("n") / total).alias("share"))
-
-
-def _whole():
-    from pyspark.sql import Window
-    return Window.partitionBy()
+    total = df.agg(F.count(F.lit(1))).first()[0]
+    return g.select(label, "n", (F.col("n") / F.lit(float(total) if total else None)).alias("share"))
 
 
 _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")

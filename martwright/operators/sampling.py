@@ -47,7 +47,8 @@ def split_stratified(df: DataFrame, label: str, keys: Sequence[str], train_frac:
         cut = F.round(F.col("_n") * train_frac).cast("long")
     else:  # exact integer rounding for x/10 fractions
         cut = F.floor((F.col("_n") * tenths + 5) / 10).cast("long")
-    return r.join(F.broadcast(n), label).withColumn(
+    # one row per class; AQE broadcasts it at runtime when it is small
+    return r.join(n, label).withColumn(
         name, F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_h", "_r", "_n")
 
 
@@ -64,7 +65,7 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str =
                          (m % F.col("_n")).alias("_rest"))
     x = df.withColumn("_h", key_hash(keys, seed))
     r = rank_within(x, label, [("_h", False)] + [(k, False) for k in keys], "_r")
-    j = r.join(F.broadcast(plan), label)
+    j = r.join(plan, label)  # one row per class; AQE picks the join strategy
     copies = F.col("_full") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)
     out = j.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
     return out.drop("_h", "_r", "_n", "_full", "_rest")

@@ -184,3 +184,12 @@ def test_string_index_frequency_order(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("a",), (None,)], "s string")
     got = {r.s: r.s_index for r in EN.string_index(df, "s").collect()}
     assert got == {"a": 0.0, "b": 1.0, "c": 2.0, None: None}   # ties by value
+
+
+def test_describe_exact_and_approx_agree_on_small_data(spark):
+    from martwright.operators.profile import describe
+    df = spark.createDataFrame([(float(i),) for i in range(1, 102)], "x double")
+    ex = {r.metric: r.value for r in describe(df, ["x"]).collect()}
+    ap = {r.metric: r.value for r in describe(df, ["x"], exact=False).collect()}
+    assert ex["p50"] == 51.0 and ex["p25"] == 26.0 and ex["p75"] == 76.0
+    assert set(ex) == set(ap) and abs(ap["p50"] - 51.0) <= 1.0
