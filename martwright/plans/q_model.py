@@ -84,7 +84,7 @@ def stepwise_auc(spark, sf):
 def score_customers(spark, sf):
     """Fit on the training mart, score the customers of the scoring mart
     that are still active (label 0) with the training-set scaler, highest
-    churn probability first (CH:893-918 intent)."""
+    churn probability first."""
     o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
                                    "nation", "region")
     train_mart = CH.churn_mart(o, li, p, ev, c, n, r)
