@@ -35,14 +35,17 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequen
     ``order`` (a list of ``(column, descending)``; make it a total order by
     ending with a unique column).  ``inclusive=False`` excludes the row.
 
-    ``pin`` checkpoints the range-partitioned rows (reliable checkpoint in
-    the shared folder) so that the range ids used by the running sums and
-    by the totals are the same rows even if a stage is recomputed.
+    The range-partitioned rows are pinned with a reliable checkpoint in the
+    shared folder, so the running sums and the per-range totals read the
+    SAME range assignment.  (Two unpinned branches would each sample their
+    own range bounds and disagree: measured, AUC drifted run to run.)
+    ``pin=False`` is honoured only for a single range, where the assignment
+    is trivially the same.
     """
     n = n_ranges or _default_parts(df)
     oc = _order_cols(order)
     r = df.repartitionByRange(n, *oc).withColumn("_rid", F.spark_partition_id())
-    if pin:
+    if pin or n > 1:
         r = cut_lineage(r)
     frame = (Window.partitionBy("_rid").orderBy(*oc)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))

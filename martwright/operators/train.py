@@ -87,7 +87,7 @@ def model_auc(model, df: DataFrame) -> float:
     s = model.transform(df)
     col = "probability" if "probability" in s.columns else "rawPrediction"
     s = s.select("label", vector_element(col, 1).alias("s"))
-    return auc(s, "label", "s", pin=False).first()["auc"]
+    return auc(s, "label", "s").first()["auc"]
 
 
 def cross_validate(train: DataFrame, name: str, grid: Mapping[str, list] | None = None,

@@ -38,3 +38,13 @@ def test_kmeans_stable_ids(spark):
     assert [r.size for r in c1.orderBy("cluster").collect()] == [10, 5]
     assert sorted(map(tuple, out1.collect())) == sorted(map(tuple, out2.collect()))
     assert out1.where("a < 50").select(F.max("cluster")).first()[0] == 0
+
+
+def test_model_auc_matches_evaluator_and_is_stable(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    df = T.assembled(_separable(spark, 600), ["x1", "x2"])
+    m = T.make_classifier("lr", 2, maxIter=10).fit(df)
+    ev = BinaryClassificationEvaluator(metricName="areaUnderROC", numBins=0).evaluate(m.transform(df))
+    runs = {round(T.model_auc(m, df), 12) for _ in range(3)}
+    assert len(runs) == 1
+    assert abs(runs.pop() - ev) < 1e-9
