@@ -33,10 +33,10 @@ def join_left(spark, sf):
 
 
 @query("join_left_composite", """
-WITH oy AS (SELECT o_custkey AS cust, year(o_orderdate) AS yr,
+WITH oy AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) AS INTEGER) AS yr,
                    CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS ordered
             FROM orders GROUP BY 1, 2),
-     sy AS (SELECT o.o_custkey AS cust, year(l.l_shipdate) AS yr, COUNT(*) AS shipped_lines
+     sy AS (SELECT o.o_custkey AS cust, CAST(year(l.l_shipdate) AS INTEGER) AS yr, COUNT(*) AS shipped_lines
             FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY 1, 2)
 SELECT oy.cust, oy.yr, oy.ordered, sy.shipped_lines
 FROM oy LEFT JOIN sy ON oy.cust = sy.cust AND oy.yr = sy.yr""")

@@ -278,9 +278,13 @@ def _churn_sql(as_of: str = CH.AS_OF, after: str | None = None, years=None) -> s
         ("sum_discount", "SUM(discount)"),
     ]
     num = [n for n, _ in totals] + [n for n, _ in pivots]
-    casted = ",\n  ".join(f"COALESCE(CAST({n} AS DOUBLE), 0) AS {n}" if n not in
-                          ("n_subscription_rows",) and not n.startswith(("n_subscriptions", "n_formula"))
-                          else f"COALESCE({n}, 0) AS {n}" for n in num)
+    def _fill(n):
+        if n == "n_subscription_rows" or n.startswith(("n_subscriptions", "n_formula")):
+            return f"COALESCE({n}, 0) AS {n}"
+        if n.startswith("sum_duration"):  # integer sums stay integral (bigint)
+            return f"COALESCE(CAST({n} AS BIGINT), 0) AS {n}"
+        return f"COALESCE(CAST({n} AS DOUBLE), 0) AS {n}"
+    casted = ",\n  ".join(_fill(n) for n in num)
     return f"""
 WITH t AS (
   SELECT o.o_orderkey AS subscription_id, o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS start_date,

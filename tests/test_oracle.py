@@ -45,6 +45,13 @@ def test_matches_oracle(spark, sf_dir, con, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(srows) == len(orows)
     assert _rows(df.columns, srows) == _rows(ocols, orows)
+    same = {("bigint", "BIGINT"), ("int", "INTEGER"), ("double", "DOUBLE"), ("string", "VARCHAR"),
+            ("date", "DATE"), ("timestamp_ntz", "TIMESTAMP"), ("boolean", "BOOLEAN"),
+            ("array<string>", "VARCHAR[]"), ("array<double>", "DOUBLE[]")}
+    otypes = {d[0]: str(d[1]) for d in cur.description}
+    bad = {f.name: (f.dataType.simpleString(), otypes[f.name]) for f in df.schema.fields
+           if (f.dataType.simpleString(), otypes[f.name]) not in same}
+    assert not bad, bad
 
 
 def test_entry_smoke(spark):
