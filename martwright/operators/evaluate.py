@@ -90,6 +90,23 @@ def auc(df: DataFrame, label, score, **kw) -> DataFrame:
                      F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
 
 
+def auc_by(df: DataFrame, label, score, group: str, **kw) -> DataFrame:
+    """AUC per ``group`` (e.g. train/test, or model) in one pass: score
+    counts per ``(group, score)``, one prefix sum over ``(group, score)``,
+    and each group's own starting offset subtracted (the first row of a
+    group carries the negatives of all earlier groups)."""
+    y = _c(label)
+    sc = df.groupBy(F.col(group).alias("_g"), _c(score).alias("score")).agg(
+        F.count_if(y == 1).cast("long").alias("pos"), F.count_if(y == 0).cast("long").alias("neg"))
+    cum = prefix_sums(sc, [("_g", False), ("score", False)], ["neg"], inclusive=False, **kw)
+    start = cum.groupBy("_g").agg(F.min("cum_neg").alias("_off"))
+    j = cum.join(start, "_g")
+    below = F.col("cum_neg") - F.col("_off")
+    return j.groupBy(F.col("_g").alias(group)).agg(
+        F.try_divide(F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0)),
+                     F.sum("pos").cast("double") * F.sum("neg").cast("double")).alias("auc"))
+
+
 def positives_by_score(df: DataFrame, label, score) -> DataFrame:
     return df.groupBy(_c(score).alias("score")).agg(F.sum(_c(label)).alias("positives"),
                                                     F.count(F.lit(1)).alias("n"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import vector_element
-from .evaluate import auc
+from .evaluate import auc, auc_by
 
 
 def make_classifier(name: str, n_features: int | None = None, seed: int = 1, **params):
@@ -129,7 +129,14 @@ def stepwise_auc(train: DataFrame, test: DataFrame, candidates: Sequence[str],
         cols = chosen + [feat]
         tr, te = assembled(train, cols), assembled(test, cols)
         m = make_classifier(model, len(cols), seed, **params).fit(tr)
-        return feat, model_auc(m, tr), model_auc(m, te)
+        # train and test AUC in one pass over the union of both scored sets
+        both = m.transform(tr).withColumn("_set", F.lit("train")).unionByName(
+            m.transform(te).withColumn("_set", F.lit("test")), allowMissingColumns=True)
+        col = "probability" if "probability" in both.columns else "rawPrediction"
+        res = {r["_set"]: r["auc"] for r in
+               auc_by(both.select("_set", "label", vector_element(col, 1).alias("s")),
+                      "label", "s", "_set").collect()}
+        return feat, res.get("train"), res.get("test")
 
     for step in range(1, steps + 1):
         rest = [c for c in candidates if c not in chosen]

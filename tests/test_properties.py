@@ -193,3 +193,13 @@ def test_describe_exact_and_approx_agree_on_small_data(spark):
     ap = {r.metric: r.value for r in describe(df, ["x"], exact=False).collect()}
     assert ex["p50"] == 51.0 and ex["p25"] == 26.0 and ex["p75"] == 76.0
     assert set(ex) == set(ap) and abs(ap["p50"] - 51.0) <= 1.0
+
+
+def test_auc_by_group_matches_single_auc(spark):
+    rnd = random.Random(13)
+    rows = [(g, rnd.randint(0, 1), float(rnd.randint(0, 20))) for g in ("a", "b", "c") for _ in range(300)]
+    df = spark.createDataFrame(rows, "g string, y int, s double")
+    by = {r.g: r.auc for r in EV.auc_by(df, "y", "s", "g").collect()}
+    for g in ("a", "b", "c"):
+        single = EV.auc(df.where(F.col("g") == g), "y", "s").first()[0]
+        assert by[g] == pytest.approx(single, abs=1e-12)
