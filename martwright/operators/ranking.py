@@ -23,11 +23,6 @@ def _order_cols(order: Sequence[tuple[str, bool]]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if desc else F.col(c).asc_nulls_first() for c, desc in order]
 
 
-def _default_parts(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-
-
 def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequence[str],
                 inclusive: bool = True, n_ranges: int | None = None, pin: bool = True,
                 prefix: str = "cum_") -> DataFrame:
@@ -35,17 +30,24 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequen
     ``order`` (a list of ``(column, descending)``; make it a total order by
     ending with a unique column).  ``inclusive=False`` excludes the row.
 
-    The range-partitioned rows are pinned with a reliable checkpoint in the
+    ``n_ranges`` fixes the number of ranges; by default Spark's shuffle
+    partition count is used and AQE coalesces neighbouring ranges (which
+    keeps them ordered).  The range-partitioned rows are pinned with a reliable checkpoint in the
     shared folder, so the running sums and the per-range totals read the
     SAME range assignment.  (Two unpinned branches would each sample their
     own range bounds and disagree: measured, AUC drifted run to run.)
     ``pin=False`` is honoured only for a single range, where the assignment
     is trivially the same.
     """
-    n = n_ranges or _default_parts(df)
     oc = _order_cols(order)
-    r = df.repartitionByRange(n, *oc).withColumn("_rid", F.spark_partition_id())
-    if pin or n > 1:
+    if n_ranges:
+        r = df.repartitionByRange(n_ranges, *oc)
+    else:
+        # no fixed count: AQE coalesces neighbouring ranges to the advisory
+        # partition size, so small inputs get few ranges and big ones many
+        r = df.repartitionByRange(*oc)
+    r = r.withColumn("_rid", F.spark_partition_id())
+    if pin or n_ranges != 1:
         r = cut_lineage(r)
     frame = (Window.partitionBy("_rid").orderBy(*oc)
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
