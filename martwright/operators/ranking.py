@@ -99,29 +99,29 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     """Exact interpolated quantiles (the rule of SQL ``percentile`` /
     ``quantile_cont``) per ``group``, without gathering a group in one task.
 
-    Values are ranked inside their group with ``rank_within`` (range
-    partitioning on ``(group, value, row id)``, so a group or value holding
-    a third of the rows is still spread over many ranges); the two ranks
-    around each position ``(n - 1) * p`` are then picked by an equi-join
-    with a position table of ``groups x probs x 2`` rows and interpolated.
+    Rows get one global rank over ``(group, value, row id)`` (range
+    partitioning, so a group or a value holding a third of the rows is still
+    spread over many ranges).  Each group's first global rank comes from a
+    prefix sum over the per-group counts (one row per group), so the two
+    ranks around each position ``(n - 1) * p`` are known as global ranks and
+    picked with one equi-join on the rank; then interpolated.
     Output: ``[group,] p, quantile``.
     """
     g = group or "_g"
     x = df.select((F.col(group) if group else F.lit(0)).alias(g),
                   F.col(value).cast("double").alias("_v"))
     x = x.where(F.col("_v").isNotNull() & ~F.isnan("_v")).withColumn("_id", F.monotonically_increasing_id())
-    ranked = rank_within(x, g, [("_v", False), ("_id", False)], "_r", **kw)
+    ranked = global_rank(x, [(g, False), ("_v", False), ("_id", False)], "_r", **kw)
     counts = x.groupBy(g).agg(F.count(F.lit(1)).alias("_n"))
+    starts = prefix_sums(counts, [(g, False)], ["_n"], inclusive=False, prefix="_before", **kw)
     ps = F.array(*[F.lit(float(p)) for p in probs])
-    pos = counts.select(g, "_n", F.explode(ps).alias("p")).select(
-        g, "p", ((F.col("_n") - 1) * F.col("p")).alias("_pos"))
-    pos = pos.select(g, "p", "_pos", (F.floor("_pos") + 1).cast("long").alias("_lo"),
-                     (F.ceil("_pos") + 1).cast("long").alias("_hi"))
+    pos = starts.select(g, "_before_n", "_n", F.explode(ps).alias("p")).select(
+        g, "p", "_before_n", ((F.col("_n") - 1) * F.col("p")).alias("_pos"))
     ends = pos.select(g, "p", "_pos", F.explode(F.array(
-        F.struct(F.lit("lo").alias("role"), F.col("_lo").alias("_r")),
-        F.struct(F.lit("hi").alias("role"), F.col("_hi").alias("_r")))).alias("e")) \
-        .select(g, "p", "_pos", "e.role", "e._r")
-    picked = ranked.select(g, "_r", "_v").join(ends, [g, "_r"])
+        F.struct(F.lit("lo").alias("role"), (F.col("_before_n") + F.floor("_pos") + 1).cast("long").alias("_r")),
+        F.struct(F.lit("hi").alias("role"), (F.col("_before_n") + F.ceil("_pos") + 1).cast("long").alias("_r"))
+    )).alias("e")).select(g, "p", "_pos", "e.role", "e._r")
+    picked = ranked.select("_r", "_v").join(ends, "_r")
     q = picked.groupBy(g, "p").agg(F.first("_pos").alias("_pos"),
                                    F.max(F.when(F.col("role") == "lo", F.col("_v"))).alias("_lv"),
                                    F.max(F.when(F.col("role") == "hi", F.col("_v"))).alias("_hv"))
@@ -129,5 +129,4 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float],
     hi = F.ceil("_pos")
     val = F.when(hi == lo, F.col("_lv")).when(F.col("_lv") == F.col("_hv"), F.col("_lv")) \
         .otherwise((hi - F.col("_pos")) * F.col("_lv") + (F.col("_pos") - lo) * F.col("_hv"))
-    out = q.select(*([g] if group else []), "p", val.alias("quantile"))
-    return out
+    return q.select(*([g] if group else []), "p", val.alias("quantile"))
