@@ -14,6 +14,19 @@ def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
 
 
+def info(df: DataFrame) -> DataFrame:
+    """Per column: position, type, non-null count and row count (the
+    ``info`` / ``shape`` part of an exploration), one aggregate pass."""
+    cols = df.columns
+    wide = df.agg(F.count(F.lit(1)).alias("\u0001rows"),
+                  *[F.count(F.col(f"`{c}`")).alias(f"\u0001{i}") for i, c in enumerate(cols)])
+    recs = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"),
+                     F.lit(df.schema[c].dataType.simpleString()).alias("dtype"),
+                     F.col(f"`\u0001{i}`").alias("non_null"), F.col("`\u0001rows`").alias("n_rows"))
+            for i, c in enumerate(cols)]
+    return wide.select(F.explode(F.array(*recs)).alias("s")).select("s.*")
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row: null count per column plus ``total_nulls``; a single scan."""
     cols = list(columns or df.columns)

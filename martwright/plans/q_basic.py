@@ -135,6 +135,16 @@ def nonnull_cells(spark, sf):
     return P.nonnull_cells_where(_nully(spark, sf), "c_nationkey < 10")
 
 
+@query("profile_info", f"""
+SELECT * FROM (
+  SELECT 0 AS position, 'c_custkey' AS "column", COUNT(c_custkey) AS non_null, COUNT(*) AS n_rows FROM {_NULLY_SQL}
+  UNION ALL SELECT 1, 'seg', COUNT(seg), COUNT(*) FROM {_NULLY_SQL}
+  UNION ALL SELECT 2, 'bal', COUNT(bal), COUNT(*) FROM {_NULLY_SQL}
+  UNION ALL SELECT 3, 'c_nationkey', COUNT(c_nationkey), COUNT(*) FROM {_NULLY_SQL})""")
+def profile_info(spark, sf):
+    return P.info(_nully(spark, sf)).drop("dtype")
+
+
 @query("distinct_values", "SELECT DISTINCT o_orderpriority FROM orders")
 def distinct_values(spark, sf):
     (o,) = tables(spark, sf, "orders")

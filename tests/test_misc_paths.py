@@ -46,3 +46,9 @@ def test_csv_inference_opt_in(spark, tmp_path):
     assert dict(typed.dtypes) == {"i": "int", "s": "string", "d": "double"}
     raw = read_csv(spark, p, sep=";")
     assert dict(raw.dtypes) == {"i": "string", "s": "string", "d": "string"}
+
+
+def test_info_types_and_counts(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    rows = {r.column: (r.dtype, r.non_null, r.n_rows) for r in P.info(df).collect()}
+    assert rows == {"a": ("int", 2, 2), "b": ("string", 1, 2)}
