@@ -25,7 +25,9 @@ from ..operators.columns import money
 from ..operators.encode import dummy_columns
 from ..operators.filters import as_of
 
+# as-of date mapped onto the driver tables
 AS_OF = "1998-08-31"
+# Fixed value (as in the reference): days without a subscription that make a churner.
 CHURN_DAYS = 180
 PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 PAYMENTS = ["F", "O", "P"]

@@ -25,9 +25,12 @@ from ..operators.aggregate import (calendar_aggs, calendar_post, recency_aggs,
 from ..operators.columns import money
 from ..operators.encode import dummy_columns
 
+# dates mapped onto the driver tables (orders run 1995-01-01 .. 2001-08-01)
 CUTOFF = "2000-01-01"
 CAMPAIGN_END = "2001-01-01"
-# Fixed value: lower bound of the widest window (the reference's literal).
+# Fixed values (as in the reference): lower bound of the widest window,
+# trailing window lengths in years, campaign amount above which a donor
+# counts as a responder.
 SINCE = "1995-01-17"
 WINDOW_YEARS = (1, 3, 5, 10)
 LABEL_THRESHOLD = 35
