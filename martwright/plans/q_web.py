@@ -14,7 +14,7 @@ from .catalog import query, tables
 
 _TEXT = ("replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), "
          "'&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&')")
-_LINKS = f"list_transform(regexp_extract_all(html, '{W.A_PATTERN}', 1), lambda x: {_TEXT})"
+_LINKS = f"list_transform(regexp_extract_all(html, '{W.A_PATTERN.replace(chr(39), chr(39) * 2)}', 1), lambda x: {_TEXT})"
 
 
 @query("web_link_texts", f"SELECT page_id, {_LINKS} AS links FROM pages")
@@ -40,7 +40,7 @@ def _safe(c):
 
 @query("web_table_rows", f"""
 SELECT page_id, 0 AS row_pos, {", ".join(f"CAST(NULL AS VARCHAR) AS {_safe(c)}" for c in W.OUTPUT_COLUMNS)}
-FROM pages WHERE regexp_matches(html, '{W.table_pattern(W.TABLE_CLASS)}')""")
+FROM pages WHERE regexp_matches(html, '{W.table_pattern(W.TABLE_CLASS).replace("'", "''")}')""")
 def web_table_rows(spark, sf):
     (p,) = tables(spark, sf, "pages")
     wide = W.to_wide(W.extract_tables(p))

@@ -21,15 +21,19 @@ LAST_LABEL = "23:45 - 24:00"
 OUTPUT_COLUMNS = ["Hours", "Low(€/MWh)", "High(€/MWh)", "Last(€/MWh)", "Weight Avg.(€/MWh)",
                   "Buy Volume(MWh)", "Sell Volume(MWh)", "Volume(MWh)"]
 
-A_PATTERN = r"(?s)<a(?:\s[^>]*)?>(.*?)</a>"
-TH_PATTERN = r"(?s)<th(?:\s[^>]*)?>(.*?)</th>"
-TD_PATTERN = r"(?s)<td(?:\s[^>]*)?>(.*?)</td>"
-TR_PATTERN = r"(?s)<tr(?:\s[^>]*)?>(.*?)</tr>"
+# tag names are case-insensitive in HTML; attributes may follow the name
+A_PATTERN = r"(?is)<a(?:\s[^>]*)?>(.*?)</a>"
+TH_PATTERN = r"(?is)<th(?:\s[^>]*)?>(.*?)</th>"
+TD_PATTERN = r"(?is)<td(?:\s[^>]*)?>(.*?)</td>"
+TR_PATTERN = r"(?is)<tr(?:\s[^>]*)?>(.*?)</tr>"
 
 
 def table_pattern(css_class: str) -> str:
-    return (r"(?s)<table\s[^>]*class=\"(?:[^\"]*\s)?" + css_class +
-            r"(?:\s[^\"]*)?\"[^>]*>(.*?)</table>")
+    """First ``<table>`` whose class list contains ``css_class`` (either
+    quote style); its inner HTML is group 1.  Nested tables are not
+    expected in these pages."""
+    return (r"(?is)<table\s[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?" + css_class +
+            r"(?:\s[^\"']*)?[\"'][^>]*>(.*?)</table>")
 
 
 def text_of(x: Column) -> Column:

@@ -34,3 +34,14 @@ def test_links_and_slice(spark):
     assert r.l == ["Home", "00 - 01", "01 - 02", "23:45 - 24:00", "Imprint"]
     s = _pages(spark).select(W.slice_between(W.link_texts("html")).alias("s")).collect()
     assert sorted(len(x.s) for x in s) == [0, 3]
+
+
+def test_case_and_quote_variants(spark):
+    html = ("<A HREF='x'>00 - 01</A><a>23:45 - 24:00</a>"
+            "<TABLE class='other table-01'><TR><TH>Hours</TH><TH>Low(€/MWh)</TH></TR><tr><th></th></tr>"
+            "<TR><TD class=\"v\">7</TD></TR><tr><td>8</td></tr></TABLE>")
+    pages = spark.createDataFrame([(9, "u", html)], "page_id bigint, url string, html string")
+    rows = W.extract_tables(pages).orderBy("row_pos").collect()
+    assert [r.cells for r in rows] == [["7"], ["8"]]
+    assert [r.hours for r in rows] == ["00 - 01", "23:45 - 24:00"]
+    assert rows[0].headers == ["Low(€/MWh)"]
