@@ -115,6 +115,8 @@ def churn_mart(orders: DataFrame, lineitem: DataFrame, part: DataFrame, events:
     """One row per customer with subscriptions up to ``as_of`` (training),
     or between ``after`` and ``as_of`` (scoring; the label is computed
     there too); numeric nulls filled with 0; money columns as double."""
+    if years is None and after is not None:
+        years = list(range(int(after[:4]), int(as_of_date[:4]) + 1))
     subs = subscription_features(subscription_lines(orders, lineitem, part, as_of_date, after),
                                  as_of_date, years)
     m = subs.join(customer_base(customer, nation, region), "customer_id", "left") \

@@ -13,6 +13,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+# runtime SQL settings the operators assume; applied only where the
+# submit configuration (spark-submit --conf, spark-defaults) left them unset
 _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -24,6 +26,9 @@ _DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+# static settings fixed when the session starts: no web UI, no progress bar
+_STATIC = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -35,19 +40,24 @@ def get_spark(master: str | None = None, app: str = "martwright",
     """Build (or reuse) a session with the library's defaults.
 
     ``master`` is only set when given, so on a cluster the submit-time master
-    wins.  ``shuffle_partitions`` defaults to Spark's own value; on a cluster
-    size it to ~2-3x the total cores and let AQE coalesce small ones.
+    wins; the runtime defaults above are applied only where the submit
+    configuration did not set them; ``extra`` always wins.
+    ``shuffle_partitions`` defaults to Spark's own value; on a cluster size
+    it to ~2-3x the total cores and let AQE coalesce small ones.
     """
+    extra = dict(extra or {})
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
-    conf = dict(_DEFAULTS)
-    if shuffle_partitions:
-        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
-    conf.update(extra or {})
-    for k, v in conf.items():
+    for k, v in {**_STATIC, **extra}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
+    submitted = spark.sparkContext.getConf()
+    for k, v in _DEFAULTS.items():
+        if k not in extra and not submitted.contains(k):
+            spark.conf.set(k, v)
+    if shuffle_partitions:
+        spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
