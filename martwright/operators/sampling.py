@@ -52,20 +52,36 @@ def split_stratified(df: DataFrame, label: str, keys: Sequence[str], train_frac:
         name, F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_h", "_r", "_n")
 
 
-def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str = 123) -> DataFrame:
+def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str = 123,
+               chunk: int = 100_000) -> DataFrame:
     """Random oversampling of every class to the majority class size.
 
     A class of ``n`` rows (majority ``m``) is copied ``m // n`` times with
     ``explode(sequence)`` and the ``m % n`` rows with the smallest key hash
     are copied once more.  The class-count table has one row per class.
+
+    When one row needs more than ``chunk`` copies (a tiny class next to a
+    huge one) the copies are generated in two steps, blocks of ``chunk``
+    first, spread over tasks by a repartition on ``(keys, block)``, then the
+    copies inside each block, so no single task produces them all.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    m = F.lit(counts.agg(F.max("_n")).first()[0])
-    plan = counts.select(label, "_n", F.floor(m / F.col("_n")).alias("_full"),
-                         (m % F.col("_n")).alias("_rest"))
+    m = counts.agg(F.max("_n")).first()[0]
+    plan = counts.select(label, "_n", F.floor(F.lit(m) / F.col("_n")).alias("_full"),
+                         (F.lit(m) % F.col("_n")).alias("_rest"))
     x = df.withColumn("_h", key_hash(keys, seed))
     r = rank_within(x, label, [("_h", False)] + [(k, False) for k in keys], "_r")
     j = r.join(plan, label)  # one row per class; AQE picks the join strategy
-    copies = F.col("_full") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)
-    out = j.withColumn("copy", F.explode(F.sequence(F.lit(1), copies.cast("int"))))
-    return out.drop("_h", "_r", "_n", "_full", "_rest")
+    copies = (F.col("_full") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)).cast("long")
+    j = j.withColumn("_c", copies)
+    max_copies = (m // max(1, counts.agg(F.min("_n")).first()[0])) + 1
+    if max_copies <= chunk:
+        out = j.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
+    else:
+        blocks = j.withColumn("_b", F.explode(F.sequence(
+            F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / chunk).cast("long"))))
+        blocks = blocks.repartition(*[F.col(k) for k in keys], F.col("_b"))
+        first = F.col("_b") * chunk + 1
+        last = F.least(F.col("_c"), (F.col("_b") + 1) * chunk)
+        out = blocks.withColumn("copy", F.explode(F.sequence(first, last))).drop("_b")
+    return out.drop("_h", "_r", "_n", "_full", "_rest", "_c")

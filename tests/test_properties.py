@@ -203,3 +203,13 @@ def test_auc_by_group_matches_single_auc(spark):
     for g in ("a", "b", "c"):
         single = EV.auc(df.where(F.col("g") == g), "y", "s").first()[0]
         assert by[g] == pytest.approx(single, abs=1e-12)
+
+
+def test_oversample_chunked_copies(spark):
+    df = spark.createDataFrame([(i, "min" if i < 3 else "maj") for i in range(3 + 2500)], "id int, c string")
+    o = S.oversample(df, "c", ["id"], chunk=100)
+    cnt = {r.c: r["count"] for r in o.groupBy("c").count().collect()}
+    assert cnt == {"min": 2500, "maj": 2500}
+    per = {r.id: r["count"] for r in o.where("c = 'min'").groupBy("id").count().collect()}
+    assert sorted(per.values()) == [833, 833, 834]
+    assert o.where("c = 'min'").select("id", "copy").distinct().count() == 2500   # copy ids unique per row
