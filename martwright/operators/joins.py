@@ -3,8 +3,7 @@
 Join strategy is left to Spark: with AQE on, a side whose *materialised*
 size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` is
 broadcast at runtime, anything larger stays a sort-merge join.  That is the
-size check; no side is hinted unless its size is bounded by construction
-(a one-row statistics frame).  Feature frames are aggregates keyed on the
+size check; no join here carries a broadcast hint.  Feature frames are aggregates keyed on the
 entity, so they are already hash-partitioned on the join key and a chain of
 left joins on that key adds no exchange beyond the base's own.
 """
