@@ -8,7 +8,6 @@ values as literals, so transform never shuffles and never joins.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -71,63 +70,29 @@ def string_index(df: DataFrame, c: str, out: str | None = None,
 
 
 # ---------------------------------------------------------------------------
-# exact order statistic without a global sort
+# exact order statistic without a global sort (see operators.select)
 # ---------------------------------------------------------------------------
 
-def kth_smallest(df: DataFrame, c: str, k: int, max_collect: int = 50_000,
-                 bins: int = 2048, max_rounds: int = 64):
-    """Exact k-th smallest (1-based) non-null value of ``c``.
-
-    Distributed selection by histogram refinement: each round is one
-    partial aggregate returning at most ``bins`` rows (count/min/max per
-    equal-width bucket of the current value range); the bucket holding
-    rank k becomes the next range.  Once the range holds at most
-    ``max_collect`` rows (or one distinct value) those rows are fetched and
-    indexed.  No task or driver ever holds more than ``max(bins,
-    max_collect)`` values, whatever the table size or skew.
-    """
-    x = F.col(c).cast("double")
-    base = df.select(x.alias("_x")).where(F.col("_x").isNotNull() & ~F.isnan("_x"))
-    st = base.agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                  F.max("_x").alias("hi")).first()
-    n, lo, hi = st["n"], st["lo"], st["hi"]
+def kth_smallest(df: DataFrame, c: str, k: int, **kw):
+    """Exact k-th smallest (1-based) non-null value of ``c`` by histogram
+    selection (``operators.select``): bounded partial aggregates, no sort."""
+    from .select import column_stats, select_ranks
+    st = column_stats(df, [c])
+    n = st[c][0]
     if not n or k < 1 or k > n:
         return None
-    below = 0
-    for _ in range(max_rounds):
-        rng = base.where((F.col("_x") >= F.lit(lo)) & (F.col("_x") <= F.lit(hi)))
-        if lo == hi:
-            return lo
-        width = (hi - lo) / bins
-        if width <= 0 or not math.isfinite(width):
-            width = None
-        if width is None:
-            cnt = rng.count()
-        else:
-            b = F.least(F.floor((F.col("_x") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-            hist = (rng.groupBy(b.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min("_x").alias("lo"),
-                         F.max("_x").alias("hi"))
-                    .orderBy("b").collect())
-            cnt = sum(r["n"] for r in hist)
-        if cnt <= max_collect or width is None:
-            vals = sorted(r[0] for r in rng.collect())
-            return vals[k - below - 1]
-        acc = below
-        for r in hist:
-            if acc + r["n"] >= k:
-                below, lo, hi = acc, r["lo"], r["hi"]
-                break
-            acc += r["n"]
-    raise RuntimeError("order statistic did not converge")
+    return select_ranks(df, {c: [k]}, stats=st, **kw)[(c, k)]
 
 
 def winsor_cap(df: DataFrame, c: str, upper: float = 0.01) -> float | None:
     """Cap = order statistic at rank ``n - floor(upper * n)`` (scipy rule)."""
-    n = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).count()
-    if n == 0:
+    from .select import column_stats, select_ranks
+    st = column_stats(df, [c])
+    n = st[c][0]
+    if not n:
         return None
-    return kth_smallest(df, c, n - int(upper * n))
+    k = n - int(upper * n)
+    return select_ranks(df, {c: [k]}, stats=st)[(c, k)]
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], upper: float = 0.01,

@@ -97,9 +97,9 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     ``(column, metric, value)``.
 
     The moments are one aggregate over the table.  Exact quartiles come from
-    distributed ranks (no single task holds a column's values);
-    ``exact=False`` uses one ``percentile_approx`` sketch per column in the
-    same aggregate instead.
+    histogram selection (``operators.select``: a few bounded partial
+    aggregates, no sort, no task holds a column's values); ``exact=False``
+    uses one ``percentile_approx`` sketch per column in the same aggregate.
     """
     cols = list(columns or numeric_columns(df))
     exprs = []
@@ -115,10 +115,13 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
              for c in cols for m in metrics]
     out = wide.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
     if exact:
-        q = _quantiles_long(df, cols, None)
-        out = out.unionByName(q.select(F.explode(F.array(*[
-            F.struct(F.col("column"), F.lit(m).alias("metric"), F.col(m).alias("value"))
-            for m in _QS])).alias("s")).select("s.*"))
+        # whole-column quartiles by histogram selection (no sort, no ranking
+        # pass); the result is one number per (column, quartile)
+        from .select import interpolated_quantiles
+        q = interpolated_quantiles(df, cols, list(_QS.values()))
+        rows = [(c, m, q[(c, p)]) for c in cols for m, p in _QS.items()]
+        out = out.unionByName(df.sparkSession.createDataFrame(
+            rows, "column string, metric string, value double"))
     return out
 
 

@@ -213,3 +213,19 @@ def test_oversample_chunked_copies(spark):
     per = {r.id: r["count"] for r in o.where("c = 'min'").groupBy("id").count().collect()}
     assert sorted(per.values()) == [833, 833, 834]
     assert o.where("c = 'min'").select("id", "copy").distinct().count() == 2500   # copy ids unique per row
+
+
+def test_select_ranks_many_targets_matches_sort(spark):
+    from martwright.operators.select import interpolated_quantiles, select_ranks
+    rnd = random.Random(17)
+    rows = [(rnd.uniform(-5, 5), 3.0 if i % 3 == 0 else float(rnd.randint(0, 40))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    ranks = {"a": [1, 77, 3000, 6000], "b": [1, 2000, 2001, 4500, 6000]}
+    got = select_ranks(df, ranks, bins=8, max_collect=30)
+    for c, idx in (("a", 0), ("b", 1)):
+        srt = sorted(r[idx] for r in rows)
+        for k in ranks[c]:
+            assert got[(c, k)] == srt[k - 1]
+    q = interpolated_quantiles(df, ["a", "b"], [0.1, 0.5, 0.99], bins=8, max_collect=30)
+    ref = df.agg(*[F.percentile(c, p).alias(f"{c}{p}") for c in "ab" for p in (0.1, 0.5, 0.99)]).first()
+    assert all(q[(c, p)] == ref[f"{c}{p}"] for c in "ab" for p in (0.1, 0.5, 0.99))
