@@ -126,9 +126,15 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
 
 
 def describe_by_group(df: DataFrame, group: str, columns: Sequence[str],
-                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
+                      exact: bool = True, accuracy: int = 10000,
+                      max_select_groups: int = 64) -> DataFrame:
     """``describe`` per group value (e.g. per cluster), one row per
-    ``(group, column)`` with the eight statistics as columns."""
+    ``(group, column)`` with the eight statistics as columns.
+
+    Exact quartiles: with at most ``max_select_groups`` groups (checked with
+    a bounded distinct) by histogram selection on group-masked columns,
+    otherwise by distributed ranks; both are exact and sort-free per task.
+    """
     from functools import reduce
     parts = []
     for c in columns:
@@ -140,7 +146,27 @@ def describe_by_group(df: DataFrame, group: str, columns: Sequence[str],
                               *[F.col(m).cast("double").alias(m) for m in e]))
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if exact:
-        out = out.join(_quantiles_long(df, columns, group), [group, "column"], "left")
+        groups = df.select(group).distinct().limit(max_select_groups + 1).collect()
+        if len(groups) <= max_select_groups:
+            # few groups: histogram selection on group-masked columns
+            from .select import interpolated_quantiles
+            keyed = {}
+            for gi, gr in enumerate(groups):
+                gv = gr[0]
+                hit = F.col(group).isNull() if gv is None else (F.col(group) == F.lit(gv))
+                for c in columns:
+                    keyed[f"{gi}\u0001{c}"] = (gv, c, F.when(hit, F.col(f"`{c}`")))
+            qs = interpolated_quantiles(df, list(keyed), list(_QS.values()),
+                                        exprs={k: v[2] for k, v in keyed.items()})
+            gtype = df.schema[group].dataType.simpleString()
+            rows = [(v[0], v[1], *[qs[(k, p)] for p in _QS.values()]) for k, v in keyed.items()]
+            q = df.sparkSession.createDataFrame(
+                rows, f"`{group}` {gtype}, column string, p25 double, p50 double, p75 double")
+        else:
+            q = _quantiles_long(df, columns, group)
+        # null-safe on the group: a null group gets its quartiles too
+        q = q.withColumnRenamed(group, "_qg").withColumnRenamed("column", "_qc")
+        out = out.join(q, out[group].eqNullSafe(q["_qg"]) & (out["column"] == q["_qc"]), "left")
     return out.select(group, "column", *[F.col(m).cast("double").alias(m) for m in _STATS])
 
 

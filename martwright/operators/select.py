@@ -28,27 +28,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _clean(c: str):
-    x = F.col(f"`{c}`").cast("double")
+def _clean(c, exprs: Mapping | None = None):
+    x = (exprs[c] if exprs and c in exprs else F.col(f"`{c}`")).cast("double")
     return F.when(x.isNotNull() & ~F.isnan(x), x)
 
 
-def column_stats(df: DataFrame, columns: Sequence[str]) -> dict:
-    """``{column: (n, min, max)}`` over non-null, non-NaN values (one pass)."""
-    exprs = []
+def column_stats(df: DataFrame, columns: Sequence[str], exprs: Mapping | None = None) -> dict:
+    """``{key: (n, min, max)}`` over non-null, non-NaN values (one pass).
+    A key names a column, or an expression given in ``exprs``."""
+    out_exprs = []
     for i, c in enumerate(columns):
-        x = _clean(c)
-        exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    row = df.agg(*exprs).first()
+        x = _clean(c, exprs)
+        out_exprs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*out_exprs).first()
     return {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns)}
 
 
 def select_ranks(df: DataFrame, targets: Mapping[str, Sequence[int]], bins: int = 1024,
                  max_collect: int = 20_000, max_rounds: int = 64,
-                 stats: Mapping[str, tuple] | None = None) -> dict:
-    """``{(column, rank): value}`` for every requested 1-based rank."""
+                 stats: Mapping[str, tuple] | None = None,
+                 exprs: Mapping | None = None) -> dict:
+    """``{(key, rank): value}`` for every requested 1-based rank.  A key is
+    a column name or a name in ``exprs`` mapping to a value expression (for
+    example a column masked to one group)."""
     columns = list(targets)
-    stats = dict(stats or column_stats(df, columns))
+    stats = dict(stats or column_stats(df, columns, exprs))
     ci = {c: i for i, c in enumerate(columns)}
     # state per target: [lo, hi, below, count_in_range]
     state = {}
@@ -72,7 +76,7 @@ def select_ranks(df: DataFrame, targets: Mapping[str, Sequence[int]], bins: int
             width = (hi - lo) / bins
             if not (width > 0 and math.isfinite(width)):
                 width = None
-            x = _clean(c)
+            x = _clean(c, exprs)
             inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
             b = F.lit(0) if width is None else F.least(F.floor((x - F.lit(lo)) / F.lit(width)),
                                                        F.lit(bins - 1))
@@ -107,8 +111,8 @@ def select_ranks(df: DataFrame, targets: Mapping[str, Sequence[int]], bins: int
             pending.setdefault((k[0], s[0], s[1]), []).append((k, s[2]))
     if pending:
         keys = list(pending)
-        entries = [F.when((_clean(c) >= F.lit(lo)) & (_clean(c) <= F.lit(hi)),
-                          F.struct(F.lit(i).alias("i"), _clean(c).alias("v")))
+        entries = [F.when((_clean(c, exprs) >= F.lit(lo)) & (_clean(c, exprs) <= F.lit(hi)),
+                          F.struct(F.lit(i).alias("i"), _clean(c, exprs).alias("v")))
                    for i, (c, lo, hi) in enumerate(keys)]
         rows = df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e")) \
             .select("e.i", "e.v").collect()
@@ -123,10 +127,10 @@ def select_ranks(df: DataFrame, targets: Mapping[str, Sequence[int]], bins: int
 
 
 def interpolated_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                           **kw) -> dict:
-    """``{(column, p): value}``: SQL ``percentile`` (linear interpolation
+                           exprs: Mapping | None = None, **kw) -> dict:
+    """``{(key, p): value}``: SQL ``percentile`` (linear interpolation
     between the order statistics around ``(n - 1) * p``), exact."""
-    stats = column_stats(df, columns)
+    stats = column_stats(df, columns, exprs)
     targets, spots = {}, {}
     for c in columns:
         n = stats[c][0]
@@ -137,7 +141,8 @@ def interpolated_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequenc
             lo, hi = math.floor(pos), math.ceil(pos)
             spots[(c, p)] = (pos, lo, hi)
             targets.setdefault(c, set()).update({lo + 1, hi + 1})
-    vals = select_ranks(df, {c: sorted(r) for c, r in targets.items()}, stats=stats, **kw) if targets else {}
+    vals = select_ranks(df, {c: sorted(r) for c, r in targets.items()}, stats=stats, exprs=exprs,
+                        **kw) if targets else {}
     out = {}
     for c in columns:
         for p in probs:

@@ -229,3 +229,13 @@ def test_select_ranks_many_targets_matches_sort(spark):
     q = interpolated_quantiles(df, ["a", "b"], [0.1, 0.5, 0.99], bins=8, max_collect=30)
     ref = df.agg(*[F.percentile(c, p).alias(f"{c}{p}") for c in "ab" for p in (0.1, 0.5, 0.99)]).first()
     assert all(q[(c, p)] == ref[f"{c}{p}"] for c in "ab" for p in (0.1, 0.5, 0.99))
+
+
+def test_describe_by_group_null_group_and_both_paths(spark):
+    from martwright.operators.profile import describe_by_group
+    rows = [("g1", float(i)) for i in range(11)] + [(None, float(i)) for i in (5, 1, 3)]
+    df = spark.createDataFrame(rows, "g string, a double")
+    for limit in (64, 0):   # selection path, rank path
+        got = {r.g: (r.p25, r.p50, r.p75, r["count"]) for r in describe_by_group(df, "g", ["a"], max_select_groups=limit).collect()}
+        assert got["g1"] == (2.5, 5.0, 7.5, 11.0)
+        assert got[None] == (2.0, 3.0, 4.0, 3.0)
