@@ -5,10 +5,10 @@ Mapping: donors = ``customer``; gifts = ``orders`` (``o_custkey``,
 ``[cutoff, campaign_end)``; gender = ``c_mktsegment``; a dirty zip code is
 derived from ``c_acctbal``.
 
-Plan shape: the gift features are ONE aggregate over orders before the
-cutoff (all windows, calendar, recency), the campaign amount one aggregate
-over the campaign period (the two date filters are disjoint ranges pushed to
-the scan), then two left joins on the customer key.
+Plan shape: ONE scan of orders up to the campaign end (the range is pushed
+to parquet) and ONE aggregate per donor computing every gift feature
+(windows, calendar, quarters, recency; each conditional on the cutoff) and
+the campaign amount together, then one left join onto the donor table.
 """
 
 from __future__ import annotations
@@ -55,41 +55,50 @@ def dirty_zip(customer: DataFrame) -> DataFrame:
                            F.col("c_mktsegment").alias("gender"), zip_.alias("zipcode"))
 
 
-def gift_features(gifts: DataFrame, cutoff: str = CUTOFF, since: str = SINCE,
-                  window_years=WINDOW_YEARS) -> DataFrame:
-    """Windows, calendar, quarters and recency per donor, one aggregate."""
+def gift_and_campaign_features(gifts: DataFrame, cutoff: str = CUTOFF,
+                               campaign_end: str = CAMPAIGN_END, since: str = SINCE,
+                               window_years=WINDOW_YEARS) -> DataFrame:
+    """Gift features (before ``cutoff``) and the campaign amount (from
+    ``cutoff`` to ``campaign_end``) in ONE scan and ONE aggregate per donor.
+
+    Every gift feature is conditional on ``date < cutoff`` and the campaign
+    sum on the campaign period, so both periods share the shuffle; gift
+    features are then nulled for donors outside the widest window (the
+    reference's join base), exactly as the separate aggregates did.
+    """
     windows = {**years_before(cutoff, window_years), "amt_all": since}
     first_year = _dt.date.fromisoformat(since).year
     last_year = (_dt.date.fromisoformat(cutoff) - _dt.timedelta(days=1)).year
     years = list(range(first_year, last_year + 1))
-    scoped = gifts.where(F.col("donor_id").isNotNull() & (F.col("date") < F.to_date(F.lit(cutoff))))
-    g = scoped.groupBy("donor_id").agg(
+    d, hi = F.col("date"), F.to_date(F.lit(cutoff))
+    before = F.when(d < hi, F.col("amount"))
+    scoped = gifts.where(F.col("donor_id").isNotNull() & (d < F.to_date(F.lit(campaign_end))))
+    g = scoped.withColumn("_gift", before).groupBy("donor_id").agg(
         *window_sum_aggs("date", "amount", cutoff, windows),
-        *calendar_aggs("date", "amount", years),
-        *recency_aggs("date"))
-    g = g.where(F.col("amt_all").isNotNull())
-    return g.select("donor_id", *[F.col(w) for w in windows],
-                    *calendar_post(years, keep_months=False),
-                    F.datediff(F.to_date(F.lit(cutoff)), F.col("last_date")).alias("recency_days"))
-
-
-def campaign_amounts(gifts: DataFrame, cutoff: str = CUTOFF,
-                     campaign_end: str = CAMPAIGN_END) -> DataFrame:
-    d = F.col("date")
-    return (gifts.where(F.col("donor_id").isNotNull() & (d >= F.to_date(F.lit(cutoff))) &
-                        (d < F.to_date(F.lit(campaign_end))))
-            .groupBy("donor_id").agg(F.sum("amount").alias("campaign_amount")))
+        *calendar_aggs("date", "_gift", years),
+        *recency_aggs("date", cutoff),
+        F.sum(F.when(d >= hi, F.col("amount"))).alias("campaign_amount"))
+    in_base = F.col("amt_all").isNotNull()
+    gift_cols = [F.col(w) for w in windows] + calendar_post(years, keep_months=False) + \
+        [F.datediff(hi, F.col("last_date")).alias("recency_days")]
+    return g.select("donor_id", "campaign_amount", *gift_cols, in_base.alias("_in_base"))
 
 
 def donor_mart(customer: DataFrame, orders: DataFrame, cutoff: str = CUTOFF,
                campaign_end: str = CAMPAIGN_END, since: str = SINCE,
                threshold: float = LABEL_THRESHOLD) -> DataFrame:
-    """One row per donor of the campaign (every customer), features filled 0."""
+    """One row per donor of the campaign (every customer), features filled 0.
+
+    Plan: one aggregate over the orders up to the campaign end (gift and
+    campaign features together), one left join onto the donor table.
+    """
     gifts = gifts_from_orders(orders)
     donors = dirty_zip(customer)
-    feats = gift_features(gifts, cutoff, since)
-    camp = campaign_amounts(gifts, cutoff, campaign_end)
-    m = donors.join(camp, "donor_id", "left").join(feats, "donor_id", "left")
+    feats = gift_and_campaign_features(gifts, cutoff, campaign_end, since)
+    gift_names = [c for c in feats.columns if c not in ("donor_id", "campaign_amount", "_in_base")]
+    feats = feats.select("donor_id", "campaign_amount",
+                         *[F.when(F.col("_in_base"), F.col(c)).alias(c) for c in gift_names])
+    m = donors.join(feats, "donor_id", "left")
     zipc = clean_zip("zipcode")
     m = m.select("*", zipc.alias("zip_int"))
     m = m.select("*",
