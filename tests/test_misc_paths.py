@@ -52,3 +52,16 @@ def test_info_types_and_counts(spark):
     df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
     rows = {r.column: (r.dtype, r.non_null, r.n_rows) for r in P.info(df).collect()}
     assert rows == {"a": ("int", 2, 2), "b": ("string", 1, 2)}
+
+
+def test_batch_entry_point_writes_marts(spark, tmp_path):
+    from martwright.__main__ import main
+    out = str(tmp_path / "donor")
+    main(["mart", "donor", "--tables", "/root/testdata/sf0.001", "--out", out])
+    df = spark.read.parquet(out)
+    assert df.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    out2 = str(tmp_path / "churn")
+    main(["mart", "churn", "--tables", "/root/testdata/sf0.001", "--out", out2, "--format", "csv",
+          "--as-of", "2001-08-02", "--after", "1998-09-01"])
+    cols = spark.read.option("header", True).csv(out2).columns
+    assert "n_subscriptions_2001" in cols and "label" in cols
