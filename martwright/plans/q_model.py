@@ -207,3 +207,20 @@ def pipeline_fit_transform(spark, sf):
     out = model.transform(s.where("split = 'test'"))
     return out.select("customer_id", vector_to_array("features").alias("features"),
                       F.lit(names).alias("selected"))
+
+
+DONOR_SEGMENT_FEATURES = ["amt_all", "frequency_gifts", "recency_days", "Q4"]
+
+
+@query("donor_segments")
+def donor_segments(spark, sf):
+    """k-means (k=5) on the scaled donor mart, then every feature described
+    per segment in original units (count, mean, std, min, quartiles, max)."""
+    c, o = tables(spark, sf, "customer", "orders")
+    mart = cut_lineage(D.donor_mart(c, o))  # read by the fit, k-means and the profile
+    st = EN.zscore_fit(mart, DONOR_SEGMENT_FEATURES).first().asDict()
+    z = EN.zscore_transform(mart, st, DONOR_SEGMENT_FEATURES)
+    assigned, _ = T.kmeans_segments(z, [f"{f}_z" for f in DONOR_SEGMENT_FEATURES], k=5, seed=1)
+    assigned = cut_lineage(assigned)
+    from ..operators.profile import describe_by_group
+    return describe_by_group(assigned, "cluster", DONOR_SEGMENT_FEATURES)
