@@ -63,11 +63,27 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequen
 
 
 def global_rank(df: DataFrame, order: Sequence[tuple[str, bool]], name: str = "rank",
-                **kw) -> DataFrame:
-    """1-based position in ``order`` (``row_number`` without one task)."""
-    x = df.withColumn("_one", F.lit(1).cast("long"))
-    r = prefix_sums(x, order, ["_one"], **kw)
-    return r.drop("_one").withColumnRenamed("cum__one", name)
+                n_ranges: int | None = None, **kw) -> DataFrame:
+    """1-based position in ``order`` (``row_number`` without one task).
+
+    Rows are range-partitioned on the full order key and pinned; inside each
+    range they are sorted and numbered by their position in the partition
+    (``monotonically_increasing_id`` keeps the position in its low 33 bits),
+    so no window and no second shuffle of the rows is needed; per-range row
+    counts (one row per range) give the offsets.  ``order`` must be a total
+    order (end it with a unique column).
+    """
+    oc = _order_cols(order)
+    r = df.repartitionByRange(n_ranges, *oc) if n_ranges else df.repartitionByRange(*oc)
+    r = cut_lineage(r.withColumn("_rid", F.spark_partition_id()))
+    local = r.sortWithinPartitions(*oc).withColumn(
+        "_pos", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = r.groupBy("_rid").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_rid", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    out = local.join(F.broadcast(offsets), "_rid")  # one row per range
+    return out.select(*[F.col(f"`{c}`") for c in df.columns],
+                      (F.col("_pos") + F.col("_off") + 1).alias(name))
 
 
 def rank_within(df: DataFrame, group: str, order: Sequence[tuple[str, bool]],
