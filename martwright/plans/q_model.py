@@ -155,11 +155,19 @@ def _emb(spark, sf):
     return e.select("vec_id", "label", array_to_vector("embedding").alias("v"))
 
 
-@query("vector_standardize")
+@query("vector_standardize", """
+WITH x AS (SELECT vec_id, CAST(UNNEST(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS i
+           FROM embeddings),
+s AS (SELECT i, AVG(v) AS m, STDDEV_SAMP(v) AS sd FROM x GROUP BY i)
+SELECT vec_id, list(round(CASE WHEN sd = 0 THEN 0.0 ELSE (v - m) / sd END, 6) ORDER BY i) AS standardized
+FROM x JOIN s USING (i) GROUP BY vec_id""")
 def vector_standardize(spark, sf):
+    """``StandardScaler`` (centred, sample std) on the embedding vectors,
+    returned as rounded arrays so it can be compared with SQL."""
     e = _emb(spark, sf)
     m = StandardScaler(inputCol="v", outputCol="s", withMean=True, withStd=True).fit(e)
-    return m.transform(e).select("vec_id", vector_to_array("s").alias("standardized"))
+    return m.transform(e).select(
+        "vec_id", F.transform(vector_to_array("s"), lambda x: F.round(x, 6)).alias("standardized"))
 
 
 @query("pca_project")
