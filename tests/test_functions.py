@@ -71,3 +71,27 @@ def test_bucket_ranges_generic(spark):
     df = spark.createDataFrame([(1,), (5,), (20,)], "x int")
     got = [r[0] for r in df.select(bucket_ranges("x", [(2, "a"), (10, "b")], "c")).collect()]
     assert got == ["a", "b", "c"]
+
+
+def test_null_keys_dropped_and_numeric_only_fill(spark):
+    from martwright.operators.aggregate import entity_aggregates
+    from martwright.operators.columns import fill_nulls
+    df = spark.createDataFrame([(1, 2.0, "a"), (None, 5.0, None), (1, float("nan"), None), (2, None, "b")],
+                               "k int, x double, s string")
+    agg = {r.k: r.count_x for r in entity_aggregates(df, "k", {"x": ["count"]}).collect()}
+    assert agg == {1: 2, 2: 0}                      # the null key is not a group
+    ided = df.withColumn("id", F.monotonically_increasing_id())
+    filled = sorted(fill_nulls(ided, 0, subset=["x", "s"]).collect(), key=lambda r: r.id)
+    assert [r.x for r in filled] == [2.0, 5.0, 0.0, 0.0]   # NaN and null -> 0
+    assert [r.s for r in filled] == ["a", None, None, "b"]  # strings keep their nulls
+
+
+def test_pivot_absent_category_and_ties_in_top_k(spark):
+    from martwright.operators.aggregate import pivot_agg
+    from martwright.operators.ordering import top_k
+    df = spark.createDataFrame([(1, "x", 2.0), (1, "x", 3.0), (2, "y", 4.0)], "k int, c string, v double")
+    p = {r.k: (r.sum_x, r.sum_y, r.n_x) for r in pivot_agg(
+        df, "k", "c", [("sum", "v", "sum"), ("count", "v", "n")], values=["x", "y"]).collect()}
+    assert p == {1: (5.0, None, 2), 2: (None, 4.0, 0)}      # absent: null sum, zero count
+    t = spark.createDataFrame([(i, 1.0) for i in range(5)], "id int, s double")
+    assert [r.id for r in top_k(t, [("s", True), ("id", False)], 3).collect()] == [0, 1, 2]
