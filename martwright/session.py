@@ -37,7 +37,8 @@ _STATIC = {
 def get_spark(master: str | None = None, app: str = "martwright",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session with the library's defaults.
+    """Build a session with the library's defaults, or return the active one
+    untouched (apart from explicit ``extra`` SQL settings / partitions).
 
     ``master`` is only set when given, so on a cluster the submit-time master
     wins; the runtime defaults above are applied only where the submit
@@ -46,6 +47,15 @@ def get_spark(master: str | None = None, app: str = "martwright",
     it to ~2-3x the total cores and let AQE coalesce small ones.
     """
     extra = dict(extra or {})
+    existing = SparkSession.getActiveSession()
+    if existing is not None:
+        # reuse the caller's session as configured; only explicit requests apply
+        for k, v in extra.items():
+            if k.startswith("spark.sql."):
+                existing.conf.set(k, v)
+        if shuffle_partitions:
+            existing.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+        return existing
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master)
@@ -58,6 +68,12 @@ def get_spark(master: str | None = None, app: str = "martwright",
             spark.conf.set(k, v)
     if shuffle_partitions:
         spark.conf.set("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    elif not any(submitted.contains(k) or k in extra for k in (
+            "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.initialPartitionNum")):
+        # nothing sized at submit time: start shuffles wide (8 per core) and
+        # let AQE coalesce them to the advisory size
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum",
+                       str(max(200, 8 * spark.sparkContext.defaultParallelism)))
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
