@@ -51,8 +51,7 @@ def dummies(df: DataFrame, c: str, values: Sequence | None = None,
 # frequency string index
 # ---------------------------------------------------------------------------
 
-def string_index(df: DataFrame, c: str, out: str | None = None,
-                 max_values: int = 100_000) -> DataFrame:
+def string_index(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
     """Index categories by descending frequency, ties by value (the order of
     ``StringIndexer(stringOrderType='frequencyDesc')``); null stays null.
 
