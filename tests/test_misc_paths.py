@@ -65,3 +65,15 @@ def test_batch_entry_point_writes_marts(spark, tmp_path):
           "--as-of", "2001-08-02", "--after", "1998-09-01"])
     cols = spark.read.option("header", True).csv(out2).columns
     assert "n_subscriptions_2001" in cols and "label" in cols
+
+
+def test_batch_segments_rows_and_centres(spark, tmp_path):
+    from martwright.__main__ import main
+    out = str(tmp_path / "seg")
+    main(["segments", "bank", "--tables", "/root/testdata/sf0.001", "--out", out, "--k", "3",
+          "--features", "total_sum_trans,total_trans,days_since_last_trans,balance"])
+    centres = spark.read.option("header", True).csv(out + "/centres")
+    assert centres.count() == 3 and "total_sum_trans_w_centre" in centres.columns
+    rows = spark.read.parquet(out + "/rows")
+    assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
+    assert {r.cluster for r in rows.select("cluster").distinct().collect()} == {0, 1, 2}
