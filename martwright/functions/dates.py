@@ -19,9 +19,16 @@ def parse_yymmdd(c, century: str = "19") -> Column:
 
 
 def parse_compact_ts(c, century: str = "19") -> Column:
-    """``YYMMDD HH:MM:SS`` string -> timestamp without time zone."""
-    return F.to_timestamp_ntz(F.concat(F.lit(century), _col(c)),
-                              F.lit("yyyyMMdd HH:mm:ss"))
+    """``YYMMDD HH:MM:SS`` string -> timestamp without time zone; text of
+    another shape gives null instead of failing the job."""
+    x = _col(c)
+    well_formed = x.rlike(r"^[0-9]{6} [0-9]{2}:[0-9]{2}:[0-9]{2}$")
+
+    def part(pos, n=2):
+        return F.substring(x, pos, n).cast("int")
+    ts = F.try_make_timestamp_ntz(F.lit(int(century) * 100) + part(1), part(3), part(5),
+                                  part(8), part(11), part(14).cast("decimal(8,6)"))
+    return F.when(well_formed, ts)
 
 
 def days_between(end, start) -> Column:

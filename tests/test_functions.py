@@ -38,6 +38,11 @@ def test_birth_number(spark):
     assert tuple(rows[2]) == (1945, 12, 31, "M", 54, 50)
 
 
+def test_compact_ts_bad_text_is_null(spark):
+    df = spark.createDataFrame([("931345 10:00:00",), ("garbage",), ("930101 24:00:00",)], "t string")
+    assert [r[0] for r in df.select(parse_compact_ts("t")).collect()] == [None, None, None]
+
+
 def test_yymmdd_and_compact_ts(spark):
     df = spark.createDataFrame([(930101, "930101 10:11:12"), (50307, "050307 00:00:00"), (None, None)],
                                "d int, t string")
