@@ -52,9 +52,9 @@ def decode_birth_number(c, eval_year: int = 1999, century: int = 1900) -> dict:
     ``eval_year``) and ``age_group`` (decade: ``age // 10 * 10``).
     """
     s = F.lpad(_col(c).cast("string"), 6, "0")
-    yy = F.substring(s, 1, 2).cast("int")
-    mm = F.substring(s, 3, 2).cast("int")
-    dd = F.substring(s, 5, 2).cast("int")
+    yy = F.substring(s, 1, 2).try_cast("int")
+    mm = F.substring(s, 3, 2).try_cast("int")
+    dd = F.substring(s, 5, 2).try_cast("int")
     year = (F.lit(century) + yy)
     female = mm > F.lit(50)
     month = F.when(female, mm - F.lit(50)).otherwise(mm)
