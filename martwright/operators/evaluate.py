@@ -125,7 +125,9 @@ def gains_by_decile(df: DataFrame, label: str, score: str, key: list[str], bucke
     d = t.groupBy("decile").agg(F.count(F.lit(1)).alias("n"), F.sum(label).alias("positives"))
     # ``buckets`` rows: one range is enough
     c = prefix_sums(d, [("decile", False)], ["n", "positives"], pin=False, n_ranges=1)
+    dbl = lambda x: x.cast("double")
     return c.select("decile", "n", "positives", F.col("cum_positives"),
-                    (F.col("cum_positives") / p_all).alias("gain"),
-                    (F.col("positives") / F.col("n")).alias("response"),
-                    ((F.col("cum_positives") / F.col("cum_n")) / (p_all / n_all)).alias("lift"))
+                    F.try_divide(dbl(F.col("cum_positives")), dbl(p_all)).alias("gain"),
+                    F.try_divide(dbl(F.col("positives")), dbl(F.col("n"))).alias("response"),
+                    F.try_divide(F.try_divide(dbl(F.col("cum_positives")), dbl(F.col("cum_n"))),
+                                 F.try_divide(dbl(p_all), dbl(n_all))).alias("lift"))
