@@ -147,6 +147,9 @@ def describe_by_group(df: DataFrame, group: str, columns: Sequence[str],
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if exact:
         groups = df.select(group).distinct().limit(max_select_groups + 1).collect()
+        if not groups:
+            return out.select(group, "column", *[(F.col(m) if m in out.columns else F.lit(None))
+                                                 .cast("double").alias(m) for m in _STATS])
         if len(groups) <= max_select_groups:
             # few groups: histogram selection on group-masked columns
             from .select import interpolated_quantiles

@@ -67,6 +67,8 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str =
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     m = counts.agg(F.max("_n")).first()[0]
+    if m is None:  # no rows: nothing to copy
+        return df.withColumn("copy", F.lit(1).cast("long"))
     plan = counts.select(label, "_n", F.floor(F.lit(m) / F.col("_n")).alias("_full"),
                          (F.lit(m) % F.col("_n")).alias("_rest"))
     x = df.withColumn("_h", key_hash(keys, seed))
