@@ -146,6 +146,8 @@ def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
         values.append(None)
     elif null_category == "drop":
         values = [v for v in values if v is not None]
+    if not values:  # nothing to pivot (e.g. no data): the keys alone
+        return df.groupBy(*keys).count().drop("count")
     return df.groupBy(*keys).agg(*pivot_aggs(pivot_col, values, aggs, name_fmt))
 
 

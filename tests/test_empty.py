@@ -39,3 +39,10 @@ def test_encoders_and_samplers_on_empty(spark):
     assert global_rank(e, [("id", False)]).count() == 0
     assert exact_quantiles(e, "s", [0.5], group="g").count() == 0
     assert G.pivot_agg(e, "id", "g", [("sum", "s", "t")], values=["a"]).count() == 0
+
+
+def test_discovery_on_empty(spark):
+    e = _empty(spark)
+    assert G.pivot_agg(e, "id", "g", [("sum", "s", "t")]).columns == ["id"]
+    assert EN.dummies(e, "g").columns == ["id", "y", "s"]
+    assert EN.string_index(e, "g").count() == 0
