@@ -239,3 +239,13 @@ def test_describe_by_group_null_group_and_both_paths(spark):
         got = {r.g: (r.p25, r.p50, r.p75, r["count"]) for r in describe_by_group(df, "g", ["a"], max_select_groups=limit).collect()}
         assert got["g1"] == (2.5, 5.0, 7.5, 11.0)
         assert got[None] == (2.0, 3.0, 4.0, 3.0)
+
+
+def test_dummies_unseen_and_empty_category(spark):
+    train = spark.createDataFrame([("a",), ("b",)], "g string")
+    values = G.discover_values(train, "g")
+    test = spark.createDataFrame([("a",), ("zzz",), ("",), (None,)], "g string")
+    rows = [tuple(r) for r in EN.dummies(test, "g", values=values, prefix="g").collect()]
+    assert rows == [(1, 0), (0, 0), (0, 0), (0, 0)]          # unseen, empty, null -> all 0
+    e = EN.dummies(test, "g", prefix="g")                    # discovered: '' becomes 'blank'
+    assert e.columns == ["g_blank", "g_a", "g_zzz"]
