@@ -6,7 +6,8 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
+# MARTWRIGHT_TEST_SF=/root/testdata/sf0.01 runs the table-based tests on a larger scale factor
+SF_SMALL = os.environ.get("MARTWRIGHT_TEST_SF", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
