@@ -67,7 +67,8 @@ def subscription_features(t: DataFrame, as_of_date: str = AS_OF,
     one aggregate per customer."""
     t = t.where(F.col("customer_id").isNotNull()).withColumn("start_year", F.year("start_date"))
     days = F.datediff("end_date", "start_date")
-    months = F.months_between("end_date", "start_date", roundOff=True)
+    # 8-digit values summed as decimals: the mean is exact and order-free
+    months = F.months_between("end_date", "start_date", roundOff=True).cast("decimal(18,8)")
     totals = [
         F.count("subscription_id").alias("n_subscription_rows"),
         F.round(agg_expr("mean", days), 6).alias("avg_days_subscription"),

@@ -271,7 +271,7 @@ def _churn_sql(as_of: str = CH.AS_OF, after: str | None = None, years=None) -> s
     totals = [
         ("n_subscription_rows", "COUNT(subscription_id)"),
         ("avg_days_subscription", "round(CAST(SUM(date_diff('day', start_date, end_date)) AS DOUBLE) / COUNT(date_diff('day', start_date, end_date)), 6)"),
-        ("avg_months_subscription", f"round(SUM({_mb_sql('end_date', 'start_date')}) / COUNT(end_date), 6)"),
+        ("avg_months_subscription", f"round(CAST(SUM(CAST({_mb_sql('end_date', 'start_date')} AS DECIMAL(18,8))) AS DOUBLE) / COUNT(end_date), 6)"),
         ("sum_meals", "SUM(meals)"), ("min_price", "MIN(price)"), ("max_price", "MAX(price)"),
         ("avg_price", "CAST(SUM(price) AS DOUBLE) / COUNT(price)"), ("sum_price", "SUM(price)"),
         ("min_discount", "MIN(discount)"), ("max_discount", "MAX(discount)"),
