@@ -63,12 +63,29 @@ _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 _QS = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
-def _plain_exprs(c: str) -> dict:
+def _plain_exprs(c: str, exact_decimal: bool = False) -> dict:
+    """count, mean, sample std, min, max.  For decimal columns the mean and
+    std come from exact decimal sums of x and x^2 (order-independent, so
+    every engine and partitioning gives the same double)."""
     x = F.col(c).cast("double")
+    if exact_decimal:
+        d = F.col(c)
+        n = F.count(d).cast("double")
+        s1 = F.sum(d).cast("double")
+        s2 = F.sum(d * d).cast("double")
+        var = F.try_divide(s2 - s1 * s1 / n, n - 1)
+        return {"count": n, "mean": F.try_divide(s1, n),
+                "std": F.when(n > 1, F.sqrt(F.greatest(var, F.lit(0.0)))),
+                "min": F.min(x), "max": F.max(x)}
     return {"count": F.count(x).cast("double"), "mean": F.avg(x), "std": F.stddev_samp(x),
             "min": F.min(x), "max": F.max(x)}
 
 
+def _is_decimal(df: DataFrame, c: str) -> bool:
+    from pyspark.sql.types import DecimalType
+    return isinstance(df.schema[c].dataType, DecimalType)
+
+
 def _approx_exprs(c: str, accuracy: int) -> dict:
     x = F.col(c).cast("double")
     return {m: F.percentile_approx(x, p, accuracy) for m, p in _QS.items()}
@@ -104,7 +121,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
     cols = list(columns or numeric_columns(df))
     exprs = []
     for c in cols:
-        e = _plain_exprs(c)
+        e = _plain_exprs(c, _is_decimal(df, c))
         if not exact:
             e.update(_approx_exprs(c, accuracy))
         exprs += [x.alias(f"{c}\u0001{m}") for m, x in e.items()]
@@ -138,7 +155,7 @@ def describe_by_group(df: DataFrame, group: str, columns: Sequence[str],
     from functools import reduce
     parts = []
     for c in columns:
-        e = _plain_exprs(c)
+        e = _plain_exprs(c, _is_decimal(df, c))
         if not exact:
             e.update(_approx_exprs(c, accuracy))
         g = df.groupBy(group).agg(*[x.alias(m) for m, x in e.items()])

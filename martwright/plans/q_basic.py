@@ -71,23 +71,35 @@ _DESC_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _describe_sql(table: str, cols, group: str | None = None) -> str:
+    """Oracle for ``describe`` over 2-decimal money columns: mean and sample
+    std from exact decimal sums, quartiles by linear interpolation."""
+    def d(c):
+        return f"CAST({c} AS DECIMAL(18,2))"
+
+    def mom(c):
+        n = f"CAST(COUNT({c}) AS DOUBLE)"
+        s1 = f"CAST(SUM({d(c)}) AS DOUBLE)"
+        s2 = f"CAST(SUM({d(c)} * {d(c)}) AS DOUBLE)"
+        return {"count": n, "mean": f"{s1} / {n}",
+                "std": f"CASE WHEN {n} > 1 THEN sqrt(greatest(({s2} - {s1} * {s1} / {n}) / ({n} - 1), 0.0)) END"}
     parts = []
     for c in cols:
-        g = f"{group}, " if group else ""
+        m = mom(c)
+        x = f"CAST({d(c)} AS DOUBLE)"  # the same 2-decimal values as doubles
         if group:
             parts.append(f"""
 SELECT {group}, '{c}' AS "column",
-  round(CAST(COUNT({c}) AS DOUBLE), 6) AS "count", round(AVG({c}), 6) AS mean,
-  round(STDDEV_SAMP({c}), 6) AS std, round(MIN({c}), 6) AS "min",
-  round(QUANTILE_CONT({c}, 0.25), 6) AS p25, round(QUANTILE_CONT({c}, 0.5), 6) AS p50,
-  round(QUANTILE_CONT({c}, 0.75), 6) AS p75, round(MAX({c}), 6) AS "max"
+  round({m['count']}, 6) AS "count", round({m['mean']}, 6) AS mean,
+  round({m['std']}, 6) AS std, round(MIN({x}), 6) AS "min",
+  round(QUANTILE_CONT({x}, 0.25), 6) AS p25, round(QUANTILE_CONT({x}, 0.5), 6) AS p50,
+  round(QUANTILE_CONT({x}, 0.75), 6) AS p75, round(MAX({x}), 6) AS "max"
 FROM {table} GROUP BY {group}""")
         else:
-            for m, e in (("count", f"CAST(COUNT({c}) AS DOUBLE)"), ("mean", f"AVG({c})"),
-                         ("std", f"STDDEV_SAMP({c})"), ("min", f"MIN({c})"),
-                         ("p25", f"QUANTILE_CONT({c}, 0.25)"), ("p50", f"QUANTILE_CONT({c}, 0.5)"),
-                         ("p75", f"QUANTILE_CONT({c}, 0.75)"), ("max", f"MAX({c})")):
-                parts.append(f"SELECT {g}'{c}' AS \"column\", '{m}' AS metric, "
+            for name, e in (("count", m["count"]), ("mean", m["mean"]), ("std", m["std"]),
+                            ("min", f"MIN({x})"), ("p25", f"QUANTILE_CONT({x}, 0.25)"),
+                            ("p50", f"QUANTILE_CONT({x}, 0.5)"), ("p75", f"QUANTILE_CONT({x}, 0.75)"),
+                            ("max", f"MAX({x})")):
+                parts.append(f"SELECT '{c}' AS \"column\", '{name}' AS metric, "
                              f"round(CAST({e} AS DOUBLE), 6) AS value FROM {table}")
     return "\nUNION ALL\n".join(parts)
 
@@ -95,13 +107,14 @@ FROM {table} GROUP BY {group}""")
 @query("profile_describe", _describe_sql("lineitem", _DESC_COLS))
 def profile_describe(spark, sf):
     (li,) = tables(spark, sf, "lineitem")
-    return P.describe(li, _DESC_COLS).withColumn("value", F.round("value", 6))
+    money_cols = li.select(*[C.money(c).alias(c) for c in _DESC_COLS])  # 2-decimal amounts
+    return P.describe(money_cols, _DESC_COLS).withColumn("value", F.round("value", 6))
 
 
 @query("describe_by_group", _describe_sql("events", ["value"], group="event_type"))
 def describe_by_group(spark, sf):
     (ev,) = tables(spark, sf, "events")
-    d = P.describe_by_group(ev, "event_type", ["value"])
+    d = P.describe_by_group(ev.select("event_type", C.money("value").alias("value")), "event_type", ["value"])
     return d.select("event_type", "column", *[F.round(m, 6).alias(m) for m in P._STATS])
 
 
