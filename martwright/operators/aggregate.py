@@ -127,6 +127,36 @@ def pivot_aggs(pivot_col: str, values: Sequence, aggs: Sequence[tuple[str, str |
     return out
 
 
+def ordered_mean_aggs(pivot_col: str, values: Sequence, inner_col: str, inner_values: Sequence,
+                      value_col: str, alias: str) -> tuple[list[Column], list[Column]]:
+    """Mean over inner groups of ``value_col`` per pivot value, summed in a
+    FIXED inner order: ``(aggregates, projections)``.
+
+    Each ``(pivot, inner)`` cell holds one value (one row per inner group),
+    taken with ``max``; the projection adds the cells in ``inner_values``
+    order, so the double result does not depend on the order in which
+    shuffled partial rows arrive (a plain ``avg`` over them would).
+    """
+    p, i = F.col(pivot_col), F.col(inner_col)
+    aggs, post = [], []
+    for a, v in enumerate(values):
+        cells = []
+        for b, u in enumerate(inner_values):
+            name = f"_om{a}_{b}"
+            aggs.append(F.max(F.when((p == F.lit(v)) & (i == F.lit(u)), F.col(value_col))).alias(name))
+            cells.append(F.col(name))
+        total = None
+        for c in cells:
+            term = F.coalesce(c.cast("double"), F.lit(0.0))
+            total = term if total is None else total + term
+        cnt = None
+        for c in cells:
+            term = c.isNotNull().cast("int")
+            cnt = term if cnt is None else cnt + term
+        post.append(F.when(cnt > 0, total / cnt).alias(f"{alias}_{safe_name(v)}"))
+    return aggs, post
+
+
 def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
               aggs: Sequence[tuple[str, str | None, str]], values: Sequence | None = None,
               null_category: str = "drop", max_values: int = 256,
@@ -153,7 +183,8 @@ def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
 
 def pivot_mean_of_groups(df: DataFrame, key: str, pivot_col: str, inner_col: str,
                          value_col: str, values: Sequence | None = None,
-                         combine: str = "mean", max_values: int = 256) -> DataFrame:
+                         combine: str = "mean", max_values: int = 256,
+                         inner_values: Sequence | None = None) -> DataFrame:
     """Aggregate on ``(key, pivot, inner)`` first, then pivot on ``pivot``.
 
     Step 1 computes count, sum and mean of ``value_col`` per
@@ -169,13 +200,18 @@ def pivot_mean_of_groups(df: DataFrame, key: str, pivot_col: str, inner_col: str
     """
     if values is None:
         values = discover_values(df, pivot_col, max_values)
+    if inner_values is None:
+        inner_values = discover_values(df, inner_col, max_values)
     g = (df.where(F.col(key).isNotNull() & F.col(pivot_col).isNotNull())
          .groupBy(key, pivot_col, inner_col)
          .agg(F.count(value_col).alias("_n"), F.sum(value_col).alias("_s"),
               agg_expr("mean", value_col).alias("_m")))
     fn = "mean" if combine == "mean" else "sum"
-    aggs = [(fn, "_n", "count"), (fn, "_s", "sum"), ("mean", "_m", "mean")]
-    return g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs))
+    aggs = [(fn, "_n", "count"), (fn, "_s", "sum")]
+    om_aggs, om_post = ordered_mean_aggs(pivot_col, values, inner_col, inner_values, "_m", "mean")
+    out = g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs), *om_aggs)
+    firsts = [f"{a}_{safe_name(v)}" for v in values for a in ("count", "sum")]
+    return out.select(key, *firsts, *om_post)
 
 
 # ---------------------------------------------------------------------------

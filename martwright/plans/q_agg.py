@@ -136,7 +136,9 @@ FROM ({_trans_sql()}) t GROUP BY 1, 2, 3"""
         c = f"operation = '{v}'"
         cols += [f"SUM(CASE WHEN {c} THEN n END) / COUNT(CASE WHEN {c} THEN n END) AS op_count_{nm}",
                  f"CAST(SUM(CASE WHEN {c} THEN s END) AS DOUBLE) / COUNT(CASE WHEN {c} THEN s END) AS op_sum_{nm}",
-                 f"round(SUM(CASE WHEN {c} THEN m END) / COUNT(CASE WHEN {c} THEN m END), 6) AS op_mean_{nm}"]
+                 "round((" + " + ".join(
+                     f"COALESCE(MAX(CASE WHEN {c} AND k_symbol = '{u}' THEN m END), 0.0)" for u in B.K_SYMBOLS)
+                 + f") / NULLIF(COUNT(CASE WHEN {c} THEN m END), 0), 6) AS op_mean_{nm}"]
     return f"SELECT account_id, {', '.join(cols)} FROM ({inner}) g GROUP BY account_id"
 
 
