@@ -208,6 +208,9 @@ def pivot_mean_of_groups(df: DataFrame, key: str, pivot_col: str, inner_col: str
               agg_expr("mean", value_col).alias("_m")))
     fn = "mean" if combine == "mean" else "sum"
     aggs = [(fn, "_n", "count"), (fn, "_s", "sum")]
+    if len(values) * len(inner_values) > 4096:
+        # too many cells for a fixed-order sum: plain mean of the group means
+        return g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs + [("mean", "_m", "mean")]))
     om_aggs, om_post = ordered_mean_aggs(pivot_col, values, inner_col, inner_values, "_m", "mean")
     out = g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs), *om_aggs)
     firsts = [f"{a}_{safe_name(v)}" for v in values for a in ("count", "sum")]
