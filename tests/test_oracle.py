@@ -64,3 +64,22 @@ def test_every_query_has_callable():
     q = entry.queries()
     assert set(entry.oracle_sql()) <= set(q)
     assert len(q) >= 80
+
+
+ORDER_SENSITIVE = ["mart_bank", "pivot_mean_of_groups", "profile_describe", "corr_matrix",
+                   "chi2_statistic", "auc_score", "gains_by_decile", "mart_churn"]
+
+
+@pytest.mark.parametrize("name", ORDER_SENSITIVE)
+def test_oracle_under_other_partitioning(spark, sf_dir, con, name):
+    """Values must not depend on how many shuffle partitions meet."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "37")
+    try:
+        df = entry.queries()[name](spark, sf_dir)
+        srows = [tuple(r) for r in df.collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    cur = con.execute(entry.oracle_sql()[name])
+    ocols = [d[0] for d in cur.description]
+    assert _rows(df.columns, srows) == _rows(ocols, cur.fetchall())
