@@ -77,3 +77,11 @@ def test_batch_segments_rows_and_centres(spark, tmp_path):
     rows = spark.read.parquet(out + "/rows")
     assert rows.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count()
     assert {r.cluster for r in rows.select("cluster").distinct().collect()} == {0, 1, 2}
+
+
+def test_every_query_is_documented():
+    import os
+    import __spark_entry__ as entry
+    readme = open(os.path.join(os.path.dirname(os.path.dirname(__file__)), "README.md")).read()
+    missing = [n for n in entry.queries() if f"`{n}`" not in readme]
+    assert not missing, missing
