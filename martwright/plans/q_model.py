@@ -199,8 +199,8 @@ COUNT_FEATURES = ["n_subscription_rows", "n_subscriptions_1995", "n_subscription
                   "n_complaints_signup", "n_complaints_view"]
 
 
-@query("pipeline_fit_transform")
-def pipeline_fit_transform(spark, sf):
+@query("feature_steps_fit_transform")
+def feature_steps_fit_transform(spark, sf):
     """assemble -> chi-square top 6 -> standardise -> PCA(3), fitted on the
     training split only and applied to the test split; the selected column
     names are returned with each row."""
