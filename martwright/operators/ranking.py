@@ -7,6 +7,8 @@ third of the rows is split by the tie-break columns), takes running sums
 inside each range with a window partitioned by range id, and adds the
 totals of all earlier ranges.  The per-range totals table has one row per
 range, so it is bounded by the partition count and can be broadcast.
+``global_rank`` needs no window at all: positions inside the sorted, pinned
+ranges plus per-range row counts.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequen
 
     ``n_ranges`` fixes the number of ranges; by default Spark's shuffle
     partition count is used and AQE coalesces neighbouring ranges (which
-    keeps them ordered).  The range-partitioned rows are pinned with a reliable checkpoint in the
-    shared folder, so the running sums and the per-range totals read the
+    keeps them ordered).  The range-partitioned rows are pinned with a
+    reliable checkpoint in the shared folder, so the running sums and the
+    per-range totals read the
     SAME range assignment.  (Two unpinned branches would each sample their
     own range bounds and disagree: measured, AUC drifted run to run.)
     ``pin=False`` is honoured only for a single range, where the assignment
@@ -53,7 +56,7 @@ def prefix_sums(df: DataFrame, order: Sequence[tuple[str, bool]], values: Sequen
              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
     local = r.select("*", *[F.coalesce(F.sum(v).over(frame), F.lit(0)).alias(f"_loc_{v}") for v in values])
     totals = r.groupBy("_rid").agg(*[F.sum(v).alias(f"_t_{v}") for v in values])
-    # one row per range: the ordered window over it is bounded by n_ranges
+    # one row per range: the ordered window over it is bounded by the range count
     before = Window.orderBy("_rid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_rid", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0))
                                       .alias(f"_off_{v}") for v in values])
