@@ -73,3 +73,29 @@ def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
     """``mapInArrow`` with this package at hand in the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
+
+
+def row_key(id_col: str, text_col: str) -> list[Column]:
+    """``_id, _th``: what tells rows of a documents table apart; rows equal in
+    both repeat each other."""
+    return [F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_th")]
+
+
+def keep_rows(df: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``df``, all columns, whose key ``decided`` (``_id, _th, _keep``
+    and ``_n``, the rows with that key; pinned) keeps; of rows that repeat a
+    kept key, one.  Only the keys that go travel to the texts."""
+    cols = df.columns
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"),
+                     *[c.alias(n) for c, n in zip(row_key(id_col, text_col), ("_i", "_t"), strict=True)])
+
+    def hit(keys: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        return left.join(keys.select("_id", "_th"),
+                         F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), how)
+
+    left = hit(decided.filter("not _keep"), "left_anti", rows)
+    twice = decided.filter("_keep and _n > 1")
+    if twice.isEmpty():
+        return left.select("_r.*")
+    many = hit(twice, "left_semi", left).groupBy("_i", "_t").agg(F.first("_r").alias("_r"))
+    return hit(twice, "left_anti", left).select("_r").unionByName(many.select("_r")).select("_r.*")
