@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, simhash, token_files, warc
+from . import ann, bpe, exact_dedup, mixing, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +44,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_dedup(table(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    return toxicity.fit(documents, labels.filter(~toxicity.held_out("doc_id")))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted", "worst")
+
+
 @query("op3_bpe_encode_decode")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer()))
