@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, mixing, simhash, token_files, toxicity, warc
+from . import ann, bpe, exact_dedup, licenses, mixing, quality, simhash, token_files, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,6 +61,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+@query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), min_coverage=0.8)
+
+
 @query("op5_token_files")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer(), end_id=0)
@@ -83,6 +88,15 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_through_warc(spark, table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+@query("op7_quality_bayes")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts are the sources, paths the languages of a source."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels.filter(~toxicity.held_out("doc_id")))
+    return quality.score(docs, model, F.col("source"), F.concat_ws("/", "source", "lang")).withColumn(
+        "held_out", toxicity.held_out("doc_id"))
+
+
 @query("op8_nearest_neighbours", """
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
