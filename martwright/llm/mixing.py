@@ -90,9 +90,11 @@ def source_rates(df: DataFrame, source_col: str, weights: Mapping | None, total:
 
 
 def mix_sources(df: DataFrame, weights: Mapping | None = None, id_col: str = "doc_id",
-                source_col: str = "source", total: float | None = None, seed: str = "mix") -> DataFrame:
-    """Every column of ``df``, each row repeated by its Poisson count, plus
-    ``_copy`` (from 1), ``_rate`` and ``_order`` (the shuffle key), globally shuffled."""
+                source_col: str = "source", total: float | None = None, seed: str = "mix",
+                numbered: bool = True) -> DataFrame:
+    """Every column of ``df``, each row repeated by its Poisson count, globally
+    shuffled; if ``numbered``, with ``_copy`` (from 1), ``_rate`` and ``_order``
+    (the shuffle key)."""
     rates = source_rates(df, source_col, weights, total).select("_source", "_rate")
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
@@ -107,4 +109,4 @@ def mix_sources(df: DataFrame, weights: Mapping | None = None, id_col: str = "do
                                                       F.coalesce(F.col("_id").cast("string"), F.lit("null")),
                                                       F.col("_copy")))))
     dealt = copies.repartition("_order").sortWithinPartitions("_order")
-    return dealt.select("_r.*", "_copy", "_rate", "_order")
+    return dealt.select("_r.*", *(["_copy", "_rate", "_order"] if numbered else []))
