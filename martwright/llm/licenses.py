@@ -176,9 +176,11 @@ class TemplateIndex:
                     taken.append((a, b))
                     out.append((self.names[t], k / size, k, b - a, spans[a][0], spans[b - 1][1]))
         def better_read(x):
-            """Inexact, and inside a match of another template that holds more of the words."""
-            return (x[1] < 1 or x[3] > x[2]) and any(
-                y[0] != x[0] and y[4] <= x[4] and x[5] <= y[5] and y[2] > x[2] for y in out)
+            """Inexact, and inside a match of another template that holds more of
+            the words, or as many and is exact."""
+            exact = lambda m: m[1] == 1 and m[3] == m[2]
+            return not exact(x) and any(y[0] != x[0] and y[4] <= x[4] and x[5] <= y[5]
+                                        and y[2] + exact(y) > x[2] for y in out)
         return sorted((x for x in out if not better_read(x)), key=lambda x: (x[4], x[5], x[0]))
 
 
