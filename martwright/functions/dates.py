@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from .recode import _col
 
 
+def _six_digits(c) -> Column:
+    """Up to six digits, leading zeros restored; anything else (longer text,
+    other characters) is null, never a prefix of it."""
+    s = _col(c).cast("string")
+    return F.when(s.rlike("^[0-9]{1,6}$"), F.lpad(s, 6, "0"))
+
+
 def parse_yymmdd(c, century: str = "19") -> Column:
     """``YYMMDD`` integer (leading zero may be lost) -> date, century prefixed.
 
     Spark's two-digit-year rule would map ``930101`` to 2093, so the century
     is always spelled out.  Unparsable values give null.
     """
-    s = F.lpad(_col(c).cast("string"), 6, "0")
+    s = _six_digits(c)
     return F.try_to_date(F.concat(F.lit(century), s), "yyyyMMdd")
 
 
@@ -51,7 +58,7 @@ def decode_birth_number(c, eval_year: int = 1999, century: int = 1900) -> dict:
     number is null), ``age`` (at
     ``eval_year``) and ``age_group`` (decade: ``age // 10 * 10``).
     """
-    s = F.lpad(_col(c).cast("string"), 6, "0")
+    s = _six_digits(c)
     yy = F.substring(s, 1, 2).try_cast("int")
     mm = F.substring(s, 3, 2).try_cast("int")
     dd = F.substring(s, 5, 2).try_cast("int")

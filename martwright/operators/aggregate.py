@@ -55,6 +55,20 @@ def safe_name(v) -> str:
     return s or "blank"
 
 
+def safe_names(values: Sequence) -> dict:
+    """``{value: name}``; values that ``safe_name`` renders alike (``A+`` and
+    ``A-``) get a number from the second on, in the order given."""
+    out, taken = {}, set()
+    for v in values:
+        base = name = safe_name(v)
+        k = 2
+        while name.lower() in taken:
+            name, k = f"{base}_{k}", k + 1
+        taken.add(name.lower())
+        out[v] = name
+    return out
+
+
 def entity_aggregates(df: DataFrame, keys: str | Sequence[str],
                       spec: Mapping[str, Sequence[str]],
                       names: Mapping[tuple[str, str], str] | None = None,
@@ -87,21 +101,16 @@ def _all_not_null(cols: Sequence[str]) -> Column:
 # pivots
 # ---------------------------------------------------------------------------
 
-def discover_values(df: DataFrame, c: str, max_values: int = 256,
-                    include_null: bool = False) -> list:
-    """Sorted distinct values of ``c``; errors beyond ``max_values``.
-
-    The distinct runs as a partial aggregate; only at most ``max_values + 1``
-    rows ever reach the driver.
+def discover_values(df: DataFrame, c: str, include_null: bool = False) -> list:
+    """Sorted distinct values of ``c``, for columns known to be categories:
+    each becomes output columns, so the plan holds them all anyway.  Pivots
+    never call this by themselves; for a column of unknown width use the long
+    format (``groupBy(key, column)``) instead.
     """
     q = df.select(c).distinct()
     if not include_null:
         q = q.where(F.col(c).isNotNull())
-    rows = q.limit(max_values + 1).collect()
-    if len(rows) > max_values:
-        raise ValueError(f"{c!r} has more than {max_values} distinct values; "
-                         "pass an explicit values list or raise max_values")
-    vals = [r[0] for r in rows]
+    vals = [r[0] for r in q.collect()]
     return sorted(vals, key=lambda v: (v is not None, v)) if include_null else sorted(vals)
 
 
@@ -115,6 +124,7 @@ def pivot_aggs(pivot_col: str, values: Sequence, aggs: Sequence[tuple[str, str |
     """
     p = F.col(pivot_col)
     out = []
+    named = safe_names(values)
     for v in values:
         cond = p.isNull() if v is None else (p == F.lit(v))
         for fn, c, alias in aggs:
@@ -123,43 +133,13 @@ def pivot_aggs(pivot_col: str, values: Sequence, aggs: Sequence[tuple[str, str |
             else:
                 col = F.col(c) if isinstance(c, str) else c
                 e = agg_expr(fn, F.when(cond, col))
-            out.append(e.alias(name_fmt.format(alias=alias, value=safe_name(v))))
+            out.append(e.alias(name_fmt.format(alias=alias, value=named[v])))
     return out
 
 
-def ordered_mean_aggs(pivot_col: str, values: Sequence, inner_col: str, inner_values: Sequence,
-                      value_col: str, alias: str) -> tuple[list[Column], list[Column]]:
-    """Mean over inner groups of ``value_col`` per pivot value, summed in a
-    FIXED inner order: ``(aggregates, projections)``.
-
-    Each ``(pivot, inner)`` cell holds one value (one row per inner group),
-    taken with ``max``; the projection adds the cells in ``inner_values``
-    order, so the double result does not depend on the order in which
-    shuffled partial rows arrive (a plain ``avg`` over them would).
-    """
-    p, i = F.col(pivot_col), F.col(inner_col)
-    aggs, post = [], []
-    for a, v in enumerate(values):
-        cells = []
-        for b, u in enumerate(inner_values):
-            name = f"_om{a}_{b}"
-            aggs.append(F.max(F.when((p == F.lit(v)) & (i == F.lit(u)), F.col(value_col))).alias(name))
-            cells.append(F.col(name))
-        total = None
-        for c in cells:
-            term = F.coalesce(c.cast("double"), F.lit(0.0))
-            total = term if total is None else total + term
-        cnt = None
-        for c in cells:
-            term = c.isNotNull().cast("int")
-            cnt = term if cnt is None else cnt + term
-        post.append(F.when(cnt > 0, total / cnt).alias(f"{alias}_{safe_name(v)}"))
-    return aggs, post
-
-
 def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
-              aggs: Sequence[tuple[str, str | None, str]], values: Sequence | None = None,
-              null_category: str = "drop", max_values: int = 256,
+              aggs: Sequence[tuple[str, str | None, str]], values: Sequence,
+              null_category: str = "drop",
               name_fmt: str = "{alias}_{value}") -> DataFrame:
     """``groupBy(keys).pivot(pivot_col)`` with several aggregates, one shuffle.
 
@@ -169,8 +149,6 @@ def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
     0 for counts; the mart fill turns both into 0.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    if values is None:
-        values = discover_values(df, pivot_col, max_values, include_null=False)
     values = list(values)
     if null_category == "keep" and None not in values:
         values.append(None)
@@ -181,10 +159,15 @@ def pivot_agg(df: DataFrame, keys: str | Sequence[str], pivot_col: str,
     return df.groupBy(*keys).agg(*pivot_aggs(pivot_col, values, aggs, name_fmt))
 
 
+def group_mean(value_col: str = "_m") -> Column:
+    """The mean of a group as a fixed-point number (8 digits): sums of such
+    means are exact, so they do not depend on the order in which partial rows
+    arrive."""
+    return F.col(value_col).cast("decimal(28,8)")
+
+
 def pivot_mean_of_groups(df: DataFrame, key: str, pivot_col: str, inner_col: str,
-                         value_col: str, values: Sequence | None = None,
-                         combine: str = "mean", max_values: int = 256,
-                         inner_values: Sequence | None = None) -> DataFrame:
+                         value_col: str, values: Sequence, combine: str = "mean") -> DataFrame:
     """Aggregate on ``(key, pivot, inner)`` first, then pivot on ``pivot``.
 
     Step 1 computes count, sum and mean of ``value_col`` per
@@ -196,27 +179,17 @@ def pivot_mean_of_groups(df: DataFrame, key: str, pivot_col: str, inner_col: str
 
     Both steps are partial aggregates; the second runs on already reduced
     rows.  Hashing step 1 on all three keys also spreads a hot entity over
-    many tasks.  The mean of group means adds the inner groups in the fixed
-    order of ``inner_values`` (see ``ordered_mean_aggs``), so its double
-    value does not depend on shuffle order (up to 4096 pivot x inner cells).
+    many tasks.  Group means are added as fixed-point numbers
+    (``group_mean``), whatever the number of inner groups.
     """
-    if values is None:
-        values = discover_values(df, pivot_col, max_values)
-    if inner_values is None:
-        inner_values = discover_values(df, inner_col, max_values)
     g = (df.where(F.col(key).isNotNull() & F.col(pivot_col).isNotNull())
          .groupBy(key, pivot_col, inner_col)
          .agg(F.count(value_col).alias("_n"), F.sum(value_col).alias("_s"),
-              agg_expr("mean", value_col).alias("_m")))
+              agg_expr("mean", value_col).alias("_m"))
+         .withColumn("_m", group_mean()))
     fn = "mean" if combine == "mean" else "sum"
-    aggs = [(fn, "_n", "count"), (fn, "_s", "sum")]
-    if len(values) * len(inner_values) > 4096:
-        # too many cells for a fixed-order sum: plain mean of the group means
-        return g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs + [("mean", "_m", "mean")]))
-    om_aggs, om_post = ordered_mean_aggs(pivot_col, values, inner_col, inner_values, "_m", "mean")
-    out = g.groupBy(key).agg(*pivot_aggs(pivot_col, values, aggs), *om_aggs)
-    firsts = [f"{a}_{safe_name(v)}" for v in values for a in ("count", "sum")]
-    return out.select(key, *firsts, *om_post)
+    return g.groupBy(key).agg(*pivot_aggs(
+        pivot_col, values, [(fn, "_n", "count"), (fn, "_s", "sum"), ("mean", "_m", "mean")]))
 
 
 # ---------------------------------------------------------------------------
@@ -316,7 +289,7 @@ def pivot_calendar(df: DataFrame, key: str, date_col: str, amount_col: str,
         df = df.where(F.col(date_col) < _date(cutoff))
     df = df.where(F.col(key).isNotNull())
     if years is None:
-        years = discover_values(df.select(F.year(date_col).alias("_y")), "_y", 512)
+        years = discover_values(df.select(F.year(date_col).alias("_y")), "_y")
     g = df.groupBy(key).agg(*calendar_aggs(date_col, amount_col, years))
     return g.select(key, *calendar_post(years, quarters, keep_months))
 

@@ -1,8 +1,8 @@
 """Encoding and scaling: dummies, frequency index, winsorising, z-scores.
 
 Fitted state (category lists, caps, means/stds) is always a tiny, bounded
-result: a sorted value list capped by ``max_values``, one order statistic,
-or one row of statistics.  Applying it is a projection with the fitted
+result: a value list that names the output columns, one order statistic, or
+one row of statistics.  Applying it is a projection with the fitted
 values as literals, so transform never shuffles and never joins.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .aggregate import discover_values, safe_name
+from .aggregate import safe_names
 
 
 # ---------------------------------------------------------------------------
@@ -32,16 +32,14 @@ def dummy_columns(c: str, values: Sequence, prefix: str | None = None,
     if drop_first:
         vals = vals[1:]
     x = F.col(c)
+    named = safe_names(vals)
     return [F.coalesce((x == F.lit(v)).cast("int"), F.lit(0)).alias(
-        f"{prefix}_{safe_name(v)}" if prefix else safe_name(v)) for v in vals]
+        f"{prefix}_{named[v]}" if prefix else named[v]) for v in vals]
 
 
-def dummies(df: DataFrame, c: str, values: Sequence | None = None,
-            prefix: str | None = None, drop_first: bool = False, drop_source: bool = True,
-            max_values: int = 256) -> DataFrame:
-    """Append dummy columns for ``c`` (values given, or sorted distinct)."""
-    if values is None:
-        values = discover_values(df, c, max_values)
+def dummies(df: DataFrame, c: str, values: Sequence,
+            prefix: str | None = None, drop_first: bool = False, drop_source: bool = True) -> DataFrame:
+    """Append dummy columns for ``c``, one per value given."""
     keep = [x for x in df.columns if not (drop_source and x == c)]
     return df.select(*[F.col(f"`{x}`") for x in keep],
                      *dummy_columns(c, values, prefix, drop_first))

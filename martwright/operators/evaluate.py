@@ -51,9 +51,10 @@ def weighted_precision(df: DataFrame, label, prediction) -> DataFrame:
     """Sum over classes of precision(class) x share of the class in the labels."""
     y, p = _c(label), _c(prediction)
     per_pred = df.groupBy(p.alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"),
-                                               F.count_if(y == p).alias("n_correct"))
+                                               F.count_if(y.eqNullSafe(p)).alias("n_correct"))
     per_label = df.groupBy(y.alias("cls")).agg(F.count(F.lit(1)).alias("n_label"))
-    j = per_label.join(per_pred, "cls", "left")
+    per_pred = per_pred.withColumnRenamed("cls", "pred")  # rows without a label are a class
+    j = per_label.join(per_pred, F.col("cls").eqNullSafe(F.col("pred")), "left")
     prec = F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_pred").cast("double")),
                       F.lit(0.0))
     # one row per class: the class-share denominator is the sum of the class counts
@@ -99,8 +100,8 @@ def auc_by(df: DataFrame, label, score, group: str, **kw) -> DataFrame:
     sc = df.groupBy(F.col(group).alias("_g"), _c(score).alias("score")).agg(
         F.count_if(y == 1).cast("long").alias("pos"), F.count_if(y == 0).cast("long").alias("neg"))
     cum = prefix_sums(sc, [("_g", False), ("score", False)], ["neg"], inclusive=False, **kw)
-    start = cum.groupBy("_g").agg(F.min("cum_neg").alias("_off"))
-    j = cum.join(start, "_g")
+    start = cum.groupBy(F.col("_g").alias("_s")).agg(F.min("cum_neg").alias("_off"))
+    j = cum.join(start, F.col("_g").eqNullSafe(F.col("_s")))
     below = F.col("cum_neg") - F.col("_off")
     return j.groupBy(F.col("_g").alias(group)).agg(
         F.try_divide(F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2.0)),

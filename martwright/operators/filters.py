@@ -1,4 +1,4 @@
-"""Row filters: as-of splits, open intervals, not-null, SQL predicates."""
+"""Row filters: as-of splits, not-null, SQL predicates."""
 
 from __future__ import annotations
 
@@ -23,11 +23,6 @@ def as_of(df: DataFrame, date_col: str, before: str | None = None,
     return df
 
 
-def between_open(c: str | Column, lo, hi) -> Column:
-    x = F.col(c) if isinstance(c, str) else c
-    return (x > F.lit(lo)) & (x < F.lit(hi))
-
-
 def filter_not_null(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     cond = F.col(cols[0]).isNotNull()
     for c in cols[1:]:

@@ -96,8 +96,8 @@ def rank_within(df: DataFrame, group: str, order: Sequence[tuple[str, bool]],
     rows: a global rank over ``(group, order)`` minus the group's start,
     which comes from a per-group count (one row per group)."""
     g = global_rank(df, [(group, False), *order], "_grank", **kw)
-    starts = g.groupBy(group).agg(F.min("_grank").alias("_start"))
-    return g.join(starts, group).select(
+    starts = g.groupBy(F.col(group).alias("_group")).agg(F.min("_grank").alias("_start"))
+    return g.join(starts, F.col(group).eqNullSafe(F.col("_group"))).select(
         *[F.col(f"`{c}`") for c in df.columns], (F.col("_grank") - F.col("_start") + 1).alias(name))
 
 

@@ -22,68 +22,66 @@ def key_hash(keys: Sequence[str], seed: int | str) -> Column:
     return F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8)
 
 
-def _threshold(frac: float) -> str:
-    return format(min(int(frac * 16 ** 8), 16 ** 8 - 1), "08x")
+def _below(h: Column, frac: float) -> Column:
+    """The hash lies in the first ``frac`` of its range (all of it for 1)."""
+    cut = int(frac * 16 ** 8)
+    return F.lit(cut > 0) if cut >= 16 ** 8 or cut <= 0 else h < F.lit(format(cut, "08x"))
 
 
 def split_hash(df: DataFrame, keys: Sequence[str], train_frac: float = 0.7,
                seed: int | str = 123, name: str = "split") -> DataFrame:
     """Add ``split`` = 'train' / 'test' (a row-local projection)."""
     h = key_hash(keys, seed)
-    return df.withColumn(name, F.when(h < F.lit(_threshold(train_frac)), "train").otherwise("test"))
+    return df.withColumn(name, F.when(_below(h, train_frac), "train").otherwise("test"))
 
 
 def split_stratified(df: DataFrame, label: str, keys: Sequence[str], train_frac: float = 0.7,
                      seed: int | str = 123, name: str = "split") -> DataFrame:
     """Exactly ``round(train_frac * n_class)`` rows of each class go to
     train: rows ranked by key hash within their class (distributed rank, so
-    a dominant class is not one task)."""
+    a dominant class is not one task).  Rows without a label are a class."""
     h = key_hash(keys, seed)
     x = df.withColumn("_h", h)
     r = rank_within(x, label, [("_h", False)] + [(k, False) for k in keys], "_r")
-    n = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    n = df.groupBy(F.col(label).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
     tenths = int(round(train_frac * 10))
     if abs(train_frac * 10 - tenths) > 1e-9:
         cut = F.round(F.col("_n") * train_frac).cast("long")
     else:  # exact integer rounding for x/10 fractions
         cut = F.floor((F.col("_n") * tenths + 5) / 10).cast("long")
     # one row per class; AQE broadcasts it at runtime when it is small
-    return r.join(n, label).withColumn(
-        name, F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_h", "_r", "_n")
+    return r.join(n, F.col(label).eqNullSafe(F.col("_l"))).withColumn(
+        name, F.when(F.col("_r") <= cut, "train").otherwise("test")).drop("_h", "_r", "_n", "_l")
 
 
 def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str = 123,
-               chunk: int = 100_000) -> DataFrame:
-    """Random oversampling of every class to the majority class size.
+               block: int = 1000) -> DataFrame:
+    """Random oversampling of every class to the majority class size; rows
+    without a label are a class.
 
     A class of ``n`` rows (majority ``m``) is copied ``m // n`` times with
     ``explode(sequence)`` and the ``m % n`` rows with the smallest key hash
     are copied once more.  The class-count table has one row per class.
 
-    When one row needs more than ``chunk`` copies (a tiny class next to a
-    huge one) the copies are generated in two steps, blocks of ``chunk``
-    first, spread over tasks by a repartition on ``(keys, block)``, then the
-    copies inside each block, so no single task produces them all.
+    The copies are generated in two steps, blocks of ``block`` first, spread
+    over tasks by ``(keys, block)``, then the copies inside each block, so
+    that no task produces all copies of a tiny class next to a huge one.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     m = counts.agg(F.max("_n")).first()[0]
     if m is None:  # no rows: nothing to copy
         return df.withColumn("copy", F.lit(1).cast("long"))
-    plan = counts.select(label, "_n", F.floor(F.lit(m) / F.col("_n")).alias("_full"),
+    plan = counts.select(F.col(label).alias("_l"), "_n", F.floor(F.lit(m) / F.col("_n")).alias("_full"),
                          (F.lit(m) % F.col("_n")).alias("_rest"))
     x = df.withColumn("_h", key_hash(keys, seed))
     r = rank_within(x, label, [("_h", False)] + [(k, False) for k in keys], "_r")
-    j = r.join(plan, label)  # one row per class; AQE picks the join strategy
+    j = r.join(plan, F.col(label).eqNullSafe(F.col("_l")))  # one row per class; AQE picks the join strategy
     copies = (F.col("_full") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)).cast("long")
     j = j.withColumn("_c", copies)
-    max_copies = (m // max(1, counts.agg(F.min("_n")).first()[0])) + 1
-    if max_copies <= chunk:
-        out = j.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_c"))))
-    else:
-        blocks = j.withColumn("_b", F.explode(F.sequence(
-            F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / chunk).cast("long"))))
-        blocks = blocks.repartition(*[F.col(k) for k in keys], F.col("_b"))
-        first = F.col("_b") * chunk + 1
-        last = F.least(F.col("_c"), (F.col("_b") + 1) * chunk)
-        out = blocks.withColumn("copy", F.explode(F.sequence(first, last))).drop("_b")
-    return out.drop("_h", "_r", "_n", "_full", "_rest", "_c")
+    blocks = j.withColumn("_b", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / block).cast("long"))))
+    blocks = blocks.repartition(*[F.col(k) for k in keys], F.col("_b"))
+    first = F.col("_b") * block + 1
+    last = F.least(F.col("_c"), (F.col("_b") + 1) * block)
+    out = blocks.withColumn("copy", F.explode(F.sequence(first, last)))
+    return out.drop("_h", "_r", "_n", "_full", "_rest", "_c", "_b", "_l")

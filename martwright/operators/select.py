@@ -74,12 +74,15 @@ def select_ranks(df: DataFrame, targets: Mapping[str, Sequence[int]], bins: int
         entries = []
         for rid, (c, lo, hi) in enumerate(ranges):
             width = (hi - lo) / bins
-            if not (width > 0 and math.isfinite(width)):
-                width = None
             x = _clean(c, exprs)
             inside = (x >= F.lit(lo)) & (x <= F.lit(hi))
-            b = F.lit(0) if width is None else F.least(F.floor((x - F.lit(lo)) / F.lit(width)),
-                                                       F.lit(bins - 1))
+            if width > 0 and math.isfinite(width):
+                b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+            else:
+                # infinite ends, ends too far apart or too close for equal widths:
+                # the ends, and the finite values between them by sign
+                b = (F.when(x == F.lit(lo), 0).when(x == F.lit(hi), 4)
+                     .when(x < 0, 1).when(x == 0, 2).otherwise(3))
             entries.append(F.when(inside, F.struct(F.lit(rid).alias("rid"), b.cast("long").alias("b"),
                                                    x.alias("v"))))
         hist = (df.select(F.explode(F.filter(F.array(*entries), lambda e: e.isNotNull())).alias("e"))

@@ -22,8 +22,8 @@ from ..functions.dates import decode_birth_number, parse_compact_ts
 from ..functions.recode import (LOAN_STATUS, ORDER_K_SYMBOL, ORDER_K_SYMBOL_DEFAULT, TRANS_K_SYMBOL,
                                 TRANS_K_SYMBOL_DEFAULT, TRANS_OPERATION, TRANS_OPERATION_DEFAULT,
                                 TRANS_TYPE, TRANS_TYPE_DEFAULT, recode)
-from ..operators.aggregate import (agg_expr, ordered_mean_aggs, pivot_agg, pivot_aggs,
-                                   pivot_mean_of_groups, safe_name)
+from ..operators.aggregate import (agg_expr, group_mean, pivot_aggs, pivot_mean_of_groups,
+                                   safe_name)
 from ..operators.columns import money
 from ..operators.encode import dummy_columns
 from ..operators.joins import build_mart
@@ -62,44 +62,15 @@ def transactions(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
         money("l_extendedprice").alias("amount"))
 
 
-def trans_totals(trans: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
-    g = trans.where(F.col("account_id").isNotNull()).groupBy("account_id").agg(
-        F.min("date").alias("first_trans"), F.max("date").alias("last_trans"),
-        F.count(F.lit(1)).alias("total_trans"),
-        F.sum("amount").cast("double").alias("total_sum_trans"),
-        agg_expr("mean", "amount").alias("mean_all_trans"))
-    return g.select("*", F.datediff(F.to_date(F.lit(eval_date)), "last_trans")
-                    .alias("days_since_last_trans"))
-
-
 def trans_by_operation(trans: DataFrame) -> DataFrame:
     """Pivot on operation of the (operation, k_symbol) group values: the
     mean over k_symbol groups, as the reference's default pivot did."""
     p = pivot_mean_of_groups(trans, "account_id", "operation", "k_symbol", "amount",
-                             values=OPERATIONS, combine="mean", inner_values=K_SYMBOLS)
+                             values=OPERATIONS, combine="mean")
     return p.select("account_id", *[F.col(c).cast("double").alias(f"op_{c}")
                                     for c in p.columns if c != "account_id"])
 
 
-def trans_by_k_symbol(trans: DataFrame) -> DataFrame:
-    p = pivot_agg(trans, "account_id", "k_symbol",
-                  [("count", "amount", "count"), ("sum", "amount", "sum"), ("mean", "amount", "mean")],
-                  values=K_SYMBOLS)
-    return p.select("account_id", *[(F.col(c).cast("double") if not c.startswith("count") else F.col(c))
-                                    .alias(f"ks_{c}") for c in p.columns if c != "account_id"])
-
-
-def standing_orders(orders: DataFrame) -> DataFrame:
-    o = orders.select(F.col("o_custkey").alias("account_id"),
-                      recode(recode("o_orderpriority", ORDER_SYMBOL_CODE), ORDER_K_SYMBOL,
-                             ORDER_K_SYMBOL_DEFAULT).alias("k_symbol"),
-                      money("o_totalprice").alias("amount"))
-    p = pivot_agg(o.where(F.col("account_id").isNotNull()), "account_id", "k_symbol",
-                  [("sum", "amount", "order_sum")], values=ORDER_SYMBOLS)
-    return p.select("account_id", *[F.col(c).cast("double").alias(c) for c in p.columns
-                                    if c != "account_id"])
-
-
 def trans_groups(trans: DataFrame) -> DataFrame:
     """Step 1 of every transaction feature: one partial aggregate per
     ``(account, operation, k_symbol)``.  All account-level features below
@@ -118,8 +89,8 @@ def trans_features(groups: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
     default pivot), the k_symbol pivot (counts, sums, means), and the card
     issue time (latest transaction day as ``YYMMDD HH:MM:SS`` text, decoded
     with the century prefix)."""
-    op = pivot_aggs("operation", OPERATIONS, [("mean", "_n", "op_count"), ("mean", "_s", "op_sum")])
-    om_aggs, om_post = ordered_mean_aggs("operation", OPERATIONS, "k_symbol", K_SYMBOLS, "_m", "op_mean")
+    op = pivot_aggs("operation", OPERATIONS, [("mean", "_n", "op_count"), ("mean", "_s", "op_sum"),
+                                              ("mean", group_mean(), "op_mean")])
     ks = []
     for v in K_SYMBOLS:
         hit = F.col("k_symbol") == F.lit(v)
@@ -130,8 +101,7 @@ def trans_features(groups: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
         F.min("_first").alias("first_trans"), F.max("_last").alias("last_trans"),
         F.sum("_rows").alias("total_trans"), F.sum("_s").cast("double").alias("total_sum_trans"),
         F.try_divide(F.sum("_s").cast("double"), F.sum("_n").cast("double")).alias("mean_all_trans"),
-        *op, *om_aggs, *ks)
-    g = g.select(*[c for c in g.columns if not c.startswith("_om")], *om_post)
+        *op, *ks)
     issued = parse_compact_ts(F.date_format("last_trans", "yyMMdd HH:mm:ss"))
     eval_d = F.to_date(F.lit(eval_date))
     return g.select(*[F.col(c).cast("double").alias(c) if c.startswith("op_") else F.col(c)

@@ -1,11 +1,19 @@
 """Churn mart on the driver tables.
 
 Mapping: subscriptions = ``orders`` (customer ``o_custkey``, start
-``o_orderdate``, payment type ``o_orderstatus``); deliveries = ``lineitem``
-(1:n fan-out, end = ``l_shipdate``, formula type ``l_linestatus``); formula
-/ product lookup = ``part`` (product ``p_type``, duration ``p_size``);
-complaints = ``events`` (``user_id``, ``event_type``); region =
-``nation`` + ``region``.
+``o_orderdate``, payment type ``o_orderstatus``, formula id
+``o_orderpriority``); formula = five rows (type, duration in months), and a
+subscription ends 30 days per month of its formula after its start;
+deliveries = ``lineitem`` (0..n per subscription, delivery date
+``l_shipdate``, class ``l_returnflag``) with the delivered product from
+``part``; complaints = ``events`` (``user_id``, ``event_type``, date ``ts``);
+region = ``nation`` + ``region``.
+
+As-of rule: a training mart takes subscriptions that *ended*, deliveries that
+were *made* and complaints *filed* up to the cut; a scoring mart those from
+the day after it.  Complaints carry dates of their own period, so their cut is
+a parameter of its own.  A subscription without deliveries in the period stays
+(left join); one without a known formula does not (inner join).
 
 Plan shape: the reference builds five aggregates over the same joined
 table and joins them back; here all of them (totals, four pivots, last/first
@@ -17,13 +25,14 @@ column has its own name ``<agg>_<column>_<value>``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.aggregate import agg_expr, pivot_aggs
-from ..operators.columns import money
+from ..operators.columns import decimals_to_double, money
 from ..operators.encode import dummy_columns
 from ..operators.filters import as_of
+from ..sources.sql import rows_to_frame
 
 # as-of date mapped onto the driver tables
 AS_OF = "1998-08-31"
@@ -33,32 +42,51 @@ PRODUCTS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 PAYMENTS = ["F", "O", "P"]
 FORMULAS = ["F", "O"]
 YEARS = [1995, 1996, 1997, 1998]
+# formula id -> (type, duration in months)
+FORMULA = {"1-URGENT": ("F", 1), "2-HIGH": ("F", 2), "3-MEDIUM": ("O", 3), "4-NOT SPECIFIED": ("O", 6), "5-LOW": ("F", 12)}
+DAYS_PER_MONTH = 30
+# the complaints' own period: the training cut
+COMPLAINTS_AS_OF = "2024-01-15"
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 SCORING_FROM = "1998-09-01"
-SCORING_AS_OF = "2001-08-02"
-SCORING_YEARS = [1998, 1999, 2000, 2001]
+COMPLAINTS_FROM = "2024-01-16"
+# day the scoring mart is labelled at: the last end date there can be
+SCORING_AS_OF = "2002-07-27"
+SCORING_YEARS = [1997, 1998, 1999, 2000, 2001]
 
 
-def subscription_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
-                       as_of_date: str = AS_OF, after: str | None = None) -> DataFrame:
-    """Subscriptions up to ``as_of`` (and from ``after`` for a scoring set)
-    with their deliveries (left, fan-out) and formula (inner), the
-    reference's ``table1``."""
-    o = as_of(orders, "o_orderdate", before=as_of_date, after=after).select(
+def formulas(spark: SparkSession) -> DataFrame:
+    return rows_to_frame(spark, [(k, *v) for k, v in FORMULA.items()],
+                         "formula_id string, formula_type string, duration int")
+
+
+def subscriptions(orders: DataFrame, before: str | None = None, after: str | None = None) -> DataFrame:
+    """Subscriptions with their formula that ended up to ``before`` and not before ``after``."""
+    if before is not None:
+        # what ended by the cut started by it: this part of the rule reaches the scan
+        orders = as_of(orders, "o_orderdate", before=before)
+    o = orders.select(
         F.col("o_orderkey").alias("subscription_id"), F.col("o_custkey").alias("customer_id"),
-        F.to_date("o_orderdate").alias("start_date"), F.col("o_orderstatus").alias("payment_type"))
-    li = lineitem.select(F.col("l_orderkey").alias("subscription_id"), "l_partkey",
-                         F.to_date("l_shipdate").alias("end_date"),
-                         F.col("l_linestatus").alias("formula_type"),
-                         F.col("l_quantity").alias("meals"),
-                         money("l_extendedprice").alias("price"),
-                         money("l_discount").alias("discount"))
-    p = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"),
-                    F.col("p_size").alias("duration"))
-    return o.join(li, "subscription_id", "left").join(p, "l_partkey", "inner")
+        F.to_date("o_orderdate").alias("start_date"), F.col("o_orderstatus").alias("payment_type"),
+        F.col("o_orderpriority").alias("formula_id"))
+    s = o.join(formulas(orders.sparkSession), "formula_id").withColumn(
+        "end_date", F.date_add("start_date", F.col("duration") * DAYS_PER_MONTH))
+    return as_of(s, "end_date", before=before, after=after)
+
+
+def subscription_lines(orders: DataFrame, lineitem: DataFrame, part: DataFrame,
+                       before: str | None = AS_OF, after: str | None = None) -> DataFrame:
+    """Subscriptions of the period with their formula (inner) and the
+    deliveries of the period (left, fan-out), the reference's ``table1``."""
+    li = as_of(lineitem, "l_shipdate", before=before, after=after).where(F.col("l_returnflag").isNotNull()).select(
+        F.col("l_orderkey").alias("subscription_id"), "l_partkey", F.to_date("l_shipdate").alias("delivery_date"),
+        F.col("l_quantity").alias("meals"), money("l_extendedprice").alias("price"),
+        money("l_discount").alias("discount"))
+    p = part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("product"))
+    return subscriptions(orders, before, after).join(li.join(p, "l_partkey", "left"), "subscription_id", "left")
 
 
 def subscription_features(t: DataFrame, as_of_date: str = AS_OF,
@@ -94,8 +122,10 @@ def subscription_features(t: DataFrame, as_of_date: str = AS_OF,
                     F.when(d > CHURN_DAYS, 1).otherwise(0).alias("label"))
 
 
-def complaint_features(events: DataFrame) -> DataFrame:
-    e = events.where(F.col("user_id").isNotNull()).select(
+def complaint_features(events: DataFrame, before: str | None = COMPLAINTS_AS_OF,
+                       after: str | None = None) -> DataFrame:
+    """Complaints of the period by type; the date of ``ts`` counts."""
+    e = as_of(events, "ts", before=before, after=after).where(F.col("user_id").isNotNull()).select(
         F.col("user_id").alias("customer_id"), "event_type", "event_id")
     return e.groupBy("customer_id").agg(
         *pivot_aggs("event_type", EVENT_TYPES, [("count", "event_id", "n_complaints")]))
@@ -112,15 +142,19 @@ def customer_base(customer: DataFrame, nation: DataFrame, region: DataFrame) ->
 def churn_mart(orders: DataFrame, lineitem: DataFrame, part: DataFrame, events: DataFrame,
                customer: DataFrame, nation: DataFrame, region: DataFrame,
                as_of_date: str = AS_OF, after: str | None = None,
-               years: list[int] | None = None) -> DataFrame:
-    """One row per customer with subscriptions up to ``as_of`` (training),
-    or between ``after`` and ``as_of`` (scoring; the label is computed
-    there too); numeric nulls filled with 0; money columns as double."""
+               years: list[int] | None = None, complaints_as_of: str = COMPLAINTS_AS_OF,
+               complaints_after: str = COMPLAINTS_FROM) -> DataFrame:
+    """One row per customer with subscriptions that ended up to ``as_of_date``
+    (training; with ``after`` None), or that ended from ``after`` on (scoring:
+    everything since the training cut, labelled at ``as_of_date``); numeric
+    nulls filled with 0; money columns as double."""
     if years is None and after is not None:
-        years = list(range(int(after[:4]), int(as_of_date[:4]) + 1))
-    subs = subscription_features(subscription_lines(orders, lineitem, part, as_of_date, after),
+        years = list(range(int(after[:4]) - 1, int(as_of_date[:4]) + 1))
+    before = as_of_date if after is None else None
+    subs = subscription_features(subscription_lines(orders, lineitem, part, before, after),
                                  as_of_date, years)
+    complaints = complaint_features(events, complaints_as_of if after is None else None,
+                                    None if after is None else complaints_after)
     m = subs.join(customer_base(customer, nation, region), "customer_id", "left") \
-        .join(complaint_features(events), "customer_id", "left")
-    from ..operators.columns import decimals_to_double
+        .join(complaints, "customer_id", "left")
     return decimals_to_double(m).na.fill(0)

@@ -39,10 +39,15 @@ PROVINCES = sorted({lab for _, lab in PROVINCE_BREAKS} | {ZIP_DEFAULT})
 REGIONS = sorted({lab for _, lab in REGION_BREAKS} | {ZIP_DEFAULT})
 
 
+#: orders in thousands stand for gifts, so that amounts lie on both sides of the label threshold
+GIFT_SCALE = "0.001"
+
+
 def gifts_from_orders(orders: DataFrame) -> DataFrame:
+    scale = F.lit(GIFT_SCALE).cast("decimal(4,3)")
     return orders.select(F.col("o_custkey").alias("donor_id"),
                          F.col("o_orderdate").alias("date"),
-                         money("o_totalprice").alias("amount"))
+                         (money("o_totalprice") * scale).alias("amount"))
 
 
 def dirty_zip(customer: DataFrame) -> DataFrame:

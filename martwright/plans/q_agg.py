@@ -136,9 +136,8 @@ FROM ({_trans_sql()}) t GROUP BY 1, 2, 3"""
         c = f"operation = '{v}'"
         cols += [f"SUM(CASE WHEN {c} THEN n END) / COUNT(CASE WHEN {c} THEN n END) AS op_count_{nm}",
                  f"CAST(SUM(CASE WHEN {c} THEN s END) AS DOUBLE) / COUNT(CASE WHEN {c} THEN s END) AS op_sum_{nm}",
-                 "round((" + " + ".join(
-                     f"COALESCE(MAX(CASE WHEN {c} AND k_symbol = '{u}' THEN m END), 0.0)" for u in B.K_SYMBOLS)
-                 + f") / NULLIF(COUNT(CASE WHEN {c} THEN m END), 0), 6) AS op_mean_{nm}"]
+                 f"round(CAST(SUM(CASE WHEN {c} THEN CAST(m AS DECIMAL(28,8)) END) AS DOUBLE)"
+                 f" / NULLIF(COUNT(CASE WHEN {c} THEN m END), 0), 6) AS op_mean_{nm}"]
     return f"SELECT account_id, {', '.join(cols)} FROM ({inner}) g GROUP BY account_id"
 
 
@@ -176,7 +175,7 @@ FROM (SELECT l_orderkey, NULLIF(l_returnflag, 'N') AS c FROM lineitem) GROUP BY
 def pivot_drop_null(spark, sf):
     (li,) = tables(spark, sf, "lineitem")
     x = li.select("l_orderkey", F.nullif("l_returnflag", F.lit("N")).alias("c"))
-    return G.pivot_agg(x, "l_orderkey", "c", [("count_rows", None, "n")], values=None,
+    return G.pivot_agg(x, "l_orderkey", "c", [("count_rows", None, "n")], values=G.discover_values(x, "c"),
                        null_category="drop")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.aggregate import discover_values
 from ..operators import encode as EN
 from ..operators import features as FT
 from .catalog import query, tables
@@ -25,7 +26,8 @@ def dummies(spark, sf):
 SELECT c_custkey, {", ".join(_sql_dummies("c_mktsegment", _SEGS, "seg", True))} FROM customer""")
 def dummies_drop_first(spark, sf):
     (c,) = tables(spark, sf, "customer")
-    return EN.dummies(c.select("c_custkey", "c_mktsegment"), "c_mktsegment", values=None,
+    return EN.dummies(c.select("c_custkey", "c_mktsegment"), "c_mktsegment",
+                      values=discover_values(c, "c_mktsegment"),
                       prefix="seg", drop_first=True)
 
 

@@ -57,7 +57,7 @@ def _donor_sql(cutoff: str = D.CUTOFF, campaign_end: str = D.CAMPAIGN_END, since
     amt_cols = ",\n  ".join(f"COALESCE(CAST({n} AS DOUBLE), 0) AS {n}" for n in _WIN)
     return f"""
 WITH g AS (
-  SELECT o_custkey AS donor_id, o_orderdate AS d, CAST(o_totalprice AS DECIMAL(18,2)) AS a
+  SELECT o_custkey AS donor_id, o_orderdate AS d, CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.001' AS DECIMAL(4,3)) AS a
   FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate < DATE '{cutoff}'),
 f0 AS (
   SELECT donor_id,
@@ -73,7 +73,7 @@ f AS (
     CAST(date_diff('day', last_date, DATE '{cutoff}') AS INTEGER) AS recency_days
   FROM f0 WHERE amt_all IS NOT NULL),
 camp AS (
-  SELECT o_custkey AS donor_id, SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS campaign_amount
+  SELECT o_custkey AS donor_id, SUM(CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.001' AS DECIMAL(4,3))) AS campaign_amount
   FROM orders WHERE o_custkey IS NOT NULL AND o_orderdate >= DATE '{cutoff}'
     AND o_orderdate < DATE '{campaign_end}'
   GROUP BY o_custkey),
@@ -119,7 +119,7 @@ def mart_donor_next_campaign(spark, sf):
 
 @query("trailing_window_sums", f"""
 SELECT o_custkey AS donor_id,
-  {", ".join(f"CAST(SUM(CASE WHEN o_orderdate > DATE '{lo}' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE) AS {n}" for n, lo in _WIN.items())}
+  {", ".join(f"CAST(SUM(CASE WHEN o_orderdate > DATE '{lo}' THEN CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.001' AS DECIMAL(4,3)) END) AS DOUBLE) AS {n}" for n, lo in _WIN.items())}
 FROM orders
 WHERE o_custkey IS NOT NULL AND o_orderdate > DATE '{min(_WIN.values())}' AND o_orderdate < DATE '{D.CUTOFF}'
 GROUP BY o_custkey
@@ -241,9 +241,20 @@ def mart_bank(spark, sf):
 # churn mart
 # ---------------------------------------------------------------------------
 
-def _churn_sql(as_of: str = CH.AS_OF, after: str | None = None, years=None) -> str:
+# Oracle of the churn mart, written from the rules of the original job: three
+# dated tables cut on their own dates, deliveries left-joined, formula inner-joined.
+_CHURN_PERIOD = {
+    "train": {"sub": "end_date <= DATE '1998-08-31'", "delivery": "CAST(l_shipdate AS DATE) <= DATE '1998-08-31'",
+              "complaint": "CAST(ts AS DATE) <= DATE '2024-01-15'", "last_day": "1998-08-31"},
+    "score": {"sub": "end_date >= DATE '1998-09-01'", "delivery": "CAST(l_shipdate AS DATE) >= DATE '1998-09-01'",
+              "complaint": "CAST(ts AS DATE) >= DATE '2024-01-16'", "last_day": "2002-07-27"},
+}
+
+
+def _churn_sql(period: str = "train", years=None) -> str:
     years = years or CH.YEARS
-    after_cond = f" AND o.o_orderdate >= DATE '{after}'" if after else ""
+    cut = _CHURN_PERIOD[period]
+    as_of = cut["last_day"]
     def piv(col, values, specs):
         out = []
         for v in values:
@@ -286,21 +297,30 @@ def _churn_sql(as_of: str = CH.AS_OF, after: str | None = None, years=None) -> s
         return f"COALESCE(CAST({n} AS DOUBLE), 0) AS {n}"
     casted = ",\n  ".join(_fill(n) for n in num)
     return f"""
-WITH t AS (
-  SELECT o.o_orderkey AS subscription_id, o.o_custkey AS customer_id, CAST(o.o_orderdate AS DATE) AS start_date,
-         o.o_orderstatus AS payment_type, year(o.o_orderdate) AS start_year,
-         CAST(l.l_shipdate AS DATE) AS end_date, l.l_linestatus AS formula_type, l.l_quantity AS meals,
-         CAST(l.l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l.l_discount AS DECIMAL(18,2)) AS discount,
-         p.p_type AS product, p.p_size AS duration
-  FROM orders o LEFT JOIN lineitem l ON o.o_orderkey = l.l_orderkey
-       JOIN part p ON l.l_partkey = p.p_partkey
-  WHERE o.o_orderdate < DATE '{as_of}' + INTERVAL 1 DAY AND o.o_custkey IS NOT NULL{after_cond}),
+WITH formula(formula_id, formula_type, duration) AS (VALUES
+  ('1-URGENT', 'F', 1), ('2-HIGH', 'F', 2), ('3-MEDIUM', 'O', 3), ('4-NOT SPECIFIED', 'O', 6), ('5-LOW', 'F', 12)),
+subscriptions AS (
+  SELECT * FROM (
+    SELECT o_orderkey AS subscription_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS start_date,
+           o_orderstatus AS payment_type, formula_type, duration,
+           CAST(CAST(o_orderdate AS DATE) + CAST(30 * duration AS INTEGER) AS DATE) AS end_date
+    FROM orders JOIN formula ON o_orderpriority = formula_id)
+  WHERE {cut["sub"]}),
+delivery AS (
+  SELECT l_orderkey, l_partkey, l_quantity, l_extendedprice, l_discount FROM lineitem
+  WHERE {cut["delivery"]} AND l_returnflag IS NOT NULL),
+t AS (
+  SELECT s.*, year(start_date) AS start_year, l_quantity AS meals,
+         CAST(l_extendedprice AS DECIMAL(18,2)) AS price, CAST(l_discount AS DECIMAL(18,2)) AS discount,
+         p_type AS product
+  FROM subscriptions s LEFT JOIN delivery ON subscription_id = l_orderkey LEFT JOIN part ON l_partkey = p_partkey
+  WHERE customer_id IS NOT NULL),
 g AS (
   SELECT customer_id, {", ".join(f"{e} AS {n}" for n, e in totals + pivots)},
     MAX(end_date) AS last_end, MIN(start_date) AS first_start
   FROM t GROUP BY customer_id),
 ev AS (SELECT user_id AS customer_id, {", ".join(f"{e} AS {n}" for n, e in ev)}
-       FROM events WHERE user_id IS NOT NULL GROUP BY user_id),
+       FROM events WHERE user_id IS NOT NULL AND {cut["complaint"]} GROUP BY user_id),
 base AS (SELECT c.c_custkey AS customer_id, {regs}
          FROM customer c LEFT JOIN (SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey) gg
            ON c.c_nationkey = gg.n_nationkey)
@@ -328,10 +348,10 @@ def mart_churn(spark, sf):
     return CH.churn_mart(o, li, p, ev, c, n, r)
 
 
-@query("mart_churn_scoring", _churn_sql(CH.SCORING_AS_OF, CH.SCORING_FROM, CH.SCORING_YEARS))
+@query("mart_churn_scoring", _churn_sql("score", CH.SCORING_YEARS))
 def mart_churn_scoring(spark, sf):
-    """The scoring mart: subscriptions from the day after the training
-    cut, labelled at the end of the data (one builder, two calls)."""
+    """The scoring mart: what ended, was delivered and filed after the
+    training cut, labelled at the last day (one builder, two calls)."""
     o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
                                    "nation", "region")
     return CH.churn_mart(o, li, p, ev, c, n, r, as_of_date=CH.SCORING_AS_OF,

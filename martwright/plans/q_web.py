@@ -1,12 +1,18 @@
-"""Catalogue: web-table extraction over the ``pages`` table.
+"""Catalogue: web-table extraction.
 
-The driver's pages carry links but no ``table-01`` table, so the table
-queries return no rows there; the inline fixture of ``tests/`` checks the
-table path (headers, rows, label zip).
+Link texts come from the ``pages`` table as it is.  The stored pages carry no
+``table-01`` table, so the table queries read pages rendered from the order
+lines: page ``page_id`` gets the lines of the order of that number as a table
+with the market's headers, one row per line, and one link per row between the
+first and the last hour label (two lines at least).  Extraction must give back
+the lines; the oracle reads them from ``lineitem`` itself.
 """
 
 from __future__ import annotations
 
+import re
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import webtable as W
@@ -23,25 +29,72 @@ def web_link_texts(spark, sf):
     return p.select("page_id", W.link_texts("html").alias("links"))
 
 
-@query("web_link_slice", f"""
-SELECT page_id, CASE WHEN i1 > 0 AND i2 >= i1 THEN links[i1:i2] ELSE [] END AS hours
-FROM (SELECT page_id, links, list_position(links, '{W.FIRST_LABEL}') AS i1,
-             list_position(links, '{W.LAST_LABEL}') AS i2
-      FROM (SELECT page_id, {_LINKS} AS links FROM pages))""")
-def web_link_slice(spark, sf):
-    (p,) = tables(spark, sf, "pages")
-    return p.select("page_id", W.slice_between(W.link_texts("html")).alias("hours"))
+def rendered_pages(pages: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """``page_id, url, html``: each page with its order's lines as a table."""
+    cells = [F.col("l_quantity").cast("decimal(18,2)"), F.col("l_extendedprice").cast("decimal(18,2)"),
+             F.col("l_discount").cast("decimal(18,2)"), F.col("l_tax").cast("decimal(18,2)"),
+             F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")]
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
+                    F.array(*[c.cast("string") for c in cells]).alias("cells"))
+    orders = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines")).where(F.size("lines") > 1)
+    label = F.transform("lines", lambda x, i: F.when(i == 0, W.FIRST_LABEL).when(i == F.size("lines") - 1, W.LAST_LABEL)
+                        .otherwise(F.concat(F.lit("row "), (i + 1).cast("string"))))
+    links = F.array_join(F.transform(label, lambda x: F.concat(F.lit("<a>"), x, F.lit("</a>"))), "")
+    head = "<tr>" + "".join(f"<th> {c} </th>" for c in W.OUTPUT_COLUMNS) + "</tr><tr><th></th></tr>"
+    rows = F.array_join(F.transform("lines", lambda x: F.concat(
+        F.lit("<tr><td>"), F.array_join(x["cells"], "</td><td>"), F.lit("</td></tr>"))), "\n")
+    return pages.join(orders, F.col("page_id") == F.col("l_orderkey")).select(
+        "page_id", "url", F.concat("html", F.lit("<a>Home</a>"), links, F.lit(f'<a>Imprint</a><table class="{W.TABLE_CLASS} js">{head}'),
+                                   rows, F.lit("</table>")).alias("html"))
+
+
+def _rendered(spark, sf) -> DataFrame:
+    return rendered_pages(*tables(spark, sf, "pages", "lineitem"))
 
 
 def _safe(c):
-    import re
     return re.sub(r"[^0-9A-Za-z]+", "_", c).strip("_")
 
 
-@query("web_table_rows", f"""
-SELECT page_id, 0 AS row_pos, {", ".join(f"CAST(NULL AS VARCHAR) AS {_safe(c)}" for c in W.OUTPUT_COLUMNS)}
-FROM pages WHERE regexp_matches(html, '{W.table_pattern(W.TABLE_CLASS).replace("'", "''")}')""")
+_NAMES = [_safe(c) for c in W.OUTPUT_COLUMNS]
+_CELLS = ["CAST(CAST(l_quantity AS DECIMAL(18,2)) AS VARCHAR)", "CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR)",
+          "CAST(CAST(l_discount AS DECIMAL(18,2)) AS VARCHAR)", "CAST(CAST(l_tax AS DECIMAL(18,2)) AS VARCHAR)",
+          "CAST(l_partkey AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)", "CAST(l_linenumber AS VARCHAR)"]
+# the lines themselves: position in the order, label of the position, cells
+_LINES = f"""
+WITH n AS (
+  SELECT l_orderkey AS page_id, {", ".join(f"{e} AS {c}" for e, c in zip(_CELLS, _NAMES[1:], strict=True))},
+    CAST(row_number() OVER w - 1 AS INTEGER) AS row_pos, count(*) OVER (PARTITION BY l_orderkey) AS size
+  FROM lineitem WHERE l_orderkey IN (SELECT page_id FROM pages)
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)),
+lines AS (
+  SELECT *, CASE WHEN row_pos = 0 THEN '{W.FIRST_LABEL}' WHEN row_pos = size - 1 THEN '{W.LAST_LABEL}'
+                 ELSE 'row ' || CAST(row_pos + 1 AS VARCHAR) END AS {_NAMES[0]}
+  FROM n WHERE size > 1)"""
+
+
+@query("web_table_headers", f"""{_LINES}
+SELECT DISTINCT page_id, [{", ".join(f"'{c}'" for c in W.OUTPUT_COLUMNS[1:])}] AS headers FROM lines""")
+def web_table_headers(spark, sf):
+    return _rendered(spark, sf).select("page_id", W.table_headers(W.table_html("html")).alias("headers"))
+
+
+@query("web_table_rows", f"""{_LINES}
+SELECT page_id, row_pos, [{", ".join(_NAMES[1:])}] AS cells FROM lines""")
 def web_table_rows(spark, sf):
-    (p,) = tables(spark, sf, "pages")
-    wide = W.to_wide(W.extract_tables(p))
-    return wide.select("page_id", "row_pos", *[F.col(f"`{c}`").alias(_safe(c)) for c in W.OUTPUT_COLUMNS])
+    rows = W.table_rows(W.table_html("html"))
+    return _rendered(spark, sf).select("page_id", F.posexplode(rows).alias("row_pos", "cells"))
+
+
+@query("web_link_slice", f"""{_LINES}
+SELECT page_id, list({_NAMES[0]} ORDER BY row_pos) AS hours FROM lines GROUP BY page_id""")
+def web_link_slice(spark, sf):
+    return _rendered(spark, sf).select("page_id", W.slice_between(W.link_texts("html")).alias("hours"))
+
+
+@query("web_table_zip", f"""{_LINES}
+SELECT page_id, row_pos, TRUE AS labels_match, {", ".join(_NAMES)} FROM lines""")
+def web_table_zip(spark, sf):
+    wide = W.to_wide(W.extract_tables(_rendered(spark, sf)))
+    return wide.select("page_id", "row_pos", "labels_match",
+                       *[F.col(f"`{c}`").alias(n) for c, n in zip(W.OUTPUT_COLUMNS, _NAMES, strict=True)])

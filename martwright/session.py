@@ -82,8 +82,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a scratch one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder (HDFS/S3/...)
-    and is used as is.  Only when nothing is configured (unit tests, local
-    runs) do we create a fresh scratch folder.
+    and is used as is.  Only a ``local`` session with nothing configured
+    (unit tests) gets a fresh scratch folder; a cluster without the setting is
+    an error, as executors could not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -91,6 +92,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
+    if not conf_dir and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf_dir:
         conf_dir = tempfile.mkdtemp(prefix="martwright-ckpt-",
                                     dir=os.environ.get("TMPDIR", "/tmp"))

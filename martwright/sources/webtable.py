@@ -75,13 +75,13 @@ def table_headers(table: Column, drop_first: int = 1) -> Column:
     """Trimmed ``th`` texts, empty ones removed, first ``drop_first`` dropped."""
     th = F.transform(_extract_all(table, TH_PATTERN), lambda x: F.trim(text_of(x)))
     th = F.filter(th, lambda x: x != "")
-    return F.slice(th, drop_first + 1, 1 << 20) if drop_first else th
+    return F.slice(th, F.lit(drop_first + 1), F.size(th)) if drop_first else th
 
 
 def table_rows(table: Column, skip_rows: int = 2) -> Column:
     """Array of rows (arrays of ``td`` texts) after the header rows."""
     rows = _extract_all(table, TR_PATTERN)
-    rows = F.slice(rows, skip_rows + 1, 1 << 20) if skip_rows else rows
+    rows = F.slice(rows, F.lit(skip_rows + 1), F.size(rows)) if skip_rows else rows
     return F.transform(rows, lambda r: F.transform(_extract_all(r, TD_PATTERN), text_of))
 
 
@@ -118,4 +118,4 @@ def to_wide(rows: DataFrame, columns: Sequence[str] = OUTPUT_COLUMNS,
         else:
             i = F.array_position("headers", c)
             out.append(F.when(i > 0, F.element_at("cells", i.cast("int"))).alias(c))
-    return rows.select("page_id", "row_pos", *out)
+    return rows.select("page_id", "row_pos", "labels_match", *out)

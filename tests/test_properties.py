@@ -247,5 +247,5 @@ def test_dummies_unseen_and_empty_category(spark):
     test = spark.createDataFrame([("a",), ("zzz",), ("",), (None,)], "g string")
     rows = [tuple(r) for r in EN.dummies(test, "g", values=values, prefix="g").collect()]
     assert rows == [(1, 0), (0, 0), (0, 0), (0, 0)]          # unseen, empty, null -> all 0
-    e = EN.dummies(test, "g", prefix="g")                    # discovered: '' becomes 'blank'
+    e = EN.dummies(test, "g", G.discover_values(test, "g"), prefix="g")  # discovered: '' becomes 'blank'
     assert e.columns == ["g_blank", "g_a", "g_zzz"]
