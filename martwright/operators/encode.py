@@ -81,15 +81,18 @@ def kth_smallest(df: DataFrame, c: str, k: int, **kw):
     return select_ranks(df, {c: [k]}, stats=st, **kw)[(c, k)]
 
 
-def winsor_cap(df: DataFrame, c: str, upper: float = 0.01) -> float | None:
-    """Cap = order statistic at rank ``n - floor(upper * n)`` (scipy rule)."""
+def winsor_caps(df: DataFrame, columns: Sequence[str], upper: float = 0.01) -> dict:
+    """``{column: cap}``: the order statistic at rank ``n - floor(upper * n)``
+    (scipy rule), all columns in the same passes; None without values."""
     from .select import column_stats, select_ranks
-    st = column_stats(df, [c])
-    n = st[c][0]
-    if not n:
-        return None
-    k = n - int(upper * n)
-    return select_ranks(df, {c: [k]}, stats=st)[(c, k)]
+    st = column_stats(df, columns)
+    ranks = {c: st[c][0] - int(upper * st[c][0]) for c in columns if st[c][0]}
+    found = select_ranks(df, {c: [k] for c, k in ranks.items()}, stats=st) if ranks else {}
+    return {c: found[(c, ranks[c])] if c in ranks else None for c in columns}
+
+
+def winsor_cap(df: DataFrame, c: str, upper: float = 0.01) -> float | None:
+    return winsor_caps(df, [c], upper)[c]
 
 
 def winsorize(df: DataFrame, columns: Sequence[str], upper: float = 0.01,
@@ -107,8 +110,7 @@ def winsorize(df: DataFrame, columns: Sequence[str], upper: float = 0.01,
                        for c in missing]).first()
         caps.update({c: row[c] for c in missing})
     else:
-        for c in missing:
-            caps[c] = winsor_cap(df, c, upper)
+        caps.update(winsor_caps(df, missing, upper))
     out = [F.least(F.col(c).cast("double"), F.lit(caps[c])).alias(f"{c}{suffix}")
            for c in columns]
     return df.select("*", *out)

@@ -71,16 +71,16 @@ def assembled(df: DataFrame, features: Sequence[str], label: str = "label") -> D
     return va.transform(df.withColumn("label", y))
 
 
-def score(model, df: DataFrame, positive: int = 1, descending: bool = True) -> DataFrame:
+def score(model, df: DataFrame, key: str, positive: int = 1, descending: bool = True) -> DataFrame:
     """Model output with ``p_positive`` (native vector element) and
-    ``prediction``; sorted by the score (descending for campaigns)."""
+    ``prediction``; sorted by the score (descending for campaigns), ties by ``key``."""
     out = model.transform(df)
     if "probability" in out.columns:
         p = vector_element("probability", positive)
     else:  # LinearSVC: raw margin as score
         p = vector_element("rawPrediction", positive)
     out = out.withColumn("p_positive", p)
-    return out.orderBy(F.col("p_positive").desc() if descending else F.col("p_positive").asc())
+    return out.orderBy(F.col("p_positive").desc() if descending else F.col("p_positive").asc(), F.col(key))
 
 
 def model_auc(model, df: DataFrame) -> float:
@@ -90,6 +90,24 @@ def model_auc(model, df: DataFrame) -> float:
     return auc(s, "label", "s").first()["auc"]
 
 
+def scored(model, df: DataFrame, *keep: str) -> DataFrame:
+    """``label, prediction, s`` (score of the positive class) and the columns to keep."""
+    out = model.transform(df)
+    col = "probability" if "probability" in out.columns else "rawPrediction"
+    return out.select(*keep, "label", "prediction", vector_element(col, 1).alias("s"))
+
+
+def evaluation(pred: DataFrame, name: str) -> DataFrame:
+    """One row ``model, auc, accuracy, weighted_precision, precision, recall``
+    from stored predictions (``label, prediction, s``)."""
+    from .evaluate import binary_metrics, weighted_precision
+    m = binary_metrics(pred, "label", "prediction", name)
+    wp = weighted_precision(pred, "label", F.col("prediction"))
+    one = F.lit(1)
+    return (m.withColumn("_k", one).join(wp.withColumn("_k", one), "_k").join(auc(pred, "label", "s").withColumn("_k", one), "_k")
+            .select("model", "auc", "accuracy", "weighted_precision", "precision", "recall"))
+
+
 def cross_validate(train: DataFrame, name: str, grid: Mapping[str, list] | None = None,
                    folds: int = 5, seed: int = 1, parallelism: int = 2, n_features: int | None = None):
     """Grid x k-fold CV by AUC; returns (best model, per-grid-point table)."""
@@ -114,13 +132,13 @@ def stepwise_auc(train: DataFrame, test: DataFrame, candidates: Sequence[str],
     """Forward stepwise selection by test AUC.
 
     Each step fits one model per unused candidate (candidates of a step run
-    in a thread pool, each fit a distributed job on the cached frames) and
-    keeps the feature with the best test AUC.  Returns the log ``(step,
-    added, features, auc_train, auc_test)``.
+    in a thread pool, each fit a distributed job on the given frames, which
+    should be pinned) and keeps the feature with the best test AUC; of equal
+    ones the first in the candidates' order.  A set with one class has no AUC:
+    it counts as the lowest and is logged as null.  Returns the log ``(step,
+    added, features, auc_train, auc_test)``, one row per step.
     """
     spark = train.sparkSession
-    train = train.cache()
-    test = test.cache()
     chosen: list[str] = []
     log = []
     steps = min(max_steps or len(candidates), len(candidates))
@@ -142,11 +160,9 @@ def stepwise_auc(train: DataFrame, test: DataFrame, candidates: Sequence[str],
         rest = [c for c in candidates if c not in chosen]
         with ThreadPoolExecutor(max_workers=parallelism) as ex:
             res = list(ex.map(fit_eval, rest))
-        best = max(res, key=lambda r: (r[2], r[0]))
+        best = max(res, key=lambda r: -1.0 if r[2] is None else r[2])
         chosen.append(best[0])
-        log.append((step, best[0], ",".join(chosen), float(best[1]), float(best[2])))
-    train.unpersist()
-    test.unpersist()
+        log.append((step, best[0], ",".join(chosen), best[1], best[2]))
     return spark.createDataFrame(
         log, "step int, added string, features string, auc_train double, auc_test double")
 

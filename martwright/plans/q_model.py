@@ -9,6 +9,8 @@ joined to the mart) do have oracles.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import PCA, ChiSqSelector, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -28,17 +30,18 @@ CHURN_FEATURES = ["n_subscription_rows", "avg_days_subscription", "sum_meals", "
                   "n_subscriptions_1997", "n_complaints_click", "n_complaints_error"]
 
 
-def _churn_sets(spark, sf):
+def _churn_mart(spark, sf, **period):
+    """The churn mart, pinned: built once, whatever is fitted on it."""
     o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
                                    "nation", "region")
-    mart = CH.churn_mart(o, li, p, ev, c, n, r)
-    s = split_hash(mart, ["customer_id"], 0.7, seed=123)
+    return cut_lineage(CH.churn_mart(o, li, p, ev, c, n, r, **period))
+
+
+def _churn_sets(spark, sf):
+    s = split_hash(_churn_mart(spark, sf), ["customer_id"], 0.7, seed=123)
     st = EN.zscore_fit(s.where("split = 'train'"), CHURN_FEATURES).first().asDict()
-    z = EN.zscore_transform(s, st, CHURN_FEATURES)
     zc = [f"{c}_z" for c in CHURN_FEATURES]
-    # the mart feeds several fits and evaluations: materialise it once in the
-    # shared checkpoint folder instead of recomputing the joins per pass
-    a = cut_lineage(T.assembled(z, zc))
+    a = T.assembled(EN.zscore_transform(s, st, CHURN_FEATURES), zc)
     return a.where("split = 'train'"), a.where("split = 'test'"), zc
 
 
@@ -46,10 +49,8 @@ def _train_query(name, **params):
     def run(spark, sf):
         train, test, zc = _churn_sets(spark, sf)
         m = T.make_classifier(name, len(zc), 1, **params).fit(train)
-        pred = m.transform(test)
-        met = EV.binary_metrics(pred, "label", "prediction", name)
-        a = T.model_auc(m, test)
-        return met.withColumn("auc", F.lit(a))
+        pred = cut_lineage(T.scored(m, test))
+        return T.evaluation(pred, name).drop("weighted_precision")
     return run
 
 
@@ -63,21 +64,82 @@ for _n, _p in {"logistic_regression": ("lr", {"maxIter": 50}),
     query(f"train_{_n}")(_train_query(_p[0], **_p[1]))
 
 
+# the models compared and tuned, in the order of the reference; the last are further rows
+_COMPARED = ["rf", "gbt", "lr", "dt"]
+_FURTHER = {"nb": {}, "mlp": {"maxIter": 100}, "svc": {"maxIter": 50}}
+
+
 @query("cv_grid")
 def cv_grid(spark, sf):
+    """Mean AUC of every point of every model's grid, 5 folds."""
     train, _, zc = _churn_sets(spark, sf)
-    _, table = T.cross_validate(train, "lr", T.GRIDS["lr"], folds=5, seed=1, parallelism=2)
-    return table
+    parts = [T.cross_validate(train, n, folds=5, seed=1, parallelism=4, n_features=len(zc))[1] for n in T.GRIDS]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query("model_comparison")
+def model_comparison(spark, sf):
+    """One row per model: the best of its grid by 5-fold AUC (the further
+    models as they are), evaluated on the test set."""
+    train, test, zc = _churn_sets(spark, sf)
+    rows = []
+    for n in _COMPARED:
+        best, _ = T.cross_validate(train, n, folds=5, seed=1, parallelism=4, n_features=len(zc))
+        rows.append(T.evaluation(cut_lineage(T.scored(best, test)), n))
+    for n, params in _FURTHER.items():
+        m = T.make_classifier(n, len(zc), 1, **params).fit(train)
+        rows.append(T.evaluation(cut_lineage(T.scored(m, test)), n))
+    return reduce(lambda a, b: a.unionByName(b), rows)
+
+
+_DONOR_OUT = {"donor_id", "campaign_amount", "label"}
+
+
+def _donor_mart(spark, sf, **period):
+    c, o = tables(spark, sf, "customer", "orders")
+    return cut_lineage(D.donor_mart(c, o, **period))
 
 
 @query("stepwise_auc")
 def stepwise_auc(spark, sf):
-    c, o = tables(spark, sf, "customer", "orders")
-    mart = D.donor_mart(c, o)
-    s = split_hash(mart, ["donor_id"], 0.7, seed=123)
-    cands = ["amt_1y", "amt_3y", "amt_5y", "frequency_gifts", "recency_days", "Q4"]
+    """Forward selection over every feature of the donor mart, to the end."""
+    s = split_hash(_donor_mart(spark, sf), ["donor_id"], 0.7, seed=123)
+    cands = [c for c in s.columns if c not in _DONOR_OUT | {"split", "zip_int"}
+             and not c.startswith(("province_", "region_", "gender_"))]
     return T.stepwise_auc(s.where("split = 'train'"), s.where("split = 'test'"), cands,
-                          model="lr", max_steps=3, maxIter=20)
+                          model="lr", maxIter=10)
+
+
+def _campaigns(spark, sf):
+    """The model of the 2000 campaign and both campaigns scored with it:
+    ``campaign, donor_id, label, prediction, s``."""
+    now = _donor_mart(spark, sf)
+    after = _donor_mart(spark, sf, cutoff="2001-01-01", campaign_end="2002-01-01")
+    feats = [c for c in now.columns if c not in _DONOR_OUT | {"zip_int"}]
+    m = T.make_classifier("gbt", len(feats), 1, maxIter=20, maxDepth=3).fit(T.assembled(now, feats))
+    both = [T.scored(m, T.assembled(d, feats), "donor_id").withColumn("campaign", F.lit(n))
+            for n, d in (("training", now), ("next", after))]
+    return cut_lineage(both[0].unionByName(both[1]))
+
+
+@query("donor_campaign_scores")
+def donor_campaign_scores(spark, sf):
+    """Donors of the next campaign, likeliest first (ties by id)."""
+    s = _campaigns(spark, sf).where("campaign = 'next'")
+    return s.select("donor_id", F.col("s").alias("p_positive"), "prediction", "label").orderBy(F.desc("p_positive"), "donor_id")
+
+
+@query("donor_campaign_auc")
+def donor_campaign_auc(spark, sf):
+    return EV.auc_by(_campaigns(spark, sf), "label", "s", "campaign")
+
+
+@query("donor_campaign_roc")
+def donor_campaign_roc(spark, sf):
+    s = _campaigns(spark, sf)
+    parts = [EV.roc_table(s.where(F.col("campaign") == n), "label", "s").withColumn("campaign", F.lit(n))
+             for n in ("training", "next")]
+    return parts[0].unionByName(parts[1])
 
 
 @query("score_customers")
@@ -85,20 +147,78 @@ def score_customers(spark, sf):
     """Fit on the training mart, score the customers of the scoring mart
     that are still active (label 0) with the training-set scaler, highest
     churn probability first."""
-    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
-                                   "nation", "region")
-    train_mart = CH.churn_mart(o, li, p, ev, c, n, r)
+    train_mart = _churn_mart(spark, sf)
     # calendar-year pivots differ between the two periods: score on the rest
     feats = [f for f in CHURN_FEATURES if not f.startswith("n_subscriptions_")]
     st = EN.zscore_fit(train_mart, feats).first().asDict()
     zc = [f"{c}_z" for c in feats]
-    train = cut_lineage(T.assembled(EN.zscore_transform(train_mart, st, feats), zc))
-    m = T.make_classifier("lr", len(zc), maxIter=50).fit(train)
-    scoring = CH.churn_mart(o, li, p, ev, c, n, r, as_of_date=CH.SCORING_AS_OF,
-                            after=CH.SCORING_FROM, years=CH.SCORING_YEARS)
+    m = T.make_classifier("lr", len(zc), maxIter=50).fit(T.assembled(EN.zscore_transform(train_mart, st, feats), zc))
+    scoring = _churn_mart(spark, sf, as_of_date=CH.SCORING_AS_OF, after=CH.SCORING_FROM, years=CH.SCORING_YEARS)
     current = scoring.where("label = 0").drop("label")
     cur = T.assembled(EN.zscore_transform(current, st, feats).withColumn("label", F.lit(0)), zc)
-    return T.score(m, cur).select("customer_id", "p_positive", "prediction")
+    return T.score(m, cur, "customer_id").select("customer_id", "p_positive", "prediction")
+
+
+def _segments(df, columns, k=3, suffix="_w"):
+    """Winsorised, scaled k-means; (rows with ``cluster``, centres in original units)."""
+    w = EN.winsorize(df, columns, upper=0.01, suffix=suffix)
+    wc = [f"{c}{suffix}" for c in columns]
+    st = EN.zscore_fit(w, wc).first().asDict()
+    zc = [f"{c}_z" for c in wc]
+    rows, centres = T.kmeans_segments(EN.zscore_transform(w, st, wc), zc, k=k, seed=1)
+    back = EN.zscore_inverse(centres.select("cluster", "size", *[F.col(f"`{c}`") for c in zc]),
+                             st, wc, suffix="_z", out_suffix="_centre")
+    return rows, back.select("cluster", "size", *[F.round(f"{c}_centre", 2).alias(f"{c}_centre") for c in wc])
+
+
+_BANK_SEGMENT = ["age", "age_group", "balance", "card_age_days", "total_trans", "mean_all_trans",
+                 "days_since_last_trans", "total_sum_trans", "loan_days"]
+
+
+@query("bank_segments")
+def bank_segments(spark, sf):
+    """k=3 on the winsorised, scaled bank mart; centres back in original units."""
+    from . import bank as B
+    mart = B.bank_mart(*tables(spark, sf, "customer", "nation", "region", "lineitem", "orders"))
+    mart = cut_lineage(mart.select("account_id", *[F.col(c).cast("double").alias(c) for c in _BANK_SEGMENT])
+                       .na.fill(0.0))
+    return _segments(mart, _BANK_SEGMENT)[1]
+
+
+PROFILE = ["n_subscription_rows", "customer_lifetime", "avg_days_subscription", "avg_months_subscription", "sum_meals",
+           "avg_price", "sum_price", "sum_discount", "min_price", "max_price", "days_without_sub", "n_subscriptions_1995",
+           "n_subscriptions_1996", "n_subscriptions_1997", "n_subscriptions_1998", "n_formula_F", "sum_duration_F",
+           "n_formula_O", "sum_duration_O", "n_complaints_click", "n_complaints_error"]
+
+
+@query("churner_segments")
+def churner_segments(spark, sf):
+    """k=3 on the customers a model predicts to churn; 21 averages per cluster."""
+    mart = _churn_mart(spark, sf)
+    st = EN.zscore_fit(mart, CHURN_FEATURES).first().asDict()
+    zc = [f"{c}_z" for c in CHURN_FEATURES]
+    z = T.assembled(EN.zscore_transform(mart, st, CHURN_FEATURES), zc)
+    m = T.make_classifier("lr", len(zc), maxIter=50).fit(z)
+    churners = cut_lineage(m.transform(z).where("prediction = 1").select("customer_id", *PROFILE))
+    rows, _ = T.kmeans_segments(churners, PROFILE, k=3, seed=1)
+    return T.cluster_profile(rows, "cluster", PROFILE)
+
+
+def _profile_sql() -> str:
+    from .q_marts import _churn_sql
+    exact = lambda c: f"CAST(SUM(CAST({c} AS DECIMAL(28,6))) AS DOUBLE) / COUNT({c})"
+    return (f"WITH mart AS ({_churn_sql()}) SELECT label AS cluster, COUNT(*) AS n, "
+            + ", ".join(f"{exact(c)} AS avg_{c}" for c in PROFILE) + " FROM mart GROUP BY label")
+
+
+@query("churner_profile", _profile_sql())
+def churner_profile(spark, sf):
+    """The profile's arithmetic, on the rule-based label as the cluster."""
+    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
+                                   "nation", "region")
+    mart = CH.churn_mart(o, li, p, ev, c, n, r).select(
+        F.col("label").alias("cluster"), *[F.col(x).cast("decimal(28,6)").alias(x) for x in PROFILE])
+    return T.cluster_profile(mart, "cluster", PROFILE)
 
 
 _KM = ["total_price", "n_orders", "recency_days"]
@@ -111,15 +231,7 @@ def kmeans_segments(spark, sf):
                                    F.count(F.lit(1)).alias("n_orders"),
                                    F.datediff(F.to_date(F.lit("2002-01-01")),
                                               F.to_date(F.max("o_orderdate"))).alias("recency_days"))
-    w = EN.winsorize(g, _KM, upper=0.01, suffix="_w")
-    wc = [f"{c}_w" for c in _KM]
-    st = EN.zscore_fit(w, wc).first().asDict()
-    z = EN.zscore_transform(w, st, wc)
-    zc = [f"{c}_z" for c in wc]
-    _, centres = T.kmeans_segments(z, zc, k=3, seed=1)
-    back = EN.zscore_inverse(centres.select("cluster", "size", *[F.col(f"`{c}`") for c in zc]),
-                             st, wc, suffix="_z", out_suffix="_centre")
-    return back.select("cluster", "size", *[F.round(f"{c}_centre", 2).alias(f"{c}_centre") for c in wc])
+    return _segments(cut_lineage(g), _KM)[1]
 
 
 @query("cluster_profile", """
@@ -205,9 +317,7 @@ def feature_steps_fit_transform(spark, sf):
     training split only and applied to the test split; the selected column
     names are returned with each row."""
     from ..operators.features import feature_pipeline, selected_names
-    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
-                                   "nation", "region")
-    mart = CH.churn_mart(o, li, p, ev, c, n, r).withColumn("label", F.col("label").cast("double"))
+    mart = _churn_mart(spark, sf).withColumn("label", F.col("label").cast("double"))
     mart = mart.select("customer_id", "label", *[F.col(x).cast("double").alias(x) for x in COUNT_FEATURES])
     s = split_hash(mart, ["customer_id"], 0.7, seed=123)
     model = feature_pipeline(COUNT_FEATURES, "label", n_top=6, pca_k=3).fit(s.where("split = 'train'"))
