@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pin, whole_text
+from .common import ascii_lower, keep_rows, pin, row_key, whole_text
 
 
 def _bitmap(counted: DataFrame, key: Column, bits: int) -> bytes:
@@ -77,8 +77,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           (digest if digest_all else F.when(survives, digest)).alias("_sha")))
 
     open_rows = rows.filter("_open")
-    groups = (open_rows.groupBy("_sha")
-              .agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n")))
+    # pinned, so that the join's exchanges serve the join alone and a hot digest can be split
+    groups = pin(open_rows.groupBy("_sha")
+                 .agg(F.max(F.struct("_id", "_row")).alias("_top"), F.count(F.lit(1)).alias("_n")))
     found = open_rows.join(groups, "_sha").select(
         "_id", F.col("_top._id").alias("_keep"), "_n",
         (F.col("_row") == F.col("_top._row")).alias("_kept"), "_sha")
@@ -91,24 +92,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that :func:`exact_dedup` keeps, with all columns.
-
-    Only the (few) dropped ids travel to the texts.  Rows that repeat id and
-    text are reduced to one of them."""
-    decided = pin(exact_dedup(df, id_col, text_col).groupBy(F.col(id_col).alias("_id"), "text_sha256")
-                  .agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")))
-    sha = F.sha2(ascii_lower(whole_text(text_col)), 256)
-    gone = decided.filter("not _kept").select("_id", F.col("text_sha256").alias("_sha"))
-    cols = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"),
-                     F.col(id_col).alias("_i"), sha.alias("_s"))
-    left = rows.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha")),
-                     "left_anti")
-    twice = decided.filter("_kept and _n > 1").select("_id", F.col("text_sha256").alias("_sha"))
-    if twice.isEmpty():
-        return left.select("_r.*")
-    on = F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_s") == F.col("_sha"))
-    once = left.join(twice, on, "left_anti").select("_r")
-    many = (left.join(twice, on, "left_semi").groupBy("_i", "_s")
-            .agg(F.first("_r").alias("_r")).select("_r"))
-    return once.unionByName(many).select("_r.*")
+    """The rows of ``df`` that :func:`exact_dedup` keeps, with all columns."""
+    keyed = df.select(F.struct(*row_key(id_col, text_col)).alias("_key"), whole_text(text_col).alias("_text"))
+    decided = pin(exact_dedup(keyed, "_key", "_text").groupBy("_key")
+                  .agg(F.max("kept").alias("_keep"), F.count(F.lit(1)).alias("_n"))
+                  .select("_key.*", "_keep", "_n"))
+    return keep_rows(df, decided, id_col, text_col)
