@@ -43,6 +43,6 @@ def test_encoders_and_samplers_on_empty(spark):
 
 def test_discovery_on_empty(spark):
     e = _empty(spark)
-    assert G.pivot_agg(e, "id", "g", [("sum", "s", "t")]).columns == ["id"]
+    assert G.pivot_agg(e, "id", "g", [("sum", "s", "t")], G.discover_values(e, "g")).columns == ["id"]
     assert EN.dummies(e, "g", G.discover_values(e, "g")).columns == ["id", "y", "s"]
     assert EN.string_index(e, "g").count() == 0

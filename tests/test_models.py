@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from martwright.operators import train as T
 
 
@@ -18,9 +20,12 @@ def _separable(spark, n=400):
 
 def test_classifiers_beat_chance(spark):
     df = T.assembled(_separable(spark), ["x1", "x2"])
-    for name, params in (("lr", {"maxIter": 20}), ("dt", {"maxDepth": 3}), ("nb", {})):
+    for name, params in (("lr", {"maxIter": 20}), ("dt", {"maxDepth": 3}), ("nb", {}), ("rf", {"numTrees": 10}),
+                         ("gbt", {"maxIter": 5}), ("mlp", {"maxIter": 50}), ("svc", {"maxIter": 20})):
         m = T.make_classifier(name, 2, **params).fit(df)
-        assert T.model_auc(m, df) > 0.75
+        row = T.evaluation(T.scored(m, df), name).first()
+        assert row.model == name and row.auc > 0.75 and row.recall > 0.5 and row.weighted_precision > 0.6
+        assert abs(row.auc - T.model_auc(m, df)) < 1e-12
 
 
 def test_stepwise_picks_informative_feature(spark):
@@ -48,3 +53,53 @@ def test_model_auc_matches_evaluator_and_is_stable(spark):
     runs = {round(T.model_auc(m, df), 12) for _ in range(3)}
     assert len(runs) == 1
     assert abs(runs.pop() - ev) < 1e-9
+
+
+def test_stepwise_runs_to_the_end_and_survives_one_class(spark):
+    df = _separable(spark)
+    log = T.stepwise_auc(df.where("id < 300"), df.where("id >= 300"), ["x2", "x1"], maxIter=10).collect()
+    assert [r.step for r in log] == [1, 2] and log[1].features == "x1,x2"
+    one = T.stepwise_auc(df.where("id < 300"), df.where("id >= 300 AND label = 1"), ["x2", "x1"], maxIter=5).collect()
+    assert [r.added for r in one] == ["x2", "x1"] and one[0].auc_test is None
+
+
+def test_cross_validation_covers_the_grid(spark):
+    df = T.assembled(_separable(spark, 200), ["x1", "x2"])
+    best, table = T.cross_validate(df, "dt", T.GRIDS["dt"], folds=3)
+    rows = table.collect()
+    assert [r.params for r in rows] == ["maxDepth=4", "maxDepth=10"] and all(r.avg_auc > 0.5 for r in rows)
+    assert T.model_auc(best, df) > 0.75
+
+
+def test_scores_are_ordered_with_ties_by_key(spark):
+    df = T.assembled(spark.createDataFrame([(i, i % 2, float(i % 4)) for i in range(40)], "id int, label int, x double"), ["x"])
+    got = [(r.p_positive, r.id) for r in T.score(T.make_classifier("dt", 1, maxDepth=2).fit(df), df, "id").collect()]
+    assert got == sorted(got, key=lambda t: (-t[0], t[1]))
+
+
+@pytest.mark.parametrize(("name", "columns", "rows"), [
+    ("train_random_forest", ["model", "auc", "accuracy", "precision", "recall"], 1),
+    ("train_gbt", ["model", "auc", "accuracy", "precision", "recall"], 1),
+    ("bank_segments", ["cluster", "size"], 3), ("churner_segments", ["cluster", "n"], 3),
+    ("donor_campaign_auc", ["campaign", "auc"], 2), ("donor_segments", ["cluster", "column"], None),
+    ("score_customers", ["customer_id", "p_positive", "prediction"], None),
+    ("chi2_select", ["feature", "rank"], 2), ("pca_project", ["vec_id", "pca"], None)])
+def test_model_queries(spark, sf_dir, name, columns, rows):
+    out = entry.queries()[name](spark, sf_dir)
+    got = out.collect()
+    assert set(columns) <= set(out.columns) and (len(got) == rows if rows else got)
+    if "auc" in columns:
+        assert all(0 <= r.auc <= 1 for r in got)
+    if "size" in columns or "n" in columns:
+        assert all((r["size"] if "size" in columns else r["n"]) > 0 for r in got)
+    if name == "pca_project":
+        assert {len(r.pca) for r in got} == {10}
+
+
+def test_donor_roc_ends_at_one_and_scores_are_ordered(spark, sf_dir):
+    roc = entry.queries()["donor_campaign_roc"](spark, sf_dir).collect()
+    for c in ("training", "next"):
+        mine = sorted((r.fpr, r.tpr) for r in roc if r.campaign == c)
+        assert mine[-1] == (1.0, 1.0) and all(a[1] <= b[1] for a, b in zip(mine, mine[1:], strict=False))
+    s = [r.p_positive for r in entry.queries()["donor_campaign_scores"](spark, sf_dir).collect()]
+    assert s == sorted(s, reverse=True)

@@ -40,8 +40,8 @@ def test_trailing_windows_with_hot_customer(spark, con):
         G.trailing_window_sums(gifts, "donor_id", "date", "amount", "2000-01-01", wins)).collect()}
     exp = {r[0]: (r[1], r[2]) for r in con.execute(f"""
         SELECT {HOT_SQL} AS k,
-          CAST(SUM(CASE WHEN o_orderdate > DATE '1999-01-01' THEN CAST(o_totalprice AS DECIMAL(18,2)) END) AS DOUBLE),
-          CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)
+          CAST(SUM(CASE WHEN o_orderdate > DATE '1999-01-01' THEN CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.001' AS DECIMAL(4,3)) END) AS DOUBLE),
+          CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2)) * CAST('0.001' AS DECIMAL(4,3))) AS DOUBLE)
         FROM orders WHERE o_orderdate > DATE '1995-01-17' AND o_orderdate < DATE '2000-01-01'
         GROUP BY 1""").fetchall()}
     assert got == exp
