@@ -55,7 +55,7 @@ def split_stratified(df: DataFrame, label: str, keys: Sequence[str], train_frac:
 
 
 def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str = 123,
-               block: int = 1000) -> DataFrame:
+               chunk: int = 1000) -> DataFrame:
     """Random oversampling of every class to the majority class size; rows
     without a label are a class.
 
@@ -63,7 +63,7 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str =
     ``explode(sequence)`` and the ``m % n`` rows with the smallest key hash
     are copied once more.  The class-count table has one row per class.
 
-    The copies are generated in two steps, blocks of ``block`` first, spread
+    The copies are generated in two steps, blocks of ``chunk`` first, spread
     over tasks by ``(keys, block)``, then the copies inside each block, so
     that no task produces all copies of a tiny class next to a huge one.
     """
@@ -79,9 +79,9 @@ def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int | str =
     copies = (F.col("_full") + F.when(F.col("_r") <= F.col("_rest"), 1).otherwise(0)).cast("long")
     j = j.withColumn("_c", copies)
     blocks = j.withColumn("_b", F.explode(F.sequence(
-        F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / block).cast("long"))))
+        F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / chunk).cast("long"))))
     blocks = blocks.repartition(*[F.col(k) for k in keys], F.col("_b"))
-    first = F.col("_b") * block + 1
-    last = F.least(F.col("_c"), (F.col("_b") + 1) * block)
+    first = F.col("_b") * chunk + 1
+    last = F.least(F.col("_c"), (F.col("_b") + 1) * chunk)
     out = blocks.withColumn("copy", F.explode(F.sequence(first, last)))
     return out.drop("_h", "_r", "_n", "_full", "_rest", "_c", "_b", "_l")

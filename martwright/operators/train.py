@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
@@ -101,11 +102,11 @@ def evaluation(pred: DataFrame, name: str) -> DataFrame:
     """One row ``model, auc, accuracy, weighted_precision, precision, recall``
     from stored predictions (``label, prediction, s``)."""
     from .evaluate import binary_metrics, weighted_precision
-    m = binary_metrics(pred, "label", "prediction", name)
-    wp = weighted_precision(pred, "label", F.col("prediction"))
-    one = F.lit(1)
-    return (m.withColumn("_k", one).join(wp.withColumn("_k", one), "_k").join(auc(pred, "label", "s").withColumn("_k", one), "_k")
-            .select("model", "auc", "accuracy", "weighted_precision", "precision", "recall"))
+    names = ["auc", "accuracy", "weighted_precision", "precision", "recall"]
+    parts = [binary_metrics(pred, "label", "prediction", name).drop("model"),
+             weighted_precision(pred, "label", F.col("prediction")), auc(pred, "label", "s")]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.agg(*[F.max(c).alias(c) for c in names]).select(F.lit(name).alias("model"), *names)
 
 
 def cross_validate(train: DataFrame, name: str, grid: Mapping[str, list] | None = None,
