@@ -70,15 +70,15 @@ def string_index(df: DataFrame, c: str, out: str | None = None) -> DataFrame:
 # exact order statistic without a global sort (see operators.select)
 # ---------------------------------------------------------------------------
 
-def kth_smallest(df: DataFrame, c: str, k: int, **kw):
-    """Exact k-th smallest (1-based) non-null value of ``c`` by histogram
-    selection (``operators.select``): bounded partial aggregates, no sort."""
+def kth_smallest(df: DataFrame, c: str, k: int):
+    """Exact k-th smallest (1-based) non-null value of ``c``
+    (``operators.select``): partial aggregates, no sort."""
     from .select import column_stats, select_ranks
     st = column_stats(df, [c])
     n = st[c][0]
     if not n or k < 1 or k > n:
         return None
-    return select_ranks(df, {c: [k]}, stats=st, **kw)[(c, k)]
+    return select_ranks(df, {c: [k]}, stats=st)[(c, k)]
 
 
 def winsor_caps(df: DataFrame, columns: Sequence[str], upper: float = 0.01) -> dict:

@@ -91,32 +91,15 @@ def _approx_exprs(c: str, accuracy: int) -> dict:
     return {m: F.percentile_approx(x, p, accuracy) for m, p in _QS.items()}
 
 
-def _quantiles_long(df: DataFrame, cols: Sequence[str], group: str | None) -> DataFrame:
-    """Exact quartiles of every column (per group) in ONE ranking pass: the
-    columns are stacked into ``(key, value)`` rows with ``key = (group,
-    column)``, then ranked and interpolated with ``exact_quantiles``.
-    Output: ``[group,] column, p25, p50, p75``."""
-    from .ranking import exact_quantiles
-    gcol = F.col(group) if group else F.lit(0)
-    stacked = df.select(F.explode(F.array(*[
-        F.struct(F.struct(gcol.alias("g"), F.lit(c).alias("c")).alias("k"),
-                 F.col(c).cast("double").alias("v")) for c in cols])).alias("s")).select("s.k", "s.v")
-    q = exact_quantiles(stacked, "v", list(_QS.values()), group="k")
-    w = q.groupBy("k").agg(*[F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(m)
-                             for m, p in _QS.items()])
-    keys = [F.col("k.g").alias(group)] if group else []
-    return w.select(*keys, F.col("k.c").alias("column"), *_QS)
-
-
 def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool = True,
              accuracy: int = 10000) -> DataFrame:
     """count/mean/std/min/quartiles/max of numeric columns, long format
     ``(column, metric, value)``.
 
     The moments are one aggregate over the table.  Exact quartiles come from
-    histogram selection (``operators.select``: a few bounded partial
-    aggregates, no sort, no task holds a column's values); ``exact=False``
-    uses one ``percentile_approx`` sketch per column in the same aggregate.
+    ``operators.select`` (three more passes, no sort, no task holds a column's
+    values); ``exact=False`` uses one ``percentile_approx`` sketch per column
+    in the same aggregate.
     """
     cols = list(columns or numeric_columns(df))
     exprs = []
@@ -132,8 +115,7 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
              for c in cols for m in metrics]
     out = wide.select(F.explode(F.array(*pairs)).alias("s")).select("s.*")
     if exact:
-        # whole-column quartiles by histogram selection (no sort, no ranking
-        # pass); the result is one number per (column, quartile)
+        # the result is one number per (column, quartile)
         from .select import interpolated_quantiles
         q = interpolated_quantiles(df, cols, list(_QS.values()))
         rows = [(c, m, q[(c, p)]) for c in cols for m, p in _QS.items()]
@@ -143,51 +125,33 @@ def describe(df: DataFrame, columns: Sequence[str] | None = None, exact: bool =
 
 
 def describe_by_group(df: DataFrame, group: str, columns: Sequence[str],
-                      exact: bool = True, accuracy: int = 10000,
-                      max_select_groups: int = 64) -> DataFrame:
+                      exact: bool = True, accuracy: int = 10000) -> DataFrame:
     """``describe`` per group value (e.g. per cluster), one row per
     ``(group, column)`` with the eight statistics as columns.
 
-    Exact quartiles: with at most ``max_select_groups`` groups (checked with
-    a bounded distinct) by histogram selection on group-masked columns,
-    otherwise by distributed ranks; both are exact and sort-free per task.
+    All columns share one aggregate.  Exact quartiles come from
+    ``operators.select`` (brackets, then counted values), the same way for
+    any number of groups; ``exact=False`` takes them from sketches in the
+    same aggregate.
     """
-    from functools import reduce
-    parts = []
+    exprs = []
     for c in columns:
         e = _plain_exprs(c, _is_decimal(df, c))
         if not exact:
             e.update(_approx_exprs(c, accuracy))
-        g = df.groupBy(group).agg(*[x.alias(m) for m, x in e.items()])
-        parts.append(g.select(group, F.lit(c).alias("column"),
-                              *[F.col(m).cast("double").alias(m) for m in e]))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
+        exprs += [x.cast("double").alias(f"{c}\u0001{m}") for m, x in e.items()]
+    wide = df.groupBy(group).agg(*exprs)
+    stats = [m for m in _STATS if not exact or m not in _QS]
+    long = wide.select(group, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}\u0001{m}`").alias(m) for m in stats])
+        for c in columns])).alias("_s")).select(group, "_s.*")
     if exact:
-        groups = df.select(group).distinct().limit(max_select_groups + 1).collect()
-        if not groups:
-            return out.select(group, "column", *[(F.col(m) if m in out.columns else F.lit(None))
-                                                 .cast("double").alias(m) for m in _STATS])
-        if len(groups) <= max_select_groups:
-            # few groups: histogram selection on group-masked columns
-            from .select import interpolated_quantiles
-            keyed = {}
-            for gi, gr in enumerate(groups):
-                gv = gr[0]
-                hit = F.col(group).isNull() if gv is None else (F.col(group) == F.lit(gv))
-                for c in columns:
-                    keyed[f"{gi}\u0001{c}"] = (gv, c, F.when(hit, F.col(f"`{c}`")))
-            qs = interpolated_quantiles(df, list(keyed), list(_QS.values()),
-                                        exprs={k: v[2] for k, v in keyed.items()})
-            gtype = df.schema[group].dataType.simpleString()
-            rows = [(v[0], v[1], *[qs[(k, p)] for p in _QS.values()]) for k, v in keyed.items()]
-            q = df.sparkSession.createDataFrame(
-                rows, f"`{group}` {gtype}, column string, p25 double, p50 double, p75 double")
-        else:
-            q = _quantiles_long(df, columns, group)
+        from .select import grouped_quantiles
+        q = grouped_quantiles(df, group, columns, _QS)
         # null-safe on the group: a null group gets its quartiles too
         q = q.withColumnRenamed(group, "_qg").withColumnRenamed("column", "_qc")
-        out = out.join(q, out[group].eqNullSafe(q["_qg"]) & (out["column"] == q["_qc"]), "left")
-    return out.select(group, "column", *[F.col(m).cast("double").alias(m) for m in _STATS])
+        long = long.join(q, long[group].eqNullSafe(q["_qg"]) & (long["column"] == q["_qc"]), "left")
+    return long.select(group, "column", *[F.col(m).cast("double").alias(m) for m in _STATS])
 
 
 def head(df: DataFrame, n: int = 5) -> DataFrame:

@@ -9,17 +9,19 @@ from martwright.operators import aggregate as G
 from martwright.operators import encode as EN
 from martwright.operators import evaluate as EV
 from martwright.operators import sampling as S
+from martwright.operators import select as SEL
 from martwright.operators.joins import build_mart
 from martwright.operators.ranking import global_rank, prefix_sums, rank_within
 
 
-def test_kth_smallest_matches_sort_with_hot_value(spark):
+def test_kth_smallest_matches_sort_with_hot_value(spark, monkeypatch):
+    monkeypatch.setattr(SEL, "ACCURACY", 50)  # brackets, not whole ranges
     rnd = random.Random(7)
     vals = [rnd.uniform(-1000, 1000) for _ in range(3000)] + [42.0] * 1500  # a third is one value
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     srt = sorted(vals)
     for k in (1, 1000, 2500, 3500, len(vals)):
-        assert EN.kth_smallest(df, "x", k, max_collect=100, bins=16) == srt[k - 1]
+        assert EN.kth_smallest(df, "x", k) == srt[k - 1]
 
 
 def test_winsorize_cap_rule_and_idempotent(spark):
@@ -215,28 +217,44 @@ def test_oversample_chunked_copies(spark):
     assert o.where("c = 'min'").select("id", "copy").distinct().count() == 2500   # copy ids unique per row
 
 
-def test_select_ranks_many_targets_matches_sort(spark):
+def test_select_ranks_many_targets_matches_sort(spark, monkeypatch):
+    monkeypatch.setattr(SEL, "ACCURACY", 50)
     from martwright.operators.select import interpolated_quantiles, select_ranks
     rnd = random.Random(17)
     rows = [(rnd.uniform(-5, 5), 3.0 if i % 3 == 0 else float(rnd.randint(0, 40))) for i in range(6000)]
     df = spark.createDataFrame(rows, "a double, b double")
     ranks = {"a": [1, 77, 3000, 6000], "b": [1, 2000, 2001, 4500, 6000]}
-    got = select_ranks(df, ranks, bins=8, max_collect=30)
+    got = select_ranks(df, ranks)
     for c, idx in (("a", 0), ("b", 1)):
         srt = sorted(r[idx] for r in rows)
         for k in ranks[c]:
             assert got[(c, k)] == srt[k - 1]
-    q = interpolated_quantiles(df, ["a", "b"], [0.1, 0.5, 0.99], bins=8, max_collect=30)
+    q = interpolated_quantiles(df, ["a", "b"], [0.1, 0.5, 0.99])
     ref = df.agg(*[F.percentile(c, p).alias(f"{c}{p}") for c in "ab" for p in (0.1, 0.5, 0.99)]).first()
     assert all(q[(c, p)] == ref[f"{c}{p}"] for c in "ab" for p in (0.1, 0.5, 0.99))
 
 
-def test_describe_by_group_null_group_and_both_paths(spark):
+def test_brackets_too_narrow_are_widened(spark):
+    vals = [float(i % 997) for i in range(40_000)]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = SEL.ranked_values(df, {"x": [("m", 0.2, lambda n: F.lit(20_000))]}).first()   # the share named is wrong
+    assert got.value == sorted(vals)[19_999]
+
+
+def test_whole_numbers_beyond_doubles(spark):
+    big = 2 ** 60
+    df = spark.range(30_000).selectExpr(f"{big}L + id as x")
+    got = SEL.ranked_values(df, {"x": [("m", 0.5, lambda n: F.lit(15_001))]}).first()
+    assert got.value == float(big + 15_000)
+
+
+def test_describe_by_group_null_group(spark, monkeypatch):
     from martwright.operators.profile import describe_by_group
     rows = [("g1", float(i)) for i in range(11)] + [(None, float(i)) for i in (5, 1, 3)]
     df = spark.createDataFrame(rows, "g string, a double")
-    for limit in (64, 0):   # selection path, rank path
-        got = {r.g: (r.p25, r.p50, r.p75, r["count"]) for r in describe_by_group(df, "g", ["a"], max_select_groups=limit).collect()}
+    for accuracy in (10_000, 5):   # whole ranges, brackets
+        monkeypatch.setattr(SEL, "ACCURACY", accuracy)
+        got = {r.g: (r.p25, r.p50, r.p75, r["count"]) for r in describe_by_group(df, "g", ["a"]).collect()}
         assert got["g1"] == (2.5, 5.0, 7.5, 11.0)
         assert got[None] == (2.0, 3.0, 4.0, 3.0)
 
