@@ -41,20 +41,32 @@ def binary_metrics(df: DataFrame, label, prediction, model: str) -> DataFrame:
 
 
 def metrics_table(df: DataFrame, label, predictions: Mapping[str, Column | str]) -> DataFrame:
-    """Metrics of several models stacked (``unionByName``)."""
-    from functools import reduce
-    parts = [binary_metrics(df, label, p, name) for name, p in predictions.items()]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Metrics of several models, one row each, from one aggregate over the rows."""
+    y, names = _c(label), list(predictions)
+    counts = []
+    for i, n in enumerate(names):
+        p = _c(predictions[n])
+        counts += [F.count_if((y == a) & (p == b)).alias(f"c{i}_{a}{b}") for a in (0, 1) for b in (0, 1)]
+    rows = []
+    for i, n in enumerate(names):
+        tn, fp, fn, tp = (F.col(f"c{i}_{ab}").cast("double") for ab in ("00", "01", "10", "11"))
+        rows.append(F.struct(F.lit(n).alias("model"), F.try_divide(tp + tn, tp + fp + tn + fn).alias("accuracy"),
+                             F.try_divide(tp, tp + fp).alias("precision"), F.try_divide(tp, tp + fn).alias("recall")))
+    return df.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
 def weighted_precision(df: DataFrame, label, prediction) -> DataFrame:
     """Sum over classes of precision(class) x share of the class in the labels."""
-    y, p = _c(label), _c(prediction)
-    per_pred = df.groupBy(p.alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"),
-                                               F.count_if(y.eqNullSafe(p)).alias("n_correct"))
-    per_label = df.groupBy(y.alias("cls")).agg(F.count(F.lit(1)).alias("n_label"))
-    per_pred = per_pred.withColumnRenamed("cls", "pred")  # rows without a label are a class
-    j = per_label.join(per_pred, F.col("cls").eqNullSafe(F.col("pred")), "left")
+    # one aggregate over the rows; the rest works on a row per (label, prediction),
+    # each seen from both ends; rows without a label are a class
+    cells = df.groupBy(_c(label).cast("double").alias("y"), _c(prediction).cast("double").alias("p")).agg(
+        F.count(F.lit(1)).alias("n"))
+    ends = cells.select("n", F.col("y").eqNullSafe(F.col("p")).alias("right"), F.explode(F.array(
+        F.struct(F.col("y").alias("cls"), F.lit(True).alias("said")),
+        F.struct(F.col("p").alias("cls"), F.lit(False).alias("said")))).alias("e"))
+    n_if = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    j = ends.groupBy("e.cls").agg(n_if(F.col("e.said")).alias("n_label"), n_if(~F.col("e.said")).alias("n_pred"),
+                                  n_if(F.col("right") & F.col("e.said")).alias("n_correct"))
     prec = F.coalesce(F.try_divide(F.col("n_correct").cast("double"), F.col("n_pred").cast("double")),
                       F.lit(0.0))
     # one row per class: the class-share denominator is the sum of the class counts
@@ -72,9 +84,9 @@ def score_counts(df: DataFrame, label, score) -> DataFrame:
 def roc_table(df: DataFrame, label, score, **kw) -> DataFrame:
     """Per distinct score (descending): counts at or above it and the ROC
     point ``(fpr, tpr)`` of thresholding at that score."""
-    sc = score_counts(df, label, score)
-    tot = sc.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
-    cum = prefix_sums(sc, [("score", True)], ["pos", "neg"], **kw)
+    cum = prefix_sums(score_counts(df, label, score), [("score", True)], ["pos", "neg"], **kw)
+    # the totals come from the pinned score rows, not from the data again
+    tot = cum.agg(F.sum("pos").alias("P"), F.sum("neg").alias("N")).first()
     return cum.select(
         "score", "pos", "neg", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"),
         F.try_divide(F.col("cum_neg").cast("double"), F.lit(float(tot["N"] or 0))).alias("fpr"),

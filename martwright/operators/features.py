@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import PCA, ChiSqSelector, Normalizer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,25 +48,20 @@ def chi2_statistic(df: DataFrame, features: Sequence[str], label: str) -> DataFr
     label: ``(feature, chi2, dof)``.
 
     Uses ``chi2 = n * (sum over observed cells of o^2 / (row * col) - 1)``,
-    so only observed cells are needed: the contingency counts are one
-    partial aggregate, the marginals aggregates of those, joined on their
+    so only observed cells are needed: the contingency counts of all features
+    are one partial aggregate, the marginals aggregates of those, joined on their
     keys (no cross product of categories and classes).
     """
-    from functools import reduce
-    parts = []
-    for c in features:
-        obs = df.groupBy(F.col(c).cast("string").alias("v"), F.col(label).alias("y")) \
-            .agg(F.count(F.lit(1)).alias("o"))
-        rows = obs.groupBy("v").agg(F.sum("o").alias("rv"))
-        cols = obs.groupBy("y").agg(F.sum("o").alias("cy"))
-        cells = obs.join(rows, "v").join(cols, "y")
-        agg = cells.agg(F.sum(F.col("o").cast("double") ** 2 / (F.col("rv") * F.col("cy"))).alias("s"),
-                        F.sum("o").alias("n"), F.countDistinct("v").alias("nv"),
-                        F.countDistinct("y").alias("ny"))
-        parts.append(agg.select(F.lit(c).alias("feature"),
-                                (F.col("n") * (F.col("s") - 1)).alias("chi2"),
-                                ((F.col("nv") - 1) * (F.col("ny") - 1)).cast("long").alias("dof")))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    pairs = df.select(F.col(label).alias("y"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v")) for c in features])).alias("s"))
+    obs = pairs.groupBy("s.f", "s.v", "y").agg(F.count(F.lit(1)).alias("o"))
+    rows = obs.groupBy("f", "v").agg(F.sum("o").alias("rv"))
+    cols = obs.groupBy("f", "y").agg(F.sum("o").alias("cy"))
+    cells = obs.join(rows, ["f", "v"]).join(cols, ["f", "y"])
+    agg = cells.groupBy("f").agg(F.sum(F.col("o").cast("double") ** 2 / (F.col("rv") * F.col("cy"))).alias("s"),
+                                 F.sum("o").alias("n"), F.countDistinct("v").alias("nv"), F.countDistinct("y").alias("ny"))
+    return agg.select(F.col("f").alias("feature"), (F.col("n") * (F.col("s") - 1)).alias("chi2"),
+                      ((F.col("nv") - 1) * (F.col("ny") - 1)).cast("long").alias("dof"))
 
 
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
@@ -103,8 +97,3 @@ def selected_names(model: PipelineModel, features: Sequence[str]) -> list[str]:
         if hasattr(st, "selectedFeatures"):
             return [features[i] for i in st.selectedFeatures]
     return list(features)
-
-
-def vector_columns(df: DataFrame, col: str = "features", prefix: str = "f") -> DataFrame:
-    """Vector -> array column (the driver and SQL can compare arrays)."""
-    return df.withColumn(col, vector_to_array(col))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -52,11 +52,11 @@ def count_matches(df: DataFrame, c: str, value) -> DataFrame:
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
-    """Rows per class and share of all rows.  The total is a scalar from a
-    global aggregate (partial counts only), not a window over the classes."""
+    """Rows per class and share of all rows.  The total is summed over the
+    classes (one row each) after the only pass over the rows."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1))).first()[0]
-    return g.select(label, "n", (F.col("n") / F.lit(float(total) if total else None)).alias("share"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1))).cast("double")
+    return g.select(label, "n", (F.col("n") / total).alias("share"))
 
 
 _STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")

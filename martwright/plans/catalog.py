@@ -1,10 +1,12 @@
 """Query catalogue: name -> (Spark builder, DuckDB oracle SQL).
 
 Every builder takes ``(spark, sf_dir)``, reads the driver tables and
-returns a lazy DataFrame; the oracle is an independent SQL statement over
+returns a DataFrame.  Relational ones are lazy; those that fit something
+(models, scalers, caps, segments) or pin rows for a prefix sum run jobs while
+they are built; the oracle is an independent SQL statement over
 the same tables (views named like the tables).  Queries without an SQL
-equivalent (model training, sampling-dependent output) register no oracle
-and are checked by properties in ``tests/``.
+equivalent (model training) register no oracle; ``tests/test_models.py``
+checks properties of the models.
 """
 
 from __future__ import annotations
