@@ -83,7 +83,9 @@ def ball_edges(distinct: DataFrame, radius: int = 2) -> DataFrame:
     meet on a variant)."""
     reach, near = (radius + 1) // 2, len(_masks(radius // 2))
     masks = F.array(*[F.lit(m) for m in _masks(reach)])
-    variants = distinct.select("_fp", F.posexplode(masks).alias("_k", "_mask")).select(
+    # a small table becomes many rows: spread it over all tasks first
+    spread = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fp")
+    variants = spread.select("_fp", F.posexplode(masks).alias("_k", "_mask")).select(
         F.col("_fp").bitwiseXOR(F.col("_mask")).alias("_variant"), "_fp",
         *([] if radius % 2 == 0 else [(F.col("_k") < near).alias("_near")]))
     centre = F.col("_fp") if radius % 2 == 0 else F.when(F.col("_near"), F.col("_fp"))
