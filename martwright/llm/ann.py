@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pin, ship_package
+from .common import hash_sample, map_arrow, pin, ship_package
 
 #: rows aimed at in a block, and in a leaf of its kd-tree
 BLOCK_ROWS, LEAF_ROWS = 8192, 128
@@ -194,7 +194,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
     count = kinds.count()
     matrix = projection(dim, dims, seed)
     depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, count) / BLOCK_ROWS))))
-    sample = kinds.orderBy(F.xxhash64(F.col("_ids")[0])).limit(SAMPLE_ROWS).select("_v").toArrow() if depth else None
+    sample = hash_sample(kinds, F.col("_ids")[0], SAMPLE_ROWS, seed).select("_v").toArrow() if depth else None
     pts = np.array(sample.column(0).to_pylist(), dtype=np.float64).reshape(-1, dim) @ matrix if depth else np.zeros((0, dims))
     cells = Cells(pts, depth, dims)
     stop = chi_square_quantile(confidence, dims)

@@ -99,3 +99,14 @@ def keep_rows(df: DataFrame, decided: DataFrame, id_col: str, text_col: str) ->
         return left.select("_r.*")
     many = hit(twice, "left_semi", left).groupBy("_i", "_t").agg(F.first("_r").alias("_r"))
     return hit(twice, "left_anti", left).select("_r").unionByName(many.select("_r")).select("_r.*")
+
+
+def hash_sample(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows of ``df`` (a little fewer; all, if there are no more),
+    those whose hash is small: the same on every run, without a sort."""
+    total = df.count()
+    share = (rows - 4 * rows ** 0.5) / max(1, total)
+    if total <= rows:
+        return df
+    cells = 1 << 30
+    return df.where(F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(cells)) < F.lit(int(share * cells)))

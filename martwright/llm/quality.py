@@ -3,7 +3,7 @@
 *Document evidence.*  A logistic classifier over the shape of the text (shares
 of character kinds, word and line statistics, compressibility) gives every
 document a probability of good quality.  It is fitted on a bounded sample of
-labelled rows (``MAX_ROWS``, in hash order).
+labelled rows (about ``MAX_ROWS``, chosen by hash).
 
 *Sites.*  Probabilities of all documents are summed per host and per path (a
 part of a host) by grouped, partial aggregation; the sums' within and between
@@ -22,7 +22,7 @@ its documents carries ids and numbers only and is split at run time.
 Defined results: null and empty texts have the evidence of an empty text; a
 null host or path is one of its own; without labelled rows of both kinds the
 classifier says the share of good rows (one half without any); repeated rows
-count each; of repeated label rows the smallest counts; labels other than 0
+count each, but are learnt from once (the smallest text of an id); of repeated label rows the smallest counts; labels other than 0
 and 1 are left out; an empty table gives an empty result; other columns take
 no part.
 """
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pin, whole_text
+from .common import hash_sample, map_arrow, pin, whole_text
 
 #: labelled rows the classifier is fitted on at most
 MAX_ROWS = 20_000
@@ -100,10 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         label_col: str = "quality", max_rows: int = MAX_ROWS, seed: int = 13) -> tuple[list[float], float]:
     """Weights of the (raw) features and offset."""
     given = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-             .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y"))
-             .orderBy(F.xxhash64("_id", F.lit(seed))).limit(max_rows))
-    rows = docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(given), "_id")
-    got = _featured(rows, ["_y"]).toArrow()                       # at most max_rows rows of numbers
+             .groupBy(F.col(id_col).alias("_id")).agg(F.min(label_col).cast("int").alias("_y")))
+    given = hash_sample(given, F.col("_id"), max_rows, seed)
+    # about max_rows ids: a bound for the broadcast, and, with one text for each id, for the rows gathered
+    rows = (docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text")).join(F.broadcast(given), "_id")
+            .groupBy("_id", "_y").agg(F.min("_text").alias("_text")))
+    got = _featured(rows, ["_y"]).toArrow()
     y = got.column("_y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
         share = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
