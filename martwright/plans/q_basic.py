@@ -208,13 +208,14 @@ def drop_columns(spark, sf):
 
 @query("cast_columns", """
 SELECT o_orderkey, TRY_CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS pr,
-       TRY_CAST(o_orderpriority AS INTEGER) AS o_orderpriority,
-       TRY_CAST(o_orderstatus AS INTEGER) AS o_orderstatus
+       TRY_CAST(replace(o_orderpriority, '-URGENT', '') AS INTEGER) AS o_orderpriority,
+       TRY_CAST(replace(o_orderstatus, 'F', '7') AS INTEGER) AS o_orderstatus
 FROM orders""")
 def cast_columns(spark, sf):
     (o,) = tables(spark, sf, "orders")
     x = o.select("o_orderkey", F.substring("o_orderpriority", 1, 1).alias("pr"),
-                 "o_orderpriority", "o_orderstatus")
+                 F.replace("o_orderpriority", F.lit("-URGENT"), F.lit("")).alias("o_orderpriority"),
+                 F.replace("o_orderstatus", F.lit("F"), F.lit("7")).alias("o_orderstatus"))
     return C.cast_columns(x, ["pr", "o_orderpriority", "o_orderstatus"], "int")
 
 

@@ -35,6 +35,10 @@ def con(sf_dir):
     return c
 
 
+# columns that stay null here: a category no transaction has, references between pages that don't repeat at this scale
+ABSENT = {"pivot_mean_of_groups": {f"op_{a}_Remit_other_bank" for a in ("count", "sum", "mean")}, "op6_warc": {"refers_to"}}
+
+
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_matches_oracle(spark, sf_dir, con, name):
     df = entry.queries()[name](spark, sf_dir)
@@ -48,7 +52,7 @@ def test_matches_oracle(spark, sf_dir, con, name):
     # nothing compared is nothing checked: rows there are, no column is all null, arrays hold something
     assert srows
     cells = {c: [r[i] for r in srows] for i, c in enumerate(df.columns)}
-    empty = [c for c, v in cells.items() if all(x is None or x == [] for x in v)]
+    empty = [c for c, v in cells.items() if c not in ABSENT.get(name, ()) and all(x is None or x == [] for x in v)]
     assert not empty, empty
     assert "label" not in cells or len(set(cells["label"])) > 1
     same = {("bigint", "BIGINT"), ("int", "INTEGER"), ("double", "DOUBLE"), ("string", "VARCHAR"),
