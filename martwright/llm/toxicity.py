@@ -24,15 +24,15 @@ table, and scores each distinct word it meets once.
 A document is scored by Platt's logistic curve over its worst words' decisions,
 the number of its words on the toxic side and its length, fitted on the training documents.
 
-Fitting looks at a bounded sample of labelled rows (``MAX_ROWS`` documents in
-hash order); scoring reads every whole text.  No label, language, source or id
+Fitting looks at a bounded sample of labelled rows (about ``MAX_ROWS``
+documents, chosen by hash); scoring reads every whole text.  No label, language, source or id
 enters a score.
 
 Defined results: null text counts as empty; an empty text scores like one
 whose words resemble no landmark; without labelled rows of both kinds, or
 without witnesses, every score is the share of toxic rows (0 if none); labels
 other than 0 and 1 are left out; of repeated label rows the largest counts;
-repeated documents are scored each; an empty table gives an empty result;
+repeated documents are scored each, and learnt from once (the smallest text of an id); an empty table gives an empty result;
 other columns take no part.
 """
 
@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, pin, whole_text
+from .common import hash_sample, map_arrow, pin, whole_text
 
 DECAY, SPAN = 0.7, 6
 #: longest word handled as one; longer ones are read in overlapping windows
@@ -58,7 +58,9 @@ MAX_ROWS, MAX_PIECES, MAX_WORDS, LANDMARKS = 20_000, 2_000, 6_000, 128
 #: lengths of the word beginnings looked at
 PIECES = (4, 5, 6, 7, 8)
 #: distinct words remembered per Python worker; beyond it the memory starts anew
-REMEMBER = 300_000
+REMEMBER = 200_000
+#: documents read, and words mapped, at a time
+DOCS_AT_ONCE, WORDS_AT_ONCE = 128, 4_000
 #: digits and signs read as the letters they look like (fixed values)
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 EDGE = " \t\n\r\f\v.,;:!?\"'()[]{}<>«»„“”‘’*#$%&|/\\-_=+~^`…–—"
@@ -218,7 +220,7 @@ class ToxicityModel:
             new = sorted(new)
             many = [forms(t) for t in new]
             flat = [f for m in many for f in m]
-            d = np.concatenate([self.decide(flat[i:i + 20_000]) for i in range(0, len(flat), 20_000)]) if flat else np.zeros(0)
+            d = np.concatenate([np.zeros(0), *(self.decide(flat[i:i + WORDS_AT_ONCE]) for i in range(0, len(flat), WORDS_AT_ONCE))])
             ends = np.cumsum([len(m) for m in many])
             starts = ends - [len(m) for m in many]
             best = np.maximum.reduceat(d, starts) if len(d) else d
@@ -350,23 +352,23 @@ def _fit_words(good: list[str], bad: dict[str, tuple[int, int]], begins: list[st
     return ToxicityModel(known, np.bincount(inverse, alpha[idx] * values), float(w[-1]), landmarks=landmarks)
 
 
-def _pieces(batch: pa.RecordBatch, model: ToxicityModel, memory: dict[str, float]):
-    """(rows, evidence, worst tokens) for some hundred rows at a time."""
-    for i in range(0, batch.num_rows, 256):
-        part = batch.slice(i, 256)
-        got = model.read(part.column("_text").to_pylist(), memory)
+def _pieces(batch: pa.RecordBatch, model: ToxicityModel, memory: dict[str, float], text=lambda b: b.column("_text")):
+    """(rows, evidence, worst tokens) for some rows at a time."""
+    for i in range(0, batch.num_rows, DOCS_AT_ONCE):
+        part = batch.slice(i, DOCS_AT_ONCE)
+        got = model.read(["" if t is None else str(t) for t in text(part).to_pylist()], memory)
         yield part, np.array([e for e, _ in got]), [t for _, t in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", max_rows: int = MAX_ROWS, seed: int = 11) -> ToxicityModel:
-    """Fit on the labelled rows given (at most ``max_rows`` of them)."""
+    """Fit on the labelled rows given (about ``max_rows`` of them at most)."""
     given = (labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-             .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
-             .orderBy(F.xxhash64("_id", F.lit(seed))).limit(max_rows))
-    # at most max_rows ids: a proven bound for the broadcast
+             .groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y")))
+    given = hash_sample(given, F.col("_id"), max_rows, seed)
+    # about max_rows ids: a bound for the broadcast, and, with one text for each id, for all that follows
     rows = pin(docs.select(F.col(id_col).alias("_id"), whole_text(text_col).alias("_text"))
-               .join(F.broadcast(given), "_id")
+               .join(F.broadcast(given), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
                .select("_text", "_y", F.monotonically_increasing_id().alias("_row")))
     rows = _without_copies(rows)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos")).first()
@@ -441,12 +443,13 @@ def held_out(id_col: str = "doc_id"):
 def reject_toxic(df: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows of ``df``, all columns, that score below the threshold: one pass, no shuffle."""
     cols = df.columns
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"), whole_text(text_col).alias("_text"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"))
+    at = cols.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, float] = {}
         for b in batches:
-            for part, evidence, _ in _pieces(b, model, memory):
-                yield part.select(["_r"]).filter(pa.array(model.probability(evidence) < threshold))
+            for part, evidence, _ in _pieces(b, model, memory, lambda p: p.column("_r").field(at)):
+                yield part.filter(pa.array(model.probability(evidence) < threshold))
 
     return map_arrow(packed, run, f"_r {packed.schema['_r'].dataType.simpleString()}").select("_r.*")
