@@ -55,6 +55,8 @@ DECAY, SPAN = 0.7, 6
 WORD, STEP = 32, 16
 #: bounds of the fit: documents, witness beginnings, words of either kind, landmarks
 MAX_ROWS, MAX_PIECES, MAX_WORDS, LANDMARKS = 20_000, 2_000, 6_000, 128
+#: times by which a witness must raise the odds of the toxic side (whatever their share)
+ODDS = 4
 #: lengths of the word beginnings looked at
 PIECES = (4, 5, 6, 7, 8)
 #: distinct words remembered per Python worker; beyond it the memory starts anew
@@ -291,7 +293,7 @@ def witnesses(counts: DataFrame, share: float) -> list[str]:
     begun = counts.select("pos", "neg", F.explode(F.array_distinct(F.array(
         *[F.substring("word", 1, k) for k in PIECES]))).alias("piece"))
     table = begun.groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(
-        (F.col("pos") >= 3) & (F.length("piece") >= PIECES[0]) & (F.col("pos") > 4 * share * (F.col("pos") + F.col("neg"))))
+        (F.col("pos") >= 3) & (F.length("piece") >= PIECES[0]) & (F.col("pos") * (1 - share) > ODDS * share * F.col("neg")))
     table = pin(table.withColumn("g2", _g2(F.col("pos"), F.col("neg"), F.lit(share))))
     tested = max(1, table.count())
     floor = 2 * math.log(tested) + 12            # chance of the whole table's largest, with room

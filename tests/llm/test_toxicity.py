@@ -102,3 +102,25 @@ def test_held_out_rule(spark):
     import zlib
     df = spark.range(50).select(F.col("id").alias("doc_id"), toxicity.held_out().alias("h"))
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in df.collect())
+
+
+def _labelled(spark, toxic, clean, wordier=1):
+    """Documents of invented words, the toxic ones ``wordier`` times as long and with one insult each."""
+    rng, insults = np.random.default_rng(5), ["idiot", "moron", "stupid", "worthless", "pathetic"]
+    words = ["".join(rng.choice(list("abcdefghklmnoprstuvw"), 6)) for _ in range(2_000)]
+    rows = []
+    for i in range(toxic + clean):
+        bad = i < toxic
+        found = list(rng.choice(words, 20 * (wordier if bad else 1)))
+        rows.append((i, " ".join([*found, insults[i % 5]] if bad else found), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    return df.select("doc_id", "text"), df.select("doc_id", "toxic")
+
+
+@pytest.mark.parametrize(("toxic", "clean", "wordier"), [(400, 400, 1), (600, 200, 1), (150, 1350, 4)])
+def test_labels_of_any_balance_are_learnt(spark, toxic, clean, wordier):
+    docs, labels = _labelled(spark, toxic, clean, wordier)
+    m = toxicity.fit(docs, labels.filter(~toxicity.held_out()))
+    got = toxicity.score(docs, m).join(labels, "doc_id").filter(toxicity.held_out()).collect()
+    assert len({round(r.score, 9) for r in got}) > 1
+    assert sum(r.predicted != r.toxic for r in got) <= 0.05 * len(got)
