@@ -38,7 +38,7 @@ from .common import map_arrow, whole_text
 
 #: words in a k-gram, neighbours a fingerprint is chosen from
 GRAM, WINDOW = 3, 3
-#: half width of the alignment band, in words
+#: half width of the alignment band, in words (less for templates that are shorter)
 BAND = 12
 WORDS = re.compile(r"[0-9A-Za-z]+")
 
@@ -66,6 +66,7 @@ TEMPLATES = {
         " General Public License for more details.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-4.0-notice": "Licensed under CC BY 4.0.",
+    "all-rights-reserved-notice": "All rights reserved.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that"
@@ -90,6 +91,8 @@ class TemplateIndex:
                 self.words.append(w)
         self.vocabulary = {w: i for i, w in enumerate(sorted({x for w in self.words for x in w}), 1)}
         self.ids = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for w in self.words]
+        # an alignment that strays as many words as the template has scores nothing
+        self.bands = [min(BAND, len(w) - 1) for w in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, ids in enumerate(self.ids):
             for at, h in self._winnowed(ids):
@@ -129,14 +132,15 @@ class TemplateIndex:
             starts.sort()
             out[t] = [starts[0]]
             for s in starts[1:]:
-                if s - out[t][-1] > BAND:
+                if s - out[t][-1] > self.bands[t]:
                     out[t].append(s)
         return out
 
     def align(self, t: int, ids: np.ndarray, start: int) -> tuple[int, int, int, int] | None:
         """Best local alignment of template ``t`` in the band about the diagonal
         ``start``: (words matched, score, first word, end word) of the text."""
-        lo, hi = max(0, start - BAND), min(len(ids), start + len(self.ids[t]) + BAND + BAND)
+        band = self.bands[t]
+        lo, hi = max(0, start - band), min(len(ids), start + len(self.ids[t]) + band + band)
         text, tpl = ids[lo:hi].tolist(), self.ids[t].tolist()
         n, m = len(text), len(tpl)
         best = (0, 0, 0, 0)
@@ -144,7 +148,7 @@ class TemplateIndex:
         for j in range(1, m + 1):
             row: dict[int, tuple[int, int, int]] = {}
             mid = start - lo + j
-            for i in range(max(1, mid - BAND), min(n, mid + 2 * BAND) + 1):
+            for i in range(max(1, mid - band), min(n, mid + 2 * band) + 1):
                 same = text[i - 1] == tpl[j - 1]
                 s, k, f = before.get(i - 1, (0, 0, i - 1))
                 cell = (s + 2, k + 1, f) if same else (s - 1, k, f)

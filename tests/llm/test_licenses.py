@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 from martwright.llm.licenses import BAND, TEMPLATES, WORDS, TemplateIndex, scan_licenses
 
@@ -72,6 +74,25 @@ def test_every_notice_in_documents(spark, documents):
     assert want and got == want
 
 
+def test_every_licence_line_in_documents(spark):
+    """Whatever the templates: each short line about rights that stands in several texts is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    asks = re.compile(r"licen[cs]|rights|reserved|copyright", re.IGNORECASE)
+    lines = [(r.doc_id, x.strip()) for r in docs.collect() for x in set((r.text or "").splitlines())
+             if asks.search(x) and len(x.split()) <= 15]
+    often = Counter(x for _, x in lines)
+    want = {(d, x) for d, x in lines if often[x] > 1}
+    got = {(r.doc_id, r.span_text + ".") for r in scan_licenses(docs).collect()}
+    assert len({x for _, x in want}) >= 5 and want <= got
+
+
+def test_neighbouring_notices_are_all_reported():
+    index = TemplateIndex(TEMPLATES)
+    for name in ("all-rights-reserved-notice", "mit-notice"):
+        assert [g[0] for g in index.scan("\n".join([TEMPLATES[name]] * 3), 0.8)] == [name] * 3
+    assert {g[0] for g in index.scan(TEMPLATES["copyright"], 0.8)} == {"copyright", "all-rights-reserved-notice"}
+
+
 def test_odd_rows(spark, odd, empty):
     assert scan_licenses(odd).count() == 0 and scan_licenses(empty).count() == 0
     df = spark.createDataFrame([(1, "word " * 20_000 + "Released under the MIT License."), (1, None), (None, "Released under the MIT License.")],
