@@ -103,3 +103,11 @@ def test_donor_roc_ends_at_one_and_scores_are_ordered(spark, sf_dir):
         assert mine[-1] == (1.0, 1.0) and all(a[1] <= b[1] for a, b in zip(mine, mine[1:], strict=False))
     s = [r.p_positive for r in entry.queries()["donor_campaign_scores"](spark, sf_dir).collect()]
     assert s == sorted(s, reverse=True)
+
+
+def test_stepwise_is_offered_the_whole_donor_mart(spark, sf_dir, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(T, "stepwise_auc", lambda train, test, cands, **p: seen.update(p, cands=list(cands), columns=train.columns))
+    entry.queries()["stepwise_auc"](spark, sf_dir)
+    assert set(seen["cands"]) == set(seen["columns"]) - {"donor_id", "campaign_amount", "label", "split"}
+    assert any(c.startswith("province_") for c in seen["cands"]) and seen["maxIter"] >= 500
