@@ -25,9 +25,13 @@ from . import churn as CH
 from . import donor as D
 from .catalog import query, tables
 
-CHURN_FEATURES = ["n_subscription_rows", "avg_days_subscription", "sum_meals", "avg_price",
-                  "sum_price", "sum_discount", "n_subscriptions_1995", "n_subscriptions_1996",
-                  "n_subscriptions_1997", "n_complaints_click", "n_complaints_error"]
+# the key, the label, and what defines the label: the last end and the days since it
+_CHURN_OUT = {"customer_id", "label", "days_without_sub", "last_end", "first_start"}
+
+
+def churn_features(mart) -> list[str]:
+    """Every numeric column of the mart but those that define the label."""
+    return [c for c in mart.columns if c not in _CHURN_OUT]
 
 
 def _churn_mart(spark, sf, **period):
@@ -38,10 +42,12 @@ def _churn_mart(spark, sf, **period):
 
 
 def _churn_sets(spark, sf):
-    s = split_hash(_churn_mart(spark, sf), ["customer_id"], 0.7, seed=123)
-    st = EN.zscore_fit(s.where("split = 'train'"), CHURN_FEATURES).first().asDict()
-    zc = [f"{c}_z" for c in CHURN_FEATURES]
-    a = T.assembled(EN.zscore_transform(s, st, CHURN_FEATURES), zc)
+    mart = _churn_mart(spark, sf)
+    feats = churn_features(mart)
+    s = split_hash(mart, ["customer_id"], 0.7, seed=123)
+    st = EN.zscore_fit(s.where("split = 'train'"), feats).first().asDict()
+    zc = [f"{c}_z" for c in feats]
+    a = T.assembled(EN.zscore_transform(s, st, feats), zc)
     return a.where("split = 'train'"), a.where("split = 'test'"), zc
 
 
@@ -150,7 +156,7 @@ def score_customers(spark, sf):
     churn probability first."""
     train_mart = _churn_mart(spark, sf)
     # calendar-year pivots differ between the two periods: score on the rest
-    feats = [f for f in CHURN_FEATURES if not f.startswith("n_subscriptions_")]
+    feats = [f for f in churn_features(train_mart) if not f.startswith("n_subscriptions_")]
     st = EN.zscore_fit(train_mart, feats).first().asDict()
     zc = [f"{c}_z" for c in feats]
     m = T.make_classifier("lr", len(zc), maxIter=50).fit(T.assembled(EN.zscore_transform(train_mart, st, feats), zc))
@@ -196,9 +202,10 @@ PROFILE = ["n_subscription_rows", "customer_lifetime", "avg_days_subscription",
 def churner_segments(spark, sf):
     """k=3 on the customers a model predicts to churn; 21 averages per cluster."""
     mart = _churn_mart(spark, sf)
-    st = EN.zscore_fit(mart, CHURN_FEATURES).first().asDict()
-    zc = [f"{c}_z" for c in CHURN_FEATURES]
-    z = T.assembled(EN.zscore_transform(mart, st, CHURN_FEATURES), zc)
+    feats = churn_features(mart)
+    st = EN.zscore_fit(mart, feats).first().asDict()
+    zc = [f"{c}_z" for c in feats]
+    z = T.assembled(EN.zscore_transform(mart, st, feats), zc)
     m = T.make_classifier("lr", len(zc), maxIter=50).fit(z)
     churners = cut_lineage(m.transform(z).where("prediction = 1").select("customer_id", *PROFILE))
     rows, _ = T.kmeans_segments(churners, PROFILE, k=3, seed=1)

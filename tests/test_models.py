@@ -111,3 +111,11 @@ def test_stepwise_is_offered_the_whole_donor_mart(spark, sf_dir, monkeypatch):
     entry.queries()["stepwise_auc"](spark, sf_dir)
     assert set(seen["cands"]) == set(seen["columns"]) - {"donor_id", "campaign_amount", "label", "split"}
     assert any(c.startswith("province_") for c in seen["cands"]) and seen["maxIter"] >= 500
+
+
+def test_classifiers_see_every_churn_feature(spark, sf_dir):
+    from martwright.plans import q_model as Q
+    mart = Q._churn_mart(spark, sf_dir)
+    assert set(mart.columns) - set(Q.churn_features(mart)) == {"customer_id", "label", "days_without_sub", "last_end", "first_start"}
+    train, _, zc = Q._churn_sets(spark, sf_dir)
+    assert [f"{c}_z" for c in Q.churn_features(mart)] == zc and train.first().features.size == len(zc) >= 50
