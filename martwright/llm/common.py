@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..session import checkpoint_dir
 
@@ -69,7 +70,7 @@ def ship_package(spark: SparkSession) -> None:
     sc._martwright_shipped = True
 
 
-def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand in the executors."""
     ship_package(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -101,6 +102,26 @@ def keep_rows(df: DataFrame, decided: DataFrame, id_col: str, text_col: str) ->
     return hit(twice, "left_anti", left).select("_r").unionByName(many.select("_r")).select("_r.*")
 
 
+def key_bitmap(keys: DataFrame, col: str, most: int = 1 << 24) -> bytes:
+    """Bitmap of the 64-bit hashes in ``col`` of a pinned table: about eight bits
+    a row, ``most`` (2 MB) at most, however many rows there are."""
+    bits = max(1 << 12, min(most, 1 << (8 * keys.count()).bit_length()))
+    slot = F.pmod(F.col(col), F.lit(bits))
+    words = (keys.groupBy(F.floor(slot / 64).alias("w"))
+             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")))
+    out = bytearray(bits // 8)
+    for r in words.toLocalIterator():
+        out[int(r.w) * 8:int(r.w) * 8 + 8] = (r.b & 0xFFFFFFFFFFFFFFFF).to_bytes(8, "little")
+    return bytes(out)
+
+
+def in_bitmap(bitmap: bytes, key: Column) -> Column:
+    """Whether the hash's bit is set: true for every key of the bitmap, and for a few others."""
+    slot = F.pmod(key, F.lit(len(bitmap) * 8))
+    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))) != 0
+
+
 def hash_sample(df: DataFrame, key: Column, rows: int, seed: int) -> DataFrame:
     """About ``rows`` rows of ``df`` (a little fewer; all, if there are no more),
     those whose hash is small: the same on every run, without a sort."""

@@ -3,12 +3,14 @@ parameters to its whole table and derives the agreed digest columns."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, mixing, quality, simhash, token_files, toxicity, warc
+from . import (ann, bpe, exact_dedup, licenses, line_dedup, mixing, quality, runs, simhash, spelling, token_files,
+               toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -135,3 +137,50 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source gets the same share of a mix as large as the corpus."""
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select(
         "doc_id", "source", F.col("_copy").alias("copy"))
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every 31st (document, word) loses a letter first, by its checksum."""
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"), min_length=7, min_count=2, times=10, typo_every=31)
+
+
+@query("op12_line_dedup", """
+WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                  generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents),
+k AS (SELECT doc_id, i, line, translate(trim(line, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))),
+             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+r AS (SELECT key, max(doc_id) AS keep FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+d AS (SELECT doc_id, i, line, coalesce(doc_id <> keep, FALSE) AS gone FROM k LEFT JOIN r USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM d GROUP BY doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_documents=3).select(
+        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
+def planted_period(said: str | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth id, by its checksum, made periodic from some word on."""
+    h, n = zlib.crc32(said.encode()) if said is not None else 1, len(words)
+    if h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted_period)
+    kind = found.schema["runs"].dataType.elementType
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda a, r: F.when(
+        a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a))
+    said = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("_best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_best.start", "_best.length", "_best.period",
+        F.expr("1000 * _best.length div _best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(said, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
