@@ -39,11 +39,11 @@ qualify, gives an empty result; other columns take no part.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,30 +53,37 @@ from .common import map_arrow, pin, whole_text
 #: shortest and longest gram, in code points
 QMIN, QMAX = 2, 4
 #: a gram is frequent if it takes more than one word position in RARE
-RARE = 1_000
+RARE = 300
 #: words counted in a task before their counts are handed on
 FLUSH = 200_000
 
 
-def typo(prefix: int, run: bytes, every: int) -> bytes:
-    """The run (Latin-1), less one letter where ``every`` divides the CRC-32 of
-    ``<id>:<run>``; ``prefix`` is the CRC-32 of the id and the colon."""
-    h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), prefix)
-    if h % every:
-        return run
-    at = h % len(run)
-    return run[:at] + run[at + 1:]
+#: every Latin-1 letter as it counts; all other signs as a blank
+LETTERS = bytes(c if c >= 0xC0 else ord(chr(c).lower()) if chr(c).isascii() and chr(c).isalpha() else 0x20 for c in range(256))
+
+
+def long_runs(texts: list[str], least: int) -> list[list[bytes]]:
+    """For each text its maximal runs of at least ``least`` letters, in Latin-1
+    and A-Z lower-cased, in order (signs outside Latin-1 end a run like any other)."""
+    plain = [t.encode("latin-1", "replace").translate(LETTERS) for t in texts]
+    joined = b" " + b" ".join(plain) + b" "
+    inside = np.frombuffer(joined, np.uint8) != 0x20
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begin, end = edges[::2], edges[1::2]
+    long = end - begin >= least
+    begin, end = begin[long], end[long]
+    cuts = np.searchsorted(begin, np.cumsum([1] + [len(t) + 1 for t in plain]))
+    words = [joined[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+    return [words[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def word_counts(df: DataFrame, id_col: str, text_col: str, min_length: int, min_count: int,
                 typo_every: int | None) -> DataFrame:
     """``word, n``: words long and frequent enough, over all rows."""
     src = df.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("_id"), whole_text(text_col).alias("_text"))
-    # all letters are in Latin-1; whatever is not becomes a question mark, which ends a run like any other sign
-    runs = re.compile(b"[a-z\xc0-\xff]{%d,}" % min_length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        total: defaultdict[bytes, int] = defaultdict(int)
 
         def handed() -> pa.RecordBatch:
             out = pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in total], pa.string()),
@@ -84,16 +91,22 @@ def word_counts(df: DataFrame, id_col: str, text_col: str, min_length: int, min_
             total.clear()
             return out
 
-        for b in batches:
-            for i, t in zip(b.column("_id"), b.column("_text"), strict=True):
-                found = Counter(runs.findall(t.as_py().encode("latin-1", "replace").lower()))
-                if typo_every is None:
-                    total.update(found)
-                    continue
-                prefix = zlib.crc32(f"{i}:".encode())
-                for w, n in found.items():
-                    w = typo(prefix, w, typo_every)
-                    if len(w) >= min_length:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                for i, found in zip(b.column("_id"), long_runs([t.as_py() for t in b.column("_text")], min_length), strict=True):
+                    if typo_every is None:
+                        for w in found:
+                            total[w] += 1
+                        continue
+                    prefix = zlib.crc32(f"{i}:".encode())
+                    for w, n in Counter(found).items():
+                        h = zlib.crc32(w if w.isascii() else w.decode("latin-1").encode(), prefix)
+                        if h % typo_every == 0:
+                            cut = h % len(w)
+                            w = w[:cut] + w[cut + 1:]
+                            if len(w) < min_length:
+                                continue
                         total[w] += n
                 if len(total) > FLUSH:
                     yield handed()
@@ -133,15 +146,27 @@ def decompose(word: str, frequent: set[str]) -> tuple[list[str], list[int]]:
 
 
 def postings_of(word: str, frequent: set[str]) -> list[tuple[int, bool, str]]:
-    """(place, whether a gap, the grams that an edit there leaves untouched, aligned
-    to the place) for every place and gap of the word."""
-    grams, ends = decompose(word, frequent)
-    n, out = len(word), []
+    """(place, whether a gap, what the grams that an edit there leaves untouched
+    spell before and after it) for every place and gap of the word.  Grams start
+    everywhere, so those on one side overlap and spell one piece of the word;
+    where too little is left for a gram, its length stands for it."""
+    _, ends = decompose(word, frequent)
+    by_end: dict[int, int] = {}
+    for i, e in enumerate(ends):
+        by_end.setdefault(e, i)
+    n, out, first, to = len(word), [], len(word), 0
     for p in range(n + 1):
-        left = ",".join([f"{i}{g}" for i, (g, e) in enumerate(zip(grams[:p], ends, strict=False)) if e <= p])
-        out.append((p, True, left + "|" + ",".join(grams[p:]) + f"|{n - p}"))
-        if p < n:
-            out.append((p, False, left + "|" + ",".join(grams[p + 1:]) + f"|{n - p - 1}"))
+        if p in by_end:
+            first, to = min(first, by_end[p]), p
+        left = f"{first}{word[first:to]}|" if to else "|"
+        if n - p >= QMIN:
+            out.append((p, True, left + word[p:]))
+        else:
+            out.append((p, True, f"{left}{n - p}"))
+        if n - p > QMIN:
+            out.append((p, False, left + word[p + 1:]))
+        elif p < n:
+            out.append((p, False, f"{left}{n - p - 1}"))
     return out
 
 
@@ -176,10 +201,10 @@ def near_pairs(words: DataFrame, rare: int = RARE) -> DataFrame:
     # few rows make many postings: spread them over all tasks first
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     posts = pin(postings(words.repartition(tasks, "word"), frequent_grams(words, rare)))
-    held = posts.filter("not gap").select("k", "p", F.col("word").alias("b"), F.col("n").alias("bn"))
-    met = posts.withColumnsRenamed({"word": "a", "n": "an"}).join(held, ["k", "p"])
+    held = posts.filter("not gap").select("k", F.col("p").alias("bp"), F.col("word").alias("b"), F.col("n").alias("bn"))
+    met = posts.withColumnsRenamed({"word": "a", "n": "an"}).join(held, "k")
     a_rest = F.when(F.col("gap"), F.expr("substring(a, p + 1)")).otherwise(F.expr("substring(a, p + 2)"))
-    same = met.filter((F.expr("left(a, p) = left(b, p)")) & (a_rest == F.expr("substring(b, p + 2)"))
+    same = met.filter((F.expr("p = bp and left(a, p) = left(b, p)")) & (a_rest == F.expr("substring(b, p + 2)"))
                       & (F.expr("substring(a, p + 1, 1) != substring(b, p + 1, 1)")))
     ways = F.when(F.col("gap"), F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("bn").alias("other_n")),
                                         F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("an").alias("other_n")))
@@ -209,7 +234,8 @@ def spelling_variants(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of them (ties: the smallest in code-point order) if at least ``times`` as
     frequent as the word; ``root`` is the last word reached over forms, the word
     itself without any.  ``typo_every`` leaves a letter out of a known part
-    of the words first (for trials)."""
+    of the words first: where it divides h, the CRC-32 of ``<id>:<word>``, code
+    point h % length (for trials)."""
     if min_length < QMIN + QMAX + 1:
         raise ValueError(f"min_length must be at least {QMIN + QMAX + 1}: shorter words keep no gram beside an edit")
     words = pin(word_counts(df, id_col, text_col, min_length, min_count, typo_every))

@@ -57,7 +57,14 @@ def test_query_by_brute_force(spark, small, documents):
     words = counted([(r.doc_id, r.text) for r in documents.collect()], 31)
     want = brute(words)
     assert told(queries.op11(spark, small)) == want
-    assert sum(bool(w[1]) for w in want) > 20 and any(w[2] != w[1] for w in want if w[1]) or len(want) > 100
+    assert len(want) > 500 and sum(w[4] for w in want) > 100
+
+
+def test_long_runs():
+    texts = ["", "abcdefg hij", "x" * 9 + "1" + "É" * 8, "end abcdefgh", "ijklmnop \U0001F600ABCDEFG\x00qrstuvw", "Œuvres-uvresÿÀ"]
+    want = [["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in w).encode("latin-1")
+             for w in re.findall("[A-Za-zÀ-ÿ]{7,}", t)] for t in texts]
+    assert spelling.long_runs(texts, 7) == want and spelling.long_runs([], 7) == []
 
 
 @pytest.mark.parametrize("rare", [2, 20, 1_000])
