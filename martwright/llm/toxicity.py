@@ -1,28 +1,36 @@
 """Toxicity by a subsequence string kernel, Nystroem landmarks and a linear SVM.
 
-*Kernel.*  Two strings are alike as far as they share subsequences of three
+*Kernel.*  Two strings are alike as far as they share subsequences of four
 characters, which need not be adjacent: an occurrence that spans s characters
 counts ``DECAY ** s``, up to ``SPAN``.  Gapped and inserted characters
-(``id-iot``, ``stuxpid``) therefore lower the likeness a little instead of
-destroying it.  Values are scaled by the strings' own lengths.
-
-*Instances.*  A document's sentences carry its label and their words are the
-instances: a document is toxic if its worst sentence is, a sentence if its
-worst word is (multiple-instance learning).  Words written with separators,
-look-alike digits or spaced-out letters are read in their plain form too.
-Which words witness the label is found from the labelled rows alone: word
-beginnings whose presence goes with the label beyond chance.  They, forms of
-them with characters inserted, and a sample of clean words train the SVM;
-clean words that come out too high are added and it is trained again.
-
-*Nystroem.*  Landmarks are words chosen far apart from each other.  Each word
-is mapped through its kernel values with the landmarks and a squared-hinge SVM
-is fitted there.  As the kernel is an inner product of subsequence counts, the
-fitted function is, exactly, one weight per subsequence; a task holds just this
-table, and scores each distinct word it meets once.
-
-A document is scored by Platt's logistic curve over its worst words' decisions,
-the number of its words on the toxic side and its length, fitted on the training documents.
+(``id-iot``, ``stuxpid``, ``moxroxn``) therefore lower the likeness a little
+instead of destroying it.  Values are scaled by the strings' own lengths.
+
+*Instances.*  The sentences of a labelled document carry its label and are the
+training instances.  A sentence is toxic if one of its windows (words; long ones
+in overlapping pieces) is, so it is represented by the windows that witness it
+(multiple-instance learning), and every window of a clean sentence counts
+against.  Words written with separators, look-alike digits or spaced-out letters
+are read in their plain form too.  The first witnesses are found from the labels
+alone: beginnings of windows, then pieces from within those that no beginning
+explains, whose presence goes with the label beyond chance.  After a fit each
+toxic sentence is represented by its worst window, and the fit is repeated.
+
+*Spoilt copies.*  Every pure witness is also learnt with one to three letters put
+in, together with the same weight as the word itself, so that the fitted function,
+not only the kernel, tolerates insertions.  Clean windows that come out too high
+are added and the fit is repeated.
+
+*Nystroem.*  Landmarks are windows chosen far apart from each other among the
+witnesses, their spoilt copies, clean windows and those that come out too high.
+Each window is mapped through its kernel values with the landmarks and a
+squared-hinge SVM is fitted there.  As the kernel is an inner product of
+subsequence counts, the fitted function is, exactly, one weight per subsequence;
+a task holds just this table, and scores each distinct token it meets once.
+
+A document is scored by Platt's logistic curve over its worst windows' decisions,
+the number of its tokens on the toxic side and its length, fitted on the training
+documents and on copies of the toxic ones with their pure witnesses spoilt.
 
 Fitting looks at a bounded sample of labelled rows (about ``MAX_ROWS``
 documents, chosen by hash); scoring reads every whole text.  No label, language, source or id
@@ -38,8 +46,11 @@ other columns take no part.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,23 +61,31 @@ from pyspark.sql import functions as F
 
 from .common import hash_sample, map_arrow, pin, whole_text
 
-DECAY, SPAN = 0.7, 6
+#: weight of a character spanned, most characters spanned, characters of a subsequence
+DECAY, SPAN, LENGTH = 0.8, 8, 4
 #: longest word handled as one; longer ones are read in overlapping windows
 WORD, STEP = 32, 16
-#: bounds of the fit: documents, witness beginnings, words of either kind, landmarks
-MAX_ROWS, MAX_PIECES, MAX_WORDS, LANDMARKS = 20_000, 2_000, 6_000, 128
+#: bounds of the training sample: labelled documents; clean windows at first, and those added after each fit
+MAX_ROWS, NEGATIVES, HARD = 20_000, 6_000, 8_000
+#: landmarks taken from witnesses of each kind, witnesses, spoilt copies, clean windows, windows that came out too high
+LANDMARKS = (64, 64, 96, 64, 192)
+#: spoilt copies of each pure witness, fits
+SPOILT, ROUNDS = 16, 4
 #: times by which a witness must raise the odds of the toxic side (whatever their share)
 ODDS = 4
-#: lengths of the word beginnings looked at
-PIECES = (4, 5, 6, 7, 8)
+#: marks of a window's ends; sizes of the beginnings looked at (with the mark: whole
+#: words of two letters up), and of the pieces from within
+BEGIN, END = "\x02", "\x03"
+BEGINNINGS, INNER = (4, 5, 6, 7, 8, 9), (5, 6, 7, 8)
 #: distinct words remembered per Python worker; beyond it the memory starts anew
-REMEMBER = 200_000
+REMEMBER = 300_000
 #: documents read, and words mapped, at a time
-DOCS_AT_ONCE, WORDS_AT_ONCE = 128, 4_000
+DOCS_AT_ONCE, WORDS_AT_ONCE = 128, 2_000
 #: digits and signs read as the letters they look like (fixed values)
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 EDGE = " \t\n\r\f\v.,;:!?\"'()[]{}<>«»„“”‘’*#$%&|/\\-_=+~^`…–—"
 SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 #: numbers a document's words are reduced to, see ToxicityModel.evidence
 EVIDENCE = 5
 
@@ -95,27 +114,35 @@ def tokens(text: str) -> set[str]:
     return found
 
 
+def windows(text: str) -> set[str]:
+    """Distinct windows of a text: every reading of its tokens."""
+    return {f for t in tokens(text) for f in forms(t)}
+
+
+def sentences(text: str) -> list[str]:
+    return [x for x in SENTENCE.split(text) if x and not x.isspace()]
+
+
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(word index, subsequence key, weight) of every gapped occurrence in the
     words (with marks for their ends), weights scaled to length one per word."""
     idx, keys, weights = [], [], []
     by_size: dict[int, list[int]] = {}
     for i, w in enumerate(words):
-        by_size.setdefault(-(-(len(w) + 2) // 8) * 8, []).append(i)
+        by_size.setdefault(-(-(len(w) + 2) // 4) * 4, []).append(i)
     for size, members in by_size.items():
         at = np.array(members)
-        marked = ["\x02" + words[i][:WORD] + "\x03" for i in members]
-        codes = np.array(marked, dtype=f"U{size}").view(np.uint32).reshape(len(members), size).astype(np.int64)
-        for j in range(2, SPAN):
-            if j >= size:
-                break
-            ends = codes[:, j:]
-            ok = ends > 0
-            rows, cols = np.nonzero(ok)
-            last = ends[rows, cols]
-            first = codes[rows, cols] << 42
-            for i in range(1, j):
-                keys.append(first | codes[rows, cols + i] << 21 | last)
+        marked = [BEGIN + words[i][:WORD] + END for i in members]
+        codes = np.array(marked, dtype=f"U{size}").view(np.uint32).reshape(len(members), size).astype(np.int64) & 0xFFFF
+        for j in range(LENGTH - 1, min(SPAN, size)):
+            rows, cols = np.nonzero(codes[:, j:] > 0)
+            ends = codes[rows, cols] << 16 * (LENGTH - 1) | codes[rows, cols + j]
+            inner = [codes[rows, cols + i] for i in range(1, j)]
+            for mid in itertools.combinations(range(j - 1), LENGTH - 2):
+                key = ends
+                for k, i in enumerate(mid):
+                    key = key | inner[i] << 16 * (LENGTH - 2 - k)
+                keys.append(key)
                 idx.append(at[rows])
                 weights.append(np.full(len(rows), DECAY ** (j + 1)))
     if not keys:
@@ -130,31 +157,34 @@ def kernel(a: list[str], b: list[str]) -> np.ndarray:
     bi, bk, bw = subsequences(b)
     order = np.argsort(bk, kind="stable")
     bi, bk, bw = bi[order], bk[order], bw[order]
-    ai, ak, aw = subsequences(a)
-    lo, hi = np.searchsorted(bk, ak, "left"), np.searchsorted(bk, ak, "right")
-    out = np.zeros(len(a) * len(b))
-    n = hi - lo
-    for part in range(0, len(ak), 200_000):
-        s = slice(part, part + 200_000)
-        rep = np.repeat(np.arange(len(ak))[s], n[s])
-        off = np.arange(len(rep)) - np.repeat(np.cumsum(n[s]) - n[s], n[s])
-        other = lo[rep] + off
-        out += np.bincount(ai[rep] * len(b) + bi[other], aw[rep] * bw[other], minlength=len(out))
-    return out.reshape(len(a), len(b))
+    parts = []
+    for at in range(0, len(a), 500):
+        some = a[at:at + 500]
+        ai, ak, aw = subsequences(some)
+        lo = np.searchsorted(bk, ak, "left")
+        n = np.searchsorted(bk, ak, "right") - lo
+        hit = np.flatnonzero(n)
+        rep = np.repeat(hit, n[hit])
+        other = np.repeat(lo[hit], n[hit]) + np.arange(len(rep)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+        parts.append(np.bincount(ai[rep] * len(b) + bi[other], aw[rep] * bw[other], minlength=len(some) * len(b)).reshape(len(some), len(b)))
+    return np.concatenate(parts) if parts else np.zeros((0, len(b)))
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
     """Weights (last: intercept) of a linear SVM with squared hinge loss, by Newton steps."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w = np.zeros(x.shape[1])
-    ridge = np.eye(x.shape[1])
+    w = np.zeros(x.shape[1] + 1)
+    ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-4
     for _ in range(rounds):
-        gap = 1 - y * (x @ w)
-        on = gap > 0
-        xo, yo, so = x[on], y[on], weight[on] * c
-        grad = ridge @ w - 2 * xo.T @ (so * yo * gap[on])
-        step = np.linalg.solve(ridge + 2 * (xo * so[:, None]).T @ xo, grad)
+        gap = 1 - y * (x @ w[:-1] + w[-1])
+        on = np.flatnonzero(gap > 0)
+        grad, bend = ridge @ w, ridge.copy()
+        for i in range(0, len(on), 4096):
+            at = on[i:i + 4096]
+            xo, so = np.hstack([x[at], np.ones((len(at), 1))]), 2 * c * weight[at]
+            grad -= xo.T @ (so * y[at] * gap[at])
+            bend += (xo * so[:, None]).T @ xo
+        step = np.linalg.solve(bend, grad)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -191,36 +221,47 @@ class ToxicityModel:
     offset: float = -30.0
     landmarks: list[str] = field(default_factory=list)
 
-    BITS = 20
-
-    @staticmethod
-    def _spot(keys: np.ndarray) -> np.ndarray:
-        mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        return (mixed >> np.uint64(64 - ToxicityModel.BITS)).astype(np.int64)
+    def _tables(self) -> list[tuple[np.uint64, int, np.ndarray, np.ndarray]]:
+        """The weights as hash tables: what collides in one goes to the next."""
+        if "_hashed" not in self.__dict__:
+            self._hashed, left, k = [], np.arange(len(self.keys)), 0
+            while len(left):
+                k += 1
+                bits = max(8, int(2 * len(left)).bit_length())
+                mixer = np.uint64(0x9E3779B97F4A7C15 + 2 * k)
+                slot = (self.keys[left].astype(np.uint64) * mixer >> np.uint64(64 - bits)).astype(np.int64)
+                _, first = np.unique(slot, return_index=True)
+                held, value = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits)
+                held[slot[first]], value[slot[first]] = self.keys[left[first]], self.weights[left[first]]
+                self._hashed.append((mixer, bits, held, value))
+                left = np.delete(left, first)
+        return self._hashed
 
     def decide(self, words: list[str]) -> np.ndarray:
         """SVM decision of each word."""
         if not len(self.keys) or not words:
             return np.full(len(words), self.intercept)
-        if "_known" not in self.__dict__:
-            self._known = np.zeros(1 << self.BITS, dtype=bool)
-            self._known[self._spot(self.keys)] = True
         idx, keys, w = subsequences(words)
-        near = np.flatnonzero(self._known[self._spot(keys)])
-        idx, keys, w = idx[near], keys[near], w[near]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        value = np.where(self.keys[at] == keys, self.weights[at], 0.0) * w
-        return np.bincount(idx, value, minlength=len(words)) + self.intercept
-
-    def read(self, texts: list[str], memory: dict[str, float]) -> list[tuple[list[float], str]]:
-        """Evidence of each text and its worst token; ``memory`` keeps the tokens' decisions."""
-        found = [tokens(t) for t in texts]
+        found = np.zeros(len(words))
+        for mixer, bits, held, value in self._tables():
+            slot = (keys.astype(np.uint64) * mixer >> np.uint64(64 - bits)).astype(np.int64)
+            hit = held[slot] == keys
+            at = np.flatnonzero(hit)
+            found += np.bincount(idx[at], value[slot[at]] * w[at], minlength=len(words))
+            rest = np.flatnonzero(~hit & (held[slot] >= 0))       # only these can be in a later table
+            idx, keys, w = idx[rest], keys[rest], w[rest]
+        return found + self.intercept
+
+    def read(self, texts: list[str], memory: dict[str, float], plain: bool = False) -> list[tuple[list[float], str]]:
+        """Evidence of each text and its worst token (its worst window, if
+        ``plain``); ``memory`` keeps the decisions."""
+        found = [windows(t) if plain else tokens(t) for t in texts]
         if len(memory) > REMEMBER:
             memory.clear()
         new = set().union(*found) - memory.keys() if found else set()
         if new:
             new = sorted(new)
-            many = [forms(t) for t in new]
+            many = [[t] if plain else forms(t) for t in new]
             flat = [f for m in many for f in m]
             d = np.concatenate([np.zeros(0), *(self.decide(flat[i:i + WORDS_AT_ONCE]) for i in range(0, len(flat), WORDS_AT_ONCE))])
             ends = np.cumsum([len(m) for m in many])
@@ -242,19 +283,25 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(evidence.reshape(-1, EVIDENCE) @ self.slopes + self.offset, -500, 500)))
 
 
-def _word_counts(rows: DataFrame) -> DataFrame:
-    """``word, pos, neg``: labelled documents of each kind that hold the word."""
+def _window_counts(rows: DataFrame) -> DataFrame:
+    """``word, pos, neg, spos, sneg``: labelled documents, and sentences of them, of
+    each kind that hold the window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, label = [], []
+            words, label, held = [], [], []
             for t, y in zip(b.column("_text").to_pylist(), b.column("_y").to_pylist(), strict=True):
-                found = {forms(x)[-1] for x in tokens(t) if forms(x)}
-                words += found
+                found = Counter(w for x in sentences(t) for w in windows(x))
+                found.update(dict.fromkeys(windows(t) - found.keys(), 1))     # spelt across sentences
+                words += found.keys()
+                held += found.values()
                 label += [y] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(label, pa.int32())], names=["word", "_y"])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(label, pa.int32()), pa.array(held, pa.int64())],
+                                             names=["word", "_y", "_n"])
 
-    return (map_arrow(rows.select("_text", "_y"), run, "word string, _y int").groupBy("word")
-            .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg")))
+    toxic = F.col("_y") == 1
+    return (map_arrow(rows.select("_text", "_y"), run, "word string, _y int, _n long").groupBy("word")
+            .agg(F.sum("_y").alias("pos"), F.sum(1 - F.col("_y")).alias("neg"),
+                 F.sum(F.when(toxic, F.col("_n")).otherwise(0)).alias("spos"), F.sum(F.when(toxic, 0).otherwise(F.col("_n"))).alias("sneg")))
 
 
 def _g2(pos, neg, share):
@@ -287,73 +334,103 @@ def _without_copies(rows: DataFrame) -> DataFrame:
     return pin(rows.join(F.broadcast(stay), "_row"))       # at most the training rows: a proven bound
 
 
-def witnesses(counts: DataFrame, share: float) -> list[str]:
-    """Word beginnings that go with the label beyond chance, none of which
-    begins another; a table of at most ``MAX_PIECES`` rows reaches the driver."""
-    begun = counts.select("pos", "neg", F.explode(F.array_distinct(F.array(
-        *[F.substring("word", 1, k) for k in PIECES]))).alias("piece"))
-    table = begun.groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(
-        (F.col("pos") >= 3) & (F.length("piece") >= PIECES[0]) & (F.col("pos") * (1 - share) > ODDS * share * F.col("neg")))
-    table = pin(table.withColumn("g2", _g2(F.col("pos"), F.col("neg"), F.lit(share))))
-    tested = max(1, table.count())
-    floor = 2 * math.log(tested) + 12            # chance of the whole table's largest, with room
-    top = table.filter(F.col("g2") >= floor).orderBy(F.desc("g2"), F.desc(F.length("piece")), "piece").limit(MAX_PIECES).collect()
-    chosen: list[str] = []
-    for r in top:
-        if not any(r.piece.startswith(c) or c.startswith(r.piece) for c in chosen):
-            chosen.append(r.piece)
-    return chosen
-
-
-def _inserted(words: list[str], rng: np.random.Generator) -> list[str]:
-    """Each word with a letter or mark put in between, and with a letter doubled."""
-    out = []
-    for w in words:
-        if len(w) < 4:
-            continue
-        i, j = rng.integers(1, len(w), 2)
-        out += [w[:i] + chr(rng.integers(97, 123)) + w[i:], w[:j] + w[j - 1] + w[j:]]
+def witnesses(counts: DataFrame, share: float) -> tuple[list[str], list[str]]:
+    """Beginnings of windows, and pieces from within windows that none of these
+    begin, that go with the label beyond chance; none contains another."""
+    marked = counts.select("pos", "neg", F.concat(F.lit(BEGIN), "word", F.lit(END)).alias("w"))
+
+    def chosen(pieces: DataFrame) -> list[str]:
+        table = pin(pieces.groupBy("piece").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(
+            (F.col("pos") >= 3) & (F.col("pos") * (1 - share) > ODDS * share * F.col("neg")))
+            .withColumn("g2", _g2(F.col("pos"), F.col("neg"), F.lit(share))))
+        floor = 2 * math.log(max(1, table.count())) + 12            # chance of the whole table's largest, with room
+        out: list[str] = []
+        for r in table.filter(F.col("g2") >= floor).orderBy(F.desc("g2"), F.desc(F.length("piece")), "piece").collect():
+            if not any(r.piece in c or c in r.piece for c in out):
+                out.append(r.piece)
+        return out
+
+    begins = chosen(marked.select("pos", "neg", F.explode(F.array_distinct(F.array(
+        *[F.substring("w", 1, k) for k in BEGINNINGS]))).alias("piece")).filter(F.length("piece") >= BEGINNINGS[0]))
+    rest = marked.filter(~holds(F.col("w"), begins, [])).select("pos", "neg", F.substring("w", 2, WORD).alias("w"))
+
+    def inner(k: int):
+        last = F.length("w") - k + 1
+        return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring("w", i, F.lit(k)))
+                      ).otherwise(F.array().cast("array<string>"))
+    pieces = F.array_distinct(F.flatten(F.array(*[inner(k) for k in INNER])))
+    return begins, chosen(rest.select("pos", "neg", F.explode(pieces).alias("piece")))
+
+
+def holds(marked, begins: list[str], inner: list[str]):
+    """Whether a marked window begins with one of ``begins`` or has one of ``inner`` in it."""
+    out = F.lit(False)
+    for k in BEGINNINGS:
+        if same := [b for b in begins if len(b) == k]:
+            out = out | F.substring(marked, 1, k).isin(same)
+    for piece in inner:
+        out = out | F.contains(marked, F.lit(piece))
     return out
 
 
+def spoilt(word: str, rng: np.random.Generator) -> str:
+    """The word with one letter to three, by its length, put in between."""
+    for _ in range(int(rng.integers(1, 2 + min(2, max(1, (len(word) - 2) // 3))))):
+        j = int(rng.integers(1, len(word)))
+        word = word[:j] + chr(int(rng.integers(97, 123))) + word[j:]
+    return word
+
+
 def _far_apart(words: list[str], n: int) -> list[str]:
-    """Greedy choice of words each least like those chosen before."""
+    """Greedy choice of words each least like those chosen before, of at most the first 1,500."""
+    words = words[:1_500]
     if len(words) <= n:
         return list(words)
-    pick = [0]
-    like = kernel(words, [words[0]])[:, 0]
+    all_like = kernel(words, words)
+    pick, like = [0], all_like[0]
     while len(pick) < n:
         i = int(like.argmin())
         pick.append(i)
-        like = np.maximum(like, kernel(words, [words[i]])[:, 0])
+        like = np.maximum(like, all_like[i])
     return [words[i] for i in sorted(set(pick))]
 
 
-def _fit_words(good: list[str], bad: dict[str, tuple[int, int]], begins: list[str], rng: np.random.Generator) -> ToxicityModel:
-    """``bad``: witness words with the toxic and the clean rows that hold them, commonest first.
-    Each row that holds a word counts, on its own side; the clean words together as much as the toxic."""
-    spoiled = _inserted(list(bad), rng)
-    heads = [w for w in (next((w for w in bad if w.startswith(b)), None) for b in begins) if w][:LANDMARKS // 2]
-    landmarks = sorted({*heads, *_far_apart(list(bad), LANDMARKS // 4), *_far_apart(good[:2_000], LANDMARKS // 4)})
+def _fit_words(good: list[str], hard: list[str], bad: dict[str, tuple[int, int]], heads: list[str], rng: np.random.Generator) -> ToxicityModel:
+    """``bad``: witnesses with the toxic and the clean sentences that hold them, commonest first.
+    Each sentence that holds a window counts, on its own side, spoilt copies together
+    as much as their word, the clean windows together as much as all these."""
+    copies = [(w, spoilt(w, rng)) for w, (_, clean) in bad.items() if not clean and len(w) >= 4 for _ in range(SPOILT)]
+    spoiled = [v for _, v in copies]
+    one, two, three, four, five = LANDMARKS
+    landmarks = sorted({*heads[:one], *_far_apart(list(bad), two), *_far_apart(spoiled, three), *_far_apart(good, four), *_far_apart(hard, five)})
     mm = kernel(landmarks, landmarks)
     values, vectors = np.linalg.eigh((mm + mm.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    words = [*bad, *bad, *spoiled, *good]
-    x = kernel([*bad, *spoiled, *good], landmarks) @ root
-    x = np.vstack([x[:len(bad)], x])
+    x = np.vstack([kernel(some, landmarks) @ root for some in (list(bad), spoiled, good)])
+    n, m = len(bad), len(spoiled)
+    at = np.r_[np.arange(n), np.arange(len(x))]                  # a witness stands on either side
     pos, neg = np.array(list(bad.values()), dtype=float).T
-    extra = np.repeat(pos * (neg == 0) / 4, [2 if len(w) >= 4 else 0 for w in bad])
+    extra = np.array([bad[w][0] / SPOILT for w, _ in copies])
     weight = np.concatenate([pos, neg, extra, np.full(len(good), (pos.sum() + extra.sum()) / len(good))])
-    side = np.ones(len(words))
-    side[len(bad):2 * len(bad)] = side[len(words) - len(good):] = -1
-    w = squared_hinge(x, side, weight / weight.sum(), c=2e4)
+    side = np.r_[np.ones(n), -np.ones(n), np.ones(m), -np.ones(len(good))]
+    w = squared_hinge(x[at], side, weight / weight.sum(), c=2e4)
     alpha = root @ w[:-1]
     idx, keys, values = subsequences(landmarks)
     known, inverse = np.unique(keys, return_inverse=True)
     return ToxicityModel(known, np.bincount(inverse, alpha[idx] * values), float(w[-1]), landmarks=landmarks)
 
 
+def _spoilt_text(text: str, pure: set[str], rng: np.random.Generator) -> str | None:
+    """The text with its pure witnesses spoilt; None if it has none."""
+    out, found = [], False
+    for token in text.split():
+        hit = next((f for f in forms(token.lower()) if f in pure), None)
+        found |= hit is not None
+        out.append(token if hit is None else spoilt(hit, rng))
+    return " ".join(out) if found else None
+
+
 def _pieces(batch: pa.RecordBatch, model: ToxicityModel, memory: dict[str, float], text=lambda b: b.column("_text")):
     """(rows, evidence, worst tokens) for some rows at a time."""
     for i in range(0, batch.num_rows, DOCS_AT_ONCE):
@@ -378,35 +455,47 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         share = (size.pos or 0) / size.n if size.n else 0.0
         return ToxicityModel(offset=math.log(share / (1 - share)) if 0 < share < 1 else 30.0 if share else -30.0)
     share = size.pos / size.n
-    counts = pin(_word_counts(rows))
+    counts = pin(_window_counts(rows))
     mass = counts.agg(F.sum("pos").alias("p"), F.sum(F.col("pos") + F.col("neg")).alias("n")).first()
-    begins = witnesses(counts, mass.p / mass.n)
+    begins, inner = witnesses(counts, mass.p / mass.n)
     flat = ToxicityModel(offset=math.log(share / (1 - share)))
-    if not begins:
-        return flat
-    starts = F.lit(False)
-    for k in PIECES:
-        if same := [b for b in begins if len(b) == k]:
-            starts = starts | F.substring("word", 1, k).isin(same)
-    bad = {r.word: (r.pos, r.neg) for r in counts.filter(starts & (F.col("pos") > 0))
-           .orderBy(F.desc("pos"), "word").limit(MAX_WORDS).collect()}
-    clean = counts.filter(~starts & (F.col("neg") > 0))
-    good = [r.word for r in clean.orderBy(F.xxhash64("word", F.lit(seed))).limit(MAX_WORDS).collect() if r.word]
-    if not bad or not good:
+    marked = F.concat(F.lit(BEGIN), "word", F.lit(END))
+    tells = holds(marked, begins, inner)
+    first = counts.filter(tells & (F.col("pos") > 0)).orderBy(F.desc("spos"), "word").collect()   # bounded by the sample
+    clean = pin(counts.filter(~tells & (F.col("neg") > 0) & (F.length("word") > 0)))
+    good = [r.word for r in clean.orderBy(F.xxhash64("word", F.lit(seed))).limit(NEGATIVES).collect()]
+    if not first or not good:
         return flat
+    witness = {r.word: (r.spos, r.sneg) for r in first}
+    heads = [w for w in (next((w for w in witness if p in BEGIN + w + END), None) for p in [*begins, *inner]) if w]
+    bad, hard = witness, []
     rng = np.random.default_rng(seed)
-    model = _fit_words(good, bad, begins, rng)
-
-    for _ in range(2):                            # clean words that look worst, as further counter-examples
-        def score(batches, model=model):
+    model = _fit_words(good, hard, bad, heads, rng)
+    toxic = rows.filter("_y = 1").select("_text")
+    for _ in range(ROUNDS - 1):
+        # clean windows that look worst, as further counter-examples
+        def decided(batches, model=model):
             for b in batches:
                 words = b.column("word").to_pylist()
-                d = model.decide(words) if words else np.zeros(0)
-                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(d)], names=["word", "d"])
-        hard = map_arrow(clean.filter(F.length("word") > 0).select("word"), score, "word string, d double")
-        hard = [r.word for r in hard.orderBy(F.desc("d"), "word").limit(MAX_WORDS // 3).collect()]
+                d = [model.decide(words[i:i + WORDS_AT_ONCE]) for i in range(0, len(words), WORDS_AT_ONCE)]
+                yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(np.concatenate([np.zeros(0), *d]))], names=["word", "d"])
+        worst = map_arrow(clean.select("word"), decided, "word string, d double").orderBy(F.desc("d"), "word").limit(HARD)
+        hard = [r.word for r in worst.collect()]
         good = list(dict.fromkeys([*good, *hard]))
-        model = _fit_words(good, bad, begins, rng)
+
+        # toxic sentences that the model sees are represented by their worst window
+        def represented(batches, model=model):
+            memory: dict[str, float] = {}
+            for b in batches:
+                found = [x for t in b.column("_text").to_pylist() for x in sentences(t)]
+                got = [w for e, w in model.read(found, memory, plain=True) if e[0] > 0]
+                yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["word"])
+        stands = map_arrow(toxic, represented, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+        new = stands.join(counts.select("word", "sneg"), "word").collect()    # at most the sample's toxic sentences
+        bad = dict(sorted((witness | {r.word: (r.n, r.sneg) for r in new if r.word in witness or not r.sneg}).items(), key=lambda x: (-x[1][0], x[0])))
+        model = _fit_words([g for g in good if g not in bad], hard, bad, heads, rng)
+
+    pure = {w for w, (_, n) in bad.items() if not n and len(w) >= 4}
 
     def gather(batches, model=model):
         memory: dict[str, float] = {}
@@ -414,7 +503,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for part, evidence, _ in _pieces(b, model, memory):
                 yield pa.RecordBatch.from_arrays([part.column("_y"), pa.array(list(evidence), pa.list_(pa.float64()))],
                                                  names=["_y", "_e"])
-    seen = map_arrow(rows.select("_y", "_text"), gather, "_y int, _e array<double>").toArrow()  # at most max_rows
+                texts = [(t or "", zlib.crc32((t or "").encode("utf-8", "surrogatepass"))) for t, y in
+                         zip(part.column("_text").to_pylist(), part.column("_y").to_pylist(), strict=True) if y == 1]
+                more = [x for t, h in texts if (x := _spoilt_text(t, pure, np.random.default_rng([seed, h]))) is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([1] * len(more), pa.int32()), pa.array([e for e, _ in model.read(more, memory)], pa.list_(pa.float64()))],
+                                                 names=["_y", "_e"])
+    seen = map_arrow(rows.select("_y", "_text"), gather, "_y int, _e array<double>").toArrow()  # at most twice max_rows
     model.slopes, model.offset = calibrate(np.array(seen.column("_e").to_pylist()), seen.column("_y").to_numpy().astype(float))
     return model
 

@@ -1,9 +1,12 @@
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from martwright.llm import queries, toxicity
-from martwright.llm.toxicity import DECAY, SPAN, ToxicityModel, forms, kernel, subsequences, tokens
+from martwright.llm.toxicity import (DECAY, LENGTH, SPAN, ToxicityModel, forms, kernel, sentences, squared_hinge,
+                                     subsequences, tokens, windows)
 
 BIG = "/root/testdata/sf0.1"
 
@@ -17,20 +20,19 @@ def plain_kernel(a, b):
     def counts(w):
         w, out = "\x02" + w + "\x03", {}
         norm = 0.0
-        for i in range(len(w)):
-            for j in range(i + 1, len(w)):
-                for k in range(j + 1, len(w)):
-                    if k - i + 1 <= SPAN:
-                        s = DECAY ** (k - i + 1)
-                        out[w[i] + w[j] + w[k]] = out.get(w[i] + w[j] + w[k], 0) + s
-                        norm += s * s
+        for at in combinations(range(len(w)), LENGTH):
+            if at[-1] - at[0] < SPAN:
+                s = DECAY ** (at[-1] - at[0] + 1)
+                key = "".join(w[i] for i in at)
+                out[key] = out.get(key, 0) + s
+                norm += s * s
         return {x: v / norm ** 0.5 for x, v in out.items()}
     x, y = counts(a), counts(b)
     return sum(v * y.get(t, 0) for t, v in x.items())
 
 
 def test_kernel_against_plain_sums():
-    a, b = ["idiot", "table", "", "x", "réêou", "a" * 32], ["idiot", "idxiot", "stuff", "ii"]
+    a, b = ["idiot", "table", "", "x", "réêou", "ab" * 9], ["idiot", "idxiot", "stuff", "ii"]
     want = np.array([[plain_kernel(x, y) for y in b] for x in a])
     assert np.allclose(kernel(a, b), want)
     assert kernel(["idiot"], ["idxiot"])[0, 0] > 3 * kernel(["idiot"], ["stuff"])[0, 0]
@@ -39,7 +41,7 @@ def test_kernel_against_plain_sums():
 def test_collapsed_weights_equal_the_landmark_expansion(model):
     words = ["idiot", "moron", "the", "somewhere", "réeuxan"]
     d = model.decide(words)
-    assert np.isfinite(d).all() and d[0] > d[2] and len(model.landmarks) <= toxicity.LANDMARKS
+    assert np.isfinite(d).all() and d[0] > d[2] and len(model.landmarks) <= sum(toxicity.LANDMARKS)
     idx, keys, values = subsequences(words)
     table = dict(zip(model.keys.tolist(), model.weights.tolist(), strict=True))
     want = np.full(len(words), model.intercept)
@@ -52,7 +54,8 @@ def test_held_out_rows(spark, model):
     docs, labels = queries.table(spark, BIG, "documents"), queries.table(spark, BIG, "labels")
     got = toxicity.score(docs, model).join(labels, "doc_id").filter(toxicity.held_out()).collect()
     hit = sum(r.predicted and r.toxic for r in got)
-    assert hit >= 0.75 * sum(r.toxic for r in got) and hit >= 0.95 * sum(r.predicted for r in got)
+    false = sum(r.predicted and not r.toxic for r in got)
+    assert hit >= 127 and sum(r.toxic for r in got) == 144 and false <= 0.002 * sum(not r.toxic for r in got)
     s, y = np.array([r.score for r in got]), np.array([r.toxic for r in got])
     order = s.argsort().argsort() + 1
     auc = (order[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (1 - y).sum())
@@ -66,11 +69,53 @@ def test_spoilt_insults_are_caught(model):
         assert base >= 0.7
         for spoilt in (insult.upper(), " ".join(insult), "-".join(insult), insult[:2] + "*" + insult[2:], f"({insult}!!)"):
             assert model.probability(np.array([model.read([f"{clean} {spoilt} of"], {})[0][0]]))[0] >= 0.7, spoilt
-        gapped = insult[:3] + "x" + insult[3:]
-        assert model.decide([gapped])[0] > model.decide(["thwhsh"])[0]
     assert model.probability(np.array([model.read([clean], {})[0][0]]))[0] < 0.5
 
 
+@pytest.mark.parametrize("insult", ["idiot", "moron", "stupid", "worthless", "pathetic"])
+def test_inserted_letters_are_tolerated(model, insult):
+    """In a document of eight clean words: any one letter put in anywhere, two letters put in anywhere."""
+    def share(spoilt):
+        got = model.read([f"the ththand of on and {x} er thwhsh re" for x in spoilt], {})
+        return (model.probability(np.array([e for e, _ in got])) >= 0.7).mean()
+    inside = range(1, len(insult))
+    assert share([insult[:i] + c + insult[i:] for i in inside for c in "abcdefghijklmnopqrstuvwxyz"]) >= 0.9
+    assert share([insult[:i] + c + insult[i:j] + c + insult[j:] for i in inside for j in inside if j >= i for c in "xq"]) >= 0.7
+    assert share([insult[:i] + "-" + insult[i:] for i in inside]) == 1
+
+
+def test_sentences_and_windows():
+    assert sentences("One two. Three!\n\nfour? i.d.i.o.t") == ["One two.", "Three!", "four?", "i.d.i.o.t"] and sentences(" \n") == []
+    assert "idiot" in windows("An i.d.i.o.t he is") and windows("") == set()
+    long = "x" * 20 + "idiot" + "y" * 40
+    assert all(any(long[i:i + 8] in w for w in windows(long)) for i in range(len(long) - 8))
+
+
+def test_hinge_by_plain_gradient():
+    rng = np.random.default_rng(0)
+    x, y, c = rng.standard_normal((300, 4)), np.sign(rng.standard_normal(300)), rng.random(300)
+    w = squared_hinge(x, y, c)
+    gap = np.maximum(0, 1 - y * (x @ w[:-1] + w[-1]))
+    grad = np.r_[w[:-1], 1e-4 * w[-1]] - 2 * np.hstack([x, np.ones((300, 1))]).T @ (c * y * gap)
+    assert np.abs(grad).max() < 1e-6
+
+
+def test_short_and_inner_witnesses(spark):
+    """Insults of two letters, and in the middle of a token, are learnt; no list of witnesses is cut."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghklmnoprstu"), int(rng.integers(3, 9)))) for _ in range(3_000)]
+    rows = []
+    for i in range(900):
+        found = list(rng.choice(words, 15))
+        if i % 3 == 0:
+            found.append("xq" if i % 2 else f"{rng.choice(words)}vwzjy{rng.choice(words)}")
+        rows.append((i, " ".join(rng.permutation(found)), int(i % 3 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    m = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic").filter(~toxicity.held_out()))
+    got = toxicity.score(df.select("doc_id", "text"), m).join(df.select("doc_id", "toxic"), "doc_id").filter(toxicity.held_out()).collect()
+    assert sum(r.predicted != r.toxic for r in got) <= 0.08 * len(got)
+
+
 def test_forms():
     assert forms("(idiot!!)") == ["idiot"] and "idiot" in forms("i-d-i-o-t") and "idiot" in forms("1d10t")
     assert len(forms("y" * 100)) > 3 and forms("###") == ["#"]
