@@ -6,9 +6,9 @@ document a probability of good quality.  It is fitted on a bounded sample of
 labelled rows (about ``MAX_ROWS``, chosen by hash).
 
 *Sites.*  Probabilities of all documents are summed per host and per path (a
-part of a host) by grouped, partial aggregation; the sums' within and between
-group variances, by the method of moments, say how many documents the prior is
-worth at either level.  A host's posterior is its mean shrunk towards the
+part of a host) by grouped, partial aggregation; the variances of the nested
+model (documents within paths, paths within their host, hosts), by the method of
+moments, say how many documents the prior is worth at either level.  A host's posterior is its mean shrunk towards the
 global one, a path's is its mean shrunk towards its host's posterior: a site
 seen once hardly moves, one seen a thousand times speaks for itself.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,8 @@ from .common import hash_sample, map_arrow, pin, whole_text
 #: labelled rows the classifier is fitted on at most
 MAX_ROWS = 20_000
 FEATURES = 18
+#: least and most documents that a prior is worth
+MOST_WORTH = (0.5, 1e6)
 #: bytes compressed at a time for the compressibility of a text
 BLOCK = 1 << 16
 
@@ -116,17 +119,56 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return (w[:-1] / std).tolist(), float(w[-1] - (w[:-1] * mean / std).sum())
 
 
-def _strength(groups: DataFrame) -> float:
-    """Documents the prior above these groups (``n, s, q``: count, sum and sum
-    of squares of the probabilities) is worth: within over between variance."""
-    t = groups.agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("n"), F.sum("s").alias("s"),
-                   F.sum(F.col("s") * F.col("s") / F.col("n")).alias("b"), F.sum("q").alias("q"),
-                   F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not t.n or t.g < 2 or t.n <= t.g:
-        return 1e6
-    within = max((t.q - t.b) / (t.n - t.g), 1e-9)
-    spread = (t.b - t.s * t.s / t.n - (t.g - 1) * within) / (t.n - t.nn / t.n)
-    return float(min(max(within / spread, 0.5), 1e6)) if spread > 0 else 1e6
+@dataclass
+class Variances:
+    """Spread of the evidence: between documents of a path, paths of a host, hosts."""
+
+    within: float
+    path: float
+    host: float
+
+    def path_strength(self) -> float:
+        """Documents that a host's posterior is worth to its paths."""
+        return _worth(self.within, self.path)
+
+    def host_strength(self, crowding: Column) -> Column:
+        """Documents that the global mean is worth to a host; ``crowding`` is the
+        sum of its squared path sizes over its size (documents that share a path
+        say less about the host than as many of different paths)."""
+        least, most = F.lit(MOST_WORTH[0]), F.lit(MOST_WORTH[1])
+        if self.host <= 0:
+            return most
+        return F.greatest(least, F.least(most, (F.lit(self.within) + self.path * crowding) / self.host))
+
+
+def _worth(noise: float, spread: float) -> float:
+    return min(max(noise / spread, MOST_WORTH[0]), MOST_WORTH[1]) if spread > 0 else MOST_WORTH[1]
+
+
+def variances(hosts: DataFrame) -> Variances:
+    """Of the nested model document = mean + host + path + noise, by the method of
+    moments (one row of totals).  ``hosts`` has ``n, s, q`` (count, sum and sum of
+    squares of the evidence), ``paths``, ``b`` (sum over paths of s*s/n) and
+    ``nn`` (sum over paths of n*n).
+
+    Paths are measured around their own host, hosts around the global mean less what
+    paths and noise put there.  A level whose sum of squares is within three standard
+    errors of what the levels below explain has no variance."""
+    each = F.col("nn") / F.col("n")
+    t = hosts.agg(F.count(F.lit(1)).alias("h"), F.sum("paths").alias("p"), F.sum("n").alias("n"), F.sum("s").alias("s"),
+                  F.sum("q").alias("q"), F.sum("b").alias("b"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("a"),
+                  F.sum("nn").alias("nn"), F.sum(each).alias("each"), F.sum(F.col("n") * F.col("n")).alias("hh")).first()
+    if not t.n or t.n <= t.p:
+        return Variances(1e-9, 0.0, 0.0)
+    within = max((t.q - t.b) / (t.n - t.p), 1e-9)
+
+    def level(squares: float, free: float, below: float, share: float) -> float:
+        over = squares - below
+        return over / share if free > 0 and share > 0 and over > 3 * below * math.sqrt(2 / free) else 0.0
+
+    path = level(t.b - t.a, t.p - t.h, (t.p - t.h) * within, t.n - t.each)
+    host = level(t.a - t.s * t.s / t.n, t.h - 1, (t.h - 1) * within + path * (t.each - t.nn / t.n), t.n - t.hh / t.n)
+    return Variances(within, path, host)
 
 
 def score(df: DataFrame, model: tuple[list[float], float], host: Column, path: Column, id_col: str = "doc_id",
@@ -139,19 +181,22 @@ def score(df: DataFrame, model: tuple[list[float], float], host: Column, path: C
     p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), dot))))
     docs = pin(_featured(rows, ["_id", "_host", "_path"]).select("_id", "_host", "_path", p.alias("_p")))
 
-    sums = [F.count(F.lit(1)).cast("double").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")]
-    paths = pin(docs.groupBy("_host", "_path").agg(*sums))
-    hosts = pin(paths.groupBy("_host").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")]))
+    paths = pin(docs.groupBy("_host", "_path").agg(
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum("_p").alias("s"), F.sum(F.col("_p") * F.col("_p")).alias("q")))
+    n, s = F.col("n"), F.col("s")
+    hosts = pin(paths.groupBy("_host").agg(F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("paths"),
+                                           F.sum(s * s / n).alias("b"), F.sum(n * n).alias("nn")))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
     prior = float(np.clip(total.s / total.n, 1e-6, 1 - 1e-6)) if total.n else 0.5
-    k_host, k_path = _strength(hosts), _strength(paths)
+    spread = variances(hosts)
+    k_path, k_host = F.lit(spread.path_strength()), F.col("kh")
 
-    def shrunk(s: Column, n: Column, to: Column, k: float) -> Column:
+    def shrunk(s: Column, n: Column, to: Column, k: Column) -> Column:
         return (s + k * to) / (n + k)
 
     sites = pin(paths.alias("p").join(hosts.alias("h"), F.col("p._host").eqNullSafe(F.col("h._host"))).select(
         F.col("p._host").alias("_h"), F.col("p._path").alias("_l"), F.col("p.n").alias("pn"), F.col("p.s").alias("ps"),
-        F.col("h.n").alias("hn"), F.col("h.s").alias("hs")))
+        F.col("h.n").alias("hn"), F.col("h.s").alias("hs"), spread.host_strength(F.col("h.nn") / F.col("h.n")).alias("kh")))
     met = docs.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_l")))
     own = F.col("_p")
     at_host = shrunk(F.col("hs") - own, F.col("hn") - 1, F.lit(prior), k_host)

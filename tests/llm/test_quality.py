@@ -20,6 +20,57 @@ def test_held_out_rows(spark):
     assert wrong <= 0.01 * len(got) and sum(r.quality == 1 and not r.keep for r in got) <= 0.005 * len(got)
 
 
+def nested(paths):
+    """Variances (noise, path, host) of the nested random-effects model, from its
+    expected sums of squares as matrices: E[y' A y] = sum of variance x trace(A Z Z')."""
+    y = np.concatenate([np.array(x) for x in paths.values()])
+    names = [k for k, x in paths.items() for _ in x]
+    one = lambda keys: (np.array(sorted(set(keys)))[None, :] == np.array(keys)[:, None]).astype(float)
+    zp, zh, z0 = one(["|".join(map(str, k)) for k in names]), one([str(k[0]) for k in names]), np.ones((len(y), 1))
+    flat = lambda z: z @ np.diag(1 / z.sum(0)) @ z.T  # noqa: E731  averages within groups
+    noise, path, host = np.eye(len(y)) - flat(zp), flat(zp) - flat(zh), flat(zh) - flat(z0)
+    trace = lambda a, z: np.trace(a @ z @ z.T)
+    v0 = max(y @ noise @ y / np.trace(noise), 1e-9)
+
+    def level(a, z, below):
+        over, free = y @ a @ y - below, np.trace(a)
+        return over / trace(a, z) if over > 3 * below * (2 / free) ** 0.5 else 0.0
+    v1 = level(path, zp, v0 * np.trace(path))
+    return v0, v1, level(host, zh, v0 * np.trace(host) + v1 * trace(host, zp))
+
+
+def sums(spark, paths):
+    rows = [(h, float(len(x)), float(sum(x)), float(sum(v * v for v in x))) for (h, _), x in paths.items()]
+    n, s = F.col("n"), F.col("s")
+    return spark.createDataFrame(rows, "_host string, n double, s double, q double").groupBy("_host").agg(
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("paths"),
+        F.sum(s * s / n).alias("b"), F.sum(n * n).alias("nn"))
+
+
+@pytest.mark.parametrize("path_effect", [0.0, 0.1])
+def test_variances_of_the_nested_model(spark, path_effect):
+    """20 hosts of two kinds, five paths of 1 to 40 documents each."""
+    rng = np.random.default_rng(3)
+    paths = {}
+    for h in range(20):
+        for k in range(5):
+            at = (0.3 if h % 2 else 0.7) + path_effect * rng.standard_normal()
+            paths[f"h{h}", k] = list(at + 0.05 * rng.standard_normal(int(rng.integers(1, 41))))
+    got = quality.variances(sums(spark, paths))
+    assert np.allclose([got.within, got.path, got.host], nested(paths))
+    assert abs(got.within ** 0.5 - 0.05) < 0.01 and abs(got.host ** 0.5 - 0.2) < 0.08
+    if path_effect:
+        assert abs(got.path ** 0.5 - 0.1) < 0.03 and got.path_strength() < 1
+    else:
+        assert got.path_strength() > 1_000  # a path says nothing that its host does not
+
+
+def test_variances_of_little(spark):
+    for paths in ({("a", 0): [0.5]}, {("a", 0): [0.5, 0.5], ("b", 0): [0.5, 0.5]}):
+        got = quality.variances(sums(spark, paths))
+        assert got.path_strength() == 1e6 and got.host == 0
+
+
 def test_posteriors_against_plain_arithmetic(spark, model):
     """Shrinkage recomputed from the evidence column, host by host."""
     docs = queries.table(spark, "/root/testdata/sf0.01", "documents")
@@ -27,21 +78,17 @@ def test_posteriors_against_plain_arithmetic(spark, model):
         docs.select("doc_id", "source", "lang"), "doc_id").collect()
     p = {r.doc_id: r.evidence for r in rows}
 
-    def strength(groups):
-        n = np.array([len(g) for g in groups], float)
-        s, q = np.array([sum(g) for g in groups]), sum(x * x for g in groups for x in g)
-        b = (s * s / n).sum()
-        within = max((q - b) / (n.sum() - len(n)), 1e-9)
-        spread = (b - s.sum() ** 2 / n.sum() - (len(n) - 1) * within) / (n.sum() - (n * n).sum() / n.sum())
-        return min(max(within / spread, 0.5), 1e6) if spread > 0 else 1e6
     hosts, paths = {}, {}
     for r in rows:
         hosts.setdefault(r.source, []).append(p[r.doc_id])
         paths.setdefault((r.source, r.lang), []).append(p[r.doc_id])
     prior = np.mean(list(p.values()))
-    kh, kp = strength(list(hosts.values())), strength(list(paths.values()))
+    v = nested(paths)
+    kp = min(max(v[0] / v[1], 0.5), 1e6) if v[1] > 0 else 1e6
     for r in rows:
         h, l = hosts[r.source], paths[r.source, r.lang]
+        crowd = sum(len(x) ** 2 for (o, _), x in paths.items() if o == r.source) / len(h)
+        kh = min(max((v[0] + v[1] * crowd) / v[2], 0.5), 1e6) if v[2] > 0 else 1e6
         assert np.isclose(r.host_posterior, (sum(h) + kh * prior) / (len(h) + kh))
         at_host = (sum(h) - r.evidence + kh * prior) / (len(h) - 1 + kh)
         at_path = (sum(l) - r.evidence + kp * at_host) / (len(l) - 1 + kp)
