@@ -29,8 +29,12 @@ from .common import pin
 
 #: hexadecimal digits of the hash that make the uniform point (52 bits: exact in a double)
 DIGITS = 13
-#: rows of the rate table up to which it is broadcast (a few dozen bytes each)
-BROADCAST_ROWS = 50_000
+#: mean copies of a rate's part, inverted by one table (exp(-rate) must not underflow)
+PART = 512
+#: least probability that a table tells apart
+LEAST = 1e-17
+#: copies that a task makes of a row at a time
+COPIES = 1_024
 
 
 def uniform(seed: str, *keys: Column) -> Column:
@@ -39,31 +43,28 @@ def uniform(seed: str, *keys: Column) -> Column:
     return F.conv(F.substring(F.md5(said), 1, DIGITS), 16, 10).cast("long").cast("double") / F.lit(float(16 ** DIGITS))
 
 
-def poisson_count(rate: Column, point: Column) -> Column:
-    """Smallest k whose cumulative Poisson probability exceeds the point.
+def cumulative(rate: Column) -> Column:
+    """Poisson probabilities of at most 0, 1, 2, ... copies, to where the tail is
+    under a point's resolution: one array for each source."""
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
+    zero = F.struct(F.exp(-rate).alias("p"), F.array(F.exp(-rate)).alias("c"))
 
-    The rate is split into equal parts of at most 16, each inverted with its
-    own point, as ``exp(-rate)`` of a large one would underflow (a sum of
-    Poisson variables is Poisson); a single part, the usual case, uses the
-    point itself.  ``k`` ends where the tail is under the point's resolution."""
-    def invert(lam: Column, u: Column) -> Column:
-        zero = F.struct(F.exp(-lam).alias("p"), F.exp(-lam).alias("c"), F.lit(0).alias("k"))
-        last = F.ceil(lam + 12 * F.sqrt(lam) + 30).cast("int")
+    def step(s, i):
+        p = s["p"] * rate / i
+        more = F.concat(s["c"], F.array(F.element_at(s["c"], -1) + p))
+        return F.struct(p.alias("p"), F.when((p > LEAST) | (i <= rate), more).otherwise(s["c"]).alias("c"))
+    return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["c"])
 
-        def step(s, i):
-            p = s["p"] * lam / i
-            on = u >= s["c"]
-            return F.struct(F.when(on, p).otherwise(s["p"]).alias("p"),
-                            F.when(on, s["c"] + p).otherwise(s["c"]).alias("c"),
-                            F.when(on, i).otherwise(s["k"]).alias("k"))
-        return F.aggregate(F.sequence(F.lit(1), last), zero, step, lambda s: s["k"])
 
-    parts = F.greatest(F.ceil(rate / 16).cast("int"), F.lit(1))
-    many = F.aggregate(
-        F.sequence(F.lit(1), parts), F.lit(0),
-        lambda n, i: n + invert(rate / parts, F.when(i == 1, point).otherwise(
-            uniform("part", point, i))))
-    return F.when(rate > 0, F.when(parts == 1, invert(rate, point)).otherwise(many)).otherwise(0)
+def poisson_count(table: Column, parts: Column, point: Column) -> Column:
+    """Number of probabilities at or below the point, summed over the equal parts of
+    a rate, each with a point of its own (a sum of Poisson variables is Poisson;
+    the first, and in all usual cases only, part uses the point itself)."""
+    def invert(u: Column) -> Column:
+        return F.size(F.filter(table, lambda c: c <= u)).cast("long")
+    many = F.aggregate(F.sequence(F.lit(1).cast("long"), parts), F.lit(0).cast("long"),
+                       lambda n, i: n + invert(F.when(i == 1, point).otherwise(uniform("part", point, i))))
+    return F.when(parts == 1, invert(point)).otherwise(many)
 
 
 def source_rates(df: DataFrame, source_col: str, weights: Mapping | None, total: float | None = None) -> DataFrame:
@@ -71,7 +72,10 @@ def source_rates(df: DataFrame, source_col: str, weights: Mapping | None, total:
 
     ``weights`` None gives every source the same share.  Weights are taken
     relative to their sum over the sources that have documents; ``total`` is
-    the expected size of the mix (default: as many documents as there are)."""
+    the expected size of the mix (default: as many documents as there are).
+    Weights that are negative, infinite or no numbers are an error."""
+    if weights is not None and not all(w is not None and math.isfinite(w) and w >= 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
     counts = df.groupBy(F.col(source_col).alias("_source")).agg(F.count(F.lit(1)).alias("_docs"))
     if weights is None:
         weighed = counts.withColumn("_weight", F.lit(1.0))
@@ -83,7 +87,7 @@ def source_rates(df: DataFrame, source_col: str, weights: Mapping | None, total:
     weighed = pin(weighed.filter("_weight > 0"))
     sums = weighed.agg(F.sum("_weight").alias("w")).first()
     size = counts.agg(F.sum("_docs").alias("n")).first()
-    if not sums.w or not math.isfinite(sums.w):
+    if not sums.w:
         return weighed.withColumn("_rate", F.lit(0.0)).limit(0)
     aim = float(total if total is not None else size.n)
     return weighed.withColumn("_rate", F.col("_weight") / sums.w * aim / F.col("_docs"))
@@ -95,18 +99,30 @@ def mix_sources(df: DataFrame, weights: Mapping | None = None, id_col: str = "do
     """Every column of ``df``, each row repeated by its Poisson count, globally
     shuffled; if ``numbered``, with ``_copy`` (from 1), ``_rate`` and ``_order``
     (the shuffle key)."""
-    rates = source_rates(df, source_col, weights, total).select("_source", "_rate")
-    if rates.count() <= BROADCAST_ROWS:
-        rates = F.broadcast(rates)
+    parts = F.greatest(F.ceil(F.col("_rate") / PART), F.lit(1)).cast("long")
+    # pinned: the planner knows its size, broadcasts it below its threshold and joins it by source above
+    rates = pin(source_rates(df, source_col, weights, total).filter("_rate > 0").select(
+        "_source", "_rate", parts.alias("_parts"), cumulative(F.col("_rate") / parts).alias("_table")))
     cols = df.columns
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"),
                        F.col(id_col).alias("_id"), F.col(source_col).alias("_s"))
-    drawn = (packed.join(rates, F.col("_s").eqNullSafe(F.col("_source")))
-             .withColumn("_n", poisson_count(F.col("_rate"), uniform(seed, F.col("_id"))))
-             .filter("_n > 0"))
-    copies = (drawn.select("_r", "_id", "_rate", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy"))
-              .withColumn("_order", F.md5(F.concat_ws("|", F.lit(seed + "-order"),
-                                                      F.coalesce(F.col("_id").cast("string"), F.lit("null")),
-                                                      F.col("_copy")))))
+
+    def drawn(of: DataFrame) -> DataFrame:
+        return (packed.join(of, F.col("_s").eqNullSafe(F.col("_source")))
+                .withColumn("_n", poisson_count(F.col("_table"), F.col("_parts"), uniform(seed, F.col("_id"))))
+                .filter("_n > 0").select("_r", "_id", "_rate", "_n"))
+
+    one = F.lit(1).cast("long")
+    copies = drawn(rates.filter(F.col("_rate") <= COPIES)).select("_r", "_id", "_rate", F.explode(F.sequence(one, "_n")).alias("_copy"))
+    often = rates.filter(F.col("_rate") > COPIES)
+    if not often.isEmpty():
+        # many copies of a row: dealt out in blocks first, so that no task makes them all
+        blocks = drawn(often).select("*", F.explode(F.sequence(one, F.ceil(F.col("_n") / COPIES))).alias("_b"))
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        last = F.least(F.col("_n"), F.col("_b") * COPIES)
+        copies = copies.unionByName(blocks.repartition(tasks, F.xxhash64("_id", "_b")).select(
+            "_r", "_id", "_rate", F.explode(F.sequence((F.col("_b") - 1) * COPIES + 1, last)).alias("_copy")))
+    copies = copies.withColumn("_copy", F.col("_copy").cast("int")).withColumn(
+        "_order", F.md5(F.concat_ws("|", F.lit(seed + "-order"), F.coalesce(F.col("_id").cast("string"), F.lit("null")), F.col("_copy"))))
     dealt = copies.repartition("_order").sortWithinPartitions("_order")
     return dealt.select("_r.*", *(["_copy", "_rate", "_order"] if numbered else []))
