@@ -82,30 +82,80 @@ def row_key(id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_id"), F.xxhash64(whole_text(text_col)).alias("_th")]
 
 
+def key_hash(id_col: str, hash_col: str) -> Column:
+    """One 64-bit hash of a row's key (see :func:`row_key`)."""
+    return F.xxhash64(F.col(id_col), F.col(hash_col))
+
+
 def keep_rows(df: DataFrame, decided: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of ``df``, all columns, whose key ``decided`` (``_id, _th, _keep``
-    and ``_n``, the rows with that key; pinned) keeps; of rows that repeat a
-    kept key, one.  Only the keys that go travel to the texts."""
+    and ``_n``, the rows with that key; pinned; every key of ``df``) keeps; of rows
+    that repeat a kept key, one.
+
+    The texts stay where they are: which keys go is told to the tasks by a
+    cascade of bitmaps (:func:`told_apart`), and only what it leaves open, beyond
+    the bitmaps' greatest size, is joined."""
     cols = df.columns
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_r"),
                      *[c.alias(n) for c, n in zip(row_key(id_col, text_col), ("_i", "_t"), strict=True)])
+    keyed = decided.select("_id", "_th", "_keep", key_hash("_id", "_th").alias("_h"))
+    # two keys of one hash that are not decided alike are left open, whatever the bitmaps say
+    mixed = pin(keyed.groupBy("_h").agg(F.min("_keep").alias("a"), F.max("_keep").alias("b")).filter("a != b").select("_h"))
+    goes, open_to = told_apart(pin(keyed.filter("not _keep").select("_h")), pin(keyed.filter("_keep").select("_h")),
+                               key_hash("_i", "_t"))
 
     def hit(keys: DataFrame, how: str, left: DataFrame) -> DataFrame:
         return left.join(keys.select("_id", "_th"),
                          F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), how)
 
-    left = hit(decided.filter("not _keep"), "left_anti", rows)
-    twice = decided.filter("_keep and _n > 1")
+    if open_to is None and mixed.isEmpty():
+        left = rows.filter(~goes)
+    else:
+        gone = pin(keyed.filter("not _keep").select("_id", "_th"))
+        left = hit(gone, "left_anti", rows)
+        if open_to is not None and mixed.isEmpty():
+            left = rows.filter(~open_to & ~goes).unionByName(hit(gone, "left_anti", rows.filter(open_to)))
+    twice = pin(decided.filter("_keep and _n > 1").select("_id", "_th"))
     if twice.isEmpty():
         return left.select("_r.*")
     many = hit(twice, "left_semi", left).groupBy("_i", "_t").agg(F.first("_r").alias("_r"))
     return hit(twice, "left_anti", left).select("_r").unionByName(many.select("_r")).select("_r.*")
 
 
-def key_bitmap(keys: DataFrame, col: str, most: int = 1 << 24) -> bytes:
-    """Bitmap of the 64-bit hashes in ``col`` of a pinned table: about eight bits
-    a row, ``most`` (2 MB) at most, however many rows there are."""
-    bits = max(1 << 12, min(most, 1 << (8 * keys.count()).bit_length()))
+def told_apart(yes: DataFrame, no: DataFrame, key: Column, levels: int = 12) -> tuple[Column, Column | None]:
+    """(whether a key is of ``yes``, whether that stays open) for keys that are all
+    of ``yes`` or ``no`` (pinned tables of one hash ``_h``).
+
+    A cascade of bitmaps: the first holds ``yes``; the second those of ``no`` that
+    hit the first; the third those of ``yes`` that hit the second, and so on, each
+    with another hash, until nothing hits.  The first bitmap that a key misses
+    tells its side, without error.  Where the tables outgrow the bitmaps, keys that
+    hit all of the ``levels`` stay open."""
+    maps: list[Column] = []
+    a, b = yes, no
+    for level in range(levels):
+        here = F.xxhash64(F.col("_h"), F.lit(level))
+        bits = key_bitmap(a.select(here.alias("_k")), "_k", per_row=16)
+        maps.append(in_bitmap(bits, F.xxhash64(key, F.lit(level))))
+        a, b = pin(b.filter(in_bitmap(bits, here))), a
+        if a.isEmpty():
+            break
+    last = len(maps) % 2 == 1          # hits all: of the table that the last bitmap holds
+    out = F.lit(last)
+    for i in reversed(range(len(maps))):
+        out = F.when(maps[i], out).otherwise(F.lit(i % 2 == 1))
+    open_to = None
+    if not a.isEmpty():
+        open_to = maps[0]
+        for m in maps[1:]:
+            open_to = open_to & m
+    return out, open_to
+
+
+def key_bitmap(keys: DataFrame, col: str, most: int = 1 << 24, per_row: int = 8) -> bytes:
+    """Bitmap of the 64-bit hashes in ``col`` of a pinned table: at least ``per_row``
+    bits a row, but ``most`` (2 MB) in all, however many rows there are."""
+    bits = max(1 << 12, min(most, 1 << (per_row * keys.count()).bit_length()))
     slot = F.pmod(F.col(col), F.lit(bits))
     words = (keys.groupBy(F.floor(slot / 64).alias("w"))
              .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))).alias("b")))
