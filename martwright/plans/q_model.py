@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregate as G
 from ..operators import encode as EN
 from ..operators import evaluate as EV
+from ..operators import stepwise as ST
 from ..operators import train as T
 from ..operators.sampling import split_hash
 from ..session import cut_lineage
@@ -106,15 +107,24 @@ def _donor_mart(spark, sf, **period):
     return cut_lineage(D.donor_mart(c, o, **period))
 
 
+def _donor_steps(spark, sf):
+    s = split_hash(_donor_mart(spark, sf), ["donor_id"], 0.7, seed=123)
+    cands = [c for c in s.columns if c not in _DONOR_OUT | {"split"}]
+    return s.where("split = 'train'"), s.where("split = 'test'"), cands
+
+
 @query("stepwise_auc")
 def stepwise_auc(spark, sf):
     """Forward selection over every feature of the donor mart, to the end: the
-    logistic run.  The reference's runs with other models are not registered
-    (``operators.train.stepwise_auc`` takes any of ``make_classifier``'s)."""
-    s = split_hash(_donor_mart(spark, sf), ["donor_id"], 0.7, seed=123)
-    cands = [c for c in s.columns if c not in _DONOR_OUT | {"split"}]
-    return T.stepwise_auc(s.where("split = 'train'"), s.where("split = 'test'"), cands,
-                          model="lr", maxIter=500)
+    logistic run, all candidates of a step fitted together.  (Any other model of
+    ``make_classifier``: ``operators.train.stepwise_auc``, a fit for each candidate.)"""
+    return ST.stepwise_logistic(*_donor_steps(spark, sf))
+
+
+@query("stepwise_naive_bayes")
+def stepwise_naive_bayes(spark, sf):
+    """The same selection with Gaussian naive Bayes."""
+    return ST.stepwise_naive_bayes(*_donor_steps(spark, sf))
 
 
 def _campaigns(spark, sf):

@@ -105,13 +105,6 @@ def test_donor_roc_ends_at_one_and_scores_are_ordered(spark, sf_dir):
     assert s == sorted(s, reverse=True)
 
 
-def test_stepwise_is_offered_the_whole_donor_mart(spark, sf_dir, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(T, "stepwise_auc", lambda train, test, cands, **p: seen.update(p, cands=list(cands), columns=train.columns))
-    entry.queries()["stepwise_auc"](spark, sf_dir)
-    assert set(seen["cands"]) == set(seen["columns"]) - {"donor_id", "campaign_amount", "label", "split"}
-    assert any(c.startswith("province_") for c in seen["cands"]) and seen["maxIter"] >= 500
-
 
 def test_classifiers_see_every_churn_feature(spark, sf_dir):
     from martwright.plans import q_model as Q
@@ -119,3 +112,13 @@ def test_classifiers_see_every_churn_feature(spark, sf_dir):
     assert set(mart.columns) - set(Q.churn_features(mart)) == {"customer_id", "label", "days_without_sub", "last_end", "first_start"}
     train, _, zc = Q._churn_sets(spark, sf_dir)
     assert [f"{c}_z" for c in Q.churn_features(mart)] == zc and train.first().features.size == len(zc) >= 50
+
+
+@pytest.mark.parametrize("name", ["stepwise_logistic", "stepwise_naive_bayes"])
+def test_stepwise_is_offered_the_whole_donor_mart(spark, sf_dir, monkeypatch, name):
+    from martwright.operators import stepwise as ST
+    seen = {}
+    monkeypatch.setattr(ST, name, lambda train, test, cands: seen.update(cands=list(cands), columns=train.columns))
+    entry.queries()[{"stepwise_logistic": "stepwise_auc"}.get(name, name)](spark, sf_dir)
+    assert set(seen["cands"]) == set(seen["columns"]) - {"donor_id", "campaign_amount", "label", "split"}
+    assert any(c.startswith("province_") for c in seen["cands"])
