@@ -64,6 +64,32 @@ def chi2_statistic(df: DataFrame, features: Sequence[str], label: str) -> DataFr
                       ((F.col("nv") - 1) * (F.col("ny") - 1)).cast("long").alias("dof"))
 
 
+def quantile_bins(df: DataFrame, features: Sequence[str], bins: int = 10) -> dict[str, list[float]]:
+    """Exact upper ends of all but the last of ``bins`` equally filled ranges of each
+    column: the values at ranks ceil(n * i / bins), each once."""
+    from .select import ranked_values
+    # one long column, a group for each feature: the plan does not grow with their number
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for c in features])).alias("s")).select("s.*")
+    wanted = {"v": [(i, i / bins, lambda n, i=i: F.floor((n * i + bins - 1) / bins)) for i in range(1, bins)]}
+    out: dict[str, list[float]] = {c: [] for c in features}
+    for r in ranked_values(long, wanted, "c").collect():                # bins - 1 numbers a column
+        out[r["c"]].append(r["value"])
+    return {c: sorted(set(v)) for c, v in out.items()}
+
+
+def chi2_top(df: DataFrame, features: Sequence[str], label: str, top: int, bins: int = 10) -> DataFrame:
+    """``feature, rank, chi2, dof``: the ``top`` columns, continuous ones too, whose
+    quantile bins depend most on the label by the chi-square statistic (ties by name).
+    Values without a bin (null) are a category of their own."""
+    ends = quantile_bins(df, features, bins)
+    binned = df.select(label, *[F.coalesce(sum(((F.col(f"`{c}`").cast("double") > e).cast("int") for e in ends[c]), F.lit(0)),
+                                           F.lit(-1)).alias(c) for c in features])
+    got = chi2_statistic(binned, features, label).select("feature", F.round("chi2", 6).alias("chi2"), "dof").collect()   # a row a column
+    best = sorted(got, key=lambda r: (-(r.chi2 if r.chi2 is not None else -1.0), r.feature))[:top]
+    return df.sparkSession.createDataFrame([(r.feature, i + 1, r.chi2, r.dof) for i, r in enumerate(best)],
+                                           "feature string, rank int, chi2 double, dof long")
+
+
 def assemble(df: DataFrame, features: Sequence[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="error").transform(df)
 

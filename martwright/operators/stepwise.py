@@ -71,6 +71,11 @@ def _summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int
                 total += of(_rows(block))
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
+    return merged_sum(blocks.mapInArrow(partial, "s binary"), size)
+
+
+def merged_sum(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the vectors of ``size`` doubles packed in the rows' ``s``."""
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for b in batches:
@@ -78,8 +83,7 @@ def _summed(blocks: DataFrame, of: Callable[[np.ndarray], np.ndarray], size: int
                 total += np.frombuffer(s)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["s"])
 
-    parts = blocks.mapInArrow(partial, "s binary")
-    if blocks.rdd.getNumPartitions() > MERGE:
+    if parts.rdd.getNumPartitions() > MERGE:
         parts = parts.repartition(MERGE).mapInArrow(merged, "s binary")
     return sum((np.frombuffer(bytes(r.s)) for r in parts.collect()), np.zeros(size))
 

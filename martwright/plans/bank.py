@@ -110,12 +110,31 @@ def trans_features(groups: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
                     F.datediff(eval_d, F.to_date(issued)).alias("card_age_days"))
 
 
+#: more than four times the days since 1970 of any order
+LOAN_SPAN = 1 << 18
+
+
+def segment_features(customer: DataFrame, orders: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
+    """What the segmentation takes beside the mart: ``account_id, avg_salary`` (mean
+    balance of the client's district), ``days_since_acc_creation`` (since the first
+    order), ``total_nbr_orders, average_all_orders``."""
+    salary = customer.groupBy("c_nationkey").agg(
+        (F.sum(money("c_acctbal")) / F.count("c_acctbal")).cast("double").alias("avg_salary"))
+    made = orders.where(F.col("o_custkey").isNotNull()).groupBy("o_custkey").agg(
+        F.datediff(F.to_date(F.lit(eval_date)), F.to_date(F.min("o_orderdate"))).alias("days_since_acc_creation"),
+        F.count(F.lit(1)).alias("total_nbr_orders"),
+        (F.sum(money("o_totalprice")) / F.count("o_totalprice")).cast("double").alias("average_all_orders"))
+    return (customer.join(salary, "c_nationkey", "left").join(made, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .select(F.col("c_custkey").alias("account_id"), "avg_salary", "days_since_acc_creation", "total_nbr_orders", "average_all_orders"))
+
+
 def order_features(orders: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
     """One aggregate per account over orders: standing-order sums per
     symbol, the loan (the account's largest order: A-D status recoded and
     expanded to dummies, days since start) and the first order date."""
-    # loan = (start day, status code) of the largest order, packed into one
-    # int so the arg-max stays a fixed-width hash aggregate
+    # loan = (start day, status code) of the largest order (ties: the latest, then the
+    # last status), packed with the price in cents into one integer, so the arg-max
+    # is a maximum in a fixed-width hash aggregate
     codes = ["A", "B", "C", "D"]
     code_idx = (F.when(F.col("o_orderstatus") == "F",
                        F.when(F.col("o_orderpriority") == "5-LOW", 1).otherwise(0))
@@ -126,10 +145,10 @@ def order_features(orders: DataFrame, eval_date: str = EVAL_DATE) -> DataFrame:
         F.col("o_custkey").alias("account_id"), "o_totalprice", "o_orderdate",
         recode(recode("o_orderpriority", ORDER_SYMBOL_CODE), ORDER_K_SYMBOL,
                ORDER_K_SYMBOL_DEFAULT).alias("k_symbol"),
-        money("o_totalprice").alias("amount"), packed.alias("_loan"))
+        money("o_totalprice").alias("amount"), (F.round(F.col("o_totalprice") * 100).cast("long") * LOAN_SPAN + packed).alias("_loan"))
     g = o.groupBy("account_id").agg(
         *pivot_aggs("k_symbol", ORDER_SYMBOLS, [("sum", "amount", "order_sum")]),
-        F.max_by("_loan", "o_totalprice").alias("_loan"), F.min("o_orderdate").alias("first_order"))
+        F.pmod(F.max("_loan"), F.lit(LOAN_SPAN)).alias("_loan"), F.min("o_orderdate").alias("first_order"))
     code = F.element_at(F.array(*[F.lit(c) for c in codes]), (F.col("_loan") % 4 + 1).cast("int"))
     start = F.date_add(epoch, F.floor(F.col("_loan") / 4).cast("int"))
     status = recode(code, LOAN_STATUS)

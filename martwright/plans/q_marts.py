@@ -200,10 +200,11 @@ base AS (SELECT c.c_custkey AS account_id, c.c_nationkey AS district_id, c.c_acc
 loan AS (SELECT account_id, CAST(date_diff('day', CAST(start AS DATE), DATE '{BK.EVAL_DATE}') AS INTEGER) AS loan_days,
                 {loan_dums}
          FROM (SELECT o_custkey AS account_id,
-                 arg_max(CASE WHEN o_orderstatus = 'F' THEN (CASE WHEN o_orderpriority = '5-LOW' THEN 'B' ELSE 'A' END)
-                              WHEN o_orderstatus = 'O' THEN 'C' ELSE 'D' END, o_totalprice) AS code,
-                 arg_max(o_orderdate, o_totalprice) AS start
-               FROM orders WHERE o_custkey IS NOT NULL GROUP BY o_custkey)),
+                 arg_max(code, (o_totalprice, CAST(o_orderdate AS DATE), code)) AS code,
+                 arg_max(o_orderdate, (o_totalprice, CAST(o_orderdate AS DATE), code)) AS start
+               FROM (SELECT *, CASE WHEN o_orderstatus = 'F' THEN (CASE WHEN o_orderpriority = '5-LOW' THEN 'B' ELSE 'A' END)
+                                    WHEN o_orderstatus = 'O' THEN 'C' ELSE 'D' END AS code FROM orders)
+               WHERE o_custkey IS NOT NULL GROUP BY o_custkey)),
 card AS (SELECT account_id, CAST(date_diff('day', CAST(strptime('19' || strftime(MAX(date), '%y%m%d') || ' 00:00:00',
                 '%Y%m%d %H:%M:%S') AS DATE), DATE '{BK.EVAL_DATE}') AS INTEGER) AS card_age_days
          FROM t WHERE account_id IS NOT NULL GROUP BY account_id),

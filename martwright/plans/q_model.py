@@ -11,13 +11,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml.feature import PCA, ChiSqSelector, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import aggregate as G
+from ..operators import comoments as CM
 from ..operators import encode as EN
 from ..operators import evaluate as EV
+from ..operators import features as FT
+from ..operators import kernels as KN
 from ..operators import stepwise as ST
 from ..operators import train as T
 from ..operators.sampling import split_hash
@@ -25,6 +28,7 @@ from ..session import cut_lineage
 from . import churn as CH
 from . import donor as D
 from .catalog import query, tables
+from .pinned import once
 
 # the key, the label, and what defines the label: the last end and the days since it
 _CHURN_OUT = {"customer_id", "label", "days_without_sub", "last_end", "first_start"}
@@ -36,10 +40,9 @@ def churn_features(mart) -> list[str]:
 
 
 def _churn_mart(spark, sf, **period):
-    """The churn mart, pinned: built once, whatever is fitted on it."""
-    o, li, p, ev, c, n, r = tables(spark, sf, "orders", "lineitem", "part", "events", "customer",
-                                   "nation", "region")
-    return cut_lineage(CH.churn_mart(o, li, p, ev, c, n, r, **period))
+    """The churn mart, pinned: built once in a session, whatever is fitted on it."""
+    src = tables(spark, sf, "orders", "lineitem", "part", "events", "customer", "nation", "region")
+    return once(spark, f"churn_mart {sorted(period.items())}", src, lambda: CH.churn_mart(*src, **period))
 
 
 def _churn_sets(spark, sf):
@@ -76,35 +79,97 @@ _COMPARED = ["rf", "gbt", "lr", "dt"]
 _FURTHER = {"nb": {}, "mlp": {"maxIter": 100}, "svc": {"maxIter": 50}}
 
 
+def _cross_validation(spark, sf):
+    """One cross-validation that both queries read, pinned once in a session: a row
+    for every grid point (``params, avg_auc``) and one for every model compared (its
+    metrics on the test set; ``params`` null)."""
+    def build():
+        train, test, zc = _churn_sets(spark, sf)
+        rows = []
+        for n in T.GRIDS:
+            best, grid = T.cross_validate(train, n, folds=5, seed=1, parallelism=8, n_features=len(zc))
+            rows.append(grid)
+            if n in _COMPARED:
+                rows.append(T.evaluation(cut_lineage(T.scored(best, test)), n))
+        for n, params in _FURTHER.items():
+            m = T.make_classifier(n, len(zc), 1, **params).fit(train)
+            rows.append(T.evaluation(cut_lineage(T.scored(m, test)), n))
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    src = tables(spark, sf, "orders", "lineitem", "part", "events", "customer", "nation", "region")
+    return once(spark, "cross_validation", src, build)
+
+
 @query("cv_grid")
 def cv_grid(spark, sf):
     """Mean AUC of every point of every model's grid, 5 folds."""
-    train, _, zc = _churn_sets(spark, sf)
-    parts = [T.cross_validate(train, n, folds=5, seed=1, parallelism=4, n_features=len(zc))[1] for n in T.GRIDS]
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    return _cross_validation(spark, sf).where("params is not null").select("model", "params", "avg_auc")
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
     """One row per model: the best of its grid by 5-fold AUC (the further
     models as they are), evaluated on the test set."""
-    train, test, zc = _churn_sets(spark, sf)
-    rows = []
-    for n in _COMPARED:
-        best, _ = T.cross_validate(train, n, folds=5, seed=1, parallelism=4, n_features=len(zc))
-        rows.append(T.evaluation(cut_lineage(T.scored(best, test)), n))
-    for n, params in _FURTHER.items():
-        m = T.make_classifier(n, len(zc), 1, **params).fit(train)
-        rows.append(T.evaluation(cut_lineage(T.scored(m, test)), n))
-    return reduce(lambda a, b: a.unionByName(b), rows)
+    return _cross_validation(spark, sf).where("params is null").drop("params", "avg_auc")
+
+
+@query("train_rbf_svc")
+def train_rbf_svc(spark, sf):
+    """The radial-kernel support vector classifier: random Fourier features of the
+    standardised mart in front of the linear one."""
+    mart = _churn_mart(spark, sf)
+    feats = churn_features(mart)
+    s = split_hash(mart, ["customer_id"], 0.7, seed=123)
+    st = EN.zscore_fit(s.where("split = 'train'"), feats).first().asDict()
+    z, zc = EN.zscore_transform(s, st, feats), [f"{c}_z" for c in feats]
+    gamma = KN.scale_gamma(z.where("split = 'train'"), zc)
+    x = cut_lineage(KN.fourier_features(z, zc, gamma, keep=["split"]))
+    m = T.make_classifier("svc", maxIter=50, regParam=1e-3).fit(x.where("split = 'train'"))
+    pred = cut_lineage(T.scored(m, x.where("split = 'test'")))
+    return T.evaluation(pred, "rbf_svc").drop("weighted_precision")
+
+
+# the features of the training mart, in its order
+MART_FEATURES = (
+    ["n_subscription_rows", "avg_days_subscription", "avg_months_subscription", "sum_meals", "min_price", "max_price",
+     "avg_price", "sum_price", "min_discount", "max_discount", "sum_discount"]
+    + [f"{m}_{p}" for p in CH.PRODUCTS for m in ("sum_meals", "sum_price")]
+    + [f"{m}_pay_{p}" for p in CH.PAYMENTS for m in ("sum_price", "sum_discount")]
+    + [f"n_subscriptions_{y}" for y in CH.YEARS]
+    + [f"{m}_{f}" for f in CH.FORMULAS for m in ("n_formula", "sum_duration", "avg_duration")]
+    + ["customer_lifetime"] + [f"region_{r.replace(' ', '_')}" for r in CH.REGIONS]
+    + [f"n_complaints_{e}" for e in CH.EVENT_TYPES])
+
+
+def _long_mart_sql() -> str:
+    """The churn mart as ``customer_id, label, c, v``: a row for every feature of a customer."""
+    from .q_marts import _churn_sql
+    cells = ", ".join(f"{{'c': '{c}', 'v': CAST({c} AS DOUBLE)}}" for c in MART_FEATURES)
+    return (f"WITH mart AS ({_churn_sql()}), u AS (SELECT customer_id, label, unnest([{cells}]) AS s FROM mart), "
+            "long AS (SELECT customer_id, label, s.c AS c, s.v AS v FROM u)")
+
+
+@query("corr_matrix_mart", f"""{_long_mart_sql()}
+SELECT a.c AS a, b.c AS b, CASE WHEN min(a.v) = max(a.v) OR min(b.v) = max(b.v) THEN NULL
+       ELSE round(least(1.0, greatest(-1.0, corr(a.v, b.v))), 6) + 0.0 END AS corr
+FROM long a JOIN long b USING (customer_id) GROUP BY a.c, b.c""")
+def corr_matrix_mart(spark, sf):
+    """Correlation of every two features of the churn mart, from one pass of co-moments."""
+    m = CM.correlation_rows(_churn_mart(spark, sf), MART_FEATURES)
+    return m.select("a", "b", (F.round("corr", 6) + 0.0).alias("corr"))
+
+
+@query("pca_mart")
+def pca_mart(spark, sf):
+    """The five first principal components of the standardised mart, from the same co-moments."""
+    return CM.project(_churn_mart(spark, sf), MART_FEATURES, 5, keep=["customer_id"])
 
 
 _DONOR_OUT = {"donor_id", "campaign_amount", "label"}
 
 
 def _donor_mart(spark, sf, **period):
-    c, o = tables(spark, sf, "customer", "orders")
-    return cut_lineage(D.donor_mart(c, o, **period))
+    src = tables(spark, sf, "customer", "orders")
+    return once(spark, f"donor_mart {sorted(period.items())}", src, lambda: D.donor_mart(*src, **period))
 
 
 def _donor_steps(spark, sf):
@@ -159,18 +224,22 @@ def donor_campaign_roc(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+def _two_periods(spark, sf):
+    """(training mart, scoring mart, scaled columns, scaler, features that both have)."""
+    train = _churn_mart(spark, sf)
+    scoring = _churn_mart(spark, sf, as_of_date=CH.SCORING_AS_OF, after=CH.SCORING_FROM, years=CH.SCORING_YEARS)
+    # calendar-year pivots differ between the two periods: score on the rest
+    feats = [f for f in churn_features(train) if not f.startswith("n_subscriptions_")]
+    return train, scoring, [f"{c}_z" for c in feats], EN.zscore_fit(train, feats).first().asDict(), feats
+
+
 @query("score_customers")
 def score_customers(spark, sf):
     """Fit on the training mart, score the customers of the scoring mart
     that are still active (label 0) with the training-set scaler, highest
     churn probability first."""
-    train_mart = _churn_mart(spark, sf)
-    # calendar-year pivots differ between the two periods: score on the rest
-    feats = [f for f in churn_features(train_mart) if not f.startswith("n_subscriptions_")]
-    st = EN.zscore_fit(train_mart, feats).first().asDict()
-    zc = [f"{c}_z" for c in feats]
-    m = T.make_classifier("lr", len(zc), maxIter=50).fit(T.assembled(EN.zscore_transform(train_mart, st, feats), zc))
-    scoring = _churn_mart(spark, sf, as_of_date=CH.SCORING_AS_OF, after=CH.SCORING_FROM, years=CH.SCORING_YEARS)
+    train, scoring, zc, st, feats = _two_periods(spark, sf)
+    m = T.make_classifier("lr", len(zc), maxIter=50).fit(T.assembled(EN.zscore_transform(train, st, feats), zc))
     current = scoring.where("label = 0").drop("label")
     cur = T.assembled(EN.zscore_transform(current, st, feats).withColumn("label", F.lit(0)), zc)
     return T.score(m, cur, "customer_id").select("customer_id", "p_positive", "prediction")
@@ -188,15 +257,18 @@ def _segments(df, columns, k=3, suffix="_w"):
     return rows, back.select("cluster", "size", *[F.round(f"{c}_centre", 2).alias(f"{c}_centre") for c in wc])
 
 
-_BANK_SEGMENT = ["age", "age_group", "balance", "card_age_days", "total_trans", "mean_all_trans",
-                 "days_since_last_trans", "total_sum_trans", "loan_days"]
+# fixed values: the features of the segmentation
+_BANK_SEGMENT = ["age", "age_group", "avg_salary", "days_since_acc_creation", "total_trans",
+                 "mean_all_trans", "days_since_last_trans", "total_nbr_orders", "average_all_orders"]
 
 
 @query("bank_segments")
 def bank_segments(spark, sf):
-    """k=3 on the winsorised, scaled bank mart; centres back in original units."""
+    """k=3 on the winsorised, scaled bank mart; centres back in original units.  (The
+    district's average salary is the mean balance of its clients.)"""
     from . import bank as B
-    mart = B.bank_mart(*tables(spark, sf, "customer", "nation", "region", "lineitem", "orders"))
+    c, n, r, li, o = tables(spark, sf, "customer", "nation", "region", "lineitem", "orders")
+    mart = B.bank_mart(c, n, r, li, o).join(B.segment_features(c, o), "account_id", "left")
     mart = cut_lineage(mart.select("account_id", *[F.col(c).cast("double").alias(c) for c in _BANK_SEGMENT])
                        .na.fill(0.0))
     return _segments(mart, _BANK_SEGMENT)[1]
@@ -208,18 +280,21 @@ PROFILE = ["n_subscription_rows", "customer_lifetime", "avg_days_subscription",
            "n_formula_O", "sum_duration_O", "n_complaints_click", "n_complaints_error"]
 
 
+# what churners are clustered on: the profile without what defines the label, in the scored period's years
+CHURNER = [c for c in PROFILE if c != "days_without_sub" and not c.startswith("n_subscriptions_")] + [
+    f"n_subscriptions_{y}" for y in CH.SCORING_YEARS]
+
+
 @query("churner_segments")
 def churner_segments(spark, sf):
-    """k=3 on the customers a model predicts to churn; 21 averages per cluster."""
-    mart = _churn_mart(spark, sf)
-    feats = churn_features(mart)
-    st = EN.zscore_fit(mart, feats).first().asDict()
-    zc = [f"{c}_z" for c in feats]
-    z = T.assembled(EN.zscore_transform(mart, st, feats), zc)
-    m = T.make_classifier("lr", len(zc), maxIter=50).fit(z)
-    churners = cut_lineage(m.transform(z).where("prediction = 1").select("customer_id", *PROFILE))
-    rows, _ = T.kmeans_segments(churners, PROFILE, k=3, seed=1)
-    return T.cluster_profile(rows, "cluster", PROFILE)
+    """k=3 on the customers of the second period that the model of the first predicts
+    to churn; the averages of every cluster."""
+    train, scoring, zc, st, feats = _two_periods(spark, sf)
+    m = T.make_classifier("lr", len(zc), maxIter=50).fit(T.assembled(EN.zscore_transform(train, st, feats), zc))
+    after = T.assembled(EN.zscore_transform(scoring, st, feats), zc)
+    churners = cut_lineage(m.transform(after).where("prediction = 1").select("customer_id", *CHURNER))
+    rows, _ = T.kmeans_segments(churners, CHURNER, k=3, seed=1)
+    return T.cluster_profile(rows, "cluster", CHURNER)
 
 
 def _profile_sql() -> str:
@@ -307,20 +382,21 @@ def pca_project(spark, sf):
     return m.transform(e).select("vec_id", vector_to_array("p").alias("pca"))
 
 
-@query("chi2_select")
+@query("chi2_select", f"""{_long_mart_sql()},
+r AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v) AS rn, count(*) OVER (PARTITION BY c) AS n FROM long WHERE v IS NOT NULL),
+t AS (SELECT DISTINCT c, v AS t FROM r, (SELECT unnest(range(1, 10)) AS i) WHERE rn = (n * i + 9) // 10),
+g AS (SELECT c, list(t) AS ts FROM t GROUP BY c),
+b AS (SELECT long.c, label AS y, coalesce(len(list_filter(ts, lambda x: v > x)), -1) AS bin FROM long JOIN g ON long.c = g.c),
+o AS (SELECT c, bin, y, CAST(count(*) AS DOUBLE) AS o FROM b GROUP BY ALL),
+e AS (SELECT *, sum(o) OVER (PARTITION BY c, bin) AS rv, sum(o) OVER (PARTITION BY c, y) AS cy FROM o),
+x AS (SELECT c AS feature, round(sum(o) * (sum(o * o / (rv * cy)) - 1), 6) AS chi2,
+             CAST((count(DISTINCT bin) - 1) * (count(DISTINCT y) - 1) AS BIGINT) AS dof FROM e GROUP BY c),
+k AS (SELECT *, CAST(row_number() OVER (ORDER BY chi2 DESC, feature) AS INTEGER) AS rank FROM x)
+SELECT feature, rank, chi2, dof FROM k WHERE rank <= 30""")
 def chi2_select(spark, sf):
-    (o,) = tables(spark, sf, "orders")
-    x = o.select((F.col("o_orderstatus") == "F").cast("double").alias("label"),
-                 F.substring("o_orderpriority", 1, 1).cast("double").alias("priority"),
-                 F.year("o_orderdate").cast("double").alias("year"),
-                 F.month("o_orderdate").cast("double").alias("month"),
-                 F.floor(F.col("o_totalprice") / 100000).cast("double").alias("price_band"))
-    feats = ["priority", "year", "month", "price_band"]
-    v = VectorAssembler(inputCols=feats, outputCol="features").transform(x)
-    m = ChiSqSelector(numTopFeatures=2, featuresCol="features", labelCol="label", outputCol="sel").fit(v)
-    names = [feats[i] for i in m.selectedFeatures]
-    stats = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "feature string, rank int")
-    return stats
+    """The 30 features of the churn mart that depend most on the label: chi-square over
+    their deciles, as most are continuous (by the statistic, ties by name)."""
+    return FT.chi2_top(_churn_mart(spark, sf), MART_FEATURES, "label", 30)
 
 
 COUNT_FEATURES = ["n_subscription_rows", "n_subscriptions_1995", "n_subscriptions_1996",

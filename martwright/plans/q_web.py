@@ -36,14 +36,20 @@ def rendered_pages(pages: DataFrame, lineitem: DataFrame) -> DataFrame:
              F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")]
     line = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                     F.array(*[c.cast("string") for c in cells]).alias("cells"))
-    orders = lineitem.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines")).where(F.size("lines") > 1)
+    # only the lines of the pages are grouped
+    own = lineitem.join(pages.select("page_id"), F.col("l_orderkey") == F.col("page_id"), "left_semi")
+    orders = own.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("lines"))
+    both = pages.join(orders, F.col("page_id") == F.col("l_orderkey"), "left")
+    both = both.withColumn("lines", F.coalesce("lines", F.array().cast(orders.schema["lines"].dataType)))
     label = F.transform("lines", lambda x, i: F.when(i == 0, W.FIRST_LABEL).when(i == F.size("lines") - 1, W.LAST_LABEL)
                         .otherwise(F.concat(F.lit("row "), (i + 1).cast("string"))))
+    short = (F.col("page_id") % 10 == 3) & (F.size("lines") > 2)
+    label = F.when(short, F.filter(label, lambda x, i: i != 1)).otherwise(label)
     links = F.array_join(F.transform(label, lambda x: F.concat(F.lit("<a>"), x, F.lit("</a>"))), "")
     head = "<tr>" + "".join(f"<th> {c} </th>" for c in W.OUTPUT_COLUMNS) + "</tr><tr><th></th></tr>"
     rows = F.array_join(F.transform("lines", lambda x: F.concat(
         F.lit("<tr><td>"), F.array_join(x["cells"], "</td><td>"), F.lit("</td></tr>"))), "\n")
-    return pages.join(orders, F.col("page_id") == F.col("l_orderkey")).select(
+    return both.select(
         "page_id", "url", F.concat("html", F.lit("<a>Home</a>"), links, F.lit(f'<a>Imprint</a><table class="{W.TABLE_CLASS} js">{head}'),
                                    rows, F.lit("</table>")).alias("html"))
 
@@ -68,13 +74,16 @@ WITH n AS (
   FROM lineitem WHERE l_orderkey IN (SELECT page_id FROM pages)
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)),
 lines AS (
-  SELECT *, CASE WHEN row_pos = 0 THEN '{W.FIRST_LABEL}' WHEN row_pos = size - 1 THEN '{W.LAST_LABEL}'
-                 ELSE 'row ' || CAST(row_pos + 1 AS VARCHAR) END AS {_NAMES[0]}
-  FROM n WHERE size > 1)"""
+  SELECT *, page_id % 10 = 3 AND size > 2 AS cut,
+         CASE WHEN row_pos = 0 THEN '{W.FIRST_LABEL}' WHEN row_pos = size - 1 THEN '{W.LAST_LABEL}'
+              ELSE 'row ' || CAST(row_pos + 1 AS VARCHAR) END AS own,
+         CASE WHEN row_pos + 1 = size - 1 THEN '{W.LAST_LABEL}' WHEN row_pos + 1 < size
+              THEN 'row ' || CAST(row_pos + 2 AS VARCHAR) END AS next
+  FROM n)"""
 
 
-@query("web_table_headers", f"""{_LINES}
-SELECT DISTINCT page_id, [{", ".join(f"'{c}'" for c in W.OUTPUT_COLUMNS[1:])}] AS headers FROM lines""")
+@query("web_table_headers", f"""
+SELECT page_id, [{", ".join(f"'{c}'" for c in W.OUTPUT_COLUMNS[1:])}] AS headers FROM pages""")
 def web_table_headers(spark, sf):
     return _rendered(spark, sf).select("page_id", W.table_headers(W.table_html("html")).alias("headers"))
 
@@ -87,13 +96,16 @@ def web_table_rows(spark, sf):
 
 
 @query("web_link_slice", f"""{_LINES}
-SELECT page_id, list({_NAMES[0]} ORDER BY row_pos) AS hours FROM lines GROUP BY page_id""")
+SELECT p.page_id, coalesce(list(own ORDER BY row_pos) FILTER (size > 1 AND NOT (cut AND row_pos = 1)), CAST([] AS VARCHAR[])) AS hours
+FROM pages p LEFT JOIN lines USING (page_id) GROUP BY p.page_id""")
 def web_link_slice(spark, sf):
     return _rendered(spark, sf).select("page_id", W.slice_between(W.link_texts("html")).alias("hours"))
 
 
 @query("web_table_zip", f"""{_LINES}
-SELECT page_id, row_pos, TRUE AS labels_match, {", ".join(_NAMES)} FROM lines""")
+SELECT page_id, row_pos, size > 1 AND NOT cut AS labels_match,
+       CASE WHEN size > 1 THEN CASE WHEN cut AND row_pos > 0 THEN next ELSE own END END AS {_NAMES[0]},
+       {", ".join(_NAMES[1:])} FROM lines""")
 def web_table_zip(spark, sf):
     wide = W.to_wide(W.extract_tables(_rendered(spark, sf)))
     return wide.select("page_id", "row_pos", "labels_match",

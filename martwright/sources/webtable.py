@@ -102,7 +102,7 @@ def extract_tables(pages: DataFrame, css_class: str = TABLE_CLASS, skip_rows: in
                  table_rows(F.col("_t"), skip_rows).alias("_rows"))
     t = t.select("page_id", "headers", "_labels", "_rows",
                  F.posexplode("_rows").alias("row_pos", "cells"))
-    return t.select("page_id", "row_pos", F.element_at("_labels", F.col("row_pos") + 1).alias("hours"),
+    return t.select("page_id", "row_pos", F.get("_labels", F.col("row_pos")).alias("hours"),
                     "headers", "cells",
                     (F.size("_labels") == F.size("_rows")).alias("labels_match"))
 
@@ -117,5 +117,5 @@ def to_wide(rows: DataFrame, columns: Sequence[str] = OUTPUT_COLUMNS,
             out.append(F.col("hours").alias(c))
         else:
             i = F.array_position("headers", c)
-            out.append(F.when(i > 0, F.element_at("cells", i.cast("int"))).alias(c))
+            out.append(F.when(i > 0, F.get("cells", i.cast("int") - 1)).alias(c))
     return rows.select("page_id", "row_pos", "labels_match", *out)
