@@ -37,4 +37,4 @@ def tables(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 
 def load_all() -> None:
-    from . import q_basic, q_agg, q_marts, q_features, q_eval, q_model, q_neighbours, q_web  # noqa: F401
+    from . import q_basic, q_agg, q_marts, q_features, q_eval, q_model, q_neighbours, q_stored, q_web  # noqa: F401

@@ -83,7 +83,8 @@ def test_scores_are_ordered_with_ties_by_key(spark):
     ("bank_segments", ["cluster", "size"], 3), ("churner_segments", ["cluster", "n"], 3),
     ("donor_campaign_auc", ["campaign", "auc"], 2), ("donor_segments", ["cluster", "column"], None),
     ("score_customers", ["customer_id", "p_positive", "prediction"], None),
-    ("chi2_select", ["feature", "rank"], 2), ("pca_project", ["vec_id", "pca"], None)])
+    ("chi2_select", ["feature", "rank", "chi2"], 30), ("train_rbf_svc", ["model", "auc"], 1),
+    ("pca_mart", ["customer_id", "components"], None), ("knn_visits", ["round", "share"], 3), ("pca_project", ["vec_id", "pca"], None)])
 def test_model_queries(spark, sf_dir, name, columns, rows):
     out = entry.queries()[name](spark, sf_dir)
     got = out.collect()
@@ -106,6 +107,31 @@ def test_donor_roc_ends_at_one_and_scores_are_ordered(spark, sf_dir):
 
 
 
+def test_segments_take_the_named_features(spark, sf_dir):
+    from martwright.plans import q_model as Q
+    bank = entry.queries()["bank_segments"](spark, sf_dir)
+    assert [c for c in bank.columns if c.endswith("_w_centre")] == [f"{c}_w_centre" for c in Q._BANK_SEGMENT] and len(Q._BANK_SEGMENT) == 9
+    out = entry.queries()["churner_segments"](spark, sf_dir)
+    assert "avg_days_without_sub" not in out.columns and "avg_n_subscriptions_2001" in out.columns
+    assert Q.churn_features(Q._churn_mart(spark, sf_dir)) == Q.MART_FEATURES
+
+
+def test_one_cross_validation_serves_both_queries(spark, sf_dir, monkeypatch):
+    from martwright.plans import pinned
+    from martwright.plans import q_model as Q
+    fits = []
+    monkeypatch.setattr(T, "GRIDS", {"dt": {"maxDepth": [2, 3]}, "nb": {}})
+    monkeypatch.setattr(Q, "_FURTHER", {"svc": {"maxIter": 5}})
+    real = T.cross_validate
+    monkeypatch.setattr(T, "cross_validate", lambda *a, **k: fits.append(a[1]) or real(*a, **k))
+    pinned._KEPT.clear()
+    grid = entry.queries()["cv_grid"](spark, sf_dir).collect()
+    rows = entry.queries()["model_comparison"](spark, sf_dir).collect()
+    pinned._KEPT.clear()
+    assert fits == ["dt", "nb"] and [r.params for r in grid if r.model == "dt"] == ["maxDepth=2", "maxDepth=3"]
+    assert {r.model for r in rows} == {"dt", "svc"} and all(r.auc is not None and r.weighted_precision is not None for r in rows)
+
+
 def test_classifiers_see_every_churn_feature(spark, sf_dir):
     from martwright.plans import q_model as Q
     mart = Q._churn_mart(spark, sf_dir)
