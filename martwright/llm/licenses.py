@@ -1,11 +1,14 @@
-"""Licence scans: winnowed template fingerprints, then banded alignment.
+"""Licence scans: winnowed template fingerprints, then banded sequence alignment.
 
-Templates (short notices and the opening texts of common licences) are cut
-into lower-case words; the hashes of their word k-grams are winnowed (of every
-``WINDOW`` neighbours the smallest stays, so every stretch of k + WINDOW - 1
-words shared with a template holds one that stayed) and go into an inverted
-index: hash -> places in templates.  The index is a few hundred entries, bound
-by the template list, and travels with the task.
+Templates (short notices, opening and whole texts of common licences) are cut
+into lower-case words; the hashes of their word k-grams are winnowed (of every w
+neighbours the smallest stays, so every stretch of k + w - 1 words shared with a
+template holds one that stayed) and go into an inverted index: hash -> places in
+templates.  k and w follow from the template: a match that covers enough of it, with as
+many words changed, missing or put in as may then be unmatched (two at least),
+must hold one stretch of a certain length unbroken, and k + w - 1 is not longer
+than that; short notices thus have all their pairs of words indexed.  The index
+is bound by the template list and travels with the task.
 
 A document's k-grams are looked up there; hits of a template whose implied
 starts lie within a band of each other form a candidate.  The template is then
@@ -26,6 +29,7 @@ result; other columns take no part.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
@@ -36,8 +40,8 @@ from pyspark.sql import DataFrame
 
 from .common import map_arrow, whole_text
 
-#: words in a k-gram, neighbours a fingerprint is chosen from
-GRAM, WINDOW = 3, 3
+#: most words in a k-gram; most neighbours a fingerprint is chosen from; changes that any match may have
+GRAM, WINDOW, CHANGES = 3, 3, 2
 #: half width of the alignment band, in words (less for templates that are shorter)
 BAND = 12
 WORDS = re.compile(r"[0-9A-Za-z]+")
@@ -76,14 +80,75 @@ TEMPLATES = {
         " was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
         " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser"
+        " General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at"
+        " your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY"
+        " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU"
+        " Lesser General Public License for more details.",
+    "agpl": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero"
+        " General Public License as published by the Free Software Foundation, either version 3 of the License, or (at"
+        " your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY"
+        " WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU"
+        " Affero General Public License for more details.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public"
+        " License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "mit-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and"
+        ' associated documentation files (the "Software"), to deal in the Software without restriction, including without'
+        " limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the"
+        " Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+        " The above copyright notice and this permission notice shall be included in all copies or substantial portions of"
+        ' the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT'
+        " NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO"
+        " EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN"
+        " ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR"
+        " OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is"
+        " hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE"
+        ' SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL'
+        " IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL,"
+        " DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR"
+        " PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION"
+        " WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted"
+        " provided that the following conditions are met: 1. Redistributions of source code must retain the above"
+        " copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must"
+        " reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation"
+        " and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND"
+        ' CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED'
+        " WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE"
+        " COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+        " CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,"
+        " DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,"
+        " STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS"
+        " SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be"
+        " held liable for any damages arising from the use of this software. Permission is granted to anyone to use this"
+        " software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject"
+        " to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim"
+        " that you wrote the original software. If you use this software in a product, an acknowledgment in the product"
+        " documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as"
+        " such, and must not be misrepresented as being the original software. 3. This notice may not be removed or"
+        " altered from any source distribution.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
     "copyright": "All rights reserved. No part of this publication may be reproduced, distributed, or transmitted in any"
         " form or by any means without the prior written permission of the publisher.",
 }
 
 
+def gram_and_window(words: int, coverage: float) -> tuple[int, int]:
+    """k and w for a template: the words matched at that coverage, broken by as many
+    changes as words may be unmatched (``CHANGES`` at least), leave one stretch of
+    k + w - 1 words or more unbroken."""
+    matched = min(words, max(1, math.ceil(coverage * words - 1e-9)))
+    stretch = -(-matched // (max(words - matched, CHANGES) + 1))
+    k = min(GRAM, stretch)
+    return k, min(WINDOW, stretch - k + 1)
+
+
 class TemplateIndex:
-    def __init__(self, templates: Mapping[str, str]):
+    """Fingerprints of the templates for matches of at least ``coverage``."""
+
+    def __init__(self, templates: Mapping[str, str], coverage: float = 0.8):
         self.names, self.words = [], []
         for name, text in templates.items():
             if w := [x.lower() for x in WORDS.findall(text)]:
@@ -92,17 +157,17 @@ class TemplateIndex:
         self.vocabulary = {w: i for i, w in enumerate(sorted({x for w in self.words for x in w}), 1)}
         self.ids = [np.array([self.vocabulary[x] for x in w], dtype=np.int64) for w in self.words]
         # an alignment that strays as many words as the template has scores nothing
-        self.bands = [min(BAND, len(w) - 1) for w in self.words]
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.bands = [max(1, min(BAND, len(w) - 1)) for w in self.words]
+        places: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for t, ids in enumerate(self.ids):
-            for at, h in self._winnowed(ids):
-                self.places[h].append((t, at))
-        self.hashes = np.array(sorted(self.places), dtype=np.uint64)
+            k, w = gram_and_window(len(ids), coverage)
+            for at, h in self._winnowed(ids, k, w):
+                places.setdefault(k, defaultdict(list))[h].append((t, at))
+        self.places = {k: (np.array(sorted(of), dtype=np.uint64), of) for k, of in places.items()}
 
     @staticmethod
-    def grams(ids: np.ndarray) -> np.ndarray:
-        """Mixed hash of each k-gram of word numbers (shorter texts: of the whole)."""
-        k = min(GRAM, len(ids))
+    def grams(ids: np.ndarray, k: int) -> np.ndarray:
+        """Mixed hash of each k-gram of word numbers."""
         with np.errstate(over="ignore"):
             h = np.zeros(max(len(ids) - k + 1, 0), dtype=np.uint64)
             for i in range(k):
@@ -110,23 +175,21 @@ class TemplateIndex:
                 h ^= h >> np.uint64(29)
         return h
 
-    def _winnowed(self, ids: np.ndarray) -> list[tuple[int, int]]:
-        """Of every ``WINDOW`` neighbouring hashes the smallest (the last of equal ones)."""
-        h = self.grams(ids).tolist()
-        w = min(WINDOW, len(h))
+    def _winnowed(self, ids: np.ndarray, k: int, w: int) -> list[tuple[int, int]]:
+        """Of every ``w`` neighbouring hashes the smallest (the last of equal ones)."""
+        h = self.grams(ids, k).tolist()
         picked = {min(range(i, i + w), key=lambda j: (h[j], -j)) for i in range(len(h) - w + 1)}
         return [(j, h[j]) for j in sorted(picked)]
 
     def candidates(self, ids: np.ndarray) -> dict[int, list[int]]:
         """template -> starts (word positions) that its fingerprints in the text imply, merged within the band."""
-        h = self.grams(ids)
         found = defaultdict(list)
-        if not len(h):
-            return {}
-        spot = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        for i in np.flatnonzero(self.hashes[spot] == h).tolist():
-            for t, at in self.places[int(h[i])]:
-                found[t].append(i - at)
+        for k, (hashes, places) in self.places.items():
+            h = self.grams(ids, k)
+            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            for i in np.flatnonzero(hashes[spot] == h).tolist():
+                for t, at in places[int(h[i])]:
+                    found[t].append(i - at)
         out = {}
         for t, starts in found.items():
             starts.sort()
@@ -152,12 +215,13 @@ class TemplateIndex:
                 same = text[i - 1] == tpl[j - 1]
                 s, k, f = before.get(i - 1, (0, 0, i - 1))
                 cell = (s + 2, k + 1, f) if same else (s - 1, k, f)
-                if (up := before.get(i)) and up[0] - 1 > cell[0]:
+                # of equal scores the one that matches more words
+                if (up := before.get(i)) and (up[0] - 1, up[1]) > cell[:2]:
                     cell = (up[0] - 1, up[1], up[2])
-                if (left := row.get(i - 1)) and left[0] - 1 > cell[0]:
+                if (left := row.get(i - 1)) and (left[0] - 1, left[1]) > cell[:2]:
                     cell = (left[0] - 1, left[1], left[2])
-                row[i] = cell if cell[0] > 0 else (0, 0, i)
-                if row[i][0] > best[1]:
+                row[i] = cell if cell[:2] > (0, 0) else (0, 0, i)
+                if row[i][:2] > (best[1], best[0]):
                     best = (row[i][1], row[i][0], row[i][2] + lo, i + lo)
             before = row
         return best if best[0] else None
@@ -197,7 +261,7 @@ def scan_licenses(df: DataFrame, templates: Mapping[str, str] | None = None, id_
     kind = src.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = TemplateIndex(given)
+        index = TemplateIndex(given, min_coverage)
         for b in batches:
             at, rows = [], []
             for i, text in enumerate(b.column("_text")):

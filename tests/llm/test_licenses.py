@@ -1,8 +1,11 @@
+import math
 import random
 import re
 from collections import Counter
 
-from martwright.llm.licenses import BAND, TEMPLATES, WORDS, TemplateIndex, scan_licenses
+import pytest
+
+from martwright.llm.licenses import BAND, TEMPLATES, WORDS, TemplateIndex, gram_and_window, scan_licenses
 
 MIT = TEMPLATES["mit"]
 
@@ -38,7 +41,7 @@ def test_spans_and_coverage():
 
 def test_changed_copies_against_full_alignment():
     rng = random.Random(2)
-    index = TemplateIndex({"mit": MIT})
+    index = TemplateIndex({"mit": MIT}, 0.5)
     words = MIT.split()
     for _ in range(25):
         w = list(words)
@@ -51,6 +54,51 @@ def test_changed_copies_against_full_alignment():
         assert abs(len(w) - len(words)) <= BAND and got and max(g[2] for g in got) >= k - 1
 
 
+def changes(words, rng, pairs):
+    """Every one-word change (another word, a missing one, one put in) and some two-word changes."""
+    def one(w, i, how):
+        return w[:i] + ([] if how == "missing" else ["zzqq"] if how == "changed" else ["zzqq", w[i]]) + w[i + 1:]
+    hows = ("changed", "missing", "inserted")
+    singles = [one(words, i, h) for i in range(len(words)) for h in hows]
+    every = [(i, j, a, b) for i in range(len(words)) for j in range(i + 1, len(words)) for a in hows for b in hows]
+    some = every if len(every) <= pairs else rng.sample(every, pairs)
+    return singles + [one(one(words, j, b), i, a) for i, j, a, b in some]
+
+
+@pytest.mark.parametrize("name", sorted(TEMPLATES))
+def test_no_match_is_lost(name):
+    """Each template alone: every one-word and (all, or many) two-word changes that full
+    alignment puts at 0.8 or more are reported, where they stand."""
+    words, rng = TEMPLATES[name].split(), random.Random(name)
+    index = TemplateIndex({name: TEMPLATES[name]}, 0.8)
+    m = len(index.ids[0])
+    tried = changes(words, rng, 700 if m < 40 else 60)
+    if m >= 40:
+        tried = rng.sample(tried, 90)
+    found = 0
+    for w in tried:
+        text = f"bcdfg hjklb {' '.join(w)} dfghj klbcd fghjk"
+        k, _ = full_alignment(TEMPLATES[name], text)
+        got = index.scan(text, 0.8)
+        if k / m >= 0.8:
+            found += 1
+            assert got and got[0][2] >= min(k, math.ceil(0.8 * m)), " ".join(w)
+    assert found > 0
+
+
+def test_gram_and_window():
+    assert gram_and_window(5, 0.8) == (2, 1) and gram_and_window(8, 0.8) == (3, 1) and gram_and_window(3, 0.8) == (1, 1)
+    assert gram_and_window(100, 0.8) == (3, 2) and gram_and_window(100, 0.95) == (3, 3) and gram_and_window(1, 0.8) == (1, 1)
+
+
+def test_whole_texts_and_families():
+    index = TemplateIndex(TEMPLATES)
+    for name, others in (("mit-whole", {"mit"}), ("isc-whole", {"isc"}), ("bsd-2-clause", {"bsd"}), ("zlib", set()), ("lgpl", set()),
+                         ("agpl", set()), ("gpl", set()), ("epl-2.0", set())):
+        got = {g[0] for g in index.scan(f"bcdfg hjklb {TEMPLATES[name]} dfghj", 0.8)}
+        assert name in got and got - {name} <= others, (name, got)
+
+
 def test_sibling_is_not_reported():
     index = TemplateIndex(TEMPLATES)
     assert [g[0] for g in index.scan("x Licensed under CC BY-NC 4.0. y", 0.8)] == ["cc-by-nc-4.0-notice"]
