@@ -11,11 +11,12 @@ probability ``confidence``, nothing nearer is expected and the search stops.
 On Spark: identical vectors are first reduced to one entry with its smallest
 ids (more than k of them can never be listed), so no block is filled by a
 repeated vector.  The top of the kd-tree is fitted on a bounded sample and
-deals *every* vector to a block of some thousand rows; each block is searched
-by a kd-tree of its own.  A query searches the block it lies in, and then only
-those other blocks whose projected cell its test still admits.  No task holds
-more than a block and the queries that reach it; a stated query set against
-all rows, in blocks.
+deals *every* vector to a block of some thousand rows; a block that grows beyond
+twice that (the sample bounds the number of blocks) is dealt out in parts, and
+each part is searched by a kd-tree of its own.  A query searches the block it lies
+in, and then only those other blocks whose projected cell its test still admits.
+A task holds one part of a block and at most ``QUERIES`` of the queries that
+reach it; a stated query set against all rows, in blocks.
 
 Defined results: vectors that are null, empty, zero, hold nulls or non-finite
 numbers, or have another length than ``dim`` (default: the commonest length,
@@ -41,8 +42,8 @@ from .common import hash_sample, map_arrow, pin, ship_package
 
 #: rows aimed at in a block, and in a leaf of its kd-tree
 BLOCK_ROWS, LEAF_ROWS = 8192, 128
-#: rows of the sample the top of the tree is fitted on, and its greatest depth
-SAMPLE_ROWS, MAX_DEPTH = 50_000, 16
+#: rows of the sample the top of the tree is fitted on; queries that a part of a block meets at a time
+SAMPLE_ROWS, QUERIES = 50_000, 512
 
 
 def chi_square_cdf(x: float, dims: int) -> float:
@@ -179,6 +180,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
             dims: int = 8, confidence: float = 0.999, seed: int = 7, dim: int | None = None) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest other rows found for
     every row where ``is_query`` (over the column ``_id``) holds."""
+    if dims < 2 or dims % 2:
+        raise ValueError("dims must be even: the stopping test uses the closed form of the chi-square law")
     spark = df.sparkSession
     ship_package(spark)
     rows = df.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_v"))
@@ -193,7 +196,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
                 .groupBy("_v").agg(F.sort_array(F.collect_list("_id")).alias("_ids")))
     count = kinds.count()
     matrix = projection(dim, dims, seed)
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, count) / BLOCK_ROWS))))
+    depth = max(0, math.ceil(math.log2(max(1, count) / BLOCK_ROWS)))
     sample = hash_sample(kinds, F.col("_ids")[0], SAMPLE_ROWS, seed).select("_v").toArrow() if depth else None
     pts = np.array(sample.column(0).to_pylist(), dtype=np.float64).reshape(-1, dim) @ matrix if depth else np.zeros((0, dims))
     cells = Cells(pts, depth, dims)
@@ -209,11 +212,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
                 yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], names=["_block", *b.schema.names])
 
     index = pin(map_arrow(kinds, place, "_block long, _v array<double>, _ids array<long>"))
+    parts = pin(index.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / (2 * BLOCK_ROWS)).cast("int").alias("_parts")))
+    dealt = index.join(parts, "_block").select("_block", F.pmod(F.xxhash64("_ids"), F.col("_parts")).cast("int").alias("_part"), "_v", "_ids")
     asked = pin(rows.filter(is_query).distinct())
     distinct = asked.groupBy("_v").agg(F.min("_id").alias("_q"))
     asked = asked.join(distinct, "_v").select("_id", "_q")
-    home = pin(map_arrow(distinct, place, "_block long, _v array<double>, _q long")
-               .withColumn("_bound", F.lit(float("inf"))))
+    home = map_arrow(distinct, place, "_block long, _v array<double>, _q long").withColumn("_bound", F.lit(float("inf")))
     found = "_q long, _v array<double>, _block long, _kth double, _dist array<double>, _near array<long>"
 
     def search(key, block: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
@@ -226,7 +230,17 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
         return pd.DataFrame(out, columns=["_q", "_v", "_block", "_kth", "_dist", "_near"])
 
     def by_block(queries: DataFrame) -> DataFrame:
-        return pin(index.groupBy("_block").cogroup(queries.groupBy("_block")).applyInPandas(search, found))
+        """Each query against every part of its block; the rows of a part are repeated
+        for each ``QUERIES`` queries."""
+        queries = pin(queries)
+        slices = queries.groupBy("_block").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("_slices"))
+        asking = queries.join(slices, "_block").join(parts, "_block").select(
+            "_block", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"),
+            F.pmod(F.xxhash64("_q"), F.col("_slices")).cast("int").alias("_slice"), "_q", "_v", "_bound")
+        there = dealt.join(slices, "_block").select(
+            "_block", "_part", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)).alias("_slice"), "_v", "_ids")
+        key = ["_block", "_part", "_slice"]
+        return pin(there.groupBy(*key).cogroup(asking.groupBy(*key)).applyInPandas(search, found))
 
     def onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each further block that the test still admits."""
@@ -244,7 +258,8 @@ def nearest(df: DataFrame, is_query: Column, k: int = 10, id_col: str = "vec_id"
 
     near = by_block(home)
     if len(cells.low) > 1:
-        far = by_block(map_arrow(near, onward, "_block long, _v array<double>, _q long, _bound double"))
+        known = near.groupBy("_q", "_v", "_block").agg(F.min("_kth").alias("_kth"))
+        far = by_block(map_arrow(known, onward, "_block long, _v array<double>, _q long, _bound double"))
         near = near.unionByName(far)
     pairs = near.select("_q", F.explode(F.arrays_zip("_dist", "_near")).alias("_p")).select(
         "_q", F.col("_p._dist").alias("_d"), F.col("_p._near").alias("_i"))

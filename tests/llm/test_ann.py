@@ -81,3 +81,21 @@ def test_few_and_none(spark):
 @pytest.mark.parametrize(("p", "dims", "x"), [(0.95, 2, 5.9915), (0.99, 8, 20.0902), (0.5, 4, 3.3567)])
 def test_chi_square(p, dims, x):
     assert abs(ann.chi_square_quantile(p, dims) - x) < 1e-3
+
+
+def test_blocks_in_parts_and_few_queries_at_a_time(spark, monkeypatch):
+    """Two cells only, so that blocks are dealt out in parts, and two queries a slice: the same neighbours."""
+    df = table(spark, "/root/testdata/sf0.01")
+    rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in df.collect()]
+    every = F.col("_id") % 20 == 0
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 40)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    monkeypatch.setattr(ann, "QUERIES", 2)
+    got, want = said(ann.nearest(df, every, confidence=0.99999)), brute(rows, every=20)
+    assert set(got) == set(want) and recall(got, want) >= 0.99
+
+
+@pytest.mark.parametrize("dims", [0, 1, 7])
+def test_odd_dimensions_are_refused(spark, dims):
+    with pytest.raises(ValueError):
+        ann.nearest(spark.createDataFrame([(0, [1.0])], "vec_id long, embedding array<double>"), F.col("_id") == 0, dims=dims)
