@@ -7,7 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,10 @@ def whole_text(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+#: folders of the pins made inside :func:`scratch`, innermost last
+_OPEN: list[list[str]] = []
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Write a (narrow) intermediate result as a table below the shared
     checkpoint folder and read it again: it is computed once, outlives the
@@ -35,9 +40,28 @@ def pin(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, "pin")
     df.write.parquet(path)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """What is pinned inside is deleted at the end: for work whose own result has been
+    pinned by then.  Paths taken off the list stay."""
+    _OPEN.append([])
+    try:
+        yield _OPEN[-1]
+    finally:
+        for path in _OPEN.pop():
+            delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """URI of a fresh folder below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")

@@ -63,3 +63,13 @@ def test_stages_on_odd_and_empty_tables(spark, which, request):
         assert which == "odd" or not rows
         if name != "bpe_encode_decode":
             assert out.columns == docs.columns
+
+
+def test_superseded_pins_are_deleted(spark):
+    import os
+    from martwright.session import checkpoint_dir
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    pins = lambda: {x for x in os.listdir(folder) if x.startswith("pin-")}
+    before = pins()
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    assert len(pins() - before) == 1 and out.count() > 0      # the last stage's input
