@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from martwright.llm import bpe, exact_dedup, mixing, queries, simhash, toxicity
-from martwright.llm.common import pin
+from martwright.llm.common import delete_folder, pin, scratch
 
 #: a trained stage has no SQL equivalent; tests hold the rows against a brute-force version
 ORACLE_SQL = None
@@ -53,8 +53,14 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each result is pinned in the shared folder."""
-    docs = queries.table(spark, sf_dir, "documents")
+    """All stages over the documents; each result is pinned in the shared folder, and
+    what its stage pinned on the way, and the result before it, deleted then."""
+    docs, before = queries.table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = pin(stage(spark, docs, sf_dir))
+        with scratch(spark) as made:
+            docs = pin(stage(spark, docs, sf_dir))
+            result = made.pop()
+        if before:
+            delete_folder(spark, before)
+        before = result
     return STAGES[-1][1](spark, docs, sf_dir)
