@@ -114,8 +114,8 @@ def k_nearest(df: DataFrame, is_query: Column, k: int, id_col: str, vector_col:
     ends = [f(F.element_at("_d", j + 1)).alias(f"{n}{j}") for j in range(len(pivots)) for n, f in (("l", F.min), ("h", F.max))]
     about = blocks.groupBy("_block").agg(*ends).orderBy("_block").collect()         # at most MAX_BLOCKS rows
     names = np.array([r["_block"] for r in about], dtype=np.int64)
-    low = np.array([[r[f"l{j}"] for j in range(len(pivots))] for r in about]).reshape(len(about), -1)
-    high = np.array([[r[f"h{j}"] for j in range(len(pivots))] for r in about]).reshape(len(about), -1)
+    low = np.array([[r[f"l{j}"] for j in range(len(pivots))] for r in about]).reshape(len(about), len(pivots))
+    high = np.array([[r[f"h{j}"] for j in range(len(pivots))] for r in about]).reshape(len(about), len(pivots))
     told = df.sparkSession.sparkContext.broadcast((names, low, high))
 
     state = cut_lineage(with_pivots.filter("_q").select("_id", "_v", "_d").dropDuplicates(["_id", "_v"])
