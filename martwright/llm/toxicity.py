@@ -78,7 +78,7 @@ ODDS = 4
 BEGIN, END = "\x02", "\x03"
 BEGINNINGS, INNER = (4, 5, 6, 7, 8, 9), (5, 6, 7, 8)
 #: distinct words remembered per Python worker; beyond it the memory starts anew
-REMEMBER = 300_000
+REMEMBER = 120_000
 #: documents read, and words mapped, at a time
 DOCS_AT_ONCE, WORDS_AT_ONCE = 128, 2_000
 #: digits and signs read as the letters they look like (fixed values)
@@ -95,7 +95,10 @@ def forms(token: str) -> list[str]:
     marks inside, with look-alikes as letters; long ones as windows."""
     t = token.strip(EDGE) or token[:1]
     out = [t]
-    if not t.isalpha():
+    if t.isalpha():
+        if len(t) <= WORD:
+            return out
+    else:
         plain = "".join(c for c in t if c.isalnum())
         if any(c.isalpha() for c in t):
             out += [plain, "".join(c for c in t.translate(LOOKALIKE) if c.isalpha())]
@@ -148,8 +151,15 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
     idx, keys, weights = np.concatenate(idx), np.concatenate(keys), np.concatenate(weights)
-    norm = np.sqrt(np.bincount(idx, weights ** 2, minlength=len(words)))
-    return idx, keys, weights / norm[idx]
+    return idx, keys, weights / lengths(words)[idx]
+
+
+def lengths(words: list[str]) -> np.ndarray:
+    """Lengths of the words' vectors of occurrences: they depend on the words' sizes alone."""
+    sizes = np.fromiter((min(len(w), WORD) + 2 for w in words), dtype=np.int64, count=len(words))
+    span = np.arange(LENGTH - 1, SPAN)
+    ways = np.array([math.comb(int(j) - 1, LENGTH - 2) * DECAY ** (2 * (j + 1)) for j in span])
+    return np.sqrt(np.maximum((np.maximum(np.arange(WORD + 3)[:, None] - span, 0) @ ways)[sizes], 1e-300))
 
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
@@ -237,10 +247,52 @@ class ToxicityModel:
                 left = np.delete(left, first)
         return self._hashed
 
+    def _direct(self) -> tuple[np.ndarray, int, np.ndarray] | None:
+        """The weights as one table addressed by the characters' numbers among those of
+        the landmarks; None for an alphabet of over 63."""
+        if "_table" not in self.__dict__:
+            self._table = None
+            letters = np.unique(np.concatenate([self.keys >> 16 * i & 0xFFFF for i in range(LENGTH)]))
+            letters = letters[letters > 0]
+            if len(letters) <= 63:
+                base = len(letters) + 1
+                number = np.zeros(1 << 16, np.int32)
+                number[letters] = np.arange(1, base)
+                at = sum(number[self.keys >> 16 * i & 0xFFFF].astype(np.int64) * base ** i for i in range(LENGTH))
+                weights = np.zeros(base ** LENGTH, np.float32)
+                weights[at] = self.weights
+                self._table = number, base, weights
+        return self._table
+
     def decide(self, words: list[str]) -> np.ndarray:
         """SVM decision of each word."""
         if not len(self.keys) or not words:
             return np.full(len(words), self.intercept)
+        if self._direct() is None:
+            return self._decide_hashed(words)
+        number, base, weights = self._direct()
+        found = np.zeros(len(words))
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            by_size.setdefault(min(len(w), WORD) + 2, []).append(i)
+        for size, members in by_size.items():
+            marked = [BEGIN + words[i][:WORD] + END for i in members]
+            codes = number[np.array(marked, dtype=f"U{size}").view(np.uint32).reshape(len(members), size).T & 0xFFFF]
+            shifted = [codes * np.int32(base ** i) for i in range(LENGTH)]          # by their place from the end of a subsequence
+            total = np.zeros(len(members))
+            for j in range(LENGTH - 1, min(SPAN, size)):
+                n, ends = size - j, shifted[-1][:size - j] + shifted[0][j:]
+                part = np.zeros((n, len(members)), np.float32)
+                for mid in itertools.combinations(range(1, j), LENGTH - 2):
+                    key = ends
+                    for k, i in enumerate(mid):
+                        key = key + shifted[LENGTH - 2 - k][i:i + n]
+                    part += weights[key]
+                total += part.sum(axis=0) * DECAY ** (j + 1)
+            found[members] = total
+        return found / lengths(words) + self.intercept
+
+    def _decide_hashed(self, words: list[str]) -> np.ndarray:
         idx, keys, w = subsequences(words)
         found = np.zeros(len(words))
         for mixer, bits, held, value in self._tables():
@@ -260,7 +312,7 @@ class ToxicityModel:
             memory.clear()
         new = set().union(*found) - memory.keys() if found else set()
         if new:
-            new = sorted(new)
+            new = list(new)
             many = [[t] if plain else forms(t) for t in new]
             flat = [f for m in many for f in m]
             d = np.concatenate([np.zeros(0), *(self.decide(flat[i:i + WORDS_AT_ONCE]) for i in range(0, len(flat), WORDS_AT_ONCE))])
@@ -268,14 +320,15 @@ class ToxicityModel:
             starts = ends - [len(m) for m in many]
             best = np.maximum.reduceat(d, starts) if len(d) else d
             memory.update(zip(new, best.tolist(), strict=True))
-        return [self._evidence({t: memory[t] for t in f}) for f in found]
+        return [self._evidence(list(f), [memory[t] for t in f]) for f in found]
 
-    def _evidence(self, by_token: dict[str, float]) -> tuple[list[float], str]:
+    def _evidence(self, names: list[str], values: list[float]) -> tuple[list[float], str]:
         """Evidence of a document: its worst and second worst decision, the number
         of tokens on the toxic side and clearly so, the number of all; and the worst."""
-        n = len(by_token)
-        top = max(by_token, key=lambda t: (by_token[t], t), default="")
-        d = np.fromiter(by_token.values(), dtype=float, count=n)
+        n = len(names)
+        worst = max(values, default=0.0)
+        top = max((t for t, v in zip(names, values, strict=True) if v == worst), default="")
+        d = np.array(values, dtype=float)
         two = np.sort(np.append(np.full(2, self.intercept), np.partition(d, n - 2)[n - 2:] if n > 2 else d))[::-1]
         return [two[0], two[1], math.log1p((d > 0).sum()), math.log1p((d > 0.7).sum()), math.log1p(n)], top
 
@@ -283,11 +336,18 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(evidence.reshape(-1, EVIDENCE) @ self.slopes + self.offset, -500, 500)))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, ``DOCS_AT_ONCE`` rows at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, DOCS_AT_ONCE):
+            yield b.slice(i, DOCS_AT_ONCE)
+
+
 def _window_counts(rows: DataFrame) -> DataFrame:
     """``word, pos, neg, spos, sneg``: labelled documents, and sentences of them, of
     each kind that hold the window."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches):
             words, label, held = [], [], []
             for t, y in zip(b.column("_text").to_pylist(), b.column("_y").to_pylist(), strict=True):
                 found = Counter(w for x in sentences(t) for w in windows(x))
@@ -433,8 +493,7 @@ def _spoilt_text(text: str, pure: set[str], rng: np.random.Generator) -> str | N
 
 def _pieces(batch: pa.RecordBatch, model: ToxicityModel, memory: dict[str, float], text=lambda b: b.column("_text")):
     """(rows, evidence, worst tokens) for some rows at a time."""
-    for i in range(0, batch.num_rows, DOCS_AT_ONCE):
-        part = batch.slice(i, DOCS_AT_ONCE)
+    for part in _few(iter([batch])):
         got = model.read(["" if t is None else str(t) for t in text(part).to_pylist()], memory)
         yield part, np.array([e for e, _ in got]), [t for _, t in got]
 
@@ -486,7 +545,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # toxic sentences that the model sees are represented by their worst window
         def represented(batches, model=model):
             memory: dict[str, float] = {}
-            for b in batches:
+            for b in _few(batches):
                 found = [x for t in b.column("_text").to_pylist() for x in sentences(t)]
                 got = [w for e, w in model.read(found, memory, plain=True) if e[0] > 0]
                 yield pa.RecordBatch.from_arrays([pa.array(got, pa.string())], names=["word"])

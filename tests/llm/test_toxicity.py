@@ -47,7 +47,10 @@ def test_collapsed_weights_equal_the_landmark_expansion(model):
     want = np.full(len(words), model.intercept)
     for i, k, v in zip(idx, keys.tolist(), values, strict=True):
         want[i] += table.get(k, 0.0) * v
-    assert np.allclose(d, want)
+    assert np.allclose(d, want, atol=1e-5)
+    more = ["", "a", "ab", "x" * 40, "\U0001F600é", "i-d-i-o-t", "ßüäö"]
+    assert model._direct() is not None
+    assert np.allclose(model.decide(words + more), model._decide_hashed(words + more), atol=1e-5)
 
 
 def test_held_out_rows(spark, model):
