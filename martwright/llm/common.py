@@ -3,13 +3,18 @@ intermediate results and files in the folder all executors share."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import platform
+import sys
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -95,9 +100,23 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, run: Callable, schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with this package at hand in the executors."""
+    """``mapInArrow`` with this package at hand in the executors; a task's memory is
+    given back at its end."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def released(batches):
+        yield from run(batches)
+        release_memory()
+    return df.mapInArrow(released, schema)
+
+
+def release_memory() -> None:
+    """Give what a finished task has freed back to the system: a Python worker lives on
+    for later stages, beside the tasks of the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and platform.libc_ver()[0] == "glibc":
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def row_key(id_col: str, text_col: str) -> list[Column]:
