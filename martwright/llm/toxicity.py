@@ -59,7 +59,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_sample, map_arrow, pin, whole_text
+from .common import hash_sample, map_arrow, pin, release_memory, whole_text
 
 #: weight of a character spanned, most characters spanned, characters of a subsequence
 DECAY, SPAN, LENGTH = 0.8, 8, 4
@@ -552,7 +552,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         stands = map_arrow(toxic, represented, "word string").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
         new = stands.join(counts.select("word", "sneg"), "word").collect()    # at most the sample's toxic sentences
         bad = dict(sorted((witness | {r.word: (r.n, r.sneg) for r in new if r.word in witness or not r.sneg}).items(), key=lambda x: (-x[1][0], x[0])))
+        release_memory()                    # of the last fit, on the driver
         model = _fit_words([g for g in good if g not in bad], hard, bad, heads, rng)
+    release_memory()
 
     pure = {w for w, (_, n) in bad.items() if not n and len(w) >= 4}
 
