@@ -8,9 +8,9 @@ last coefficients.  A *naive Bayes* step needs no fit at all: the class means an
 every feature come from one pass, and a model's log odds are a sum over its
 features.
 
-The AUCs of a step, of all candidates and both sets, are one further job: scores are cut into
-ranges by quantiles of a bounded sample, counted per score, and summed within
-their range; what crosses ranges is a few numbers each.  They are exact (ties
+The AUCs of a step, of all candidates and both sets, are one further job: scores are counted
+in each task, cut into ranges by quantiles of a bounded sample, sent as packed arrays, and summed
+within their range; what crosses ranges is a few numbers each.  They are exact (ties
 count half) wherever the ranges fall.
 
 What reaches the driver is bounded by the number of features and ranges: sums
@@ -23,13 +23,15 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
 #: rows of a block, rows of the sample that places score ranges, score ranges, parts merged by the driver
-BLOCK, SAMPLE, RANGES, MERGE = 4_096, 4_096, 256, 64
+BLOCK, SAMPLE, RANGES, MERGE = 4_096, 4_096, 64, 64
+#: rows whose scores a task counts together before they travel
+CHUNK = 65_536
 #: Newton steps at most; mean squared change of the scores (weighed by the curve's slope) at which
 #: a fit ends; ridge per row (against collinear columns)
 STEPS, CLOSE, RIDGE = 100, 1e-18, 1e-10
@@ -128,30 +130,71 @@ def fit_all(blocks: DataFrame, sets: list[list[int]], start: list[np.ndarray], m
     return coef
 
 
+def _counted(s: np.ndarray, pos: np.ndarray, neg: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct scores in order, with the sums of both counts (NaN is one score, the greatest)."""
+    order = np.argsort(s, kind="stable")
+    s = s[order]
+    first = np.flatnonzero(np.r_[True, (s[1:] != s[:-1]) & ~np.isnan(s[:-1])])
+    return s[first], np.add.reduceat(pos[order], first), np.add.reduceat(neg[order], first)
+
+
 def auc_all(blocks: DataFrame, score: Callable[[np.ndarray], np.ndarray], m: int, sample: np.ndarray) -> np.ndarray:
     """(m, 2): AUC on the training and the test rows of each of ``m`` scores (columns of
-    ``score(rows)``), NaN where a set has one class only; one job."""
+    ``score(rows)``), NaN where a set has one class only; one job.  Scores travel packed:
+    a row for the counted scores of some ``CHUNK`` rows in one range."""
     cuts = np.quantile(score(sample), np.linspace(0, 1, RANGES + 1)[1:-1], axis=0) if len(sample) else np.zeros((1, m))
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(scores: np.ndarray, y: np.ndarray, test: bool) -> pa.RecordBatch:
+        out = []
+        for g in range(m):
+            value, pos, neg = _counted(scores[:, g], y, 1 - y)
+            ends = np.r_[np.searchsorted(value, cuts[:, g], side="right"), len(value)]
+            start = 0
+            for part, end in enumerate(ends):
+                if end > start:
+                    out.append((g, test, part, *(v[start:end].tobytes() for v in (value, pos, neg))))
+                    start = end
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    names = ["g", "test", "part", "s", "pos", "neg"]
+    kinds = [pa.int32(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list] = {False: [], True: []}
         for b in batches:
-            for block in b.to_pylist():
-                rows = _rows(block)
-                s, y = score(rows), rows[:, -1]
-                for g in range(m):
-                    value, at = np.unique(s[:, g], return_inverse=True)
-                    k = len(value)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(k, g, np.int32)), pa.array([block["test"]] * k, pa.bool_()),
-                         pa.array(np.searchsorted(cuts[:, g], value).astype(np.int32)), pa.array(value),
-                         pa.array(np.bincount(at, y, minlength=k)), pa.array(np.bincount(at, 1 - y, minlength=k))],
-                        names=["g", "test", "part", "s", "pos", "neg"])
-
-    long = blocks.mapInArrow(counted, "g int, test boolean, part int, s double, pos double, neg double")
-    per = long.repartition("g", "test", "part").groupBy("g", "test", "part", "s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    below = F.sum("neg").over(Window.partitionBy("g", "test", "part").orderBy("s")) - F.col("neg")
-    got = per.withColumn("below", below).groupBy("g", "test", "part").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)).alias("in")).toArrow()
+            for i in range(b.num_rows):
+                block = {"n": b.column("n")[i].as_py(), "x": b.column("x")[i].as_buffer()}
+                test, rows = b.column("test")[i].as_py(), _rows(block)
+                held[test].append((score(rows), rows[:, -1].copy()))
+                if sum(len(y) for _, y in held[test]) >= CHUNK:
+                    yield packed(*(np.concatenate(v) for v in zip(*held[test], strict=True)), test)
+                    held[test] = []
+        for test, left in held.items():
+            if sum(len(y) for _, y in left):
+                yield packed(*(np.concatenate(v) for v in zip(*left, strict=True)), test)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of their range: the sums of each."""
+        def done(parts: list) -> tuple:
+            _, pos, neg = _counted(*(np.concatenate([np.frombuffer(p[j]) for p in parts]) for j in range(3)))
+            return pos.sum(), neg.sum(), (pos * (np.cumsum(neg) - neg / 2)).sum()
+        at, parts, out = None, [], []
+        for b in batches:
+            for g, test, part, *arrays in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if at is not None and at != (g, test, part):
+                    out.append((*at, *done(parts)))
+                    parts = []
+                at = (g, test, part)
+                parts.append(arrays)
+        if parts:
+            out.append((*at, *done(parts)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [*kinds[:3], *[pa.float64()] * 3], strict=True)],
+                                             names=["g", "test", "part", "pos", "neg", "in"])
+
+    key = ["g", "test", "part"]
+    long = blocks.mapInArrow(cut, "g int, test boolean, part int, s binary, pos binary, neg binary")
+    got = long.repartition(*key).sortWithinPartitions(*key).mapInArrow(
+        summed, "g int, test boolean, part int, pos double, neg double, in double").toArrow()
     out = np.full((m, 2), np.nan)
     t = {c: got.column(c).to_numpy() for c in ("g", "test", "part", "pos", "neg", "in")}
     for g in range(m):
@@ -237,15 +280,16 @@ def stepwise_naive_bayes(train: DataFrame, test: DataFrame, candidates: Sequence
     odds = float(np.log(n[1, 0] / n[0, 0]))
 
     def aucs(chosen: list[int], rest: list[int]) -> np.ndarray:
+        added = {c: max(smoothing * overall[[*chosen, c]].max(), 1e-300) for c in rest}
+
         def score(rows: np.ndarray) -> np.ndarray:
-            out = []
-            for c in rest:
-                cols = [*chosen, c]
-                x = rows[:, cols]
-                v = var[:, cols] + max(smoothing * overall[cols].max(), 1e-300)
-                side = [-0.5 * (np.log(v[k]) + (x - mean[k, cols]) ** 2 / v[k]).sum(axis=1) for k in (0, 1)]
-                out.append(odds + side[1] - side[0])
-            return np.round(np.column_stack(out), 9)
+            def side(k: int, cols: list[int], extra: float) -> np.ndarray:
+                v = var[k, cols] + extra
+                return -0.5 * (np.log(v) + (rows[:, cols] - mean[k, cols]) ** 2 / v).sum(axis=1)
+            # the chosen features' part once for each smoothing, not for each candidate
+            part = {e: [side(k, chosen, e) for k in (0, 1)] for e in set(added.values())}
+            return np.round(np.column_stack([
+                odds + (part[e][1] + side(1, [c], e)) - (part[e][0] + side(0, [c], e)) for c, e in added.items()]), 9)
         return auc_all(blocks, score, len(rest), sample)
 
     return _select(train.sparkSession, candidates, min(max_steps or len(candidates), len(candidates)), aucs)

@@ -66,6 +66,23 @@ def test_auc_equals_the_sorted_one(spark, monkeypatch, ranges):
         assert np.allclose(got[g], [want["train"], want["test"]], atol=1e-12)
 
 
+@pytest.mark.parametrize("chunk", [1, 200])
+def test_auc_counts_scores_across_chunks(spark, monkeypatch, chunk):
+    """Scores counted a few rows at a time, ties, signed zeros and NaN among them, give the sorted AUC."""
+    import numpy as np
+    monkeypatch.setattr(ST, "CHUNK", chunk)
+    monkeypatch.setattr(ST, "RANGES", 5)
+    rnd = random.Random(8)
+    rows = [(i, i % 3 % 2, rnd.choice([-1.5, -0.0, 0.0, 2.0, 1e-300, float("nan")]), rnd.gauss(0, 1)) for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, label int, a double, b double").repartition(9)
+    df = df.withColumn("set", F.when(F.col("id") < 500, "train").otherwise("test"))
+    blocks, sample, *_ = ST._prepared(df.where("set = 'train'"), df.where("set = 'test'"), ["a", "b"], "label")
+    got = ST.auc_all(blocks, lambda rows: rows[:, :2], 2, sample)
+    for g, c in enumerate(("a", "b")):
+        want = {r["set"]: r.auc for r in auc_by(df, "label", c, "set").collect()}
+        assert np.allclose(got[g], [want["train"], want["test"]], atol=1e-12)
+
+
 def test_one_class_empty_and_separable(spark):
     df = _rows(spark)
     one = ST.stepwise_logistic(df.where("id < 300"), df.where("id >= 300 AND label = 1"), ["c", "a"]).collect()
