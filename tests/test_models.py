@@ -71,6 +71,23 @@ def test_cross_validation_covers_the_grid(spark):
     assert T.model_auc(best, df) > 0.75
 
 
+@pytest.mark.parametrize(("name", "grid"), [("dt", {"maxDepth": [1, 3]}), ("rf", {"numTrees": [3, 5]}), ("lr", {"regParam": [0.0, 5.0]})])
+def test_cross_validation_equals_sparks_and_fits_read_two_columns(spark, monkeypatch, name, grid):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    df = T.assembled(_separable(spark, 300), ["x1", "x2"])
+    est = T.make_classifier(name, 2)
+    (param, values), = grid.items()
+    want = CrossValidator(estimator=est, estimatorParamMaps=ParamGridBuilder().addGrid(est.getParam(param), values).build(),
+                          evaluator=BinaryClassificationEvaluator(), numFolds=3, seed=1).fit(df)
+    seen, real = [], type(est).fit
+    monkeypatch.setattr(type(est), "fit", lambda self, data, params=None: seen.append(data.columns) or real(self, data, params))
+    best, table = T.cross_validate(df, name, grid, folds=3, parallelism=4)
+    assert [r.avg_auc for r in table.collect()] == pytest.approx(want.avgMetrics, abs=1e-12)
+    assert T.model_auc(best, df) == pytest.approx(T.model_auc(want.bestModel, df), abs=1e-12)
+    assert len(seen) == 7 and all(set(c) <= {"features", "label", "_at"} for c in seen)
+
+
 def test_scores_are_ordered_with_ties_by_key(spark):
     df = T.assembled(spark.createDataFrame([(i, i % 2, float(i % 4)) for i in range(40)], "id int, label int, x double"), ["x"])
     got = [(r.p_positive, r.id) for r in T.score(T.make_classifier("dt", 1, maxDepth=2).fit(df), df, "id").collect()]
