@@ -37,9 +37,9 @@ ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: contractions the pre-splitting pattern names (fixed values)
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
 #: distinct fragments remembered per Python worker; beyond it the memory starts anew
-REMEMBER = 400_000
+REMEMBER = 200_000
 #: output is handed back once a batch holds this many text and id bytes
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from martwright.llm import queries
-from martwright.llm.bpe import ForcedBoundaryCodec, decode_documents, encode_documents
+from martwright.llm.bpe import ForcedBoundaryCodec, decode_documents, encode_documents, slices
 
 PATH = queries.tokenizer()
 
@@ -76,3 +76,12 @@ def test_decode_alone(spark, tok):
     got = {r.doc_id: r.decoded for r in decode_documents(df, PATH).collect()}
     assert got == {1: tok.decode([464, 2068], skip_special_tokens=False), 2: "", 3: "",
                    4: tok.decode([140], skip_special_tokens=False)}
+
+
+def test_a_task_holds_about_a_megabyte_of_text_at_a_time():
+    import pyarrow as pa
+    texts = ["a" * 400_000] * 5 + ["b" * 3_000_000, "", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"])
+    parts = [p.column("t").to_pylist() for p in slices(batch, "t")]
+    assert [t for p in parts for t in p] == texts
+    assert all(sum(len(t or "") for t in p) <= 2 << 20 or len(p) == 1 for p in parts) and len(parts) >= 3
