@@ -24,9 +24,11 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,11 @@ from .common import map_arrow, whole_text
 ODD_SPACE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: contractions the pre-splitting pattern names (fixed values)
 CONTRACTIONS = ["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"]
-#: distinct fragments remembered per Python worker; beyond it the memory starts anew
-REMEMBER = 200_000
+#: distinct fragments remembered per Python worker, in two halves: when the newer is full,
+#: the older is given up, so that what keeps coming back stays
+REMEMBER = 500_000
+#: new fragments handed to the library as one text, with a special token between them
+TOGETHER = 200
 #: output is handed back once a batch holds this many text and id bytes
 FLUSH_BYTES = 1 << 20
 
@@ -87,7 +92,8 @@ class ForcedBoundaryCodec:
         narrow = self.cut.reshape(256, 256).copy()
         narrow[0x80:] = False
         self.cut_ascii = narrow.ravel()
-        self.known: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = dict(self.special)
+        self.before: dict[bytes, bytes] = {}
 
     @staticmethod
     def _cuts(inside: np.ndarray) -> np.ndarray:
@@ -111,9 +117,9 @@ class ForcedBoundaryCodec:
         if len(data) < 2:
             return [data] if data else []
         cut = self.cut if text.isascii() or not ODD_SPACE.search(text) else self.cut_ascii
-        if self.find_special is not None and (parts := self.find_special.split(data))[1:]:
+        if any(s in data for s in self.special):
             out = []
-            for p in parts:
+            for p in self.find_special.split(data):
                 out += [p] if p in self.special or len(p) < 2 else self._pieces(p, cut)
             return [p for p in out if p]
         return self._pieces(data, cut)
@@ -124,24 +130,48 @@ class ForcedBoundaryCodec:
         pair = a[:-1].astype(np.uint16)
         pair <<= 8
         pair |= a[1:]
-        at = (np.flatnonzero(cut[pair]) + 1).tolist()
-        return [data[i:j] for i, j in zip([0, *at], [*at, len(data)], strict=True)]
+        at = np.flatnonzero(cut[pair])
+        marked = np.empty(len(a) + len(at), dtype=np.uint8)
+        at += np.arange(1, len(at) + 1)
+        kept = np.ones(len(marked), dtype=bool)
+        kept[at] = False
+        marked[kept] = a
+        marked[at] = 0xFF                  # a byte that UTF-8 never holds
+        return marked.tobytes().split(b"\xff")
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text (uint32)."""
         cut = [self.fragments(t) for t in texts]
-        new = set().union(*cut) if cut else set()
-        if len(self.known) > REMEMBER:
-            self.known = dict(self.special)
-        elif not self.known:
-            self.known.update(self.special)
-        new -= self.known.keys()
-        if new:
-            todo = list(new)
-            got = self.tok.encode_batch_fast([f.decode("utf-8", "surrogatepass") for f in todo], add_special_tokens=False)
-            self.known.update((f, np.array(e.ids, dtype=np.uint32).tobytes()) for f, e in zip(todo, got, strict=True))
+        if 2 * len(self.known) > REMEMBER:
+            self.known, self.before = dict(self.special), self.known
         known = self.known
-        return [np.frombuffer(b"".join([known[f] for f in c]), dtype=np.uint32) for c in cut]
+        every = list(chain.from_iterable(cut))
+        ids = list(map(known.get, every))
+        if gaps := [i for i, x in enumerate(ids) if x is None]:
+            new = {every[i] for i in gaps}
+            again = {f: x for f in new if (x := self.before.get(f)) is not None}
+            known.update(again)
+            todo = list(new.difference(again))
+            for i in range(0, len(todo), TOGETHER):
+                known.update(zip(todo[i:i + TOGETHER], self._encode_each(todo[i:i + TOGETHER]), strict=True))
+            for i in gaps:
+                ids[i] = known[every[i]]
+        ends = list(accumulate(map(len, cut), initial=0))
+        return [np.frombuffer(b"".join(ids[i:j]), dtype=np.uint32) for i, j in pairwise(ends)]
+
+    def _encode_each(self, fragments: list[bytes]) -> list[bytes]:
+        """Ids of each fragment by the library.  The library takes special tokens out
+        first and what stands between them by itself, so one text of all the
+        fragments, none of which holds a special token, gives the ids of each."""
+        texts = [f.decode("utf-8", "surrogatepass") for f in fragments]
+        if self.special:
+            mark, number = next(iter(self.special.items()))
+            ids = np.array(self.tok.encode_batch_fast([mark.decode().join(texts)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+            at = np.flatnonzero(ids == np.frombuffer(number, dtype=np.uint32)[0]).tolist()
+            if len(at) == len(texts) - 1:  # else a fragment's end and the mark made up another special token
+                data = ids.tobytes()
+                return [data[4 * i + 4:4 * j] for i, j in zip([-1, *at], [*at, len(ids)], strict=True)]
+        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def decode(self, ids) -> str:
         table = self.bytes
@@ -156,8 +186,7 @@ def codec(path: str) -> ForcedBoundaryCodec:
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of a few MB of text (a single longer text: alone)."""
-    lengths = np.array([0 if x is None else len(x) for x in batch.column(column).to_pylist()], dtype=np.int64) \
-        if batch.num_rows else np.zeros(0, dtype=np.int64)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = np.cumsum(lengths + 64) // FLUSH_BYTES
     start = 0
     for end in [*(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]:

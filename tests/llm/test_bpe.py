@@ -86,3 +86,45 @@ def test_a_task_holds_about_a_megabyte_of_text_at_a_time():
     assert [t for p in parts for t in p] == texts
     lengths = [[len(t or "") for t in p] for p in parts]
     assert all(sum(n) - max(n) <= 1 << 20 for n in lengths)     # beyond that, one longer text
+
+
+class Counting:
+    """The library's tokenizer, with the texts it was given."""
+
+    def __init__(self, tok):
+        self.tok, self.given = tok, []
+
+    def encode_batch_fast(self, texts, add_special_tokens):
+        self.given += texts
+        return self.tok.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+
+def test_what_keeps_coming_back_is_encoded_once(tok, monkeypatch):
+    from martwright.llm import bpe
+    monkeypatch.setattr(bpe, "REMEMBER", 60)
+    codec = ForcedBoundaryCodec(PATH)
+    codec.tok = Counting(codec.tok)
+    for i in range(40):
+        text = "common commonly " + " ".join(f"x{i}y{j}" for j in range(10)) + "<|endoftext|>"
+        assert codec.encode_all([text, ""])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert len(codec.known) + len(codec.before) <= 120
+    assert sum(t.count(" commonly") for t in codec.tok.given) == 1      # the memory was renewed several times
+
+
+def test_fragments_together_are_encoded_as_each_alone(tok, codec):
+    parts = [b" the", b"  ", b"\n\n", b"'", b"s", " é中".encode(), b"<|endof", b"text|>", b"\x00", b" <|", b"|>", b"<"]
+    want = [tok.encode(p.decode(), add_special_tokens=False).ids for p in parts]
+    assert [list(memoryview(x).cast("I")) for x in codec._encode_each(parts)] == want
+    assert [list(memoryview(x).cast("I")) for x in codec._encode_each(parts[:1])] == want[:1]
+
+
+def test_another_special_token_over_the_mark(tmp_path):
+    import json
+    with open(PATH, encoding="utf-8") as f:
+        conf = json.load(f)
+    more = dict(conf["added_tokens"][0], id=conf["added_tokens"][0]["id"] + 1, content="a<|endoftext|>")
+    conf["added_tokens"].append(more)
+    (path := tmp_path / "two.json").write_text(json.dumps(conf), encoding="utf-8")
+    tok, codec = Tokenizer.from_file(str(path)), ForcedBoundaryCodec(str(path))
+    for text in ("a banana a<|endoftext|> b", "panda sofa\n"):
+        assert codec.encode_all([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
