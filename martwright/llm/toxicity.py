@@ -81,6 +81,8 @@ BEGINNINGS, INNER = (4, 5, 6, 7, 8, 9), (5, 6, 7, 8)
 REMEMBER = 120_000
 #: documents read, and words mapped, at a time
 DOCS_AT_ONCE, WORDS_AT_ONCE = 128, 2_000
+#: pairs of equal subsequences that the kernel looks at, at a time
+PAIRS_AT_ONCE = 1 << 18
 #: digits and signs read as the letters they look like (fixed values)
 LOOKALIKE = str.maketrans("013457@$!", "oieastasi")
 EDGE = " \t\n\r\f\v.,;:!?\"'()[]{}<>«»„“”‘’*#$%&|/\\-_=+~^`…–—"
@@ -164,34 +166,47 @@ def lengths(words: list[str]) -> np.ndarray:
 
 def kernel(a: list[str], b: list[str]) -> np.ndarray:
     """Kernel values of all words of ``a`` with all of ``b`` (a bounded list)."""
+    out = np.zeros((len(a), len(b)))
+    for at, part in kernel_parts(a, b):
+        out[at:at + len(part)] = part
+    return out
+
+
+def kernel_parts(a: list[str], b: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """The rows of :func:`kernel`, some at a time, with the number of the first."""
     bi, bk, bw = subsequences(b)
     order = np.argsort(bk, kind="stable")
     bi, bk, bw = bi[order], bk[order], bw[order]
-    parts = []
     for at in range(0, len(a), 500):
         some = a[at:at + 500]
         ai, ak, aw = subsequences(some)
         lo = np.searchsorted(bk, ak, "left")
         n = np.searchsorted(bk, ak, "right") - lo
-        hit = np.flatnonzero(n)
-        rep = np.repeat(hit, n[hit])
-        other = np.repeat(lo[hit], n[hit]) + np.arange(len(rep)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
-        parts.append(np.bincount(ai[rep] * len(b) + bi[other], aw[rep] * bw[other], minlength=len(some) * len(b)).reshape(len(some), len(b)))
-    return np.concatenate(parts) if parts else np.zeros((0, len(b)))
-
-
-def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Weights (last: intercept) of a linear SVM with squared hinge loss, by Newton steps."""
+        part = np.zeros(len(some) * len(b))
+        full = np.flatnonzero(n)
+        for hit in np.split(full, np.flatnonzero(np.diff(np.cumsum(n[full]) // PAIRS_AT_ONCE)) + 1):
+            rep = np.repeat(hit, n[hit])
+            other = np.repeat(lo[hit], n[hit]) + np.arange(len(rep)) - np.repeat(np.cumsum(n[hit]) - n[hit], n[hit])
+            part += np.bincount(ai[rep] * len(b) + bi[other], aw[rep] * bw[other], minlength=len(part))
+        yield at, part.reshape(len(some), len(b))
+
+
+def squared_hinge(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 1.0, rounds: int = 30,
+                  rows: np.ndarray | None = None) -> np.ndarray:
+    """Weights (last: intercept) of a linear SVM with squared hinge loss, by Newton steps.
+    ``rows``: the row of ``x`` of each instance, where one stands for several (default: each its own)."""
+    rows = np.arange(len(x)) if rows is None else rows
     w = np.zeros(x.shape[1] + 1)
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-4
     for _ in range(rounds):
-        gap = 1 - y * (x @ w[:-1] + w[-1])
+        gap = 1 - y * ((x @ w[:-1])[rows] + w[-1])
         on = np.flatnonzero(gap > 0)
         grad, bend = ridge @ w, ridge.copy()
-        for i in range(0, len(on), 4096):
-            at = on[i:i + 4096]
-            xo, so = np.hstack([x[at], np.ones((len(at), 1))]), 2 * c * weight[at]
+        for i in range(0, len(on), 2048):
+            at = on[i:i + 2048]
+            xo, so = np.ones((len(at), len(w))), 2 * c * weight[at]
+            xo[:, :-1] = x[rows[at]]
             grad -= xo.T @ (so * y[at] * gap[at])
             bend += (xo * so[:, None]).T @ xo
         step = np.linalg.solve(bend, grad)
@@ -467,14 +482,17 @@ def _fit_words(good: list[str], hard: list[str], bad: dict[str, tuple[int, int]]
     values, vectors = np.linalg.eigh((mm + mm.T) / 2)
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    x = np.vstack([kernel(some, landmarks) @ root for some in (list(bad), spoiled, good)])
+    words = [*bad, *spoiled, *good]
+    x = np.empty((len(words), root.shape[1]))          # the fit's one large array: neither it nor the kernel values are held twice
+    for i, part in kernel_parts(words, landmarks):
+        x[i:i + len(part)] = part @ root
     n, m = len(bad), len(spoiled)
     at = np.r_[np.arange(n), np.arange(len(x))]                  # a witness stands on either side
     pos, neg = np.array(list(bad.values()), dtype=float).T
     extra = np.array([bad[w][0] / SPOILT for w, _ in copies])
     weight = np.concatenate([pos, neg, extra, np.full(len(good), (pos.sum() + extra.sum()) / len(good))])
     side = np.r_[np.ones(n), -np.ones(n), np.ones(m), -np.ones(len(good))]
-    w = squared_hinge(x[at], side, weight / weight.sum(), c=2e4)
+    w = squared_hinge(x, side, weight / weight.sum(), c=2e4, rows=at)
     alpha = root @ w[:-1]
     idx, keys, values = subsequences(landmarks)
     known, inverse = np.unique(keys, return_inverse=True)

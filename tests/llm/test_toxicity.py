@@ -172,3 +172,39 @@ def test_labels_of_any_balance_are_learnt(spark, toxic, clean, wordier):
     got = toxicity.score(docs, m).join(labels, "doc_id").filter(toxicity.held_out()).collect()
     assert len({round(r.score, 9) for r in got}) > 1
     assert sum(r.predicted != r.toxic for r in got) <= 0.05 * len(got)
+
+
+def test_the_fit_holds_its_matrix_once():
+    import tracemalloc
+
+    from martwright.llm import toxicity
+    rng = np.random.default_rng(5)
+    words = ["".join(map(chr, rng.integers(97, 123, 9))) for _ in range(15_000)]
+    bad, good = {w: (3, 0) for w in words[:40]}, words[40:]
+    sizes = []
+    given = toxicity.squared_hinge
+    try:
+        toxicity.squared_hinge = lambda x, *more, **named: sizes.append(x.nbytes) or given(x, *more, **named)
+        tracemalloc.start()
+        model = toxicity._fit_words(good, good[:8_000], bad, words[:5], np.random.default_rng(1))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+        toxicity.squared_hinge = given
+    assert (model.decide(words[:40]) > model.decide(good[:40])).all()
+    assert peak < sizes[0] + (48 << 20), (peak, sizes)       # beside it, only pieces
+
+
+def test_instances_that_share_a_row():
+    rng = np.random.default_rng(2)
+    x, rows = rng.normal(size=(50, 4)), rng.integers(0, 50, 5000)
+    y, weight = np.where(rng.random(5000) < 0.5, 1.0, -1.0), rng.random(5000)
+    assert np.allclose(squared_hinge(x, y, weight, rows=rows), squared_hinge(x[rows], y, weight))
+
+
+def test_kernel_in_pieces(monkeypatch):
+    from martwright.llm import toxicity
+    words = ["idiot", "idxiot", "stuff", "stupid", "", "a", "moron"] * 90
+    whole = kernel(words, words[:7])
+    monkeypatch.setattr(toxicity, "PAIRS_AT_ONCE", 5)
+    assert np.allclose(kernel(words, words[:7]), whole) and whole.shape == (630, 7)
