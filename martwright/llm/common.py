@@ -178,9 +178,10 @@ def told_apart(yes: DataFrame, no: DataFrame, key: Column, levels: int = 12) ->
     a, b = yes, no
     for level in range(levels):
         here = F.xxhash64(F.col("_h"), F.lit(level))
-        bits = key_bitmap(a.select(here.alias("_k")), "_k", per_row=16)
-        maps.append(in_bitmap(bits, F.xxhash64(key, F.lit(level))))
-        a, b = pin(b.filter(in_bitmap(bits, here))), a
+        made = key_bitmap(a.select(here.alias("_k")), "_k", per_row=16)
+        held, bits = bitmap_table(yes.sparkSession, made), len(made) * 8
+        maps.append(in_bitmap(held, bits, F.xxhash64(key, F.lit(level))))
+        a, b = pin(b.filter(in_bitmap(held, bits, here))), a
         if a.isEmpty():
             break
     last = len(maps) % 2 == 1          # hits all: of the table that the last bitmap holds
@@ -208,10 +209,18 @@ def key_bitmap(keys: DataFrame, col: str, most: int = 1 << 24, per_row: int = 8)
     return bytes(out)
 
 
-def in_bitmap(bitmap: bytes, key: Column) -> Column:
-    """Whether the hash's bit is set: true for every key of the bitmap, and for a few others."""
-    slot = F.pmod(key, F.lit(len(bitmap) * 8))
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+def bitmap_table(spark: SparkSession, bitmap: bytes) -> Column:
+    """The bitmap as a value of queries, read by a scalar subquery from a table of one row:
+    a literal would be written out, in hexadecimal digits, wherever the driver keeps or
+    reports a plan that holds it, once for each of its operators."""
+    return spark.createDataFrame(pa.table({"_bits": pa.array([bitmap], pa.binary())})).scalar()
+
+
+def in_bitmap(bitmap: Column, bits: int, key: Column) -> Column:
+    """Whether the hash's bit is set in the bitmap (of so many bits, see :func:`bitmap_table`):
+    true for every key of the bitmap, and for a few others."""
+    slot = F.pmod(key, F.lit(bits))
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))) != 0
 
 

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, keep_rows, pin, row_key, whole_text
+from .common import ascii_lower, bitmap_table, in_bitmap, keep_rows, pin, row_key, whole_text
 
 
 def _bitmap(counted: DataFrame, key: Column, bits: int) -> bytes:
@@ -42,13 +42,6 @@ def _bitmap(counted: DataFrame, key: Column, bits: int) -> bytes:
     return bytes(out)
 
 
-def _in_bitmap(bitmap: bytes, key: Column, bits: int) -> Column:
-    slot = F.pmod(key, F.lit(bits))
-    at = (F.floor(slot / 8) + 1).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(bitmap), at, F.lit(1))), 16, 10).cast("int")
-    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (slot % 8).cast("int"))) != 0
-
-
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 prefix_chars: int = 256, bits: int = 1 << 21,
                 digest_all: bool = False) -> DataFrame:
@@ -61,16 +54,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     src = df.select(F.col(id_col).alias("_id"), text.alias("_text"))
     length = F.octet_length("_text")
     by_length = F.xxhash64(length)
-    lengths = _bitmap(src.groupBy(length.alias("len")).agg(F.count(F.lit(1)).alias("n")),
-                      F.xxhash64("len"), bits)
+    lengths = bitmap_table(df.sparkSession, _bitmap(src.groupBy(length.alias("len")).agg(F.count(F.lit(1)).alias("n")),
+                                                    F.xxhash64("len"), bits))
 
     head = ascii_lower(F.substring("_text", 1, prefix_chars))
     by_prefix = F.xxhash64(length, head)
-    prefixes = _bitmap(src.filter(_in_bitmap(lengths, by_length, bits))
-                       .groupBy(by_prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")),
-                       F.col("p"), bits)
+    prefixes = bitmap_table(df.sparkSession, _bitmap(src.filter(in_bitmap(lengths, bits, by_length))
+                                                     .groupBy(by_prefix.alias("p")).agg(F.count(F.lit(1)).alias("n")),
+                                                     F.col("p"), bits))
 
-    survives = _in_bitmap(lengths, by_length, bits) & _in_bitmap(prefixes, by_prefix, bits)
+    survives = in_bitmap(lengths, bits, by_length) & in_bitmap(prefixes, bits, by_prefix)
     digest = F.sha2(ascii_lower(F.col("_text")), 256)
     rows = pin(src.select("_id", F.monotonically_increasing_id().alias("_row"),
                           survives.alias("_open"),

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_bitmap, key_bitmap, map_arrow, pin, row_key, whole_text
+from .common import bitmap_table, in_bitmap, key_bitmap, map_arrow, pin, row_key, whole_text
 
 #: white space taken off the ends of a line
 BLANKS = " \t\n\x0b\x0c\r"
@@ -180,7 +180,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rest = [c for c in df.columns if c != text_col]
     lost = pin(repeated_lines(df, id_col, text_col, min_chars, min_documents, max_bits)
                .groupBy("_id", "_th").agg(F.collect_list("_line").alias("_lost")))
-    hit = in_bitmap(key_bitmap(lost.select("_th"), "_th"), F.col("_h"))
+    made = key_bitmap(lost.select("_th"), "_th")
+    hit = in_bitmap(bitmap_table(df.sparkSession, made), len(made) * 8, F.col("_h"))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("_r"), whole_text(text_col).alias("_t"),
                      *[c.alias(n) for c, n in zip(row_key(id_col, text_col), ("_i", "_h"), strict=True)])
     whole = rows.filter(~hit).select(

@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from martwright.llm import queries
 from martwright.llm.exact_dedup import drop_copies, exact_dedup
@@ -52,3 +53,13 @@ def test_large_group(spark):
     rows = exact_dedup(df).collect()
     hot = [r for r in rows if r.doc_id % 3 == 0]
     assert {(r.keep_id, r.group_size) for r in hot} == {(2997, 1000)} and sum(r.kept for r in hot) == 1
+
+
+def test_bitmaps_are_not_written_out_in_plans(documents):
+    digits = re.compile(r"[0-9A-Fa-f]{1000}")
+    for df in (exact_dedup(documents), drop_copies(documents)):
+        df.collect()
+        assert not digits.search(df._jdf.queryExecution().toString())
+    store = documents.sparkSession._jsparkSession.sharedState().statusStore()
+    last = store.executionsList(max(0, store.executionsCount() - 15), 15)
+    assert not any(digits.search(last.apply(i).physicalPlanDescription()) for i in range(last.size()))
