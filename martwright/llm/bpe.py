@@ -24,7 +24,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate, chain, pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -114,50 +114,60 @@ class ForcedBoundaryCodec:
     def fragments(self, text: str) -> list[bytes]:
         """The text in UTF-8, cut at every certain boundary."""
         data = text.encode("utf-8", "surrogatepass")
-        if len(data) < 2:
-            return [data] if data else []
+        return [data[i:j] for i, j in pairwise([0, *self._ends(text, data).tolist()])]
+
+    def _ends(self, text: str, data: bytes) -> np.ndarray:
+        """Where the text's fragments end in ``data``, the text in UTF-8."""
         cut = self.cut if text.isascii() or not ODD_SPACE.search(text) else self.cut_ascii
         if any(s in data for s in self.special):
             out = []
             for p in self.find_special.split(data):
-                out += [p] if p in self.special or len(p) < 2 else self._pieces(p, cut)
-            return [p for p in out if p]
-        return self._pieces(data, cut)
+                if p:
+                    out.append((out[-1][-1] if out else 0) + self._piece_ends(p, None if p in self.special else cut))
+            return np.concatenate(out)
+        return self._piece_ends(data, cut)
 
     @staticmethod
-    def _pieces(data: bytes, cut: np.ndarray) -> list[bytes]:
+    def _piece_ends(data: bytes, cut: np.ndarray | None) -> np.ndarray:
+        if len(data) < 2 or cut is None:
+            return np.array([len(data)] if data else [], dtype=np.int64)
         a = np.frombuffer(data, dtype=np.uint8)
         pair = a[:-1].astype(np.uint16)
         pair <<= 8
         pair |= a[1:]
-        at = np.flatnonzero(cut[pair])
-        marked = np.empty(len(a) + len(at), dtype=np.uint8)
-        at += np.arange(1, len(at) + 1)
-        kept = np.ones(len(marked), dtype=bool)
-        kept[at] = False
-        marked[kept] = a
-        marked[at] = 0xFF                  # a byte that UTF-8 never holds
-        return marked.tobytes().split(b"\xff")
+        return np.append(np.flatnonzero(cut[pair]) + 1, len(a))
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text (uint32)."""
-        cut = [self.fragments(t) for t in texts]
+        """Ids of each text (uint32).  The fragments of all texts are told apart by Arrow,
+        without an object for each, and only the distinct ones looked up or encoded."""
+        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+        cut = [self._ends(t, d) for t, d in zip(texts, data, strict=True)]
+        starts = accumulate(map(len, data), initial=0)
+        ends = np.concatenate([np.zeros(1, dtype=np.int64), *(e + i for e, i in zip(cut, starts, strict=False))])
+        every = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(b"".join(data))]).dictionary_encode()
+        at, flat = every.dictionary.buffers()[1:]
+        at = np.frombuffer(at, dtype=np.int64)[:len(every.dictionary) + 1].tolist()
+        flat = flat.to_pybytes() if flat else b""
+        distinct = [flat[i:j] for i, j in pairwise(at)]
         if 2 * len(self.known) > REMEMBER:
             self.known, self.before = dict(self.special), self.known
         known = self.known
-        every = list(chain.from_iterable(cut))
-        ids = list(map(known.get, every))
+        ids = list(map(known.get, distinct))
         if gaps := [i for i, x in enumerate(ids) if x is None]:
-            new = {every[i] for i in gaps}
+            new = [distinct[i] for i in gaps]
             again = {f: x for f in new if (x := self.before.get(f)) is not None}
             known.update(again)
-            todo = list(new.difference(again))
+            todo = [f for f in new if f not in again]
             for i in range(0, len(todo), TOGETHER):
                 known.update(zip(todo[i:i + TOGETHER], self._encode_each(todo[i:i + TOGETHER]), strict=True))
             for i in gaps:
-                ids[i] = known[every[i]]
-        ends = list(accumulate(map(len, cut), initial=0))
-        return [np.frombuffer(b"".join(ids[i:j]), dtype=np.uint32) for i, j in pairwise(ends)]
+                ids[i] = known[distinct[i]]
+        found = pa.array(ids, pa.large_binary()).take(every.indices)
+        at, flat = found.buffers()[1:]
+        at = np.frombuffer(at, dtype=np.int64)[:len(found) + 1] // 4
+        flat = np.frombuffer(flat or b"", dtype=np.uint32)
+        return [flat[at[i]:at[j]] for i, j in pairwise(accumulate(map(len, cut), initial=0))]
 
     def _encode_each(self, fragments: list[bytes]) -> list[bytes]:
         """Ids of each fragment by the library.  The library takes special tokens out

@@ -128,3 +128,17 @@ def test_another_special_token_over_the_mark(tmp_path):
     tok, codec = Tokenizer.from_file(str(path)), ForcedBoundaryCodec(str(path))
     for text in ("a banana a<|endoftext|> b", "panda sofa\n"):
         assert codec.encode_all([text])[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
+def test_each_distinct_fragment_is_looked_up_once(tok, codec):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *a):
+            Counted.asked += 1
+            return super().get(*a)
+
+    text = "the cat sat on the mat, and the cat's hat sat too. " * 400
+    codec.known = Counted(codec.known)
+    assert [x.tolist() for x in codec.encode_all([text, "", text])] == [tok.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
+    assert Counted.asked <= len(set(codec.fragments(text)))
