@@ -88,6 +88,39 @@ def test_cross_validation_equals_sparks_and_fits_read_two_columns(spark, monkeyp
     assert len(seen) == 7 and all(set(c) <= {"features", "label", "_at"} for c in seen)
 
 
+@pytest.mark.parametrize(("name", "grid"), [("dt", {"maxDepth": [1, 3]}), ("rf", {"numTrees": [3, 5]})])
+def test_the_best_point_is_the_same_model_fitted_at_once_or_later(spark, monkeypatch, name, grid):
+    df = T.assembled(_separable(spark, 300), ["x1", "x2"])
+    best, table = T.cross_validate(df, name, grid, folds=3)
+    fits, est = [], type(T.make_classifier(name, 2))
+    real = est.fit
+    monkeypatch.setattr(est, "fit", lambda self, data, params=None: fits.append(self.uid) or real(self, data, params))
+    none, again = T.cross_validate(df, name, grid, folds=3, refit=False)
+    assert none is None and len(fits) == 6 and again.collect() == table.collect()
+    later = T.fit_best(df, name, {r.params: r.avg_auc for r in again.collect()}, grid)
+    assert later.toDebugString.split("\n")[1:] == best.toDebugString.split("\n")[1:]
+    tied = T.fit_best(df, name, dict.fromkeys([r.params for r in again.collect()], 0.5), grid)
+    (param, values), = grid.items()
+    assert tied.getOrDefault(param) == values[0]
+
+
+def test_grids_alone_fit_no_compared_model(spark, sf_dir, monkeypatch):
+    """``cv_grid`` reads averages alone: nothing is fitted on the whole set, and no further model."""
+    from martwright.plans import pinned
+    from martwright.plans import q_model as Q
+    fits, real = [], T.make_classifier
+    monkeypatch.setattr(T, "GRIDS", {"dt": {"maxDepth": [2, 3]}, "nb": {}})
+    monkeypatch.setattr(Q, "_FURTHER", {"svc": {"maxIter": 5}})
+    monkeypatch.setattr(T, "make_classifier", lambda n, *a, **k: fits.append(n) or real(n, *a, **k))
+    later = []
+    monkeypatch.setattr(T, "fit_best", lambda *a, _real=T.fit_best, **k: later.append(a[1]) or _real(*a, **k))
+    pinned._KEPT.clear()
+    assert entry.queries()["cv_grid"](spark, sf_dir).count() == 3 and "svc" not in fits and later == []
+    rows = entry.queries()["model_comparison"](spark, sf_dir).collect()
+    pinned._KEPT.clear()
+    assert [r.model for r in rows] == ["dt", "svc"] and later == ["dt"]
+
+
 def test_scores_are_ordered_with_ties_by_key(spark):
     df = T.assembled(spark.createDataFrame([(i, i % 2, float(i % 4)) for i in range(40)], "id int, label int, x double"), ["x"])
     got = [(r.p_positive, r.id) for r in T.score(T.make_classifier("dt", 1, maxDepth=2).fit(df), df, "id").collect()]
